@@ -12,6 +12,8 @@ from feedloom.llm.bpe import decode, encode
 from feedloom.llm.decontaminate import benchmark_hits, contaminated
 from feedloom.llm.jaccard import jaccard_components
 
+from feedloom.llm.lm import lm_scores
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -44,11 +46,16 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op5_byte_level_bpe": op5_byte_level_bpe,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
+        "op9_lm_scoring": op9_lm_scoring,
     }
 
 
