@@ -13,6 +13,7 @@ from feedloom.llm.decontaminate import benchmark_hits, contaminated
 from feedloom.llm.jaccard import jaccard_components
 
 from feedloom.llm.lm import lm_scores
+from feedloom.llm.toxicity import held_out, toxicity, train
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +24,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    scores = toxicity(docs, train(docs, labels.where(~held_out(F.col("doc_id")))))
+    return scores.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ids = encode(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -53,6 +62,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op4_toxicity": op4_toxicity,
         "op5_byte_level_bpe": op5_byte_level_bpe,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op9_lm_scoring": op9_lm_scoring,
