@@ -13,6 +13,8 @@ from feedloom.llm.decontaminate import benchmark_hits, contaminated
 from feedloom.llm.jaccard import jaccard_components
 
 from feedloom.llm.lm import lm_scores
+from feedloom.llm.secrets import secrets
+from feedloom.llm.secrets import train as train_secrets
 from feedloom.llm.toxicity import held_out, toxicity, train
 
 
@@ -43,6 +45,23 @@ def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = secrets(docs, train_secrets(docs))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string"))), ","
+    )
+    return found.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "markov")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = benchmark_hits(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), width=13)
     return hits.select(
@@ -64,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op4_toxicity": op4_toxicity,
         "op5_byte_level_bpe": op5_byte_level_bpe,
+        "op6_secret_scans": op6_secret_scans,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op9_lm_scoring": op9_lm_scoring,
     }
