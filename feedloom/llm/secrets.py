@@ -5,7 +5,8 @@ The patterns find ``assign``, ``access`` and ``hex`` spans. Beyond them, every r
 of order one: one learnt from the values that the patterns found (labelled random), one from other
 runs (labelled ordinary). A run whose log-likelihood ratio for each character is over a threshold
 is a span of kind ``markov``. The threshold is fitted on the samples that the models have not
-seen: no more than ``FALSE_RATE`` of the ordinary runs may pass.
+seen: no more than ``FALSE_RATE`` of the ordinary runs may pass, and where the random ones lie
+higher it is halfway to their lowest twentieth. (The ordinary sample is not free of secrets.)
 """
 
 from __future__ import annotations
@@ -70,9 +71,10 @@ def _other_runs(text: str, spans: list[Span]) -> list[tuple[int, int]]:
 
 
 def _pairs(runs: list[str]) -> np.ndarray:
-    """Counts of character pairs over all runs."""
+    """Counts of character pairs over all runs; a long run weighs as 64 pairs."""
     codes = [_CODE[np.frombuffer(r.encode(), np.uint8)] for r in runs]
-    return np.bincount(np.concatenate([c[:-1] * 64 + c[1:] for c in codes]), minlength=4096) if codes else np.zeros(4096)
+    weight = np.concatenate([np.full(len(c) - 1, min(1.0, 64 / len(c))) for c in codes])
+    return np.bincount(np.concatenate([c[:-1] * 64 + c[1:] for c in codes]), weight, minlength=4096)
 
 
 @dataclass
@@ -100,8 +102,9 @@ def fit(random: list[str], ordinary: list[str]) -> Model:
         start = (count.sum(axis=0) + 1) / (count.sum() + 64)
         chance.append((count + 16 * start) / (count.sum(axis=1, keepdims=True) + 16))
     model = Model(np.log(chance[0] / chance[1]).ravel(), 0.0)
-    other = sorted(model.score(r) for r in ordinary[1::2])
-    model.threshold = max(0.0, other[min(len(other) - 1, int(len(other) * (1 - FALSE_RATE)))])
+    other, own = (sorted(map(model.score, runs[1::2])) for runs in (ordinary, random))
+    model.threshold = other[min(len(other) - 1, int(len(other) * (1 - FALSE_RATE)))]
+    model.threshold = max(model.threshold, (model.threshold + own[len(own) // 20]) / 2)
     return model
 
 
