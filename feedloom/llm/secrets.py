@@ -6,7 +6,7 @@ of order one: one learnt from the values that the patterns found (labelled rando
 runs (labelled ordinary). A run whose log-likelihood ratio for each character is over a threshold
 is a span of kind ``markov``. The threshold is fitted on the samples that the models have not
 seen: no more than ``FALSE_RATE`` of the ordinary runs may pass, and where the random ones lie
-higher it is halfway to their lowest twentieth. (The ordinary sample is not free of secrets.)
+higher it is halfway to their lowest twentieth.
 """
 
 from __future__ import annotations
@@ -89,20 +89,30 @@ class Model:
         return float(self.ratio[code[:-1] * 64 + code[1:]].mean())
 
 
+def _ratio(random: list[str], ordinary: list[str]) -> Model:
+    chance = []
+    for runs in (random, ordinary):
+        count = _pairs(runs).reshape(64, 64)
+        start = (count.sum(axis=0) + 1) / (count.sum() + 64)
+        chance.append((count + 16 * start) / (count.sum(axis=1, keepdims=True) + 16))
+    return Model(np.log(chance[0] / chance[1]).ravel(), 0.0)
+
+
 def fit(random: list[str], ordinary: list[str]) -> Model:
     """Learn from half of each sample, set the threshold on the other half.
 
-    With a sample missing, no run is a secret.
+    The ordinary sample is not free of secrets: runs nearer to the random ones under a first model
+    are taken out of it. With a sample missing, no run is a secret.
     """
-    if len(random) < 2 or len(ordinary) < 2:
+    if len(random) < 4 or len(ordinary) < 4:
         return Model(np.zeros(4096), np.inf)
-    chance = []
-    for runs in (random[::2], ordinary[::2]):
-        count = _pairs(runs).reshape(64, 64) + 0.0
-        start = (count.sum(axis=0) + 1) / (count.sum() + 64)
-        chance.append((count + 16 * start) / (count.sum(axis=1, keepdims=True) + 16))
-    model = Model(np.log(chance[0] / chance[1]).ravel(), 0.0)
+    first = _ratio(random, ordinary)
+    middle = (np.median([first.score(r) for r in random]) + np.median([first.score(r) for r in ordinary])) / 2
+    ordinary = [r for r in ordinary if first.score(r) <= middle]
+    model = _ratio(random[::2], ordinary[::2])
     other, own = (sorted(map(model.score, runs[1::2])) for runs in (ordinary, random))
+    if not other:
+        return Model(np.zeros(4096), np.inf)
     model.threshold = other[min(len(other) - 1, int(len(other) * (1 - FALSE_RATE)))]
     model.threshold = max(model.threshold, (model.threshold + own[len(own) // 20]) / 2)
     return model
