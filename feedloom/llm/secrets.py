@@ -101,14 +101,15 @@ def _ratio(random: list[str], ordinary: list[str]) -> Model:
 def fit(random: list[str], ordinary: list[str]) -> Model:
     """Learn from half of each sample, set the threshold on the other half.
 
-    The ordinary sample is not free of secrets: runs nearer to the random ones under a first model
-    are taken out of it. With a sample missing, no run is a secret.
+    The ordinary sample is not free of secrets: runs that score over a quarter of the way from its
+    median to the random one under a first model are taken out. With a sample missing, no run is
+    a secret.
     """
     if len(random) < 4 or len(ordinary) < 4:
         return Model(np.zeros(4096), np.inf)
     first = _ratio(random, ordinary)
-    middle = (np.median([first.score(r) for r in random]) + np.median([first.score(r) for r in ordinary])) / 2
-    ordinary = [r for r in ordinary if first.score(r) <= middle]
+    high, low = (np.median([first.score(r) for r in runs]) for runs in (random, ordinary))
+    ordinary = [r for r in ordinary if first.score(r) <= low + (high - low) / 4]
     model = _ratio(random[::2], ordinary[::2])
     other, own = (sorted(map(model.score, runs[1::2])) for runs in (ordinary, random))
     if not other:
