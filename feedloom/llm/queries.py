@@ -13,10 +13,14 @@ from feedloom.llm.decontaminate import benchmark_hits, contaminated
 from feedloom.llm.jaccard import jaccard_components
 
 from feedloom.llm.lm import lm_scores
+from feedloom.llm.pii import pseudonymised
 from feedloom.llm.secrets import secrets
 from feedloom.llm.secrets import train as train_secrets
 from feedloom.llm.toxicity import held_out, toxicity, train
 
+#: The queries' key. A real run passes its own, from where it keeps its secrets.
+PSEUDONYM_KEY = "a key for tests only"
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -26,6 +30,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(_read(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     scores = toxicity(docs, train(docs, labels.where(~held_out(F.col("doc_id")))))
@@ -81,6 +89,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op3_pii": op3_pii,
         "op4_toxicity": op4_toxicity,
         "op5_byte_level_bpe": op5_byte_level_bpe,
         "op6_secret_scans": op6_secret_scans,
