@@ -14,6 +14,8 @@ the key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ def _long(c: Column) -> Column:
     return c.cast("long")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _feistel(a: Column, b: Column, mu: Column, mv: Column, key: str, tweak: Column, back: bool) -> Column:
     """``struct<a, b>`` with 0 <= a < mu and 0 <= b < mv, permuted (or restored)."""
 
@@ -59,9 +66,10 @@ def _feistel(a: Column, b: Column, mu: Column, mv: Column, key: str, tweak: Colu
 def _symbols(s: Column, radix: int, block: int, key: str, kind: str, back: bool) -> Column:
     """A string of symbols of the radix, permuted in blocks; its length stays."""
 
-    def part(j: Column) -> Column:
-        x = F.substring(s, j * block + 1, F.lit(block))
-        n = F.length(x)
+    def part(all_: Column, j: Column) -> Column:
+        return _let(F.substring(all_, j * block + 1, F.lit(block)), lambda x: _let(F.length(x), lambda n: permuted(x, n, j)))
+
+    def permuted(x: Column, n: Column, j: Column) -> Column:
         u = F.floor(n / 2).cast("int")
         v = n - u
         number = lambda t: F.coalesce(_long(F.conv(F.when(t != "", t), radix, 10)), F.lit(0).cast("long"))
@@ -69,16 +77,20 @@ def _symbols(s: Column, radix: int, block: int, key: str, kind: str, back: bool)
         tweak = F.concat_ws(":", F.lit(kind), n.cast("string"), j.cast("string"))
         two = _feistel(number(F.substring(x, F.lit(1), u)), number(F.substring(x, u + 1, v)), size(u), size(v), key, tweak, back)
         text = lambda c, k: F.lpad(F.lower(F.conv(c.cast("string"), 10, radix)), k, F.lit("0"))
-        return F.concat(text(two["a"], u), text(two["b"], v))
+        return _let(two, lambda t: F.concat(text(t["a"], u), text(t["b"], v)))
+
+    def blocks(all_: Column) -> Column:
+        last = F.floor((F.length(all_) - 1) / block).cast("int")
+        joined = F.array_join(F.transform(F.sequence(F.lit(0), last), lambda j: part(all_, j)), "")
+        return F.when(all_ == "", all_).otherwise(joined)
 
-    last = F.floor((F.length(s) - 1) / block).cast("int")
-    return F.when(s == "", s).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), last), part), ""))
+    return _let(s, blocks)
 
 
 def _filled(old: Column, symbol: str, new: Column) -> Column:
     """``old`` with the matches of ``symbol`` replaced, in order, by the characters of ``new``."""
     gaps = F.split(old, symbol, -1)
-    return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.substring(new, i + 1, F.lit(1)))), "")
+    return _let(new, lambda n: F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.substring(n, i + 1, F.lit(1)))), ""))
 
 
 def _bare(s: Column, kept: str = "0-9") -> Column:
@@ -91,24 +103,27 @@ def _digit(s: Column, i: Column) -> Column:
 
 def _luhn(digits: Column, first_doubled: int) -> Column:
     """The Luhn sum, doubling every second digit from the right; the last is doubled if 1."""
-    n = F.length(digits)
+    def of(s: Column) -> Column:
+        def add(acc: Column, i: Column) -> Column:
+            d = _digit(s, F.length(s) - i)
+            return acc + F.when(i % 2 == 1 - first_doubled, d * 2 - F.when(d > 4, 9).otherwise(0)).otherwise(d)
 
-    def add(acc: Column, i: Column) -> Column:
-        d = _digit(digits, n - i)
-        twice = d * 2
-        return acc + F.when(i % 2 == 1 - first_doubled, F.when(twice > 9, twice - 9).otherwise(twice)).otherwise(d)
+        return F.aggregate(F.sequence(F.lit(0), F.length(s) - 1), F.lit(0), add)
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add)
+    return _let(digits, of)
 
 
 def _mod97(s: Column) -> Column:
     """An account number's remainder, letters counting from 10."""
 
-    def add(acc: Column, i: Column) -> Column:
-        c = F.ascii(F.substring(s, i, F.lit(1)))
-        return F.when(c >= 65, acc * 100 + c - 55).otherwise(acc * 10 + c - 48) % 97
+    def of(t: Column) -> Column:
+        def add(acc: Column, i: Column) -> Column:
+            c = F.ascii(F.substring(t, i, F.lit(1)))
+            return F.when(c >= 65, acc * 100 + c - 55).otherwise(acc * 10 + c - 48) % 97
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), F.lit(0), add)
+        return F.aggregate(F.sequence(F.lit(1), F.length(t)), F.lit(0), add)
+
+    return _let(s, of)
 
 
 def _email(m: Column, key: str, back: bool) -> Column:
@@ -121,9 +136,9 @@ def _iban(m: Column, key: str, back: bool) -> Column:
     bare = _bare(m, "A-Z0-9")
     country, rest = F.substring(bare, 1, 2), F.substring(bare, F.lit(5), F.length(bare))
     new = _filled(rest, "[0-9]", _symbols(_bare(rest), 10, 18, key, "iban", back))
-    check = F.lpad((F.lit(98) - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+    check = lambda n: F.lpad((F.lit(98) - _mod97(F.concat(n, country, F.lit("00")))).cast("string"), 2, "0")
     valid = _mod97(F.concat(rest, F.substring(bare, 1, 4))) == 1
-    return F.when(valid, _filled(m, "[A-Z0-9]", F.concat(country, check, new)))
+    return F.when(valid, _let(new, lambda n: _filled(m, "[A-Z0-9]", F.concat(country, check(n), n))))
 
 
 def _ip(m: Column, key: str, back: bool) -> Column:
@@ -131,8 +146,12 @@ def _ip(m: Column, key: str, back: bool) -> Column:
     half = lambda i: _long(part[i] * 256 + part[i + 1])
     m16 = F.lit(65_536).cast("long")
     two = _feistel(half(0), half(2), m16, m16, key, F.lit("ip"), back)
-    octets = [F.floor(two[h] / 256).cast("long") if k == 0 else two[h] % 256 for h in "ab" for k in (0, 1)]
-    return F.when(~F.exists(part, lambda x: x > 255), F.concat_ws(".", *[o.cast("string") for o in octets]))
+
+    def shown(t: Column) -> Column:
+        octets = [F.floor(t[h] / 256).cast("long") if k == 0 else t[h] % 256 for h in "ab" for k in (0, 1)]
+        return F.concat_ws(".", *[o.cast("string") for o in octets])
+
+    return F.when(~F.exists(part, lambda x: x > 255), _let(two, shown))
 
 
 def _date(m: Column, key: str, back: bool) -> Column:
@@ -142,7 +161,7 @@ def _date(m: Column, key: str, back: bool) -> Column:
 
             def walk(acc: Column, i: Column) -> Column:
                 two = _feistel(F.floor(acc / mv).cast("long"), acc % mv, _long(F.lit(mu)), _long(F.lit(mv)), key, F.lit(f"date{size}"), back)
-                return F.when((i == 0) | (acc >= size), two["a"] * mv + two["b"]).otherwise(acc)
+                return F.when((i == 0) | (acc >= size), _let(two, lambda t: t["a"] * mv + t["b"])).otherwise(acc)
 
             return F.date_add(F.lit(start).cast("date"), F.aggregate(F.sequence(F.lit(0), F.lit(9)), at, walk).cast("int"))
 
@@ -153,20 +172,21 @@ def _date(m: Column, key: str, back: bool) -> Column:
     split = F.regexp_replace(m, "[./]", "-")
     iso = F.try_to_date(m, "yyyy-MM-dd")
     european, american = F.try_to_date(split, "dd-MM-yyyy"), F.try_to_date(split, "MM-dd-yyyy")
-    shown = lambda day, form: F.regexp_replace(F.date_format(moved(day), form), "-", mark)
-    return (
-        F.when(m.rlike(r"^\d{4}"), F.date_format(moved(iso), "yyyy-MM-dd"))
-        .when(european.isNotNull(), shown(european, "dd-MM-yyyy"))
-        .otherwise(shown(american, "MM-dd-yyyy"))
-    )
+
+    def shown(new: Column) -> Column:
+        other = F.when(european.isNotNull(), F.date_format(new, "dd-MM-yyyy")).otherwise(F.date_format(new, "MM-dd-yyyy"))
+        return F.when(m.rlike(r"^\d{4}"), F.date_format(new, "yyyy-MM-dd")).otherwise(F.regexp_replace(other, F.lit("-"), mark))
+
+    day = F.when(m.rlike(r"^\d{4}"), iso).otherwise(F.coalesce(european, american))
+    return _let(_let(day, moved), shown)
 
 
 def _card(m: Column, key: str, back: bool) -> Column:
     digits = _bare(m)
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
     new = _symbols(body, 10, 18, key, "card", back)
-    check = ((F.lit(10) - _luhn(new, 1) % 10) % 10).cast("string")
-    return F.when(_luhn(digits, 0) % 10 == 0, _filled(m, "[0-9]", F.concat(new, check)))
+    check = lambda n: ((F.lit(10) - _luhn(n, 1) % 10) % 10).cast("string")
+    return F.when(_luhn(digits, 0) % 10 == 0, _let(new, lambda n: _filled(m, "[0-9]", F.concat(n, check(n)))))
 
 
 def _phone(m: Column, key: str, back: bool) -> Column:
