@@ -17,10 +17,19 @@ from feedloom.llm.pii import pseudonymised
 from feedloom.llm.secrets import secrets
 from feedloom.llm.secrets import train as train_secrets
 from feedloom.llm.toxicity import held_out, toxicity, train
+from feedloom.llm.urls import judged
 
 #: The queries' key. A real run passes its own, from where it keeps its secrets.
 PSEUDONYM_KEY = "a key for tests only"
 
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -82,6 +91,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
 
@@ -94,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_byte_level_bpe": op5_byte_level_bpe,
         "op6_secret_scans": op6_secret_scans,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
+        "op8_url_filters": op8_url_filters,
         "op9_lm_scoring": op9_lm_scoring,
     }
 
