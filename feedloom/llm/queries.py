@@ -16,6 +16,7 @@ from feedloom.llm.lm import lm_scores
 from feedloom.llm.pii import pseudonymised
 from feedloom.llm.secrets import secrets
 from feedloom.llm.secrets import train as train_secrets
+from feedloom.llm.tokencount import read_pieces, token_counts
 from feedloom.llm.toxicity import held_out, toxicity, train
 from feedloom.llm.urls import judged
 
@@ -99,6 +100,10 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"), read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -109,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op8_url_filters": op8_url_filters,
         "op9_lm_scoring": op9_lm_scoring,
+        "op10_token_counts": op10_token_counts,
     }
 
 
