@@ -11,12 +11,16 @@ their numeric order, so every range of it holds about the same share of any set.
    shingle alone makes no candidates.
 2. *Candidates.* A fragment's hash is a signature. Signatures travel as packed blocks, once; the
    receiving task keeps those that two different sets share.
-3. *Partial overlaps.* The sets of a candidate pair are cut into ``GROUPS`` fragments that are
-   joined and counted separately, and the counts are summed for each pair (exact check).
-4. *Groups.* Equal sets are one node from the start. In each round every node is compared with one
-   pivot of another component that shares a signature, so a group of near copies costs rows in
-   proportion to its size. What no round has linked is compared pair by pair, but only across
-   components.
+3. *Partial overlaps.* Every signature has a pivot, a set that shares many signatures with others
+   of its members. A set is compared with its pivots: both are cut into ``GROUPS`` fragments of the order,
+   joined and compared fragment by fragment, and the partial results summed for each pair. What
+   remains is the difference ``D`` of a set to its pivot.
+4. *Groups.* Equal sets are one node from the start. Two sets with the same pivot link when
+   ``|Dx| + |Dy| - 2 |Dx and Dy|`` is small. If they share no difference, both link to the pivot;
+   else they share one of the first ``k + 1`` differences of one and ``k / 2 + 1`` of the other
+   (the one that has fewer) in any common order, so a prefix join on differences finds all that is
+   left. What the pivot lacks comes first in that order, as few others have it too. Differences
+   that only one component has are not joined. A group of near copies costs rows in proportion to its size.
 """
 
 from __future__ import annotations
@@ -31,13 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm.components import components
-from feedloom.llm.runtime import dropped, shuffle_partitions, written
+from feedloom.llm.runtime import shuffle_partitions, written
 from feedloom.llm.wordhash import SPACED, Words, mix, runs, text_chunks
 
 GROUPS = 4
-ROUNDS = 3
-#: A list of ids of up to this many rows (8 bytes each) may be broadcast; a longer one is joined.
+#: A list of ids of up to this many rows (16 bytes each) may be broadcast; a longer one is joined.
 BROADCAST_IDS = 1_000_000
+#: Sets of up to this many shingles (8 bytes each) in all may be broadcast; more are joined.
+BROADCAST_TOKENS = 4_000_000
 
 
 @cache
@@ -261,16 +266,58 @@ def _grouped(width: int):
     return run
 
 
-def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` that link: overlaps are counted in each fragment and summed."""
-    cut = tokens.select("node", "n", "grp", "tokens")
-    left = cut.select(F.col("node").alias("a"), F.col("n").alias("na"), "grp", F.col("tokens").alias("ta"))
-    right = cut.select(F.col("node").alias("b"), F.col("n").alias("nb"), "grp", F.col("tokens").alias("tb"))
-    partial = (
-        pairs.join(left, "a").join(right, ["b", "grp"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("part"))
+def _within(difference, sizes, percent: int):
+    """Whether sets that differ by ``difference`` shingles of ``sizes`` in all link."""
+    return difference * (100 + percent) <= sizes * (100 - percent)
+
+
+def _differences(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``node, pivot, n, pn, diff``: shingles of one set only, those that the pivot lacks first.
+
+    They are made fragment by fragment.
+    """
+    if pairs.count() <= BROADCAST_IDS:
+        pairs = F.broadcast(pairs)
+    pivots = tokens.join(pairs.select(F.col("pivot").alias("node")).distinct(), "node", "left_semi")
+    right = pivots.select(F.col("node").alias("pivot"), F.col("n").alias("pn"), "grp", F.col("tokens").alias("other"))
+    if (pivots.agg(F.sum(F.size("tokens"))).first()[0] or 0) <= BROADCAST_TOKENS:
+        right = F.broadcast(right)
+    both = tokens.join(pairs, "node").join(right, ["pivot", "grp"])
+    cut = both.select(
+        "node", "pivot", "n", "pn", F.array_except("tokens", "other").alias("more"), F.array_except("other", "tokens").alias("less")
+    )
+    whole = lambda c: F.array_sort(F.flatten(F.collect_list(c)))
+    return cut.groupBy("node", "pivot").agg(
+        F.max("n").alias("n"), F.max("pn").alias("pn"), F.concat(whole("more"), whole("less")).alias("diff")
     )
-    whole = partial.groupBy("a", "b").agg(F.sum("part").alias("both"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    return whole.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+
+
+def _near_pairs(differences: DataFrame, percent: int) -> DataFrame:
+    """``a, b, pivot``: pairs of different components that may link, by their first differences.
+
+    ``differences``: ``node, pivot, n, comp, diff``.
+    """
+    most = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent) / (100 + percent)).cast("int")
+    mixed = differences.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    rows = differences.join(mixed.select("pivot"), "pivot", "left_semi").withColumn("k", most)
+    prefix = rows.select("pivot", "node", "comp", F.size("diff").alias("size"), "k", F.posexplode(F.slice("diff", 1, F.col("k") + 1)).alias("at", "token"))
+    prefix = prefix.withColumn("key", F.xxhash64("pivot", "token")).drop("token")
+    seen = prefix.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    seen = written(seen, "mixed")
+    few = seen.count() <= BROADCAST_IDS
+    prefix = written(prefix.join(F.broadcast(seen) if few else seen, "key"), "prefix")
+    one = prefix.where(F.col("at") <= F.floor(F.col("k") / 2)).select("key", "pivot", "node", "comp", "size")
+    two = prefix.select("key", F.col("pivot").alias("pb"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("size_b"))
+    found = one.join(two, "key").where((F.col("pivot") == F.col("pb")) & (F.col("comp") != F.col("cb")) & (F.col("size") <= F.col("size_b")))
+    return found.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), "pivot").distinct()
+
+
+def _linked(pairs: DataFrame, differences: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of ``pairs`` that link, counted on their differences to one pivot."""
+    side = lambda x: differences.select("pivot", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("diff").alias(f"d{x}"))
+    both = pairs.join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"])
+    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    return both.where(_within(apart, F.col("na") + F.col("nb"), percent)).select("a", "b").distinct()
 
 
 def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -317,40 +364,25 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     if nodes.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     wanted = texts.join(ids, "doc_id", "left_semi")
-    tokens = written(wanted.select("text").mapInArrow(_grouped(width), "node long, n long, grp int, tokens array<long>").dropDuplicates(["node", "grp"]), "tokens")
-
-    near = F.lit(100) * F.least("n", "pn") >= F.lit(percent) * F.greatest("n", "pn")
-    for salt in range(ROUNDS + 1):
-        member = shared.join(nodes.select("node", "n", "comp"), "node")
-        mixed = member.groupBy("sig").agg(
-            F.min("comp").alias("lo"),
-            F.max("comp").alias("hi"),
-            F.min(F.struct(F.xxhash64("node", F.lit(salt)), F.col("node").alias("pivot"), F.col("comp").alias("pc"), F.col("n").alias("pn"))).alias("p"),
-        ).where("lo <> hi")
-        open_ = written(member.join(mixed.select("sig", "p.pivot", "p.pc", "p.pn"), "sig"), "open")
-        if open_.isEmpty():
-            dropped(open_)
-            break
-        if salt < ROUNDS:
-            pairs = (
-                open_.where((F.col("comp") != F.col("pc")) & near)
-                .groupBy("node")
-                .agg(F.min(F.struct(F.xxhash64("pivot", F.lit(salt)), "pivot")).alias("p"))
-                .select(F.col("node").alias("a"), F.col("p.pivot").alias("b"))
-            )
-        else:
-            one = open_.select("sig", "node", "n", "comp")
-            two = one.select("sig", F.col("node").alias("b"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
-            pairs = (
-                one.join(two, "sig")
-                .where((F.col("node") < F.col("b")) & (F.col("comp") != F.col("pc")) & near)
-                .select(F.col("node").alias("a"), "b")
-                .distinct()
-            )
-        links = written(_verified(pairs, tokens, percent), "verified")
-        nodes = _merged(nodes.select("node", "n", "comp"), links)
-        dropped(open_)
-        dropped(links)
+    tokens = wanted.select("text").mapInArrow(_grouped(width), "node long, n long, grp int, tokens array<long>")
+    if sized.join(ids, "doc_id", "left_semi").count() != nodes.count():  # an id of several rows
+        tokens = tokens.dropDuplicates(["node", "grp"])
+    tokens = written(tokens, "tokens")
+
+    size = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("members"))
+    weight = shared.join(size, "sig").groupBy("node").agg(F.sum("members").alias("weight"))
+    heavy = shared.join(weight, "node").select("sig", F.struct("weight", "node").alias("top"))
+    for _ in range(2):  # of a signature's members the weightiest; then the weightiest of their weightiest
+        top = heavy.groupBy("sig").agg(F.max("top").alias("top"))
+        home = shared.join(top, "sig").groupBy("node").agg(F.max("top").alias("top"))
+        heavy = shared.join(home, "node").select("sig", "top")
+    pivot = heavy.groupBy("sig").agg(F.max("top")["node"].alias("pivot"))
+    pairs = written(shared.join(pivot, "sig").select("node", "pivot").distinct(), "pairs")
+    differences = written(_differences(pairs, tokens), "differences")
+    direct = differences.where(_within(F.size("diff"), F.col("n") + F.col("pn"), percent))
+    nodes = _merged(nodes.select("node", "n", "comp"), direct.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    more = written(_near_pairs(differences.join(nodes.select("node", "comp"), "node"), percent), "near")
+    nodes = _merged(nodes, _linked(more, differences, percent))
 
     grouped = sized.join(nodes.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = grouped.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
