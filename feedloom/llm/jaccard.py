@@ -4,13 +4,14 @@ A document is the set of its distinct ``width``-word shingles; two link when
 ``100 * |A and B| >= percent * |A or B|``. Shingles are 64-bit hashes, and the global order is
 their numeric order, so every range of it holds about the same share of any set.
 
-1. *Fragments.* For the size class of the larger set of a pair, the order is cut into ``F``
-   ranges. Linked sets differ by at most ``k`` shingles, each spoiling one fragment, so at least
-   ``F - k`` fragments are equal. ``F`` leaves a spare ``z``: a set with at most ``z`` fragments
-   under two shingles need not sign those, as one of more remains. No link is lost, and a common
-   shingle alone makes no candidates.
+1. *Fragments.* For the size class of the larger set of a pair, the order is cut into
+   ``F = k + z + m`` ranges. Linked sets differ by at most ``k`` shingles, each spoiling one
+   fragment, so at least ``z + m`` fragments are equal. A set with at most ``z`` fragments under
+   two shingles need not sign those, as ``m`` equal ones remain. No link is lost, and a common
+   shingle or passage alone makes no candidates.
 2. *Candidates.* A fragment's hash is a signature. Signatures travel as packed blocks, once; the
-   receiving task keeps those that two different sets share.
+   receiving task keeps those that two different sets share. A set that shares fewer than ``m``
+   signatures of a class with others has no link in it.
 3. *Partial overlaps.* Every signature has a pivot, a set that shares many signatures with others
    of its members. A set is compared with its pivots: both are cut into ``GROUPS`` fragments of the order,
    joined and compared fragment by fragment, and the partial results summed for each pair. What
@@ -41,8 +42,6 @@ from feedloom.llm.wordhash import SPACED, Words, mix, runs, text_chunks
 GROUPS = 4
 #: A list of ids of up to this many rows (16 bytes each) may be broadcast; a longer one is joined.
 BROADCAST_IDS = 1_000_000
-#: Sets of up to this many shingles (8 bytes each) in all may be broadcast; more are joined.
-BROADCAST_TOKENS = 4_000_000
 
 
 @cache
@@ -55,18 +54,22 @@ def _classes(limit: int) -> np.ndarray:
 
 
 @cache
-def _cuts(largest: int, percent: int) -> tuple[int, int]:
-    """(fragments, spare) for pairs whose larger set has at most ``largest`` shingles."""
+def _cuts(largest: int, percent: int) -> tuple[int, int, int]:
+    """(F, z, m) for pairs whose larger set has at most ``largest`` shingles."""
     k = 2 * largest * (100 - percent) // (100 + percent)
     if k == 0:
-        return 0, 0
-    share = 0.75 * largest / (k + 1)
-    spare = 1 + math.ceil((k + 1) * math.exp(-share) * (1 + share))
-    return k + 1 + spare, spare
+        return 0, 0, 0
+    need = 1 + k // 8
+    share = 0.75 * largest / (k + need)
+    spare = 1 + math.ceil((k + need) * math.exp(-share) * (1 + share))
+    return k + need + spare, spare, need
 
 
 def _signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of one set (its sorted distinct hashes) for every class it can pair in."""
+    """Signatures of one set (its sorted distinct hashes) for every class it can pair in.
+
+    The lowest byte is the class; there are fewer than 80 up to 2**32 shingles.
+    """
     n = len(tokens)
     most = n * 100 // percent
     ends = _classes(1 << (most + 1).bit_length())
@@ -75,14 +78,14 @@ def _signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
     top = tokens >> np.uint64(32)
     out = []
     for c in range(c, last + 1):
-        pieces, spare = _cuts(int(ends[c + 1]) - 1, percent)
+        pieces, spare, _ = _cuts(int(ends[c + 1]) - 1, percent)
         if not pieces:
             continue
         cell = (top * np.uint64(pieces)) >> np.uint64(32)
         at = np.searchsorted(cell, np.arange(pieces + 1, dtype=np.uint64))
         size = np.diff(at)
         sig = total[at[1:]] - total[at[:-1]] + (np.arange(pieces) * 1_000_003 + c).astype(np.uint64)
-        sig = mix(sig * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64))
+        sig = mix(sig * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64)) & ~np.uint64(255) | np.uint64(c)
         weak = size < 2
         out.append(sig if weak.sum() > spare else sig[~weak])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
@@ -233,6 +236,20 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from taken(np.concatenate(sigs), np.concatenate(nodes))
 
 
+def _enough(shared: DataFrame, percent: int) -> DataFrame:
+    """``shared`` without sets that share too few signatures of a class, and what then isn't shared."""
+    ends = _classes(1 << 33)
+    need = F.array(*[F.lit(_cuts(int(e) - 1, percent)[2]) for e in ends[1:]])
+    kind = F.col("sig").bitwiseAND(F.lit(255)).cast("int").alias("kind")
+    for _ in range(2):
+        shared = shared.withColumn("kind", kind)
+        own = shared.groupBy("node", "kind").agg(F.count(F.lit(1)).alias("own")).where(F.col("own") >= F.get(need, F.col("kind")))
+        shared = shared.join(own, ["node", "kind"], "left_semi").select("sig", "node")
+        some = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        shared = written(shared.join(some, "sig", "left_semi"), "enough")
+    return shared
+
+
 def _grouped(width: int):
     """(node, n, grp, tokens): a set cut into GROUPS fragments of the global order."""
 
@@ -280,8 +297,6 @@ def _differences(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
         pairs = F.broadcast(pairs)
     pivots = tokens.join(pairs.select(F.col("pivot").alias("node")).distinct(), "node", "left_semi")
     right = pivots.select(F.col("node").alias("pivot"), F.col("n").alias("pn"), "grp", F.col("tokens").alias("other"))
-    if (pivots.agg(F.sum(F.size("tokens"))).first()[0] or 0) <= BROADCAST_TOKENS:
-        right = F.broadcast(right)
     both = tokens.join(pairs, "node").join(right, ["pivot", "grp"])
     cut = both.select(
         "node", "pivot", "n", "pn", F.array_except("tokens", "other").alias("more"), F.array_except("other", "tokens").alias("less")
@@ -352,6 +367,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     parts = shuffle_partitions(spark)
     packs = texts.select("text").mapInArrow(_signed(width, percent, parts), "part int, pack binary")
     shared = written(packs.repartition(parts, "part").mapInArrow(_shared, "sig long, node long"), "shared")
+    shared = _enough(shared, percent)
 
     reps = (
         sized.where("node is not null")
