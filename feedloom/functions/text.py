@@ -32,7 +32,7 @@ def truncated(s: Column, n: int, mark: str = "...") -> Column:
 
 def truncated_bytes(s: Column, n: int) -> Column:
     """At most ``n`` bytes, ending at a code point (the cut never splits one)."""
-    cut = F.decode(F.substring(F.encode(s, "UTF-8"), 1, n), "UTF-8")
+    cut = F.make_valid_utf8(F.substring(F.encode(s, "UTF-8"), 1, n).cast("string"))
     return F.when(F.octet_length(s) > n, F.regexp_replace(cut, "�+$", "")).otherwise(s)
 
 

@@ -18,9 +18,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-#: Digests stand for long texts in results, so that the oracle compares them whole.
-AS_OF = F.lit("2024-01-31 12:00:00").cast("timestamp")
-DAY = F.lit("2024-02-05").cast("date")
+
+
+def _as_of():
+    return F.lit("2024-01-31 12:00:00").cast("timestamp")
+
+
+def _day():
+    return F.lit("2024-02-05").cast("date")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -88,18 +93,18 @@ def k5(spark, sf_dir):
 @query("k6_update_votes", with_articles("SELECT a.id, CASE WHEN l.doc_id IS NOT NULL THEN nullif(l.toxic, 0) ELSE a.hf_upvotes END AS hf_upvotes, CASE WHEN l.doc_id IS NOT NULL THEN NULL ELSE a.ax_net_votes END AS ax_net_votes, CASE WHEN l.doc_id IS NOT NULL THEN TIMESTAMP '2024-01-31 12:00:00' ELSE a.votes_updated_at END AS votes_updated_at FROM articles a LEFT JOIN labels l ON a.id = CAST(l.doc_id AS VARCHAR)"))
 def k6(spark, sf_dir):
     votes = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), F.nullif("toxic", F.lit(0)).alias("hf_upvotes"), F.lit(None).cast("int").alias("ax_net_votes"))
-    return store.update_votes(articles(spark, sf_dir), votes, AS_OF).select("id", "hf_upvotes", "ax_net_votes", "votes_updated_at")
+    return store.update_votes(articles(spark, sf_dir), votes, _as_of()).select("id", "hf_upvotes", "ax_net_votes", "votes_updated_at")
 
 
 @query("k7_mark_pushed", with_articles("SELECT id, CASE WHEN status = 2 THEN TIMESTAMP '2024-01-31 12:00:00' ELSE pushed_at END AS pushed_at FROM articles"))
 def k7(spark, sf_dir):
     own = articles(spark, sf_dir)
-    return store.mark_pushed_set(own, own.where("status = 2"), AS_OF).select("id", "pushed_at")
+    return store.mark_pushed_set(own, own.where("status = 2"), _as_of()).select("id", "pushed_at")
 
 
 @query("k8_clear_date", with_articles("SELECT id, CASE WHEN recommend_date = DATE '2024-02-05' THEN NULL ELSE recommend_date END AS recommend_date, CASE WHEN recommend_date = DATE '2024-02-05' THEN NULL ELSE batch_order END AS batch_order FROM articles"))
 def k8(spark, sf_dir):
-    return store.clear_recommendations(articles(spark, sf_dir), DAY).select("id", "recommend_date", "batch_order")
+    return store.clear_recommendations(articles(spark, sf_dir), _day()).select("id", "recommend_date", "batch_order")
 
 
 @query("k9_clear_all", with_articles("SELECT id FROM articles WHERE false"))
@@ -147,12 +152,12 @@ def f3(spark, sf_dir):
 
 @query("f4_needing_votes", with_articles("SELECT id FROM articles WHERE votes_updated_at IS NULL AND created_at > TIMESTAMP '2024-01-31 12:00:00' - INTERVAL 30 DAY - INTERVAL 12 HOUR + INTERVAL 12 HOUR ORDER BY created_at DESC, id LIMIT 100"))
 def f4(spark, sf_dir):
-    return select.needing_votes(articles(spark, sf_dir), AS_OF, 100).select("id")
+    return select.needing_votes(articles(spark, sf_dir), _as_of(), 100).select("id")
 
 
 @query("f5_of_date", with_articles("SELECT id, batch_order FROM articles WHERE recommend_date = DATE '2024-02-05'"))
 def f5(spark, sf_dir):
-    return select.of_date(articles(spark, sf_dir), DAY).select("id", "batch_order")
+    return select.of_date(articles(spark, sf_dir), _day()).select("id", "batch_order")
 
 
 @query("f6_backlog", with_articles("SELECT id, recommend_date FROM articles WHERE pushed_at IS NULL AND recommend_date IS NOT NULL ORDER BY recommend_date, batch_order NULLS FIRST, id LIMIT 500"))

@@ -9,7 +9,10 @@ from feedloom.operators import joins
 from feedloom.plans.catalog import query
 from feedloom.plans.fixtures import table
 
-_REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
+
+def _revenue():
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
 @query(
@@ -22,7 +25,7 @@ def q1(spark, sf_dir):
     return rows.groupBy("l_returnflag", "l_linestatus").agg(
         F.sum("l_quantity").alias("sum_qty"),
         F.sum("l_extendedprice").alias("sum_base"),
-        F.sum(_REVENUE).alias("sum_disc"),
+        F.sum(_revenue()).alias("sum_disc"),
         F.avg("l_quantity").alias("avg_qty"),
         F.avg("l_discount").alias("avg_disc"),
         F.count(F.lit(1)).alias("n"),
@@ -38,7 +41,7 @@ def q3(spark, sf_dir):
     c = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     rows = c.join(o, c.c_custkey == o.o_custkey).join(li, li.l_orderkey == o.o_orderkey)
-    return rows.groupBy("o_orderkey", "o_orderdate").agg(F.sum(_REVENUE).alias("revenue")).orderBy(F.desc("revenue"), "o_orderkey").limit(10)
+    return rows.groupBy("o_orderkey", "o_orderdate").agg(F.sum(_revenue()).alias("revenue")).orderBy(F.desc("revenue"), "o_orderkey").limit(10)
 
 
 @query(
@@ -50,7 +53,7 @@ def q5(spark, sf_dir):
     c, o, li, s, n, r = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem", "supplier", "nation", "region"))
     rows = c.join(o, c.c_custkey == o.o_custkey).join(li, li.l_orderkey == o.o_orderkey)
     rows = rows.join(s, (li.l_suppkey == s.s_suppkey) & (s.s_nationkey == c.c_nationkey)).join(n, n.n_nationkey == s.s_nationkey).join(r, r.r_regionkey == n.n_regionkey)
-    return rows.groupBy("r_name", "n_name").agg(F.sum(_REVENUE).alias("revenue"))
+    return rows.groupBy("r_name", "n_name").agg(F.sum(_revenue()).alias("revenue"))
 
 
 @query("q6_forecast", "SELECT sum(l_extendedprice * l_discount) AS revenue FROM lineitem WHERE l_discount BETWEEN 0.02 AND 0.06 AND l_quantity < 24")

@@ -13,10 +13,12 @@ import re
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.text import nonempty
+
 Model = Callable[[str], str]
 
 
@@ -26,20 +28,21 @@ def replied(prompts: DataFrame, model: Model, key: str = "batch", per_second: fl
     ``per_second`` limits the calls of one task; the number of partitions limits tasks.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            keys, replies = [], []
-            for k, prompt in zip(frame[key], frame["prompt"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, replies = [], []
+            for i, prompt in enumerate(batch.column("prompt").to_pylist()):
                 if per_second:
                     time.sleep(1 / per_second)
                 try:
                     replies.append(model(prompt))
-                    keys.append(k)
+                    kept.append(i)
                 except Exception:  # a batch whose call fails stays unscored
                     continue
-            yield pd.DataFrame({key: keys, "reply": replies})
+            keys = batch.column(key).take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(replies, pa.string())], names=[key, "reply"])
 
-    return prompts.select(key, "prompt").mapInPandas(run, f"{key} {dict(prompts.dtypes)[key]}, reply string")
+    return prompts.select(key, "prompt").mapInArrow(run, f"{key} {dict(prompts.dtypes)[key]}, reply string")
 
 
 def stub_scorer(prompt: str) -> str:
@@ -59,7 +62,7 @@ def translations(articles: DataFrame, model: Model) -> DataFrame:
     from feedloom.functions.json import translation
 
     text = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))
-    prompts = articles.where(F.trim(text) != "").select("id", text.alias("prompt"))
+    prompts = articles.where(F.coalesce(nonempty(F.col("title")), nonempty(F.col("abstract"))).isNotNull()).select("id", text.alias("prompt"))
     rows = replied(prompts, model, key="id").withColumn("t", translation(F.col("reply"))).where("t is not null")
     return rows.select("id", F.col("t.title").alias("translated_title"), F.col("t.abstract").alias("translated_abstract"))
 
