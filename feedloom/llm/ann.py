@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.runtime import dropped, shuffle_partitions, written
+from feedloom.llm.runtime import dropped, written
 
 K = 40
 TREES = 6
 LEAF = 1500
 #: Nodes that one task holds at a time, about: at most 2 * K vectors come with each.
-BLOCK_NODES = 4000
+BLOCK_NODES = 6000
 BLOCK_QUERIES = 1000
 ROUNDS = 6
 #: NN-descent ends when a round changes fewer than this share of all list entries.
@@ -129,11 +129,41 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _packed(*_best(owner, ids.flatten().to_numpy(), scores.flatten().to_numpy(), K))
 
 
-def _proposed(left, right):
-    """From a partition's nodes with the lists around them, and the vectors of these."""
-    none = pa.table({"node": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "scores": pa.array([], pa.list_(pa.float32()))})
-    if not left.num_rows or not right.num_rows:
-        return none
+def _proposed(parts: int):
+    """From a part's nodes with the lists around them, and the vectors of these, to proposals.
+
+    They are packed by the part that they go to.
+    """
+
+    def run(left, right):
+        owner, other, score = _proposals(left, right) if left.num_rows and right.num_rows else (np.zeros(0, np.int64),) * 3
+        goal = np.mod(owner, parts)
+        order = np.argsort(goal, kind="stable")
+        goals, counts = np.unique(goal, return_counts=True)
+        return pa.table(
+            {
+                "goal": pa.array(goals, pa.int32()),
+                "nodes": _lists(owner[order], counts, pa.int64()),
+                "ids": _lists(other[order], counts, pa.int64()),
+                "scores": _lists(score[order].astype(np.float32), counts, pa.float32()),
+            }
+        )
+
+    return run
+
+
+def _improved(left, right):
+    """A part's lists after the proposals to it."""
+    lists = left.column("ids").combine_chunks()
+    owner = np.repeat(left.column("node").to_numpy(), lists.value_lengths().to_numpy())
+    flat = lambda table, c: table.column(c).combine_chunks().flatten().to_numpy()
+    rows = [(owner, flat(left, "ids"), flat(left, "scores"))]
+    if right.num_rows:
+        rows.append(tuple(flat(right, c) for c in ("nodes", "ids", "scores")))
+    return pa.Table.from_batches([_packed(*_best(*(np.concatenate(x) for x in zip(*rows, strict=True)), K))])
+
+
+def _proposals(left, right):
     known = right.column("node").to_numpy()
     order = np.argsort(known)
     known, vectors, least = known[order], _matrix(right.column("vec"))[order], right.column("least").to_numpy()[order]
@@ -161,8 +191,7 @@ def _proposed(left, right):
         if held > 2_000_000:
             found = [squeezed()]
             held = len(found[0][0])
-    packed = _packed(*squeezed())
-    return pa.Table.from_batches([packed]) if packed.num_rows else none
+    return squeezed()
 
 
 def _beamed(exact: bool):
@@ -217,9 +246,8 @@ def valid_vectors(rows: DataFrame, id_column: str = "vec_id", vector: str = "emb
 
 def neighbour_graph(nodes: DataFrame) -> DataFrame:
     """``node, ids, scores`` for ``nodes(node, vec)``: near-best neighbours of each, best first."""
-    spark = nodes.sparkSession
     n = nodes.count()
-    parts = max(shuffle_partitions(spark), -(-n // BLOCK_NODES))
+    parts = max(8, -(-n // BLOCK_NODES))
     dealt = nodes.mapInArrow(_projected(TREES), "tree int, at double, node long, vec array<float>")
     start = dealt.repartitionByRange(max(TREES, -(-n * TREES // (5 * BLOCK_NODES))), "tree", "at").mapInArrow(_started, _LISTS)
     graph = written(start.repartition(parts, "node").mapInArrow(_merged, _LISTS), "graph")
@@ -232,8 +260,10 @@ def neighbour_graph(nodes: DataFrame) -> DataFrame:
         needed = around.select(F.col("part").alias("goal"), F.explode("around").alias("node")).distinct()
         least = graph.select("node", F.when(F.size("scores") < K, F.lit(float("-inf")).cast("float")).otherwise(F.element_at("scores", -1)).alias("least"))
         sent = needed.join(nodes.join(least, "node"), "node").select("goal", "node", "vec", "least")
-        new = written(around.groupBy("part").cogroup(sent.groupBy("goal")).applyInArrow(_proposed, _LISTS), "new")
-        merged = written(graph.union(new).repartition(parts, "node").mapInArrow(_merged, _LISTS), "graph")
+        packs = "goal int, nodes array<long>, ids array<long>, scores array<float>"
+        new = written(around.groupBy("part").cogroup(sent.groupBy("goal")).applyInArrow(_proposed(parts), packs), "new")
+        placed = graph.withColumn("part", F.pmod("node", F.lit(parts)).cast("int"))
+        merged = written(placed.groupBy("part").cogroup(new.groupBy("goal")).applyInArrow(_improved, _LISTS), "graph")
         changed = merged.join(graph.select("node", F.col("ids").alias("old")), "node").agg(F.sum(F.size(F.array_except("ids", "old")))).first()[0] or 0
         for old in (graph, around, new):
             dropped(old)
