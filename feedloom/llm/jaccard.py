@@ -6,9 +6,10 @@ their numeric order, so every range of it holds about the same share of any set.
 
 1. *Fragments.* For the size class of the larger set of a pair, the order is cut into
    ``F = k + z + m`` ranges. Linked sets differ by at most ``k`` shingles, each spoiling one
-   fragment, so at least ``z + m`` fragments are equal. A set with at most ``z`` fragments under
-   two shingles need not sign those, as ``m`` equal ones remain. No link is lost, and a common
-   shingle or passage alone makes no candidates.
+   fragment, so at least ``z + m`` fragments are equal. A fragment of common shingles only is
+   weak; a set with at most ``z`` weak ones need not sign them, as ``m`` equal ones remain. No link
+   is lost, and a passage that many documents share makes few candidates. Common are shingles whose
+   counter, in a sketch of fixed size over all documents, is far over the mean.
 2. *Candidates.* A fragment's hash is a signature. Signatures travel as packed blocks, once; the
    receiving task keeps those that two different sets share. A set that shares fewer than ``m``
    signatures of a class with others has no link in it.
@@ -18,10 +19,12 @@ their numeric order, so every range of it holds about the same share of any set.
    remains is the difference ``D`` of a set to its pivot.
 4. *Groups.* Equal sets are one node from the start. Two sets with the same pivot link when
    ``|Dx| + |Dy| - 2 |Dx and Dy|`` is small. If they share no difference, both link to the pivot;
-   else they share one of the first ``k + 1`` differences of one and ``k / 2 + 1`` of the other
-   (the one that has fewer) in any common order, so a prefix join on differences finds all that is
-   left. What the pivot lacks comes first in that order, as few others have it too. Differences
-   that only one component has are not joined. A group of near copies costs rows in proportion to its size.
+   else, in any common order, they share ``MATCHES`` of the first ``k + MATCHES`` differences of one
+   and ``k / 2 + MATCHES`` of the other (the one that has fewer), or all that they need, so a prefix
+   join on differences finds all that is left. The place of a shared difference in both sets bounds
+   what they can have in common. What
+   the pivot lacks comes first in that order, as few others have it too. Differences that only one
+   component has are not joined. A group of near copies costs rows in proportion to its size.
 """
 
 from __future__ import annotations
@@ -36,10 +39,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm.components import components
-from feedloom.llm.runtime import shuffle_partitions, written
+from feedloom.llm.runtime import dropped, shuffle_partitions, written
 from feedloom.llm.wordhash import SPACED, Words, mix, runs, text_chunks
 
 GROUPS = 4
+#: Differences that two sets must share in their prefixes to be compared.
+MATCHES = 4
+_SKETCH = 1 << 20
+_SKETCH_SHIFT = np.uint64(44)
+_SKETCH_PARTS = 16
+#: A shingle is common when its counter is over this many, and over this many times the mean.
+COMMON_COUNT, COMMON_TIMES = 16, 4
 #: A list of ids of up to this many rows (16 bytes each) may be broadcast; a longer one is joined.
 BROADCAST_IDS = 1_000_000
 
@@ -60,12 +70,12 @@ def _cuts(largest: int, percent: int) -> tuple[int, int, int]:
     if k == 0:
         return 0, 0, 0
     need = 1 + k // 8
-    share = 0.75 * largest / (k + need)
-    spare = 1 + math.ceil((k + need) * math.exp(-share) * (1 + share))
+    share = 0.5 * largest / (k + need)  # rare shingles in a fragment, about
+    spare = 1 + math.ceil(1.3 * (k + need) * math.exp(-share))
     return k + need + spare, spare, need
 
 
-def _signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
+def _signatures(tokens: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
     """Signatures of one set (its sorted distinct hashes) for every class it can pair in.
 
     The lowest byte is the class; there are fewer than 80 up to 2**32 shingles.
@@ -75,6 +85,7 @@ def _signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
     ends = _classes(1 << (most + 1).bit_length())
     c, last = np.searchsorted(ends, [n, most], "right") - 1
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens))])
+    rare = np.concatenate([[0], np.cumsum(~common[tokens >> _SKETCH_SHIFT])])
     top = tokens >> np.uint64(32)
     out = []
     for c in range(c, last + 1):
@@ -86,7 +97,7 @@ def _signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
         size = np.diff(at)
         sig = total[at[1:]] - total[at[:-1]] + (np.arange(pieces) * 1_000_003 + c).astype(np.uint64)
         sig = mix(sig * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64)) & ~np.uint64(255) | np.uint64(c)
-        weak = size < 2
+        weak = rare[at[1:]] == rare[at[:-1]]
         out.append(sig if weak.sum() > spare else sig[~weak])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -129,7 +140,54 @@ def _sized(width: int):
     return run
 
 
-def _signed(width: int, percent: int, parts: int, flush: int = 1 << 19):
+def _sketched(width: int):
+    """(piece, counters): how many sets of a task fall on each counter, equal sets once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_SKETCH, np.int64)
+        held: list[np.ndarray] = []
+        size, seen = 0, set()
+        for batch in batches:
+            for _, tokens in _sets(batch, width):
+                node = _node(tokens)
+                if node in seen:
+                    continue
+                if len(seen) >= 200_000:
+                    seen.clear()
+                seen.add(node)
+                held.append((tokens >> _SKETCH_SHIFT).astype(np.int32))
+                size += len(tokens)
+                if size >= 1 << 20:
+                    total += np.bincount(np.concatenate(held), minlength=_SKETCH)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=_SKETCH)
+        pieces = [p.astype("<u4").tobytes() for p in np.split(np.minimum(total, 2**32 - 1), _SKETCH_PARTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SKETCH_PARTS), pa.int32()), pa.array(pieces)], names=["piece", "counters"])
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for piece, counters in zip(batch.column("piece").to_pylist(), batch.column("counters"), strict=True):
+            more = np.frombuffer(counters.as_buffer(), "<u4").astype(np.int64)
+            total[piece] = total[piece] + more if piece in total else more
+    for piece, counters in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([counters.tobytes()])], names=["piece", "counters"])
+
+
+def _common(texts: DataFrame, width: int) -> np.ndarray:
+    """Which counters of the sketch are common; its size doesn't depend on the corpus."""
+    rows = texts.mapInArrow(_sketched(width), "piece int, counters binary").repartition(_SKETCH_PARTS, "piece")
+    counters = np.zeros((_SKETCH_PARTS, _SKETCH // _SKETCH_PARTS), np.int64)
+    for r in rows.mapInArrow(_summed, "piece int, counters binary").collect():
+        counters[r.piece] = np.frombuffer(r.counters, np.int64)
+    return counters.ravel() > max(COMMON_COUNT, COMMON_TIMES * counters.mean())
+
+
+def _signed(width: int, percent: int, parts: int, common, flush: int = 1 << 19):
     """Packed blocks (part, binary of signatures then nodes); a task signs equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +217,7 @@ def _signed(width: int, percent: int, parts: int, flush: int = 1 << 19):
                 if len(seen) >= 200_000:
                     seen.clear()
                 seen.add(node)
-                sig = _signatures(tokens, percent)
+                sig = _signatures(tokens, percent, common.value)
                 if len(sig):
                     sigs.append(sig)
                     nodes.append(np.full(len(sig), node, np.int64))
@@ -242,11 +300,13 @@ def _enough(shared: DataFrame, percent: int) -> DataFrame:
     need = F.array(*[F.lit(_cuts(int(e) - 1, percent)[2]) for e in ends[1:]])
     kind = F.col("sig").bitwiseAND(F.lit(255)).cast("int").alias("kind")
     for _ in range(2):
-        shared = shared.withColumn("kind", kind)
+        before, shared = shared, shared.withColumn("kind", kind)
         own = shared.groupBy("node", "kind").agg(F.count(F.lit(1)).alias("own")).where(F.col("own") >= F.get(need, F.col("kind")))
         shared = shared.join(own, ["node", "kind"], "left_semi").select("sig", "node")
         some = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        shared = written(shared.join(some, "sig", "left_semi"), "enough")
+        kept = written(shared.join(some, "sig", "left_semi"), "enough")
+        dropped(before)
+        shared = kept
     return shared
 
 
@@ -315,16 +375,23 @@ def _near_pairs(differences: DataFrame, percent: int) -> DataFrame:
     most = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent) / (100 + percent)).cast("int")
     mixed = differences.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     rows = differences.join(mixed.select("pivot"), "pivot", "left_semi").withColumn("k", most)
-    prefix = rows.select("pivot", "node", "comp", F.size("diff").alias("size"), "k", F.posexplode(F.slice("diff", 1, F.col("k") + 1)).alias("at", "token"))
+    prefix = rows.select("pivot", "node", "comp", "n", F.size("diff").alias("size"), "k", F.posexplode(F.slice("diff", 1, F.col("k") + MATCHES)).alias("at", "token"))
     prefix = prefix.withColumn("key", F.xxhash64("pivot", "token")).drop("token")
     seen = prefix.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     seen = written(seen, "mixed")
     few = seen.count() <= BROADCAST_IDS
     prefix = written(prefix.join(F.broadcast(seen) if few else seen, "key"), "prefix")
-    one = prefix.where(F.col("at") <= F.floor(F.col("k") / 2)).select("key", "pivot", "node", "comp", "size")
-    two = prefix.select("key", F.col("pivot").alias("pb"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("size_b"))
-    found = one.join(two, "key").where((F.col("pivot") == F.col("pb")) & (F.col("comp") != F.col("cb")) & (F.col("size") <= F.col("size_b")))
-    return found.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), "pivot").distinct()
+    one = prefix.where(F.col("at") < F.floor(F.col("k") / 2) + MATCHES).select("key", "pivot", "node", "comp", "n", "size", "at")
+    two = prefix.select("key", *[F.col(c).alias(f"{c}_b") for c in ("pivot", "node", "comp", "n", "size", "at")])
+    most = F.expr(f"{100 - percent} * (n + n_b) div {100 + percent}")
+    need = F.floor((F.col("size") + F.col("size_b") - most + 1) / 2)
+    least = F.least(F.lit(MATCHES), F.greatest(F.lit(1), need))
+    fits = (F.col("at") + need < F.col("size") + least) & (F.col("at_b") + need < F.col("size_b") + least)
+    apart = (F.col("pivot") == F.col("pivot_b")) & (F.col("comp") != F.col("comp_b")) & (F.col("size") <= F.col("size_b"))
+    found = one.join(two, "key").where(apart & fits).withColumnRenamed("node_b", "b").groupBy("pivot", "node", "b")
+    found = found.agg(F.count(F.lit(1)).alias("both"), F.max(least).alias("least")).where("both >= least")
+    pairs = found.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), "pivot")
+    return pairs.groupBy("a", "b").agg(F.min("pivot").alias("pivot"))
 
 
 def _linked(pairs: DataFrame, differences: DataFrame, percent: int) -> DataFrame:
@@ -358,14 +425,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. ``component_id`` is the
     smallest ``doc_id`` that links reach. Null, empty and wordless texts have no shingles and are
     alone; a text of fewer than ``width`` words is one shingle. Repeated rows of one ``doc_id``
-    stay rows of the result. A row whose ``doc_id`` is null takes part and keeps a null id, but
-    never names a component that has another id. An empty table gives an empty result.
+    stay rows of the result. A row whose ``doc_id`` is null keeps a null id and links with equal sets
+    only; it names no component that has another id. An empty table gives an empty result.
     """
     spark: SparkSession = docs.sparkSession
     texts = docs.select("doc_id", "text")
     sized = written(texts.mapInArrow(_sized(width), f"doc_id {dict(texts.dtypes)['doc_id']}, n_shingles long, node long"), "sized")
     parts = shuffle_partitions(spark)
-    packs = texts.select("text").mapInArrow(_signed(width, percent, parts), "part int, pack binary")
+    common = spark.sparkContext.broadcast(_common(texts.select("text"), width))
+    packs = texts.select("text").mapInArrow(_signed(width, percent, parts, common), "part int, pack binary")
     shared = written(packs.repartition(parts, "part").mapInArrow(_shared, "sig long, node long"), "shared")
     shared = _enough(shared, percent)
 
@@ -388,10 +456,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     size = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("members"))
     weight = shared.join(size, "sig").groupBy("node").agg(F.sum("members").alias("weight"))
     heavy = shared.join(weight, "node").select("sig", F.struct("weight", "node").alias("top"))
-    for _ in range(2):  # of a signature's members the weightiest; then the weightiest of their weightiest
-        top = heavy.groupBy("sig").agg(F.max("top").alias("top"))
-        home = shared.join(top, "sig").groupBy("node").agg(F.max("top").alias("top"))
-        heavy = shared.join(home, "node").select("sig", "top")
+    top = heavy.groupBy("sig").agg(F.max("top").alias("top"))
+    home = shared.join(top, "sig").groupBy("node").agg(F.max("top").alias("top"))
+    heavy = shared.join(home, "node").select("sig", "top")  # the weightiest that a member shares with any
     pivot = heavy.groupBy("sig").agg(F.max("top")["node"].alias("pivot"))
     pairs = written(shared.join(pivot, "sig").select("node", "pivot").distinct(), "pairs")
     differences = written(_differences(pairs, tokens), "differences")
@@ -399,6 +466,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     nodes = _merged(nodes.select("node", "n", "comp"), direct.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
     more = written(_near_pairs(differences.join(nodes.select("node", "comp"), "node"), percent), "near")
     nodes = _merged(nodes, _linked(more, differences, percent))
+    for table in (shared, tokens, pairs, differences, more):
+        dropped(table)
 
     grouped = sized.join(nodes.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = grouped.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
