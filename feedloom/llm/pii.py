@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 _JUNK = r"[-. #$%&*!]{0,5}"
-#: Candidates by kind, in the order in which they are tried at a place.
+#: Candidates by kind, in the order in which they are tried at a place. The labels of a mail domain
+#: give back where the last one is no top-level name, as before a full stop (a name has 127 at most).
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}|(?:[A-Za-z0-9-]++\.){1,127}[A-Za-z]{2,})",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "date": r"(?<![\d.-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\d-])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",

@@ -126,3 +126,15 @@ def test_formats_stay_and_equal_values_are_linked(spark):
 
 def test_empty_table(spark):
     assert pseudonymised(spark.createDataFrame([], "doc_id long, text string"), KEY).collect() == []
+
+
+def test_mail_before_a_full_stop(spark):
+    texts = ["Write to joe@example.com.", "to joe@mail.example.com. Then", "joe@example.com.5 items", "joe@example.com...", "x joe@" + "a." * 9000 + "com", "no joe@example. com"]
+    out = changed(spark, texts)
+    for old, new in zip(texts[:5], out, strict=False):
+        name, rest = new.split("@", 1)
+        assert re.fullmatch("[a-z0-9]{3}", name.split(" ")[-1])
+        assert "joe@" not in new
+        assert rest == old.split("@", 1)[1]
+    assert out[5] == texts[5]
+    assert changed(spark, out, how=restored) == texts
