@@ -1,6 +1,7 @@
 """Personal data replaced by format-preserving pseudonyms, with native Spark expressions only.
 
-One pattern finds candidates; a candidate counts when it validates: card numbers by their Luhn
+One pattern finds candidates, in which the account numbers that a text holds stand by name, so a
+longer run around them hides neither them nor what follows; a candidate counts when it validates: card numbers by their Luhn
 digit, account numbers (IBAN) modulo 97, addresses (IPv4) by their octets, dates by the calendar,
 phone numbers by their digits, mail addresses by their form. Its symbols are then permuted by a
 keyed Feistel network within the same format: separators, lengths, country codes and mail domains
@@ -32,6 +33,18 @@ KINDS = {
     "phone": rf"(?<![\d+])(?:\+\d{{1,3}}{_JUNK}\(?\d{{2,4}}\)?{_JUNK}\d{{3,4}}{_JUNK}\d{{3,4}}|\(\d{{3}}\){_JUNK}\d{{3}}{_JUNK}\d{{4}}|\d{{3}}[-.]\d{{3}}[-.]\d{{4}})(?!\d)",
 }
 CANDIDATE = "|".join(KINDS.values())
+#: The longest run that may begin with an account number, at every place where one may begin.
+_ACCOUNT_RUN = r"(?<![A-Za-z0-9])(?=([A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])))"
+#: Symbols of an account number by country.
+_ACCOUNT_SIZE = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 "
+        "ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 "
+        "LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 "
+        "PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 _SPAN = (("1900-01-01", 73_049, 271, 270), ("0001-01-01", 3_652_059, 1912, 1911))
 
 
@@ -127,6 +140,44 @@ def _mod97(s: Column) -> Column:
     return _let(s, of)
 
 
+def _accounts(text: Column) -> Column:
+    """The account numbers of a text: of every run that may begin with one, the part that validates.
+
+    Of the parts that end at a group's border, the one of the country's length, else the longest.
+    """
+    sizes = F.create_map(*[F.lit(x) for pair in _ACCOUNT_SIZE.items() for x in pair])
+
+    def valid(part: Column) -> Column:
+        bare = _bare(part, "A-Z0-9")
+        moved = F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))
+        return F.length(bare).between(15, 34) & (_mod97(moved) == 1)
+
+    def account(run: Column) -> Column:
+        groups = F.split(run, " ")
+        parts = F.transform(F.sequence(F.size(groups), F.lit(1)), lambda i: F.array_join(F.slice(groups, F.lit(1), i), " "))
+        known = F.try_element_at(sizes, F.substring(run, 1, 2))
+        fits = lambda all_: F.filter(all_, lambda p: F.length(_bare(p, "A-Z0-9")) == known)
+        return _let(F.filter(parts, valid), lambda all_: F.coalesce(F.get(fits(all_), F.lit(0)), F.get(all_, F.lit(0))))
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(_ACCOUNT_RUN), F.lit(1)), account)
+    return F.array_distinct(F.filter(found, lambda a: a.isNotNull()))
+
+
+def _pattern(text: Column) -> Column:
+    """What is replaced in a text: accounts by name, as a run that fails must not hide what follows."""
+    mail = KINDS["email"]
+    rest = "|".join(p for kind, p in KINDS.items() if kind not in ("email", "iban"))
+
+    def named(accounts: Column) -> Column:
+        longest = F.reverse(F.array_sort(F.transform(accounts, lambda a: F.struct(F.length(a).alias("n"), a.alias("a")))))
+        either = F.array_join(F.transform(longest, lambda a: a["a"]), "|")
+        own = F.concat(F.lit(f"{mail}|(?<![A-Za-z0-9])(?:"), either, F.lit(f")(?![A-Za-z0-9])|{rest}"))
+        return F.when(F.size(accounts) > 0, own).otherwise(F.lit(f"{mail}|{rest}"))
+
+    some = F.when(text.rlike(_ACCOUNT_RUN), _let(_accounts(text), named))
+    return F.coalesce(some, F.lit(f"{mail}|{rest}"))
+
+
 def _email(m: Column, key: str, back: bool) -> Column:
     local, domain = F.lower(F.substring_index(m, "@", 1)), F.substring_index(m, "@", -1)
     new = _symbols(_bare(local, "a-z0-9"), 36, 10, key, "email", back)
@@ -207,9 +258,12 @@ def _replaced(text: Column, key: str, back: bool) -> Column:
             new = F.when(m.rlike(_whole(kind)), _MAKERS[kind](m, key, back)).otherwise(new)
         return F.coalesce(new, m)
 
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    between = F.split(text, CANDIDATE, -1)
-    whole = F.array_join(F.zip_with(between, F.transform(found, value), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    def joined(pattern: Column) -> Column:
+        found = F.regexp_extract_all(text, pattern, F.lit(0))
+        between = F.split(text, pattern, -1)
+        return F.array_join(F.zip_with(between, F.transform(found, value), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    whole = _let(_pattern(text), joined)
     return F.when(text.rlike("[0-9@]"), whole).otherwise(text)
 
 

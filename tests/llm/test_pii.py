@@ -138,3 +138,33 @@ def test_mail_before_a_full_stop(spark):
         assert rest == old.split("@", 1)[1]
     assert out[5] == texts[5]
     assert changed(spark, out, how=restored) == texts
+
+
+def test_accounts_within_longer_runs(spark):
+    account = re.compile(r"DE89 ?3704 ?0044 ?0532 ?0130 ?00")
+    texts = [
+        "DE89370400440532013000 EUR 250",
+        "DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX",
+        "DE89 3704 0044 0532 0130 00 A",
+        "DE89370400440532013000 2024-01-02",
+        "REF AB12 DE89 3704 0044 0532 0130 00 GB82WEST12345698765432 X",
+        "PO12 ORDER 4845168114407329",
+        "NO9386011117947 ZZ",
+        "DE88 3704 0044 0532 0130 00 A stays",
+    ]
+    out = changed(spark, texts)
+    for old, new in zip(texts[:5], out, strict=False):
+        assert not account.search(new)
+        assert [len(w) for w in new.split(" ")] == [len(w) for w in old.split(" ")]
+        bare = re.search("DE[0-9 ]+", new)[0].replace(" ", "")[:22]
+        assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+    assert out[0].endswith(" EUR 250")
+    assert out[1].endswith(" BIC COBADEFFXXX")
+    assert "2024-01-02" not in out[3]
+    assert "GB82WEST12345698765432" not in out[4]
+    assert out[5].startswith("PO12 ORDER ")
+    assert "4845168114407329" not in out[5]
+    assert luhn(out[5][-16:])
+    assert "9386011117947" not in out[6]
+    assert out[7] == texts[7]
+    assert changed(spark, out, how=restored) == texts
