@@ -425,8 +425,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. ``component_id`` is the
     smallest ``doc_id`` that links reach. Null, empty and wordless texts have no shingles and are
     alone; a text of fewer than ``width`` words is one shingle. Repeated rows of one ``doc_id``
-    stay rows of the result. A row whose ``doc_id`` is null keeps a null id and links with equal sets
-    only; it names no component that has another id. An empty table gives an empty result.
+    stay rows of the result. A row whose ``doc_id`` is null keeps a null id and links as any other; it
+    names no component that has another id. An empty table gives an empty result.
     """
     spark: SparkSession = docs.sparkSession
     texts = docs.select("doc_id", "text")
@@ -447,10 +447,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     ids = nodes.select("doc_id")
     if nodes.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    wanted = texts.join(ids, "doc_id", "left_semi")
-    tokens = wanted.select("text").mapInArrow(_grouped(width), "node long, n long, grp int, tokens array<long>")
+    cut = lambda rows: rows.select("text").mapInArrow(_grouped(width), "node long, n long, grp int, tokens array<long>")
+    tokens = cut(texts.join(ids, "doc_id", "left_semi"))
     if sized.join(ids, "doc_id", "left_semi").count() != nodes.count():  # an id of several rows
         tokens = tokens.dropDuplicates(["node", "grp"])
+    unnamed = nodes.where("doc_id is null").select("node")
+    count = unnamed.count()
+    if count:  # sets of rows without an id only: no id leads to their texts
+        if count <= BROADCAST_IDS:
+            unnamed = F.broadcast(unnamed)
+        more = cut(texts.where("doc_id is null")).join(unnamed, "node", "left_semi")
+        tokens = tokens.unionByName(more.dropDuplicates(["node", "grp"]))
     tokens = written(tokens, "tokens")
 
     size = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("members"))

@@ -83,3 +83,16 @@ def test_one_of_each_group_stays(spark):
     kept = one_of_each(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "lang", "node"]
     assert sorted(r.doc_id for r in kept.collect()) == [2, 7, 8, 9]
+
+
+def near(words, *at):
+    return " ".join(f"new{i}" if i in at else w for i, w in enumerate(words))
+
+
+def test_null_id_as_pivot(spark):
+    rows = []
+    for g in range(6):  # whichever of a group is the pivot, in some it is the row without an id
+        words = [f"g{g}w{i}" for i in range(200)]
+        rows += [(10 * g + 1, near(words, 60), "en", "x"), (10 * g + 2, near(words, 140), "en", "x"), (None, near(words), "en", "x")]
+    got = jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.component_id, str(r.doc_id)) for r in got) == sorted((10 * g + 1, i) for g in range(6) for i in (str(10 * g + 1), str(10 * g + 2), "None"))
