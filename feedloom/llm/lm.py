@@ -5,12 +5,15 @@ so a word that every document holds costs one entry a block; entries are packed,
 gets a word from all blocks answers with its count over all training documents. The answers meet
 the block's texts, which both steps read from one exchange.
 
-*Probabilistic suffix tree.* Bytes are predicted through 64 classes (a byte given its class by its
-frequency). Contexts of up to ``DEPTH`` classes are counted over all training texts; a context is
-retained if its next-symbol distribution differs from that of its suffix by a likelihood-ratio
-test, with all its suffixes. Distributions are smoothed towards the suffix's. A text is scored by
-the longest retained suffix at each byte; it begins after boundary symbols and ends with one. The
-tree is bounded by its alphabet and depth (64**3 contexts), not by the corpus.
+*Probabilistic suffix tree.* Its root part predicts bytes through 64 classes (a byte given its class
+by its frequency) from up to ``DEPTH`` classes, counted over all training texts; a context is retained
+if its next-symbol distribution differs from that of its suffix by a likelihood-ratio test.
+Distributions are smoothed towards the suffix's. From there contexts are bytes, and as long as the
+corpus supports: ``DEPTH`` bytes, then longer ones (by one, later by half, see :func:`_longer`). At each
+length a block asks once for each of its distinct (context, next byte); the task that gets a context
+from all blocks tests it and answers with probabilities. Only contexts in which ``GAIN`` nats are left
+grow: no longer one could pass the test elsewhere. It ends when none is left. A text is scored by the
+longest retained suffix at each byte; it begins after a boundary and ends with one.
 """
 
 from __future__ import annotations
@@ -23,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.runtime import shuffle_partitions
-from feedloom.llm.wordhash import SPACED, Words, text_chunks
+from feedloom.llm.runtime import dropped, shuffle_partitions, written
+from feedloom.llm.wordhash import SPACED, Words, mix, text_chunks
 
 DEPTH = 3
 SYMBOLS = 64
-#: Rows in a block, about: it bounds what one task holds at a time.
-BLOCK_ROWS = 1000
+#: Pseudo-counts given to the suffix; log-likelihood ratio to be retained.
+WEIGHT, GAIN = 8.0, 12.0
+#: Bytes of text in a block, about: it bounds what one task holds at a time.
+BLOCK_BYTES = 4 << 20
 _END = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -88,41 +93,63 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class SuffixTree:
     """States by context, and log10 probabilities of classes by state and of bytes by class."""
 
-    def __init__(self, joint: np.ndarray, byte: np.ndarray, weight: float = 8.0, gain: float = 12.0):
+    def __init__(self, joint: np.ndarray, byte: np.ndarray, weight: float = WEIGHT, gain: float = GAIN):
         """``weight``: pseudo-counts given to the suffix; ``gain``: log-likelihood ratio to stay."""
-        levels = [joint.reshape(-1, SYMBOLS).astype(float)]
+        levels = [joint.reshape(-1, SYMBOLS)]
         for _ in range(DEPTH):
             levels.insert(0, levels[0].reshape(SYMBOLS, -1, SYMBOLS).sum(axis=0))
         uniform = np.full((1, SYMBOLS), 1 / SYMBOLS)
-        kept, chance = [], []
-        for d, own in enumerate(levels):
-            total = own.sum(axis=1, keepdims=True)
-            under = uniform if d == 0 else np.tile(chance[-1], (SYMBOLS, 1))
-            smooth = (own + weight * under) / (total + weight)
-            ratio = (own * np.log(smooth / under)).sum(axis=1)
-            kept.append(ratio >= gain if d else np.ones(1, bool))
-            chance.append(np.where(kept[d][:, None], smooth, under))
+
+        def smoothed(own: np.ndarray, under: np.ndarray) -> np.ndarray:
+            return (own + weight * under) / (own.sum(axis=1, keepdims=True) + weight)
+
+        def slices(d: int) -> Iterator[np.ndarray]:
+            """The counts of a level by their oldest symbol: the deepest is large."""
+            yield from levels[d].reshape(SYMBOLS if d else 1, -1, SYMBOLS)
+
+        kept, chance = [], [uniform]
+        for d in range(DEPTH + 1):
+            stay, rows = [], []
+            for own in slices(d):
+                smooth = smoothed(own, chance[-1])
+                stay.append((own * np.log(smooth / chance[-1])).sum(axis=1) >= gain if d else np.ones(1, bool))
+                if d < DEPTH:
+                    rows.append(np.where(stay[-1][:, None], smooth, chance[-1]))
+            kept.append(np.concatenate(stay))
+            if d < DEPTH:
+                chance.append(np.concatenate(rows))
         for d in range(DEPTH, 0, -1):
             some = kept[d].reshape(SYMBOLS, -1).any(axis=0)
             kept[d - 1] |= some
+        under, chance = chance[1], [chance[1]]
         for d in range(1, DEPTH + 1):
-            total = levels[d].sum(axis=1, keepdims=True)
-            under = np.tile(chance[d - 1], (SYMBOLS, 1))
-            chance[d] = np.where(kept[d][:, None], (levels[d] + weight * under) / (total + weight), under)
+            rows, all_ = [], []
+            for own, stay in zip(slices(d), kept[d].reshape(SYMBOLS, -1), strict=True):
+                smooth = smoothed(own, under)
+                rows.append(smooth[stay])
+                if d < DEPTH:
+                    all_.append(np.where(stay[:, None], smooth, under))
+            chance.append(np.concatenate(rows))
+            if d < DEPTH:
+                under = np.concatenate(all_)
         base = np.cumsum([0] + [int(k.sum()) for k in kept])
         state = np.zeros(1, np.int32)
         for d in range(1, DEPTH + 1):
             state = np.tile(state, SYMBOLS)
             state[kept[d]] = base[d] + np.arange(int(kept[d].sum()))
         self.state = state.astype(np.int32)
-        self.chance = np.log10(np.concatenate([c[k] for c, k in zip(chance, kept, strict=True)])).astype(np.float32)
+        self.chance = np.log10(np.concatenate(chance)).astype(np.float32)
         smooth = byte[:256] + 0.5
         self.byte = np.append(np.log10(smooth / np.bincount(CLASS, smooth, SYMBOLS)[CLASS]), 0.0).astype(np.float32)
 
+    def each(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The log10 probability of every byte and end."""
+        context, kind, raw = _symbols(data, offsets)
+        return self.chance[self.state[context], kind].astype(float) + self.byte[raw]
+
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The log10 probability of each text."""
-        context, kind, raw = _symbols(data, offsets)
-        each = self.chance[self.state[context], kind].astype(float) + self.byte[raw]
+        each = self.each(data, offsets)
         return np.add.reduceat(each, offsets[:-1] + np.arange(len(offsets) - 1)) if len(each) else np.zeros(0)
 
 
@@ -137,6 +164,162 @@ def suffix_tree(docs: DataFrame) -> SuffixTree:
     return SuffixTree(joint, byte)
 
 
+_ODD = 0x9E3779B97F4A7C15
+_BACK = pow(_ODD, -1, 1 << 64)
+_BYTES = mix(np.arange(1, 258, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _longer(length: int) -> int:
+    return length + 1 if length < 6 else length * 3 // 2
+
+
+def _rows(block: pa.Table | pa.RecordBatch) -> pa.Table:
+    """The rows of a packed block."""
+    flat = lambda c: (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).flatten()
+    return pa.table({c: flat(block.column(c)) for c in ("doc_id", "text", "held_out", "learn")})
+
+
+class _Places:
+    """Bytes and ends of the texts of a block, and their contexts."""
+
+    def __init__(self, rows: pa.Table):
+        runs = list(text_chunks(rows.column("text"), 1 << 62))
+        self.data, self.offsets = runs[0][2:] if runs else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        size = np.diff(self.offsets) + 1
+        self.text = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        start = np.concatenate([[0], np.cumsum(size)])
+        self.raw = np.full(start[-1], 256, np.int16)
+        self.raw[np.arange(len(self.data)) + np.repeat(np.arange(len(size)), size - 1)] = self.data
+        self.before = (np.arange(start[-1]) - np.repeat(start[:-1], size)).astype(np.int32)
+        n = len(self.raw) + 1
+        power = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)]))
+        self.sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[self.raw] * power(_ODD)[:-1])])
+        self.back = power(_BACK)
+        self.learn = rows.column("learn").to_numpy()
+
+    def context(self, at: np.ndarray, length: int) -> np.ndarray:
+        """A hash of up to ``length`` bytes before each place; a shorter one begins with the boundary."""
+        size = np.minimum(self.before[at], length)
+        own = (self.sum[at] - self.sum[at - size]) * self.back[at]
+        return mix(own + (size + 1).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + (size < length) * _END)
+
+    def pairs(self, at: np.ndarray, length: int, parts: int):
+        """Distinct (context, byte) in order of part: place of each of ``at`` there, an example, context, bounds."""
+        context = self.context(at, length)
+        key = mix(context + _BYTES[self.raw[at]])
+        _, first, place = np.unique(key, return_index=True, return_inverse=True)
+        part = (context[first] % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        first = first[order]
+        return back[place], first, context[first], np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def _grown(parts: int, length: int, tree=None):
+    """(block, part, pack): what a block asks of contexts of ``length``; as part -1, its state.
+
+    The state is the log10 probability of each text so far, then the bits of the places still open.
+    Without a ``tree`` the answers for the length before are taken in first.
+    """
+
+    def run(block: int, table, answers: dict[int, np.ndarray] | None, before: int):
+        places = _Places(_rows(table))
+        n = len(places.offsets) - 1
+        if answers is None:
+            at, score = np.arange(len(places.raw)), np.zeros(n)
+            under = np.power(10.0, tree.value.each(places.data, places.offsets)).astype(np.float32)
+        else:
+            state = answers.pop(-1)
+            score = np.frombuffer(state, np.float64, n).copy()
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(state, np.uint8, offset=8 * n), count=len(places.raw)))
+            place, _, _, bounds = places.pairs(at, before, parts)
+            got = np.zeros(bounds[-1], np.float32)
+            for part, pack in answers.items():
+                got[bounds[part] : bounds[part + 1]] = np.frombuffer(pack, np.float32)
+            got = got[place]
+            under = np.abs(got)
+            stay = (got < 0) & (places.before[at] >= before)
+            score += np.bincount(places.text[at[~stay]], np.log10(under[~stay].astype(float)), n)
+            at, under = at[stay], under[stay]
+        bits = np.zeros(len(places.raw), bool)
+        bits[at] = True
+        packs = [(-1, score.tobytes() + np.packbits(bits).tobytes())]
+        if len(at):
+            place, first, context, bounds = places.pairs(at, length, parts)
+            count = np.bincount(place[places.learn[places.text[at]]], minlength=len(first)).astype(np.uint32)
+            under, raw = under[first], places.raw[at[first]]
+            for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                if b > a:
+                    packs.append((p, b"".join(x[a:b].tobytes() for x in (context, count, under, raw))))
+        part, pack = zip(*packs, strict=True)
+        return {"block": pa.array([block] * len(part), pa.int64()), "part": pa.array(part, pa.int32()), "pack": pa.array(pack, pa.binary())}
+
+    return run
+
+
+def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The answers of a part: the probability of each pair asked, negative where the context is to grow."""
+    asked: dict[int, list] = {}
+    for batch in batches:
+        for block, part, pack in zip(*(batch.column(c) for c in ("block", "part", "pack")), strict=True):
+            raw = pack.as_py()
+            k = len(raw) // 18
+            kinds = ((np.uint64, 0), (np.uint32, 8 * k), (np.float32, 12 * k), (np.int16, 16 * k))
+            asked.setdefault(part.as_py(), []).append((block.as_py(), *(np.frombuffer(raw, t, k, o) for t, o in kinds)))
+    for part, rows in asked.items():
+        context, count, under, raw = (np.concatenate([r[i] for r in rows]) for i in range(1, 5))
+        _, first, place = np.unique(mix(context + _BYTES[raw]), return_index=True, return_inverse=True)
+        total = np.bincount(place, count, len(first))
+        under = under[first].astype(float)
+        _, of = np.unique(context[first], return_inverse=True)
+        smooth = (total + WEIGHT * under) / (np.bincount(of, total) + WEIGHT)[of]
+        kept = np.bincount(of, total * np.log(smooth / under)) >= GAIN
+        chance = np.where(kept[of], smooth, under)
+        open_ = np.bincount(of, -total * np.log(chance)) >= GAIN
+        answer = np.where(open_[of], -chance, chance).astype(np.float32)[place]
+        answers = np.split(answer, np.cumsum([len(r[1]) for r in rows])[:-1])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array([a.tobytes() for a in answers], pa.binary())],
+            names=["block", "part", "pack"],
+        )
+
+
+_PACKS = "block long, part int, pack binary"
+
+
+def _stepped(parts: int, before: int, length: int):
+    grow = _grown(parts, length)
+
+    def run(key, table, packs):
+        got = dict(zip(packs.column("part").to_pylist(), packs.column("pack").to_pylist(), strict=True))
+        return pa.table(grow(key[0].as_py(), table, got, before))
+
+    return run
+
+
+def _suffix_scores(packed: DataFrame, tree, parts: int) -> DataFrame:
+    """``block, part, pack``: the state of every block when no context grows any more."""
+    length = DEPTH
+    start = _grown(parts, length, tree)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                yield pa.RecordBatch.from_pydict(start(row.column("block")[0].as_py(), row, None, 0))
+
+    asked = written(packed.mapInArrow(first, _PACKS), "asked")
+    while not asked.where("part >= 0").isEmpty():
+        answers = asked.where("part >= 0").repartition(parts, "part").mapInArrow(_weighed, _PACKS)
+        before, length = length, _longer(length)
+        more = answers.unionByName(asked.where("part < 0")).groupBy("block")
+        then = written(packed.groupBy("block").cogroup(more).applyInArrow(_stepped(parts, before, length), _PACKS), "asked")
+        dropped(asked)
+        asked = then
+    return asked
+
+
 def _distinct(table: pa.Table, parts: int):
     """Of a block: distinct word hashes in order of (part, hash), place of each word there, texts."""
     runs = list(text_chunks(table.column("text"), 1 << 19))
@@ -155,16 +338,21 @@ def _distinct(table: pa.Table, parts: int):
 def _asked(parts: int):
     """(block, part, pack) for every part: hashes, then counts in the block's training rows."""
 
-    def run(key, table):
+    def run(block, table):
         known, place, end, size, at, _ = _distinct(table, parts)
         learn = table.column("learn").to_numpy()
         count = np.bincount(place[np.repeat(learn, size)], minlength=len(known))
         count[end] += learn.sum()
         packs = [known[a:b].tobytes() + count[a:b].astype(np.int64).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
         n = len(packs)
-        return pa.table({"block": pa.array([key[0].as_py()] * n, pa.int64()), "part": pa.array(range(n), pa.int32()), "pack": pa.array(packs, pa.binary())})
+        return {"block": pa.array([block] * n, pa.int64()), "part": pa.array(range(n), pa.int32()), "pack": pa.array(packs, pa.binary())}
 
-    return run
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield pa.RecordBatch.from_pydict(run(batch.column("block")[i].as_py(), _rows(batch.slice(i, 1))))
+
+    return each
 
 
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,11 +383,15 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _scored(parts: int, tree):
+def _scored(parts: int):
     def run(table, answers):
-        known, place, end, size, at, runs = _distinct(table, parts)
+        table = _rows(table)
+        known, place, end, size, at, _ = _distinct(table, parts)
         count, tokens, kinds = np.zeros(len(known), np.int64), 0, 0
         for part, pack in zip(answers.column("part").to_pylist(), answers.column("pack"), strict=True):
+            if part < 0:
+                score = np.frombuffer(pack.as_buffer(), np.float64, len(size))
+                continue
             got = np.frombuffer(pack.as_buffer(), np.int64)
             tokens, kinds = tokens + int(got[0]), kinds + int(got[1])
             count[at[part] : at[part + 1]] = got[2:]
@@ -211,7 +403,6 @@ def _scored(parts: int, tree):
         for i in range(len(size)):
             base[i] = log[place[bounds[i] : bounds[i + 1]]].sum()
         base += log[end] - n * math.log10(tokens + 0.1 * (kinds + 1))
-        score = np.concatenate([tree.value.score(data, offsets) for _, _, data, offsets in runs])
         return pa.table(
             {
                 "doc_id": table.column("doc_id"),
@@ -238,11 +429,21 @@ def lm_scores(docs: DataFrame, held_out) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    blocks = max(parts, -(-docs.count() // BLOCK_ROWS))
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0]
+    blocks = max(parts, -(-(size or 0) // BLOCK_BYTES))
     tree = spark.sparkContext.broadcast(suffix_tree(rows.where("not held_out")))
-    blocked = rows.withColumn("learn", ~F.col("held_out")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    asked = blocked.groupBy("block").applyInArrow(_asked(parts), "block long, part int, pack binary")
-    answers = asked.repartition(parts, "part").mapInArrow(_answered, "block long, part int, pack binary")
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(parts, tree), schema)
+    dealt = rows.withColumn("learn", ~F.col("held_out")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    kind = dict(rows.dtypes)["doc_id"]
+    lists = f"block long, doc_id array<{kind}>, text array<string>, held_out array<boolean>, learn array<boolean>"
+
+    def pack(key, table):
+        whole = lambda c: pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table.column(c).combine_chunks())
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64())} | {c: whole(c) for c in ("doc_id", "text", "held_out", "learn")})
+
+    packed = written(dealt.groupBy("block").applyInArrow(pack, lists), "blocks")
+    state = _suffix_scores(packed, tree, parts)
+    asked = packed.mapInArrow(_asked(parts), _PACKS)
+    answers = asked.repartition(parts, "part").mapInArrow(_answered, _PACKS).unionByName(state)
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(parts), schema)

@@ -71,3 +71,14 @@ def test_nulls_empty_tables_and_repeated_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert lm_scores(none, F.lit(False)).collect() == []
     assert np.allclose(suffix_tree(none).chance, -math.log10(SYMBOLS))
+
+
+def test_contexts_longer_than_the_class_tree(spark):
+    # what follows "same words, " depends on a capital, or a digit, 13 bytes before
+    rows = [(i, f"{c} same words, {e}", False) for c, e in ("Ax", "By", "1p", "2q") for i in range(300)]
+    rows += [(1001, "A same words, x", True), (1002, "A same words, y", True), (1003, "2 same words, q", True), (1004, "2 same words, p", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h boolean")
+    score = {r.doc_id: r.score for r in lm_scores(docs, F.col("h")).where("held_out").collect()}
+    assert score[1001] > score[1002] + 1
+    assert score[1003] > score[1004] + 1
+    assert score[1001] > -1.5
