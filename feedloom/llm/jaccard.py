@@ -449,7 +449,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         ids = F.broadcast(ids)
     cut = lambda rows: rows.select("text").mapInArrow(_grouped(width), "node long, n long, grp int, tokens array<long>")
     tokens = cut(texts.join(ids, "doc_id", "left_semi"))
-    if sized.join(ids, "doc_id", "left_semi").count() != nodes.count():  # an id of several rows
+    if sized.join(ids, "doc_id", "left_semi").count() != nodes.where("doc_id is not null").count():  # an id of several rows
         tokens = tokens.dropDuplicates(["node", "grp"])
     unnamed = nodes.where("doc_id is null").select("node")
     count = unnamed.count()

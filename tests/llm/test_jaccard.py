@@ -96,3 +96,13 @@ def test_null_id_as_pivot(spark):
         rows += [(10 * g + 1, near(words, 60), "en", "x"), (10 * g + 2, near(words, 140), "en", "x"), (None, near(words), "en", "x")]
     got = jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.component_id, str(r.doc_id)) for r in got) == sorted((10 * g + 1, i) for g in range(6) for i in (str(10 * g + 1), str(10 * g + 2), "None"))
+
+
+def test_a_repeated_row_and_a_null_id_together(spark):
+    for g in range(3):
+        words = [f"g{g}w{i}" for i in range(200)]
+        one, two = near(words), near(words, 30, 70, 110, 150)  # 20 differences a side of 196: twice as many would not link
+        rows = [(1, one, "en", "x"), (1, one, "en", "x"), (2, two, "en", "x"), (None, near(words, 195), "en", "x")]
+        got = jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert sorted(str(r.doc_id) for r in got) == ["1", "1", "2", "None"]
+        assert {r.component_id for r in got} == {1}
