@@ -50,7 +50,7 @@ def components(links: DataFrame) -> DataFrame:
             ),
             "comp",
         )
-        for old in (edges, hooked, top, comp):
-            dropped(old)
+        dropped(edges, hooked, top, comp)
         edges, comp = new_edges, new_comp
+    dropped(edges)
     return comp
