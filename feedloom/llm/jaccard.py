@@ -18,13 +18,14 @@ their numeric order, so every range of it holds about the same share of any set.
    joined and compared fragment by fragment, and the partial results summed for each pair. What
    remains is the difference ``D`` of a set to its pivot.
 4. *Groups.* Equal sets are one node from the start. Two sets with the same pivot link when
-   ``|Dx| + |Dy| - 2 |Dx and Dy|`` is small. If they share no difference, both link to the pivot;
-   else, in any common order, they share ``MATCHES`` of the first ``k + MATCHES`` differences of one
-   and ``k / 2 + MATCHES`` of the other (the one that has fewer), or all that they need, so a prefix
-   join on differences finds all that is left. The place of a shared difference in both sets bounds
-   what they can have in common. What
-   the pivot lacks comes first in that order, as few others have it too. Differences that only one
-   component has are not joined. A group of near copies costs rows in proportion to its size.
+   ``|Dx| + |Dy| - 2 |Dx and Dy|`` is small. If they share no difference, both link to the pivot.
+   Else the numbers of what the pivot lacks and of what only the pivot has bound how many of the former
+   (or, where none is needed, of the latter) the two must share, so a prefix join finds all that is
+   left. Its order is the rarest first in the group: an edit that one copy has alone makes no row,
+   and a passage that many share comes last.
+5. *Stars, then pairs.* First every set of a key is compared with one of them, in linear work, and the
+   components are joined. Then keys that still have several components are joined in full, so a group
+   of near copies costs rows in proportion to its size and no link is lost.
 """
 
 from __future__ import annotations
@@ -43,8 +44,6 @@ from feedloom.llm.runtime import dropped, shuffle_partitions, written
 from feedloom.llm.wordhash import SPACED, Words, mix, runs, text_chunks
 
 GROUPS = 4
-#: Differences that two sets must share in their prefixes to be compared.
-MATCHES = 4
 _SKETCH = 1 << 20
 _SKETCH_SHIFT = np.uint64(44)
 _SKETCH_PARTS = 16
@@ -349,7 +348,7 @@ def _within(difference, sizes, percent: int):
 
 
 def _differences(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``node, pivot, n, pn, diff``: shingles of one set only, those that the pivot lacks first.
+    """``node, pivot, n, pn, more, less``: the shingles that the pivot lacks, and those that only it has.
 
     They are made fragment by fragment.
     """
@@ -361,49 +360,88 @@ def _differences(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     cut = both.select(
         "node", "pivot", "n", "pn", F.array_except("tokens", "other").alias("more"), F.array_except("other", "tokens").alias("less")
     )
-    whole = lambda c: F.array_sort(F.flatten(F.collect_list(c)))
-    return cut.groupBy("node", "pivot").agg(
-        F.max("n").alias("n"), F.max("pn").alias("pn"), F.concat(whole("more"), whole("less")).alias("diff")
-    )
+    whole = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    return cut.groupBy("node", "pivot").agg(F.max("n").alias("n"), F.max("pn").alias("pn"), whole("more"), whole("less"))
 
 
-def _near_pairs(differences: DataFrame, percent: int) -> DataFrame:
-    """``a, b, pivot``: pairs of different components that may link, by their first differences.
+def _prefixes(differences: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``key, pivot, node, kind, n, m, l, at``: the first differences of a set to its pivot, rarest first.
 
-    ``differences``: ``node, pivot, n, comp, diff``.
+    ``kind`` 0 are the ``m`` shingles that the pivot lacks, 1 the ``l`` that only the pivot has; ``at`` is the
+    place among those of the kind. Only groups of several components and keys that two of them hold are kept.
+    """
+    rows = differences.join(nodes.select("node", "comp"), "node")
+    mixed = rows.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    k = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent) / (100 + percent)).cast("int")
+    rows = rows.join(mixed.select("pivot"), "pivot", "left_semi").withColumn("k", k)
+    kinds = F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("more").alias("tokens")),
+        F.struct(F.lit(1).alias("kind"), F.when(F.size("more") <= F.col("k"), F.col("less")).alias("tokens")),
+    )
+    each = rows.select("pivot", "node", "comp", F.explode(kinds).alias("x")).select("pivot", "node", "comp", "x.kind", F.explode("x.tokens").alias("token"))
+    each = each.select("pivot", "node", "comp", "kind", F.xxhash64("pivot", "kind", "token").alias("key"))
+    seen = each.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("count > 1")
+    seen = seen.select("key", "count", (F.col("lo") != F.col("hi")).alias("mixed"))
+    shared = each.drop("comp").join(seen, "key").groupBy("pivot", "node", "kind").agg(F.sort_array(F.collect_list(F.struct("count", "key", "mixed"))).alias("own"))
+    sizes = rows.select("pivot", "node", "n", F.size("more").alias("m"), F.size("less").alias("l"), "k")
+    both = shared.join(sizes, ["pivot", "node"])
+    alone = F.when(F.col("kind") == 0, F.col("m")).otherwise(F.col("l")) - F.size("own")  # those of no other set come first
+    both = both.withColumn("alone", alone).withColumn("own", F.slice("own", 1, F.greatest(F.lit(0), F.col("k") + 1 - F.col("alone"))))
+    first = both.select("pivot", "node", "kind", "n", "m", "l", "alone", F.posexplode("own").alias("at", "x")).where("x.mixed")
+    return first.select("x.key", "pivot", "node", "kind", "n", "m", "l", (F.col("alone") + F.col("at")).alias("at"))
+
+
+def _may_link(percent: int):
+    """Whether two sets of one key (columns of the other end in ``_b``) can link, and this key be the first they share.
+
+    Linked sets share a difference of kind 0, or, where their sizes don't ask for that, one of kind 1.
     """
-    most = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent) / (100 + percent)).cast("int")
-    mixed = differences.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    rows = differences.join(mixed.select("pivot"), "pivot", "left_semi").withColumn("k", most)
-    prefix = rows.select("pivot", "node", "comp", "n", F.size("diff").alias("size"), "k", F.posexplode(F.slice("diff", 1, F.col("k") + MATCHES)).alias("at", "token"))
-    prefix = prefix.withColumn("key", F.xxhash64("pivot", "token")).drop("token")
-    seen = prefix.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    seen = written(seen, "mixed")
-    few = seen.count() <= BROADCAST_IDS
-    prefix = written(prefix.join(F.broadcast(seen) if few else seen, "key"), "prefix")
-    one = prefix.where(F.col("at") < F.floor(F.col("k") / 2) + MATCHES).select("key", "pivot", "node", "comp", "n", "size", "at")
-    two = prefix.select("key", *[F.col(c).alias(f"{c}_b") for c in ("pivot", "node", "comp", "n", "size", "at")])
-    most = F.expr(f"{100 - percent} * (n + n_b) div {100 + percent}")
-    need = F.floor((F.col("size") + F.col("size_b") - most + 1) / 2)
-    least = F.least(F.lit(MATCHES), F.greatest(F.lit(1), need))
-    fits = (F.col("at") + need < F.col("size") + least) & (F.col("at_b") + need < F.col("size_b") + least)
-    apart = (F.col("pivot") == F.col("pivot_b")) & (F.col("comp") != F.col("comp_b")) & (F.col("size") <= F.col("size_b"))
-    found = one.join(two, "key").where(apart & fits).withColumnRenamed("node_b", "b").groupBy("pivot", "node", "b")
-    found = found.agg(F.count(F.lit(1)).alias("both"), F.max(least).alias("least")).where("both >= least")
-    pairs = found.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), "pivot")
-    return pairs.groupBy("a", "b").agg(F.min("pivot").alias("pivot"))
+    over = lambda x, y: (F.col(x) + F.col(f"{x}_b") + F.abs(F.col(y) - F.col(f"{y}_b"))) * (100 + percent) - (F.col("n") + F.col("n_b")) * (100 - percent)
+    more, less = over("m", "l"), over("l", "m")
+    need = lambda x: F.ceil(x / (2 * (100 + percent)))
+    early = lambda own, x: (F.col("at") + need(x) <= F.col(own)) & (F.col("at_b") + need(x) <= F.col(f"{own}_b"))
+    first = (F.col("kind") == 0) & (more > 0) & early("m", more)
+    return first | (F.col("kind") == 1) & (more <= 0) & (less > 0) & early("l", less)
+
+
+_OTHER = ("node", "comp", "n", "m", "l", "at")
+
+
+def _of_components(prefix: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``prefix`` with the components of its sets, where a key still has several."""
+    rows = prefix.join(nodes.select("node", "comp"), "node")
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    return written(rows.join(mixed.select("key"), "key", "left_semi"), "mixed")
+
+
+def _star_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """``a, b, pivot``: every set of a key with one chosen set of that key, where the two may link."""
+    chosen = F.min(F.struct(F.xxhash64("node", "key").alias("h"), *_OTHER)).alias("x")
+    star = rows.groupBy("key").agg(chosen).select("key", *[F.col(f"x.{c}").alias(f"{c}_b") for c in _OTHER])
+    return _pairs(rows.join(star, "key").where((F.col("comp") != F.col("comp_b")) & _may_link(percent)))
+
+
+def _near_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """``a, b, pivot``: all pairs of different components that share a key and may link."""
+    two = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in _OTHER])
+    return _pairs(rows.join(two, "key").where((F.col("node") < F.col("node_b")) & (F.col("comp") != F.col("comp_b")) & _may_link(percent)))
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    ends = found.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"), "pivot")
+    return ends.groupBy("a", "b").agg(F.min("pivot").alias("pivot"))
 
 
 def _linked(pairs: DataFrame, differences: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` of ``pairs`` that link, counted on their differences to one pivot."""
-    side = lambda x: differences.select("pivot", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("diff").alias(f"d{x}"))
+    side = lambda x: differences.select("pivot", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "more", "less")])
     both = pairs.join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"])
-    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
-    return both.where(_within(apart, F.col("na") + F.col("nb"), percent)).select("a", "b").distinct()
+    apart = lambda c: F.size(f"{c}_a") + F.size(f"{c}_b") - 2 * F.size(F.array_intersect(f"{c}_a", f"{c}_b"))
+    return both.where(_within(apart("more") + apart("less"), F.col("n_a") + F.col("n_b"), percent)).select("a", "b").distinct()
 
 
 def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``nodes(node, n, comp)`` after joining components that ``links`` connect."""
+    """``nodes(node, comp)`` after joining components that ``links`` connect; the table of ``nodes`` goes."""
     side = nodes.select("node", "comp")
     across = (
         links.join(side.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a")
@@ -411,12 +449,10 @@ def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
         .select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     )
     top = components(across)
-    return written(
-        nodes.join(top.select(F.col("node").alias("comp"), F.col("comp").alias("up")), "comp", "left").select(
-            "node", "n", F.coalesce("up", "comp").alias("comp")
-        ),
-        "nodes",
-    )
+    up = top.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+    merged = written(nodes.join(up, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "nodes")
+    dropped(top, nodes)
+    return merged
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -443,15 +479,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         .groupBy("node")
         .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     )
-    nodes = written(reps.select("node", "n", F.col("node").alias("comp"), "doc_id"), "nodes")
-    ids = nodes.select("doc_id")
-    if nodes.count() <= BROADCAST_IDS:
+    reps = written(reps, "reps")
+    ids = reps.select("doc_id")
+    if reps.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     cut = lambda rows: rows.select("text").mapInArrow(_grouped(width), "node long, n long, grp int, tokens array<long>")
     tokens = cut(texts.join(ids, "doc_id", "left_semi"))
-    if sized.join(ids, "doc_id", "left_semi").count() != nodes.where("doc_id is not null").count():  # an id of several rows
+    if sized.join(ids, "doc_id", "left_semi").count() != reps.where("doc_id is not null").count():  # an id of several rows
         tokens = tokens.dropDuplicates(["node", "grp"])
-    unnamed = nodes.where("doc_id is null").select("node")
+    unnamed = reps.where("doc_id is null").select("node")
     count = unnamed.count()
     if count:  # sets of rows without an id only: no id leads to their texts
         if count <= BROADCAST_IDS:
@@ -459,6 +495,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         more = cut(texts.where("doc_id is null")).join(unnamed, "node", "left_semi")
         tokens = tokens.unionByName(more.dropDuplicates(["node", "grp"]))
     tokens = written(tokens, "tokens")
+    nodes = written(reps.select("node", F.col("node").alias("comp")), "nodes")
+    dropped(reps)
 
     size = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("members"))
     weight = shared.join(size, "sig").groupBy("node").agg(F.sum("members").alias("weight"))
@@ -469,12 +507,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     pivot = heavy.groupBy("sig").agg(F.max("top")["node"].alias("pivot"))
     pairs = written(shared.join(pivot, "sig").select("node", "pivot").distinct(), "pairs")
     differences = written(_differences(pairs, tokens), "differences")
-    direct = differences.where(_within(F.size("diff"), F.col("n") + F.col("pn"), percent))
-    nodes = _merged(nodes.select("node", "n", "comp"), direct.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-    more = written(_near_pairs(differences.join(nodes.select("node", "comp"), "node"), percent), "near")
-    nodes = _merged(nodes, _linked(more, differences, percent))
-    for table in (shared, tokens, pairs, differences, more):
-        dropped(table)
+    direct = differences.where(_within(F.size("more") + F.size("less"), F.col("n") + F.col("pn"), percent))
+    nodes = _merged(nodes, direct.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    prefix = written(_prefixes(differences, nodes, percent), "prefix")
+    for near in (_star_pairs, _near_pairs):
+        rows = _of_components(prefix, nodes)
+        found = written(near(rows, percent), "near")
+        nodes = _merged(nodes, _linked(found, differences, percent))
+        dropped(rows, found)
+    dropped(shared, tokens, pairs, differences, prefix)
 
     grouped = sized.join(nodes.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = grouped.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
