@@ -1,421 +1,387 @@
-"""Language-model scores of documents, learnt from the corpus itself.
-
-*Unigram base.* Documents are dealt into blocks. A block asks for each of its distinct words once,
-so a word that every document holds costs one entry a block; entries are packed, and the task that
-gets a word from all blocks answers with its count over all training documents. The answers meet
-the block's texts, which both steps read from one exchange.
-
-*Probabilistic suffix tree.* Its root part predicts bytes through 64 classes (a byte given its class
-by its frequency) from up to ``DEPTH`` classes, counted over all training texts; a context is retained
-if its next-symbol distribution differs from that of its suffix by a likelihood-ratio test.
-Distributions are smoothed towards the suffix's. From there contexts are bytes, and as long as the
-corpus supports: ``DEPTH`` bytes, then longer ones (by one, later by half, see :func:`_longer`). At each
-length a block asks once for each of its distinct (context, next byte); the task that gets a context
-from all blocks tests it and answers with probabilities. Only contexts in which ``GAIN`` nats are left
-grow: no longer one could pass the test elsewhere. It ends when none is left. A text is scored by the
-longest retained suffix at each byte; it begins after a boundary and ends with one.
+"""Language-model scores of documents, learnt from the corpus itself: a probabilistic suffix tree of words.
+
+Symbols are the words of a text, then one end; a text's first context is the boundary. The root
+predicts each by its smoothed frequency. A context of the last 1, 2, 3, 4, 8, 16, ... symbols is
+retained if its next-symbol distribution, smoothed towards that of the longest retained suffix,
+differs from it by a likelihood ratio of ``GAIN`` nats over the training texts, where each occurrence is
+judged by the counts of all others, so chance successors are no divergence. A context can be retained
+only with ``SUPPORT`` occurrences, and longer ones are tried only while ``GAIN`` nats are left in it, as
+no longer one could pass the test elsewhere; so depth and number of states follow the corpus. A
+symbol is scored by the longest retained suffix of what precedes it.
+
+Texts are packed into blocks, once and without a shuffle. At each length a block asks once for each of
+its distinct (context, next symbol), and for each of its contexts; the task that gets a key from all
+blocks answers with its total. A key is a 64-bit hash and spread by its own value, so neither a
+frequent word nor a frequent context, nor a text that is a third of all rows, is a hot group. Test
+sums are whole numbers (fixed point), so results don't depend on how rows are dealt.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.runtime import dropped, shuffle_partitions, written
+from feedloom.llm.runtime import deleted, shared_dir, shuffle_partitions, written
 from feedloom.llm.wordhash import SPACED, Words, mix, text_chunks
 
-DEPTH = 3
-SYMBOLS = 64
-#: Pseudo-counts given to the suffix; log-likelihood ratio to be retained.
-WEIGHT, GAIN = 8.0, 12.0
-#: Bytes of text in a block, about: it bounds what one task holds at a time.
-BLOCK_BYTES = 4 << 20
+#: Pseudo-counts given to the suffix; nats to be retained, or to grow; occurrences that a context needs.
+WEIGHT, GAIN, SUPPORT = 16.0, 6.0, 8
+#: Bytes of text in a block, about (it bounds what a task holds), and of input for each part of the keys.
+BLOCK_BYTES, PART_BYTES = 12 << 20, 16 << 20
+_UNIT = float(1 << 20)
 _END = np.uint64(0x5851F42D4C957F2D)
+_ODD = 0x9E3779B97F4A7C15
+_BACK = pow(_ODD, -1, 1 << 64)
+_NEXT, _ANY = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
-def _class_of_bytes() -> np.ndarray:
-    """Class 0 is the boundary; then letters, white space, marks, digits, and UTF-8 bytes."""
-    out = np.full(256, 39)
-    out[0x61:0x7B] = np.arange(1, 27)
-    out[0x41:0x5B] = 27
-    out[0x30:0x3A] = 28
-    for i, mark in enumerate(b" \n.,\"'-:;!?"):
-        out[mark] = 29 + i if i < 10 else 38
-    out[0x80:0xC0] = 40 + np.arange(64) // 4
-    out[0xC0:] = 56
-    out[[0xC2, 0xC3, 0xC4, 0xC5]] = [57, 58, 59, 60]
-    out[0xD0:0xD2] = 61
-    out[0xE0:0xF0] = 62
-    out[0xF0:] = 63
-    return out.astype(np.int64)
-
-
-CLASS = _class_of_bytes()
-
-
-def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, class, byte) of every byte and end of the texts; the byte of an end is 256."""
-    n = len(offsets) - 1
-    size = np.diff(offsets) + DEPTH + 1
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    raw = np.full(int(size.sum()), 256)
-    raw[np.arange(len(data)) + np.repeat(np.arange(n) * (DEPTH + 1) + DEPTH, np.diff(offsets))] = data
-    kind = np.append(CLASS, 0)[raw]
-    context = np.zeros(len(kind), np.int64)
-    for d in range(DEPTH, 0, -1):
-        context[DEPTH:] = context[DEPTH:] * SYMBOLS + kind[DEPTH - d : len(kind) - d]
-    keep = np.ones(len(kind), bool)
-    keep[(first[:, None] + np.arange(DEPTH)).ravel()] = False
-    return context[keep], kind[keep], raw[keep]
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n): key is context * SYMBOLS + class, or -1 - byte."""
-    joint = np.zeros(SYMBOLS ** (DEPTH + 1), np.int64)
-    byte = np.zeros(257, np.int64)
-    for batch in batches:
-        for _, _, data, offsets in text_chunks(batch.column("text"), 1 << 19):
-            context, kind, raw = _symbols(data, offsets)
-            key, n = np.unique(context * SYMBOLS + kind, return_counts=True)
-            joint[key] += n
-            byte += np.bincount(raw, minlength=257)
-    key, own = np.flatnonzero(joint), np.flatnonzero(byte)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([key, -1 - own])), pa.array(np.concatenate([joint[key], byte[own]]))], names=["key", "n"]
-    )
+def longer(length: int) -> int:
+    """The next length of contexts."""
+    return length + 1 if length < 4 else 2 * length
 
 
-class SuffixTree:
-    """States by context, and log10 probabilities of classes by state and of bytes by class."""
-
-    def __init__(self, joint: np.ndarray, byte: np.ndarray, weight: float = WEIGHT, gain: float = GAIN):
-        """``weight``: pseudo-counts given to the suffix; ``gain``: log-likelihood ratio to stay."""
-        levels = [joint.reshape(-1, SYMBOLS)]
-        for _ in range(DEPTH):
-            levels.insert(0, levels[0].reshape(SYMBOLS, -1, SYMBOLS).sum(axis=0))
-        uniform = np.full((1, SYMBOLS), 1 / SYMBOLS)
-
-        def smoothed(own: np.ndarray, under: np.ndarray) -> np.ndarray:
-            return (own + weight * under) / (own.sum(axis=1, keepdims=True) + weight)
-
-        def slices(d: int) -> Iterator[np.ndarray]:
-            """The counts of a level by their oldest symbol: the deepest is large."""
-            yield from levels[d].reshape(SYMBOLS if d else 1, -1, SYMBOLS)
-
-        kept, chance = [], [uniform]
-        for d in range(DEPTH + 1):
-            stay, rows = [], []
-            for own in slices(d):
-                smooth = smoothed(own, chance[-1])
-                stay.append((own * np.log(smooth / chance[-1])).sum(axis=1) >= gain if d else np.ones(1, bool))
-                if d < DEPTH:
-                    rows.append(np.where(stay[-1][:, None], smooth, chance[-1]))
-            kept.append(np.concatenate(stay))
-            if d < DEPTH:
-                chance.append(np.concatenate(rows))
-        for d in range(DEPTH, 0, -1):
-            some = kept[d].reshape(SYMBOLS, -1).any(axis=0)
-            kept[d - 1] |= some
-        under, chance = chance[1], [chance[1]]
-        for d in range(1, DEPTH + 1):
-            rows, all_ = [], []
-            for own, stay in zip(slices(d), kept[d].reshape(SYMBOLS, -1), strict=True):
-                smooth = smoothed(own, under)
-                rows.append(smooth[stay])
-                if d < DEPTH:
-                    all_.append(np.where(stay[:, None], smooth, under))
-            chance.append(np.concatenate(rows))
-            if d < DEPTH:
-                under = np.concatenate(all_)
-        base = np.cumsum([0] + [int(k.sum()) for k in kept])
-        state = np.zeros(1, np.int32)
-        for d in range(1, DEPTH + 1):
-            state = np.tile(state, SYMBOLS)
-            state[kept[d]] = base[d] + np.arange(int(kept[d].sum()))
-        self.state = state.astype(np.int32)
-        self.chance = np.log10(np.concatenate(chance)).astype(np.float32)
-        smooth = byte[:256] + 0.5
-        self.byte = np.append(np.log10(smooth / np.bincount(CLASS, smooth, SYMBOLS)[CLASS]), 0.0).astype(np.float32)
-
-    def each(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The log10 probability of every byte and end."""
-        context, kind, raw = _symbols(data, offsets)
-        return self.chance[self.state[context], kind].astype(float) + self.byte[raw]
-
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The log10 probability of each text."""
-        each = self.each(data, offsets)
-        return np.add.reduceat(each, offsets[:-1] + np.arange(len(offsets) - 1)) if len(each) else np.zeros(0)
-
-
-def suffix_tree(docs: DataFrame) -> SuffixTree:
-    """Learn from all rows of ``docs``; with none the tree is the uniform distribution."""
-    rows = docs.select("text").mapInArrow(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    joint, byte = np.zeros(SYMBOLS ** (DEPTH + 1), np.int64), np.zeros(257, np.int64)
-    found = rows.toArrow()
-    key, n = found.column("key").to_numpy(), found.column("n").to_numpy()
-    joint[key[key >= 0]] = n[key >= 0]
-    byte[-1 - key[key < 0]] = n[key < 0]
-    return SuffixTree(joint, byte)
+@cache
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=1)
 
 
-_ODD = 0x9E3779B97F4A7C15
-_BACK = pow(_ODD, -1, 1 << 64)
-_BYTES = mix(np.arange(1, 258, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def _packed(**arrays: np.ndarray) -> bytes:
+    """Arrays by name, compressed byte by byte of their numbers."""
+    head, body = [], []
+    for name, x in arrays.items():
+        planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+        body.append(_codec().compress(planes, asbytes=True) if len(x) else b"")
+        head.append((name, x.dtype.str, len(x), len(body[-1])))
+    first = json.dumps(head).encode()
+    return len(first).to_bytes(4, "little") + first + b"".join(body)
+
+
+def _unpacked(pack: pa.Scalar) -> dict[str, np.ndarray]:
+    raw = memoryview(pack.as_buffer())
+    at = 4 + int.from_bytes(raw[:4], "little")
+    out = {}
+    for name, kind, n, size in json.loads(bytes(raw[4:at])):
+        kind = np.dtype(kind)
+        planes = _codec().decompress(raw[at : at + size], n * kind.itemsize, asbytes=True) if n else b""
+        out[name] = np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T.copy().view(kind).reshape(n)
+        at += size
+    return out
+
 
+def _small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32 if not len(x) or x.max() < 1 << 32 else np.uint64)
 
-def _longer(length: int) -> int:
-    return length + 1 if length < 6 else length * 3 // 2
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the place of each of ``keys`` there."""
+    code, known = pd.factorize(keys)
+    order = np.argsort(known)
+    back = np.empty(len(order), np.uint32)
+    back[order] = np.arange(len(order), dtype=np.uint32)
+    return known[order], back[code]
 
-def _rows(block: pa.Table | pa.RecordBatch) -> pa.Table:
-    """The rows of a packed block."""
-    flat = lambda c: (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).flatten()
-    return pa.table({c: flat(block.column(c)) for c in ("doc_id", "text", "held_out", "learn")})
 
+def _asked(parts: int, kind: str, keys: np.ndarray, empty: bool = False, **values: np.ndarray) -> Iterator[tuple[int, str, bytes]]:
+    """A pack for each part (also for those without keys, if ``empty``) of sorted ``keys`` and their values; the part goes by a key's high bits."""
+    part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    bounds = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+    for p in range(parts):
+        a, b = bounds[p], bounds[p + 1]
+        if b > a or empty:
+            own = keys[a:b]
+            yield p, kind, _packed(step=np.diff(own, prepend=np.uint64(0)), **{c: x[a:b] for c, x in values.items()})
 
-class _Places:
-    """Bytes and ends of the texts of a block, and their contexts."""
 
-    def __init__(self, rows: pa.Table):
-        runs = list(text_chunks(rows.column("text"), 1 << 62))
-        self.data, self.offsets = runs[0][2:] if runs else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        size = np.diff(self.offsets) + 1
-        self.text = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        start = np.concatenate([[0], np.cumsum(size)])
-        self.raw = np.full(start[-1], 256, np.int16)
-        self.raw[np.arange(len(self.data)) + np.repeat(np.arange(len(size)), size - 1)] = self.data
-        self.before = (np.arange(start[-1]) - np.repeat(start[:-1], size)).astype(np.int32)
-        n = len(self.raw) + 1
-        power = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)]))
-        self.sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[self.raw] * power(_ODD)[:-1])])
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The answers of a part, in the order asked: ``count`` totals, or for ``test`` whether to retain (1) and to grow (2)."""
+    asked: dict[tuple[int, str], list] = {}
+    for batch in batches:
+        for block, part, kind, pack in zip(*(batch.column(c) for c in ("block", "part", "kind", "pack")), strict=True):
+            got = _unpacked(pack)
+            got["key"] = np.cumsum(got.pop("step"), dtype=np.uint64)
+            asked.setdefault((part.as_py(), kind.as_py()), []).append((block.as_py(), got))
+    for (part, kind), rows in asked.items():
+        place, known = pd.factorize(np.concatenate([r["key"] for _, r in rows]))
+        total = lambda c: np.bincount(place, np.concatenate([r[c] for _, r in rows]), len(known))  # noqa: E731, B023
+        if kind == "test":
+            kept = total("gain") >= GAIN * _UNIT
+            left = np.where(kept, total("own"), total("under"))
+            answer = (kept + 2 * (left >= GAIN * _UNIT)).astype(np.uint8)
+            head: dict = {}
+        else:
+            answer = _small(total("n").astype(np.int64))
+            head = {"head": np.array([answer.sum(dtype=np.int64), (answer > 0).sum()], np.int64)}
+        each = np.split(answer[place], np.cumsum([len(r["key"]) for _, r in rows])[:-1])
+        yield _rows_of([(block, part, kind, _packed(answer=x, **head)) for (block, _), x in zip(rows, each, strict=True)])
+
+
+def _rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    block, part, kind, pack = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(block, pa.int64()), pa.array(part, pa.int32()), pa.array(kind, pa.string()), pa.array(pack, pa.binary())],
+        names=["block", "part", "kind", "pack"],
+    )
+
+
+class _Stream:
+    """The symbols of a block: for each text the boundary, its words, and the end; both marks are ``_END``."""
+
+    def __init__(self, state: dict[str, np.ndarray]):
+        self.known, self.place, self.size = state["known"], state["place"], state["size"]
+        whole = self.size + 2
+        self.start = np.cumsum(whole) - whole
+        self.before = (np.arange(len(self.place)) - np.repeat(self.start, whole)).astype(np.int32)
+        self.text = np.repeat(np.arange(len(self.size), dtype=np.int32), whole)
+        self.learn = state["learn"].astype(bool)
+        n = len(self.place)
+        power = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)]))
+        self.hash = self.known[self.place]
+        self.sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hash * power(_ODD)[:-1])])
         self.back = power(_BACK)
-        self.learn = rows.column("learn").to_numpy()
 
     def context(self, at: np.ndarray, length: int) -> np.ndarray:
-        """A hash of up to ``length`` bytes before each place; a shorter one begins with the boundary."""
-        size = np.minimum(self.before[at], length)
-        own = (self.sum[at] - self.sum[at - size]) * self.back[at]
-        return mix(own + (size + 1).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + (size < length) * _END)
-
-    def pairs(self, at: np.ndarray, length: int, parts: int):
-        """Distinct (context, byte) in order of part: place of each of ``at`` there, an example, context, bounds."""
-        context = self.context(at, length)
-        key = mix(context + _BYTES[self.raw[at]])
-        _, first, place = np.unique(key, return_index=True, return_inverse=True)
-        part = (context[first] % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        first = first[order]
-        return back[place], first, context[first], np.searchsorted(part[order], np.arange(parts + 1))
-
-
-def _grown(parts: int, length: int, tree=None):
-    """(block, part, pack): what a block asks of contexts of ``length``; as part -1, its state.
-
-    The state is the log10 probability of each text so far, then the bits of the places still open.
-    Without a ``tree`` the answers for the length before are taken in first.
-    """
+        """A hash of the ``length`` symbols before each place."""
+        return mix((self.sum[at] - self.sum[at - length]) * self.back[at] + np.uint64(length))
+
+    def next(self, context: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return mix(context * _NEXT + self.hash[at])
+
+
+def _state_of(block: int, state: dict[str, np.ndarray]) -> tuple[int, int, str, bytes]:
+    return block, -1, "state", _packed(**state)
+
+
+def _begun(parts: int):
+    """Blocks of texts: their state, which keeps ids as an Arrow stream, and what they ask for words."""
+
+    def block_of(block: int, ids: list, texts: list) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(ids)
+        hashes, size = (np.concatenate(x) for x in zip(*texts, strict=True))
+        learn = ~rows.column("held_out").to_numpy()
+        code, known = pd.factorize(np.append(hashes, _END))
+        order = np.argsort(-np.bincount(code), kind="stable")  # frequent words get small numbers, which pack well
+        back = np.empty(len(order), np.uint32)
+        back[order] = np.arange(len(order), dtype=np.uint32)
+        code, known = back[code], known[order]
+        start = np.cumsum(size + 2) - size - 2
+        place = np.full(int((size + 2).sum()), code[-1], np.uint32)
+        place[np.arange(len(hashes)) + np.repeat(start + 1 - (np.cumsum(size) - size), size)] = code[:-1]
+        n = np.bincount(code[:-1][np.repeat(learn, size)], minlength=len(known))
+        n[code[-1]] += learn.sum()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_table(rows)
+        state = {"ids": np.frombuffer(sink.getvalue(), np.uint8), "known": known, "place": place, "size": size, "learn": learn}
+        by = np.argsort(known)
+        asks = _asked(parts, "count", known[by], empty=True, n=_small(n[by]))  # all tell their part of N and V
+        return _rows_of([_state_of(block, state), *((block, *x) for x in asks)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        ids, texts, held = [], [], 0
+        for batch in batches:
+            for first, end, data, offsets in text_chunks(batch.column("text"), 1 << 20):
+                words = Words(data, offsets, SPACED)
+                ids.append(batch.slice(first, end - first).select(["doc_id", "held_out"]))
+                texts.append((words.hash, np.diff(words.bounds)))
+                held += len(data) + end - first
+                if held >= BLOCK_BYTES:
+                    yield block_of(block, ids, texts)
+                    block, ids, texts, held = block + 1, [], [], 0
+        if ids:
+            yield block_of(block, ids, texts)
 
-    def run(block: int, table, answers: dict[int, np.ndarray] | None, before: int):
-        places = _Places(_rows(table))
-        n = len(places.offsets) - 1
-        if answers is None:
-            at, score = np.arange(len(places.raw)), np.zeros(n)
-            under = np.power(10.0, tree.value.each(places.data, places.offsets)).astype(np.float32)
+    return run
+
+
+def _answers(table: pa.Table) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], np.ndarray]:
+    """The state of a block, the answers by kind in the order of the keys asked, and the totals of all parts."""
+    state, got, head = {}, {}, np.zeros(2, np.int64)
+    for part, kind, pack in sorted(zip(table.column("part").to_pylist(), table.column("kind").to_pylist(), table.column("pack"), strict=True), key=lambda x: x[0]):
+        own = _unpacked(pack)
+        if part < 0:
+            state = own
         else:
-            state = answers.pop(-1)
-            score = np.frombuffer(state, np.float64, n).copy()
-            at = np.flatnonzero(np.unpackbits(np.frombuffer(state, np.uint8, offset=8 * n), count=len(places.raw)))
-            place, _, _, bounds = places.pairs(at, before, parts)
-            got = np.zeros(bounds[-1], np.float32)
-            for part, pack in answers.items():
-                got[bounds[part] : bounds[part + 1]] = np.frombuffer(pack, np.float32)
-            got = got[place]
-            under = np.abs(got)
-            stay = (got < 0) & (places.before[at] >= before)
-            score += np.bincount(places.text[at[~stay]], np.log10(under[~stay].astype(float)), n)
-            at, under = at[stay], under[stay]
-        bits = np.zeros(len(places.raw), bool)
-        bits[at] = True
-        packs = [(-1, score.tobytes() + np.packbits(bits).tobytes())]
-        if len(at):
-            place, first, context, bounds = places.pairs(at, length, parts)
-            count = np.bincount(place[places.learn[places.text[at]]], minlength=len(first)).astype(np.uint32)
-            under, raw = under[first], places.raw[at[first]]
-            for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                if b > a:
-                    packs.append((p, b"".join(x[a:b].tobytes() for x in (context, count, under, raw))))
-        part, pack = zip(*packs, strict=True)
-        return {"block": pa.array([block] * len(part), pa.int64()), "part": pa.array(part, pa.int32()), "pack": pa.array(pack, pa.binary())}
+            got.setdefault(kind, []).append(own["answer"])
+            head += own.get("head", 0)
+    return state, {k: np.concatenate(x) for k, x in got.items()}, head
 
-    return run
 
+def _step(parts: int, k: int, length: int):
+    """Take in what a block asked in step ``k`` and ask on: ``length`` is that of the contexts counted now.
 
-def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The answers of a part: the probability of each pair asked, negative where the context is to grow."""
-    asked: dict[int, list] = {}
-    for batch in batches:
-        for block, part, pack in zip(*(batch.column(c) for c in ("block", "part", "pack")), strict=True):
-            raw = pack.as_py()
-            k = len(raw) // 18
-            kinds = ((np.uint64, 0), (np.uint32, 8 * k), (np.float32, 12 * k), (np.int16, 16 * k))
-            asked.setdefault(part.as_py(), []).append((block.as_py(), *(np.frombuffer(raw, t, k, o) for t, o in kinds)))
-    for part, rows in asked.items():
-        context, count, under, raw = (np.concatenate([r[i] for r in rows]) for i in range(1, 5))
-        _, first, place = np.unique(mix(context + _BYTES[raw]), return_index=True, return_inverse=True)
-        total = np.bincount(place, count, len(first))
-        under = under[first].astype(float)
-        _, of = np.unique(context[first], return_inverse=True)
-        smooth = (total + WEIGHT * under) / (np.bincount(of, total) + WEIGHT)[of]
-        kept = np.bincount(of, total * np.log(smooth / under)) >= GAIN
-        chance = np.where(kept[of], smooth, under)
-        open_ = np.bincount(of, -total * np.log(chance)) >= GAIN
-        answer = np.where(open_[of], -chance, chance).astype(np.float32)[place]
-        answers = np.split(answer, np.cumsum([len(r[1]) for r in rows])[:-1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array([a.tobytes() for a in answers], pa.binary())],
-            names=["block", "part", "pack"],
-        )
-
-
-_PACKS = "block long, part int, pack binary"
-
-
-def _stepped(parts: int, before: int, length: int):
-    grow = _grown(parts, length)
-
-    def run(key, table, packs):
-        got = dict(zip(packs.column("part").to_pylist(), packs.column("pack").to_pylist(), strict=True))
-        return pa.table(grow(key[0].as_py(), table, got, before))
+    Of a live place (a symbol whose longest suffix isn't known yet) the state has ``p``, its probability by
+    retained contexts (left out while that is the root's), and of the context in test the count ``n`` of the
+    symbol, and the context's place among those asked; of those that were counted, places of the answers.
+    """
 
-    return run
+    def run(key, table):
+        block = key[0].as_py()
+        state, got, head = _answers(table)
+        if k == 0:
+            _rooted(state, got["count"], head)
+        if not len(state["live"]):
+            return pa.Table.from_batches([_rows_of([_state_of(block, state)])])
+        stream = _Stream(state)
+        at = np.flatnonzero(np.unpackbits(state.pop("live"), count=len(stream.place)))
+        p = state.pop("p").astype(float) if "p" in state else _root(state)[stream.place[at]]
+
+        def done(rows: np.ndarray) -> None:
+            state["score"] += np.bincount(stream.text[at[rows]], np.log10(p[rows]), len(stream.size))
+
+        grow = np.ones(len(at), bool)
+        if k > 1:  # the test of the contexts one step shorter
+            of = state.pop("of")
+            smooth = (state.pop("n") + WEIGHT * p) / (state.pop("support")[of] + WEIGHT)
+            told = got["test"][of]
+            p = np.where(told & 1, smooth, p)
+            grow = told & 2 > 0
+        if k > 0:  # the counts of the contexts of this length
+            counted = np.unpackbits(state.pop("counted"), count=len(at)).astype(bool)
+            own, total = state.pop("next"), np.zeros(len(at), np.int64)
+            n = got["count"][own].astype(np.int64) if len(own) else np.zeros(0, np.int64)
+            support = state.pop("known_support").astype(np.int64)
+            ask = support == 0
+            support[ask] = got["count"][state.pop("any")] if ask.any() else state.pop("any")
+            full = np.full(len(stream.place), -1)
+            full[at[counted]] = n
+            count, total[counted] = np.zeros(len(at), np.int64), support
+            count[counted] = n
+            grow &= counted & (total >= SUPPORT)
+            done(~grow)
+            at, p, n, support = at[grow], p[grow], count[grow], total[grow]
+        rows = []
+        if k > 0 and len(at):
+            own, of = _distinct(stream.context(at, length))
+            learn = stream.learn[stream.text[at]]
+            of_learn, n_, p_, support_ = of[learn], n[learn], p[learn], support[learn]
+            summed = lambda x: np.bincount(of_learn, np.rint(x * _UNIT), len(own)).astype(np.int64)
+            others = (n_ - 1 + WEIGHT * p_) / (support_ - 1 + WEIGHT)
+            smooth = (n_ + WEIGHT * p_) / (support_ + WEIGHT)
+            tests = {"gain": summed(np.log(others / p_)), "own": summed(-np.log(smooth)), "under": summed(-np.log(p_))}
+            rows += [(block, *x) for x in _asked(parts, "test", own, **tests)]
+            of_support = np.zeros(len(own), np.int64)
+            of_support[of] = support
+            state |= {"n": _small(n), "of": of, "support": _small(of_support)}
+            if k > 1:
+                state["p"] = p.astype(np.float32)
+                state.pop("count", None)
+        size = longer(length) if k > 0 else 1
+        if len(at):  # contexts to be counted next
+            room = stream.before[at] >= size
+            if k == 0:
+                support = state["count"][stream.place[at - 1]].astype(np.int64)
+            elif size == length + 1:  # the count of the symbol before is this context's
+                support = full[at - 1]
+                if k < 3:
+                    support = np.maximum(support, 1)  # not counted: too rare
+            else:
+                support = np.full(len(at), -1)
+            counted = room & ((support < 0) | (support >= SUPPORT))
+            support = np.maximum(support[counted], 0)
+            if k == 0:
+                rest = ~counted
+                done(rest)
+                at, p = at[counted], p[counted]
+                counted = np.ones(len(at), bool)
+            place = at[counted]
+            context = stream.context(place, size)
+            learn = stream.learn[stream.text[place]]
+            ask = support == 0
+            keys = np.concatenate([stream.next(context, place), mix(context[ask] + _ANY)])
+            keys, of = _distinct(keys)
+            n = np.bincount(of[np.concatenate([learn, learn[ask]])], minlength=len(keys))
+            rows += [(block, *x) for x in _asked(parts, "count", keys, n=_small(n))]
+            state |= {"counted": np.packbits(counted), "next": of[: len(place)], "any": of[len(place) :], "known_support": _small(support)}
+        live = np.zeros(len(stream.place), bool)
+        live[at] = True
+        if len(at):
+            _forgotten(state, stream, at)
+            state["live"] = np.packbits(live)
+        else:
+            state |= {"live": np.zeros(0, np.uint8), "place": np.zeros(0, np.uint32), "known": np.zeros(0, np.uint64)}
+            state.pop("count", None)
+        return pa.Table.from_batches([_rows_of([_state_of(block, state), *rows])])
 
+    return run
 
-def _suffix_scores(packed: DataFrame, tree, parts: int) -> DataFrame:
-    """``block, part, pack``: the state of every block when no context grows any more."""
-    length = DEPTH
-    start = _grown(parts, length, tree)
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                yield pa.RecordBatch.from_pydict(start(row.column("block")[0].as_py(), row, None, 0))
-
-    asked = written(packed.mapInArrow(first, _PACKS), "asked")
-    while not asked.where("part >= 0").isEmpty():
-        answers = asked.where("part >= 0").repartition(parts, "part").mapInArrow(_weighed, _PACKS)
-        before, length = length, _longer(length)
-        more = answers.unionByName(asked.where("part < 0")).groupBy("block")
-        then = written(packed.groupBy("block").cogroup(more).applyInArrow(_stepped(parts, before, length), _PACKS), "asked")
-        dropped(asked)
-        asked = then
-    return asked
-
-
-def _distinct(table: pa.Table, parts: int):
-    """Of a block: distinct word hashes in order of (part, hash), place of each word there, texts."""
-    runs = list(text_chunks(table.column("text"), 1 << 19))
-    words = [Words(data, offsets, SPACED) for _, _, data, offsets in runs]
-    size = np.concatenate([np.diff(w.bounds) for w in words]) if words else np.zeros(0, np.int64)
-    hashes = np.concatenate([w.hash for w in words] + [np.array([_END])])
-    known, place = np.unique(hashes, return_inverse=True)
-    part = (known % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    at = np.searchsorted(part[order], np.arange(parts + 1))
-    return known[order], back[place[:-1]], int(back[place[-1]]), size, at, runs
-
-
-def _asked(parts: int):
-    """(block, part, pack) for every part: hashes, then counts in the block's training rows."""
-
-    def run(block, table):
-        known, place, end, size, at, _ = _distinct(table, parts)
-        learn = table.column("learn").to_numpy()
-        count = np.bincount(place[np.repeat(learn, size)], minlength=len(known))
-        count[end] += learn.sum()
-        packs = [known[a:b].tobytes() + count[a:b].astype(np.int64).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-        n = len(packs)
-        return {"block": pa.array([block] * n, pa.int64()), "part": pa.array(range(n), pa.int32()), "pack": pa.array(packs, pa.binary())}
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rooted(state: dict[str, np.ndarray], answer: np.ndarray, head: np.ndarray) -> None:
+    """The base columns of a block's texts, and the root's probability of each of its words."""
+    stream = _Stream(state)
+    count = np.zeros(len(stream.known), np.int64)
+    count[np.argsort(stream.known)] = answer
+    tokens, kinds = int(head[0]), int(head[1])
+    log = np.log10(count + 0.1)
+    told = stream.before > 0
+    text, place = stream.text[told], stream.place[told]
+    n = stream.size + 1
+    state["base"] = np.bincount(text, log[place], len(n)) - n * math.log10(tokens + 0.1 * (kinds + 1))
+    state["n_known"] = np.bincount(text, count[place] > 0, len(n)).astype(np.int64)
+    state["tokens"] = np.array([tokens, kinds])
+    state["score"] = np.zeros(len(n))
+    state["count"], state["live"] = _small(count), np.packbits(told)
+
+
+def _root(state: dict[str, np.ndarray]) -> np.ndarray:
+    tokens, kinds = state["tokens"]
+    return (state["count"] + 0.1) / (tokens + 0.1 * (kinds + 1))
+
+
+def _forgotten(state: dict[str, np.ndarray], stream: _Stream, at: np.ndarray) -> None:
+    """Clear the symbols after the last live place of a text, and the words that are left nowhere."""
+    last = np.full(len(stream.size), -1)
+    np.maximum.at(last, stream.text[at], at)
+    need = np.arange(len(stream.place)) <= last[stream.text]
+    held = np.bincount(stream.place[need], minlength=len(stream.known)) > 0
+    state["place"] = np.where(need, (np.cumsum(held) - 1)[stream.place], 0).astype(np.uint32)
+    for name in ("known", "count"):
+        if name in state:
+            state[name] = state[name][held]
+
+
+def _told():
+    """The rows of the blocks when no place is live any more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                yield pa.RecordBatch.from_pydict(run(batch.column("block")[i].as_py(), _rows(batch.slice(i, 1))))
+            for pack in batch.column("pack"):
+                state = _unpacked(pack)
+                ids = pa.ipc.open_stream(pa.py_buffer(state["ids"].tobytes())).read_all()
+                n = len(state["size"])
+                yield from pa.table(
+                    {
+                        "doc_id": ids.column("doc_id"),
+                        "held_out": ids.column("held_out"),
+                        "n_tokens": pa.array(state["size"].astype(np.int64) + 1),
+                        "n_known": pa.array(state["n_known"]),
+                        "train_tokens": pa.array(np.full(n, state["tokens"][0], np.int64)),
+                        "base_score": pa.array(state["base"]),
+                        "score": pa.array(state["score"]),
+                    }
+                ).to_batches()
 
-    return each
+    return run
 
 
-def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, part, pack): N and V of the part, then the counts in the order asked.
+_PACKS = "block long, part int, kind string, pack binary"
 
-    A task holds the entries of its parts: (words of a block, over all blocks) / parts.
-    """
-    asked: dict[int, list] = {}
-    for batch in batches:
-        for block, part, pack in zip(*(batch.column(c) for c in ("block", "part", "pack")), strict=True):
-            raw = pack.as_buffer()
-            half = raw.size // 2
-            both = np.frombuffer(raw, np.uint64, half // 8).copy(), np.frombuffer(raw, np.int64, half // 8, half).copy()
-            asked.setdefault(part.as_py(), []).append((block.as_py(), *both))
-    for part, rows in asked.items():
-        known, place = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
-        total = np.zeros(len(known), np.int64)
-        np.add.at(total, place, np.concatenate([r[2] for r in rows]))
-        head = np.array([total.sum(), (total > 0).sum()], np.int64)
-        answers = np.split(total[place], np.cumsum([len(r[1]) for r in rows])[:-1])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[0] for r in rows], pa.int64()),
-                pa.array([part] * len(rows), pa.int32()),
-                pa.array([np.concatenate([head, a]).tobytes() for a in answers], pa.binary()),
-            ],
-            names=["block", "part", "pack"],
-        )
-
-
-def _scored(parts: int):
-    def run(table, answers):
-        table = _rows(table)
-        known, place, end, size, at, _ = _distinct(table, parts)
-        count, tokens, kinds = np.zeros(len(known), np.int64), 0, 0
-        for part, pack in zip(answers.column("part").to_pylist(), answers.column("pack"), strict=True):
-            if part < 0:
-                score = np.frombuffer(pack.as_buffer(), np.float64, len(size))
-                continue
-            got = np.frombuffer(pack.as_buffer(), np.int64)
-            tokens, kinds = tokens + int(got[0]), kinds + int(got[1])
-            count[at[part] : at[part + 1]] = got[2:]
-        log = np.log10(count + 0.1)
-        bounds = np.concatenate([[0], np.cumsum(size)])
-        known_sum = np.concatenate([[0], np.cumsum(count[place] > 0)])
-        n = size + 1
-        base = np.zeros(len(size))
-        for i in range(len(size)):
-            base[i] = log[place[bounds[i] : bounds[i + 1]]].sum()
-        base += log[end] - n * math.log10(tokens + 0.1 * (kinds + 1))
-        return pa.table(
-            {
-                "doc_id": table.column("doc_id"),
-                "held_out": table.column("held_out"),
-                "n_tokens": pa.array(n.astype(np.int64)),
-                "n_known": pa.array(known_sum[bounds[1:]] - known_sum[bounds[:-1]] + int(count[end] > 0), pa.int64()),
-                "train_tokens": pa.array(np.full(len(n), tokens, np.int64)),
-                "base_score": pa.array(base),
-                "score": pa.array(score),
-            }
-        )
 
-    return run
+def _states_and_asks(df: DataFrame) -> tuple[str, DataFrame, DataFrame]:
+    """Write a step's rows; the folders of states and of asks can be deleted separately."""
+    spark = df.sparkSession
+    back = written(df.withColumn("asks", F.col("part") >= 0), f"step-{uuid.uuid4().hex[:6]}", by="asks")
+    return back._table_path, back.where("not asks").drop("asks"), back.where("asks").drop("asks")
 
 
 def lm_scores(docs: DataFrame, held_out) -> DataFrame:
@@ -423,27 +389,27 @@ def lm_scores(docs: DataFrame, held_out) -> DataFrame:
 
     ``held_out``: a boolean column of rows that are scored but not learnt from; null counts as
     false. ``base_score``: sum over words and one end of ``log10((c + 0.1) / (N + 0.1 * (V + 1)))``;
-    ``score``: the suffix tree's log10 probability of the text. Words are compared by 64-bit
-    hashes. Null texts are empty: one token, the end. Repeated rows each count. An empty table
-    gives an empty result.
+    ``score``: the suffix tree's log10 probability of the same symbols. Words are compared by 64-bit
+    hashes. Null texts are empty: one token, the end. Repeated rows each count. Very long texts are
+    blocks of their own. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0]
-    blocks = max(parts, -(-(size or 0) // BLOCK_BYTES))
-    tree = spark.sparkContext.broadcast(suffix_tree(rows.where("not held_out")))
-    dealt = rows.withColumn("learn", ~F.col("held_out")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    held = F.coalesce(held_out, F.lit(False)).alias("held_out")
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), held)
     kind = dict(rows.dtypes)["doc_id"]
-    lists = f"block long, doc_id array<{kind}>, text array<string>, held_out array<boolean>, learn array<boolean>"
-
-    def pack(key, table):
-        whole = lambda c: pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table.column(c).combine_chunks())
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64())} | {c: whole(c) for c in ("doc_id", "text", "held_out", "learn")})
-
-    packed = written(dealt.groupBy("block").applyInArrow(pack, lists), "blocks")
-    state = _suffix_scores(packed, tree, parts)
-    asked = packed.mapInArrow(_asked(parts), _PACKS)
-    answers = asked.repartition(parts, "part").mapInArrow(_answered, _PACKS).unionByName(state)
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = size if size < 1 << 60 else 0  # unknown
+    parts = max(shuffle_partitions(spark), size // PART_BYTES)
+    rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, size // BLOCK_BYTES + 1))
+    path, states, asks = _states_and_asks(rows.mapInArrow(_begun(parts), _PACKS))
+    k, length = 0, 0
+    while not asks.isEmpty():
+        answers = written(asks.repartition(parts, "part").mapInArrow(_totals, _PACKS), "answers")
+        deleted(spark, f"{path}/asks=true")
+        then = states.unionByName(answers).groupBy("block").applyInArrow(_step(parts, k, length), _PACKS)
+        before, (path, states, asks) = path, _states_and_asks(then)
+        deleted(spark, before)
+        deleted(spark, answers._table_path)
+        k, length = k + 1, longer(length) if k else 1
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(parts), schema)
+    return states.select("pack").mapInArrow(_told(), schema)

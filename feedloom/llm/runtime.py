@@ -27,8 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder, in folders by column ``by`` if given, and read it back.
 
     The lineage ends at the table, so a lost executor never makes earlier stages run again, and the
     shuffle files of the write go as soon as it ends.
@@ -38,7 +38,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     back = spark.read.schema(df.schema).parquet(path)
@@ -46,12 +46,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables made by :func:`written` that no later plan reads."""
     for df in tables:
-        context = df.sparkSession.sparkContext
-        at = context._jvm.org.apache.hadoop.fs.Path(df._table_path)
-        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        deleted(df.sparkSession, df._table_path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
