@@ -44,6 +44,8 @@ from feedloom.llm.runtime import dropped, shuffle_partitions, written
 from feedloom.llm.wordhash import SPACED, Words, mix, runs, text_chunks
 
 GROUPS = 4
+#: In a group, a difference is common when one of so many members has it; a group has few such differences.
+COMMON_SHARE = 4
 _SKETCH = 1 << 20
 _SKETCH_SHIFT = np.uint64(44)
 _SKETCH_PARTS = 16
@@ -369,26 +371,36 @@ def _prefixes(differences: DataFrame, nodes: DataFrame, percent: int) -> DataFra
 
     ``kind`` 0 are the ``m`` shingles that the pivot lacks, 1 the ``l`` that only the pivot has; ``at`` is the
     place among those of the kind. Only groups of several components and keys that two of them hold are kept.
+    What only one component has comes first, then the rest by count; shingles that a ``COMMON_SHARE``-th of the
+    group or more have come last and stay in arrays, so they make rows only where a prefix reaches them.
     """
     rows = differences.join(nodes.select("node", "comp"), "node")
-    mixed = rows.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    mixed = rows.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi")
     k = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent) / (100 + percent)).cast("int")
-    rows = rows.join(mixed.select("pivot"), "pivot", "left_semi").withColumn("k", k)
+    rows = rows.join(mixed.select("pivot", "members"), "pivot").withColumn("k", k)
     kinds = F.array(
         F.struct(F.lit(0).alias("kind"), F.col("more").alias("tokens")),
-        F.struct(F.lit(1).alias("kind"), F.when(F.size("more") <= F.col("k"), F.col("less")).alias("tokens")),
+        F.struct(F.lit(1).alias("kind"), F.when(F.size("more") <= F.col("k"), F.col("less")).otherwise(F.array()).alias("tokens")),
     )
-    each = rows.select("pivot", "node", "comp", F.explode(kinds).alias("x")).select("pivot", "node", "comp", "x.kind", F.explode("x.tokens").alias("token"))
-    each = each.select("pivot", "node", "comp", "kind", F.xxhash64("pivot", "kind", "token").alias("key"))
-    seen = each.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("count > 1")
-    seen = seen.select("key", "count", (F.col("lo") != F.col("hi")).alias("mixed"))
-    shared = each.drop("comp").join(seen, "key").groupBy("pivot", "node", "kind").agg(F.sort_array(F.collect_list(F.struct("count", "key", "mixed"))).alias("own"))
-    sizes = rows.select("pivot", "node", "n", F.size("more").alias("m"), F.size("less").alias("l"), "k")
-    both = shared.join(sizes, ["pivot", "node"])
-    alone = F.when(F.col("kind") == 0, F.col("m")).otherwise(F.col("l")) - F.size("own")  # those of no other set come first
-    both = both.withColumn("alone", alone).withColumn("own", F.slice("own", 1, F.greatest(F.lit(0), F.col("k") + 1 - F.col("alone"))))
-    first = both.select("pivot", "node", "kind", "n", "m", "l", "alone", F.posexplode("own").alias("at", "x")).where("x.mixed")
-    return first.select("x.key", "pivot", "node", "kind", "n", "m", "l", (F.col("alone") + F.col("at")).alias("at"))
+    sizes = ("pivot", "node", "comp", "members", "n", "k", F.size("more").alias("m"), F.size("less").alias("l"))
+    sides = written(rows.select(*sizes, F.explode(kinds).alias("x")).select("*", "x.kind", "x.tokens").drop("x"), "sides")
+
+    each = sides.select("pivot", "kind", "comp", "members", F.explode("tokens").alias("token"))
+    seen = each.groupBy("pivot", "kind", "token").agg(F.count(F.lit(1)).alias("count"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("members").alias("members"))
+    seen = written(seen.where("lo <> hi").select("pivot", "kind", "token", "count", (F.col("count") * COMMON_SHARE >= F.col("members")).alias("common")), "seen")
+    common = seen.where("common").groupBy("pivot", "kind").agg(F.sort_array(F.collect_list(F.struct("count", "token")))["token"].alias("common"))
+    sides_ = sides.join(common, ["pivot", "kind"], "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
+    split = sides_.withColumn("last", F.array_intersect("common", "tokens")).withColumn("tokens", F.array_except("tokens", "common")).drop("common")
+    rare = split.select("pivot", "kind", "node", F.explode("tokens").alias("token")).join(seen.where("not common").drop("common"), ["pivot", "kind", "token"])
+    own = rare.groupBy("pivot", "node", "kind").agg(F.sort_array(F.collect_list(F.struct("count", "token")))["token"].alias("own"))
+    both = split.join(own, ["pivot", "node", "kind"], "left").withColumn("own", F.coalesce("own", F.array().cast("array<bigint>")))
+    both = both.withColumn("alone", F.size("tokens") - F.size("own"))
+    both = both.withColumn("own", F.slice(F.concat("own", "last"), 1, F.greatest(F.lit(0), F.col("k") + 1 - F.col("alone"))))
+    first = both.select("pivot", "node", "kind", "n", "m", "l", "alone", F.posexplode("own").alias("at", "token"))
+    first = first.select(F.xxhash64("pivot", "kind", "token").alias("key"), "pivot", "node", "kind", "n", "m", "l", (F.col("alone") + F.col("at")).alias("at"))
+    prefix = written(first, "prefix")
+    dropped(sides, seen)
+    return prefix
 
 
 def _may_link(percent: int):
@@ -509,7 +521,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     differences = written(_differences(pairs, tokens), "differences")
     direct = differences.where(_within(F.size("more") + F.size("less"), F.col("n") + F.col("pn"), percent))
     nodes = _merged(nodes, direct.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-    prefix = written(_prefixes(differences, nodes, percent), "prefix")
+    prefix = _prefixes(differences, nodes, percent)
     for near in (_star_pairs, _near_pairs):
         rows = _of_components(prefix, nodes)
         found = written(near(rows, percent), "near")
