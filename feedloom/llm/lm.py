@@ -37,7 +37,7 @@ from feedloom.llm.wordhash import SPACED, Words, mix, text_chunks
 #: Pseudo-counts given to the suffix; nats to be retained, or to grow; occurrences that a context needs.
 WEIGHT, GAIN, SUPPORT = 16.0, 6.0, 8
 #: Bytes of text in a block, about (it bounds what a task holds), and of input for each part of the keys.
-BLOCK_BYTES, PART_BYTES = 12 << 20, 16 << 20
+BLOCK_BYTES, PART_BYTES = 6 << 20, 16 << 20
 _UNIT = float(1 << 20)
 _END = np.uint64(0x5851F42D4C957F2D)
 _ODD = 0x9E3779B97F4A7C15
@@ -144,10 +144,17 @@ class _Stream:
         self.text = np.repeat(np.arange(len(self.size), dtype=np.int32), whole)
         self.learn = state["learn"].astype(bool)
         n = len(self.place)
-        power = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)]))
         self.hash = self.known[self.place]
-        self.sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hash * power(_ODD)[:-1])])
-        self.back = power(_BACK)
+        self.sum = np.zeros(n + 1, np.uint64)
+        np.multiply(self.hash, self._powers(_ODD, n), out=self.sum[1:])
+        np.cumsum(self.sum, out=self.sum)
+        self.back = self._powers(_BACK, n)
+
+    @staticmethod
+    def _powers(x: int, n: int) -> np.ndarray:
+        out = np.full(n, x, np.uint64)
+        out[:1] = 1
+        return np.cumprod(out, out=out)
 
     def context(self, at: np.ndarray, length: int) -> np.ndarray:
         """A hash of the ``length`` symbols before each place."""
@@ -253,7 +260,7 @@ def _step(parts: int, k: int, length: int):
             support = state.pop("known_support").astype(np.int64)
             ask = support == 0
             support[ask] = got["count"][state.pop("any")] if ask.any() else state.pop("any")
-            full = np.full(len(stream.place), -1)
+            full = np.full(len(stream.place), -1, np.int64)
             full[at[counted]] = n
             count, total[counted] = np.zeros(len(at), np.int64), support
             count[counted] = n
