@@ -76,13 +76,12 @@ def without_tags(html: Column) -> Column:
 
 def decoded(s: Column) -> Column:
     """Named entities and decimal ones, each once."""
-    numbers = F.regexp_extract_all(s, F.lit(r"&#(\d{1,7});"), F.lit(1))
-    between = F.split(s, r"&#\d{1,7};", -1)
-    shown = F.transform(numbers, lambda n: _character(n.cast("int")))
-    s = F.when(F.contains(s, F.lit("&#")), F.array_join(F.zip_with(between, shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(s)
-    for entity, value in NAMED.items():
-        s = F.replace(s, F.lit(entity), F.lit(value))
-    return s
+    pattern = "&#\\d{1,7};|" + "|".join(NAMED)
+    found, between = F.regexp_extract_all(s, F.lit(f"({pattern})"), F.lit(1)), F.split(s, pattern, -1)
+    named = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    shown = F.transform(found, lambda e: F.coalesce(F.try_element_at(named, e), _character(F.regexp_extract(e, r"^&#(\d+);$", 1).try_cast("int"))))
+    joined = F.array_join(F.zip_with(between, shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(F.contains(s, F.lit("&")), joined).otherwise(s)
 
 
 def _character(n: Column) -> Column:

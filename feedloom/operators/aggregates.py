@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Names of the statuses in statistics.
 STATUSES = {"unread": 0, "read": 3, "activated": 1, "liked": 2, "disliked": -1}
+# Names of main files, the first that exists is taken.
+MAIN_NAMES = ("main.tex", "paper.tex", "index.tex")
 
 
 def status_counts(articles: DataFrame) -> DataFrame:
@@ -67,11 +69,12 @@ def assembled_calls(deltas: DataFrame) -> DataFrame:
 
 
 def main_file(files: DataFrame) -> DataFrame:
-    """Of each archive the file that looks like a main file, else the longest, the first of equals."""
+    """Of each archive its main file: a common name first, else the longest, the first of equals; none without one."""
     from feedloom.functions.text import looks_like_main_tex
 
-    rank = F.struct(looks_like_main_tex(F.col("content")).cast("int").alias("m"), F.length("content").alias("n"), (-F.col("walk")).alias("w"))
-    return files.groupBy("archive").agg(F.max_by("path", rank).alias("path"))
+    common = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, reversed(MAIN_NAMES))), F.col("path")), F.lit(0)), F.lit(0))
+    rank = F.struct(common.alias("m"), F.length("content").alias("n"), (-F.col("walk")).alias("w"))
+    return files.where(looks_like_main_tex(F.col("content"))).groupBy("archive").agg(F.max_by("path", rank).alias("path"))
 
 
 def running_totals(messages: DataFrame, column: str) -> DataFrame:

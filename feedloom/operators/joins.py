@@ -25,7 +25,7 @@ def in_order(spark: SparkSession, table: DataFrame, ids: list[str]) -> DataFrame
 
 
 def with_abstracts(papers: DataFrame, abstracts: DataFrame) -> DataFrame:
-    side = abstracts.select("arxiv_id", F.col("abstract").alias("_abstract"))
+    side = abstracts.groupBy("arxiv_id").agg(F.max("abstract").alias("_abstract"))  # one row for a repeated key
     return papers.join(side, "arxiv_id", "left").withColumn("abstract", F.coalesce("_abstract", F.lit(""))).drop("_abstract")
 
 
@@ -42,7 +42,7 @@ def first_answer(keys: DataFrame, key: str, sources: list[tuple[str, DataFrame]]
     """``key, value, source`` of the first source that has a value for the key."""
     out = keys.select(key)
     for i, (_, table) in enumerate(sources):
-        out = out.join(table.select(key, F.col(value).alias(f"_{i}")), key, "left")
+        out = out.join(table.groupBy(key).agg(F.max(value).alias(f"_{i}")), key, "left")  # one row for a repeated key
     found = [F.when(F.col(f"_{i}").isNotNull(), F.lit(name)) for i, (name, _) in enumerate(sources)]
     return out.select(key, F.coalesce(*[F.col(f"_{i}") for i in range(len(sources))]).alias(value), F.coalesce(*found).alias("source"))
 

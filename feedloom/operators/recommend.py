@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.operators.store import clear_recommendations
+from feedloom.tables import materialized
 
 
 def slots(count: int, ratio: float) -> tuple[int, int]:
@@ -76,9 +77,11 @@ def feedback_label(status: Column, source: Column, rating: Column) -> Column:
 def in_batches(rows: DataFrame, size: int, *order: Column | str) -> DataFrame:
     """``rows`` with ``batch``, ``pos``: a global order without one task numbering all rows.
 
-    Rows are sorted over partitions; each partition's offset comes from the counts of those before.
+    Rows are sorted over partitions; each partition's offset comes from the counts of those before. The
+    sorted rows are written once: sorted anew, they might be cut into other partitions than were counted.
     """
     ordered = rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    ordered = materialized(ordered, "batches")
     counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.withColumn("_before", before)

@@ -13,11 +13,11 @@ from feedloom.functions.fit import OVERFLOW_BYTES, split_markdown
 from feedloom.functions.text import escaped_yaml, safe_filename
 from feedloom.operators.aggregates import ordered_text
 
-_MARK = re.compile(r"\{\{-?\s*(if\s+\.(\w+)|else|end|\.(\w+))\s*-?\}\}")
+_MARK = re.compile(r"\{\{-?\s*(if\s+\.?(\w+)|else|end|\.?(\w+))\s*-?\}\}")
 
 
 def rendered(template: str, values: dict[str, str]) -> str:
-    """``{{.X}}`` gives a value, ``{{if .X}}..{{else}}..{{end}}`` depends on whether X is empty."""
+    """``{{X}}`` or ``{{.X}}`` gives a value, ``{{if X}}..{{else}}..{{end}}`` depends on whether X is empty."""
     out, shown, at = [], [], 0
     for m in _MARK.finditer(template):
         if all(shown):

@@ -14,6 +14,13 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def last_of(rows: DataFrame, key: str, columns: list[str], order: list[Column] | None = None) -> DataFrame:
+    """``key`` and ``columns``, one row for each key: the last in ``order``, by default that of the greatest values."""
+    whole = F.struct(*[F.col(c) for c in columns])
+    by = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order or [])], *[F.col(c) for c in columns])
+    return rows.groupBy(key).agg(F.max_by(whole, by).alias("_last")).select(key, *[F.col(f"_last.{c}").alias(c) for c in columns])
+
+
 def insert_ignore(table: DataFrame, new: DataFrame, key: str, order: list[Column]) -> tuple[DataFrame, DataFrame]:
     """(next version, inserted rows): rows whose key is in the table are ignored."""
     inserted = first_wins(new.where(F.col(key).isNotNull()), [key], order).join(table.select(key), key, "left_anti")
@@ -37,15 +44,15 @@ def upsert_columns(table: DataFrame, new: DataFrame, key: str, columns: list[str
     return out.select(*keep)
 
 
-def update_scores(table: DataFrame, scores: DataFrame) -> DataFrame:
-    """``scores(id, score)``; ids that the table lacks are ignored."""
-    side = scores.select("id", F.col("score").alias("_score"))
+def update_scores(table: DataFrame, scores: DataFrame, order: list[Column] | None = None) -> DataFrame:
+    """``scores(id, score)``; ids that the table lacks are ignored, the last in ``order`` of several wins (:func:`last_of`)."""
+    side = last_of(scores, "id", ["score"], order).withColumnRenamed("score", "_score")
     return table.join(side, "id", "left").withColumn("score", F.coalesce("_score", "score")).drop("_score")
 
 
-def update_matched(table: DataFrame, new: DataFrame, columns: list[str], empty_is_null: bool = False) -> DataFrame:
-    """Overwrite ``columns`` of matched ids, with nulls too."""
-    side = new.select("id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in columns])
+def update_matched(table: DataFrame, new: DataFrame, columns: list[str], empty_is_null: bool = False, order: list[Column] | None = None) -> DataFrame:
+    """Overwrite ``columns`` of matched ids, with nulls too; the last in ``order`` of several wins (:func:`last_of`)."""
+    side = last_of(new, "id", columns, order).select("id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in columns])
     out = table.join(side, "id", "left")
     for c in columns:
         value = nonempty(F.col(f"_{c}")) if empty_is_null else F.col(f"_{c}")
@@ -90,11 +97,12 @@ def rated(papers: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]
     """(next version, rejected requests) of ``requests(id, title, rating, pin)``.
 
     A null field asks for nothing. A blank title or a rating outside 1..10 rejects the request; a
-    pin request turns the pin over. One request for an id.
+    pin request turns the pin over. Of several good requests for an id the one of the greatest values counts.
     """
     bad = (F.trim("title") == "") | ~F.col("rating").between(1, 10)
     judged = requests.withColumn("_bad", F.coalesce(bad, F.lit(False)))
-    side = judged.where("not _bad").select("id", F.trim("title").alias("_title"), F.col("rating").alias("_rating"), F.col("pin").alias("_pin"))
+    side = last_of(judged.where("not _bad"), "id", ["title", "rating", "pin"])
+    side = side.select("id", F.trim("title").alias("_title"), F.col("rating").alias("_rating"), F.col("pin").alias("_pin"))
     out = papers.join(side, "id", "left")
     out = out.withColumn("title", F.coalesce("_title", "title")).withColumn("rating", F.coalesce("_rating", "rating"))
     out = out.withColumn("pinned", F.when(F.coalesce("_pin", F.lit(False)), ~F.col("pinned")).otherwise(F.col("pinned")))

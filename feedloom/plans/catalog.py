@@ -388,10 +388,11 @@ def a12(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", fit.count_tables(F.col("text")).alias("tables"), fit.count_elements(F.col("text")).alias("elements"), fit.card_fits(F.col("text")).alias("fits"))
 
 
-@query("a13_main_file", with_messages("SELECT paper AS archive, arg_max(role || seq, (length(content), -seq)) AS path FROM messages GROUP BY 1"))
+@query("a13_main_file", with_messages("SELECT paper AS archive, arg_max(role || seq, (length(content), -seq)) AS path FROM messages WHERE role = 'assistant' GROUP BY 1"))
 def a13(spark, sf_dir):
     own = messages(spark, sf_dir).select(F.col("paper").alias("archive"), F.concat("role", F.col("seq").cast("string")).alias("path"), "content", F.col("seq").alias("walk"))
-    return aggregates.main_file(own)
+    head = F.when(F.col("path").startswith("assistant"), r"\documentclass{x}\begin{document}").otherwise("")
+    return aggregates.main_file(own.withColumn("content", F.concat(head, F.coalesce("content", F.lit("")))))
 
 
 # ---------------------------------------------------------------- ordered analytics
@@ -467,7 +468,7 @@ def w8(spark, sf_dir):
 
 @query("w10_batches", with_articles("SELECT id, row_number() OVER (ORDER BY created_at, id) - 1 AS pos, (row_number() OVER (ORDER BY created_at, id) - 1) // 10 AS batch FROM articles"))
 def w10(spark, sf_dir):
-    return recommend.in_batches(articles(spark, sf_dir).select("id", "created_at"), 10, F.col("created_at"), F.col("id")).select("id", "pos", "batch")
+    return recommend.in_batches(articles(spark, sf_dir), 10, F.col("created_at"), F.col("id")).select("id", "pos", "batch")
 
 
 @query("w11_page_of", with_articles("SELECT coalesce(max((r - 1) // 8 + 1), 1) AS page FROM (SELECT id, row_number() OVER (PARTITION BY recommend_date ORDER BY batch_order, id) AS r FROM articles WHERE recommend_date IS NOT NULL) WHERE id = '25'"))

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from feedloom.operators.aggregates import MAIN_NAMES
+
 _INPUT = re.compile(r"(?<!\\)\\(?:input|include)\s*\{([^{}]+)\}|(?<!\\)\\input\s+([^\s{}\\]+)")
 
 
@@ -36,12 +38,13 @@ def members(data: bytes) -> dict[str, str]:
 
 
 def main_file(files: dict[str, str]) -> str | None:
-    """The first file that looks like a main file, else the longest, the first of equals."""
+    """The main file: a common name first, then the longest that looks like one, else the longest, the first of equals."""
     tex = sorted(p for p in files if p.endswith(".tex"))
-    for path in tex:
-        if "\\documentclass" in files[path] and "\\begin{document}" in files[path]:
-            return path
-    return max(tex, key=lambda p: len(files[p]), default=None)
+    main = [p for p in tex if "\\documentclass" in files[p] and "\\begin{document}" in files[p]]
+    for name in MAIN_NAMES:
+        if name in main:
+            return name
+    return max(main or tex, key=lambda p: len(files[p]), default=None)
 
 
 def flattened(files: dict[str, str], path: str, seen: frozenset[str] = frozenset()) -> str:

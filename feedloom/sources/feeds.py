@@ -22,15 +22,17 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
 
 def items_of_texts(texts: DataFrame, xml: str = "body") -> DataFrame:
     """Raw items of whole feeds held in a column."""
-    pieces = texts.withColumn("item", F.explode(F.regexp_extract_all(xml, F.lit(r"(?s)(<item\b.*?</item>)"), F.lit(1))))
+    found = F.regexp_extract_all(xml, F.lit(r"(?s)(<item\b.*?</item>)"), F.lit(1))
+    pieces = texts.select("*", F.posexplode(found).alias("pos", "item"))
     tag = lambda t: trimmed(F.regexp_extract("item", rf"(?s)<{t}[^>]*>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{t}>", 1))
-    return pieces.select(*[c for c in texts.columns if c != xml], *[tag(f.name).alias(f.name) for f in ITEM])
+    return pieces.select(*[c for c in texts.columns if c != xml], "pos", *[tag(f.name).alias(f.name) for f in ITEM])
 
 
 def parsed(items: DataFrame, category: str) -> DataFrame:
     """``id, title, link, abstract, author, category, announce``: items without an id are dropped.
 
-    Only items announced as new or cross-listed stay. Empty texts become null.
+    Only items announced as new or cross-listed stay. Empty texts become null. The link is the canonical one of
+    the id; the place ``pos`` in the feed stays if there is one.
     """
     about = feed_description(F.col("description"))
     id_ = F.coalesce(nonempty(arxiv_id(F.col("link"))), nonempty(arxiv_id(F.col("title"))))
@@ -38,20 +40,21 @@ def parsed(items: DataFrame, category: str) -> DataFrame:
     rows = items.select(
         id_.alias("id"),
         clean_text(F.col("title")).alias("title"),
-        F.col("link"),
+        F.concat(F.lit("https://arxiv.org/abs/"), id_).alias("link"),
         nonempty(clean_text(about["abstract"])).alias("abstract"),
-        author.alias("author"),
+        nonempty(clean_text(author)).alias("author"),
         F.lit(category).alias("category"),
         about["announce"].alias("announce"),
+        *([F.col("pos")] if "pos" in items.columns else []),
     )
     return rows.where(F.col("id").isNotNull() & F.col("announce").isin("new", "cross"))
 
 
 def fetched(feeds: list[DataFrame], stored: DataFrame, most: int = 100) -> DataFrame:
-    """New rows of several parsed feeds: capped for each feed, the first feed wins, stored ids go."""
+    """New rows of several parsed feeds: the first of each feed (by ``pos``, else by id), the first feed wins, stored ids go."""
     capped = None
     for i, feed in enumerate(feeds):
-        rank = F.row_number().over(Window.partitionBy("category").orderBy("id"))
-        rows = feed.withColumn("_r", rank).where(F.col("_r") <= most).withColumn("_feed", F.lit(i))
+        rank = F.row_number().over(Window.partitionBy("category").orderBy(*[c for c in ("pos", "id") if c in feed.columns]))
+        rows = feed.withColumn("_r", rank).drop("pos").where(F.col("_r") <= most).withColumn("_feed", F.lit(i))
         capped = rows if capped is None else capped.unionByName(rows)
     return not_stored(first_wins(capped, ["id"], [F.col("_feed"), F.col("_r")]), stored).drop("_feed", "_r")

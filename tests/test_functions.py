@@ -175,3 +175,12 @@ def test_calendar(spark):
     second = days.where("day <> '2024-01-06'").withColumn("is_holiday", F.lit(False)).withColumn("name", F.lit(None).cast("string"))
     got = {str(r.day): (r.is_holiday, r.name, r.source) for r in calendar.holidays(days, [("one", first), ("two", second)]).collect()}
     assert got == {"2024-01-01": (True, "New Year", "one"), "2024-01-06": (True, "", "weekend"), "2024-01-08": (False, "", "two")}
+
+
+def test_entities_are_decoded_once(spark):
+    assert one(spark, html.decoded(F.col("s")), s="&#38;lt; &amp;lt; &amp;amp; &lt;b&gt; &#x27;") == "&lt; &lt; &amp; <b> '"
+
+
+def test_elements_are_lines_and_quarters_of_table_cells(spark):
+    text = "# a\n\ntext\nmore\n| a | b | c | d |\n```\n| x | y | z | w |\n\n```\n|"
+    assert one(spark, fit.count_elements(F.col("s")), s=text) == 3 + 2 + 3 + 1

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.operators import context, joins, logs, recommend, render, select, store
+from feedloom.operators import aggregates, context, joins, logs, recommend, render, select, store
 
 SCHEMA = "id string, title string, abstract string, score double, status int, created_at timestamp, recommend_date date, recommendation_type string, batch_order int, pushed_at timestamp, translated_title string, translated_abstract string"
 
@@ -166,3 +166,34 @@ def test_logs(spark, tmp_path):
     assert [r.id for r in logs.recent(lines, 2).collect()] == [3, 4]
     logs.write_daily(lines.select("ts", "line"), str(tmp_path / "log"), "Asia/Shanghai")
     assert str(spark.read.parquet(str(tmp_path / "log")).first().day) == "2024-01-02"
+
+
+def test_repeated_keys_of_a_side_do_not_repeat_rows(spark):
+    table = spark.createDataFrame([("1", 0.0, None, None), ("2", 0.5, None, None)], "id string, score double, hf_upvotes int, ax_net_votes int")
+    scores = spark.createDataFrame([("1", 0.3, 1), ("1", 0.2, 2), ("9", 1.0, 1)], "id string, score double, at int")
+    assert sorted((r.id, r.score) for r in store.update_scores(table, scores).collect()) == [("1", 0.3), ("2", 0.5)]
+    assert sorted((r.id, r.score) for r in store.update_scores(table, scores, [F.col("at")]).collect()) == [("1", 0.2), ("2", 0.5)]
+    votes = spark.createDataFrame([("1", 3, 4), ("1", 3, 5)], "id string, hf_upvotes int, ax_net_votes int")
+    assert store.update_matched(table, votes, ["hf_upvotes", "ax_net_votes"]).where("id = '1'").collect()[0][2:] == (3, 5)
+    papers = spark.createDataFrame([("1", "T", None, False)], "id string, title string, rating int, pinned boolean")
+    asked = spark.createDataFrame([("1", None, 7, None), ("1", None, 9, None)], "id string, title string, rating int, pin boolean")
+    assert [r.rating for r in store.rated(papers, asked)[0].collect()] == [9]
+
+
+def test_batches_of_wide_rows_keep_all_rows(spark):
+    rows = spark.range(3000).select(F.col("id").cast("string"), (F.col("id") % 7).alias("created_at"), F.repeat(F.lit("x"), 500).alias("abstract"), F.lit("t").alias("title"))
+    got = recommend.in_batches(rows.repartition(9), 10, F.desc("created_at"), F.col("id")).select("pos", "batch", "id", "created_at", "abstract").collect()
+    assert sorted(r.pos for r in got) == list(range(3000)) and all(r.batch == r.pos // 10 for r in got)
+    by = sorted(got, key=lambda r: r.pos)
+    assert [(r.created_at, r.id) for r in by] == sorted(((r.created_at, r.id) for r in got), key=lambda x: (-x[0], x[1]))
+
+
+def test_main_file_is_a_common_name_then_the_longest(spark):
+    head = r"\documentclass{x}\begin{document}"
+    files = [("a", "z.tex", head + "long long", 1), ("a", "paper.tex", head, 2), ("b", "x.tex", head, 1), ("b", "y.tex", head + "12", 2), ("b", "notes.tex", "n" * 99, 3), ("c", "n.tex", "none", 1)]
+    got = aggregates.main_file(spark.createDataFrame(files, "archive string, path string, content string, walk int"))
+    assert {r.archive: r.path for r in got.collect()} == {"a": "paper.tex", "b": "y.tex"}
+
+
+def test_template_variables_without_a_dot():
+    assert render.rendered("# {{Title}}{{if Tag}} [{{Tag}}]{{end}}", {"Title": "T"}) == "# T"
