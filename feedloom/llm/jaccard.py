@@ -529,11 +529,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         dropped(rows, found)
     dropped(shared, tokens, pairs, differences, prefix)
 
-    grouped = sized.join(nodes.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = grouped.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return grouped.join(least, "comp", "left").select(
-        "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")
-    )
+    grouped = sized.where("node is not null").join(nodes.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = grouped.groupBy("comp").agg(F.min("doc_id").alias("least"))
+    found = grouped.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    wordless = sized.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))  # no key to meet under
+    return found.unionByName(wordless)
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

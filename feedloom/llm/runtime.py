@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
         path = conf.get("spark.checkpoint.dir", None)
         if path:
             return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = os.path.join(tempfile.gettempdir(), "checkpoints")
     spark.conf.set("spark.checkpoint.dir", path)
     return path

@@ -106,3 +106,28 @@ def test_a_repeated_row_and_a_null_id_together(spark):
         got = jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
         assert sorted(str(r.doc_id) for r in got) == ["1", "1", "2", "None"]
         assert {r.component_id for r in got} == {1}
+
+
+def test_group_of_many_near_copies_with_insertions_and_deletions(spark):
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(500)]
+    pool, rows = [[r.choice(vocabulary) for _ in range(120)]], []
+    for i in range(250):
+        words = list(r.choice(pool))
+        for _ in range(r.choice([1, 3, 4, 5, 6, 8])):
+            at, kind = r.randrange(len(words)), r.random()
+            if kind < 0.6:
+                words[at] = r.choice(vocabulary)
+            elif kind < 0.9:
+                del words[at : at + r.choice([1, 1, 8])]
+            else:
+                words.insert(at, r.choice(vocabulary))
+        if r.random() < 0.3:
+            pool.append(words)
+        rows.append((i, " ".join(words), "en", "x"))
+    passage = [r.choice(vocabulary) for _ in range(60)]
+    for i in range(250, 350):
+        words = [r.choice(vocabulary) for _ in range(r.randrange(20, 60))]
+        rows.append((i, " ".join(words[:9] + passage + words[9:]), "en", "x"))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_components(spark.createDataFrame(rows, SCHEMA), 5, 80).collect()}
+    assert got == brute(rows, 5, 80)
