@@ -137,8 +137,8 @@ def _merge(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[head, 0], reach[last]], axis=1)
 
 
-def _found(shared, last: bool):
-    """Add the block's hits to the columns n_words, n_hit, items and spans; the last drops the text."""
+def _found(shared, drop_text: bool):
+    """Add the block's hits to the columns n_words, n_hit, items and spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, prefixes = shared.value
@@ -181,7 +181,7 @@ def _found(shared, last: bool):
                 "items": pa.array(items, pa.list_(pa.string())),
                 "spans": pa.array(spans, pa.binary()),
             }
-            if last:
+            if drop_text:
                 columns.pop("text")
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
@@ -197,13 +197,17 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> Da
     no windows. An item whose id is null hits but is not listed; items that share an id are listed
     once. Repeated documents are judged row by row. Empty tables give no hits or no rows.
     """
+    return _hits(docs.select("doc_id", "text"), benchmark, width, keep_text=False)
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, width: int, keep_text: bool) -> DataFrame:
+    """The columns of ``docs``, of which ``text`` may go, and ``n_words, n_hit, items, spans``."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
     found = docs.select(
-        "doc_id",
-        "text",
+        "*",
         F.lit(0).cast("long").alias("n_words"),
         F.lit(0).cast("long").alias("n_hit"),
         F.array().cast("array<string>").alias("items"),
@@ -218,9 +222,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> Da
             seen = docs.select("text").mapInArrow(_counted(known), "run int, i int, n long").groupBy("run", "i")
             for r in seen.agg(F.sum("n").alias("n")).collect():
                 counts[r.run][r.i] = r.n
-        last = b == blocks - 1
-        schema = found.drop("text").schema if last else found.schema
-        found = found.mapInArrow(_found(spark.sparkContext.broadcast((windows, windows.rarest(counts))), last), schema)
+        drop_text = b == blocks - 1 and not keep_text
+        schema = found.drop("text").schema if drop_text else found.schema
+        found = found.mapInArrow(_found(spark.sparkContext.broadcast((windows, windows.rarest(counts))), drop_text), schema)
     return found
 
 
@@ -232,8 +236,9 @@ def contaminated(n_hit, n_words):
 def clean_of_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
     """The documents that are not contaminated, with all their columns.
 
-    A document id of several rows goes if one of the rows is contaminated; rows without an id stay.
+    Each row is judged by its own text, also rows without an id and those that share one.
     """
-    hits = benchmark_hits(docs, benchmark, width)
-    gone = hits.where(contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    names = {c: c if c == "text" else f"own_{i}" for i, c in enumerate(docs.columns)}  # no clash with the counts
+    hits = _hits(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), benchmark, width, keep_text=True)
+    kept = hits.where(~contaminated(F.col("n_hit"), F.col("n_words")))
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -30,8 +30,6 @@ from feedloom.llm.wordhash import Words, mix, text_chunks
 
 #: The classifier is fitted on at most this many labelled rows, those of smallest hashed id.
 SAMPLE_ROWS = 20_000
-#: The most log-odds that the model keeps: those of the largest z.
-MODEL_TOKENS = 50_000
 MIN_Z = 3.0
 #: ... and at least these log-odds: a passage is made of words that are rare in clean text.
 MIN_ODDS = 1.5
@@ -137,7 +135,7 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segmented(shared):
-    """(toxic, n, scores): the scores of a training document's segments."""
+    """(h, toxic, n, scores): the scores of a training document's segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -152,35 +150,50 @@ def _segmented(shared):
                     sizes.append(int(words.bounds[i + 1] - words.bounds[i]))
                     scores.append([s for _, _, s in segments(places[own], odds[own], LOSS)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array(sizes, pa.int64()), pa.array(scores, pa.list_(pa.float64()))], names=["toxic", "n", "scores"]
+                [batch.column("h"), batch.column("toxic"), pa.array(sizes, pa.int64()), pa.array(scores, pa.list_(pa.float64()))],
+                names=["h", "toxic", "n", "scores"],
             )
 
     return run
 
 
+def _scored(model: Model, texts: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
+    """Score and significant passages of each text."""
+    score = np.full(len(texts), model.score(0.0, 0.0))
+    passages: list[list[dict]] = [[] for _ in range(len(texts))]
+    for first, _, data, offsets in text_chunks(texts, 1 << 19):
+        words = Words(data, offsets, LETTERS)
+        places, odds = model.hits(words.hash)
+        cut = np.searchsorted(places, words.bounds)
+        for i in np.flatnonzero(np.diff(cut)):
+            own = slice(cut[i], cut[i + 1])
+            n = int(words.bounds[i + 1] - words.bounds[i])
+            found = segments(places[own] - words.bounds[i], odds[own], LOSS)
+            score[first + i] = model.score(*model.evidence(found, n))
+            passages[first + i] = [{"begin": b, "end": e, "score": s} for b, e, s in found if model.significant(s, n)]
+    return score, passages
+
+
 def _judged(shared):
+    kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        empty = model.score(0.0, 0.0)
         for batch in batches:
-            score = np.full(batch.num_rows, empty)
-            passages: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for first, _, data, offsets in text_chunks(batch.column("text"), 1 << 19):
-                words = Words(data, offsets, LETTERS)
-                places, odds = model.hits(words.hash)
-                cut = np.searchsorted(places, words.bounds)
-                for i in np.flatnonzero(np.diff(cut)):
-                    own = slice(cut[i], cut[i + 1])
-                    n = int(words.bounds[i + 1] - words.bounds[i])
-                    found = segments(places[own] - words.bounds[i], odds[own], LOSS)
-                    score[first + i] = model.score(*model.evidence(found, n))
-                    passages[first + i] = [{"begin": b, "end": e, "score": s} for b, e, s in found if model.significant(s, n)]
-            kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+            score, passages = _scored(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array(passages, kind)], names=["doc_id", "score", "passages"])
 
     return run
 
 
+def _below(shared, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score, _ = _scored(shared.value, batch.column("text"))
+            yield batch.filter(pa.array(score < threshold))
+
+    return run
+
+
 def _rate(odds: np.ndarray, share: np.ndarray) -> float:
     """The positive lambda with ``sum p exp(lambda s) = 1`` for scores of clean text."""
     rest = 1 - share.sum()
@@ -210,13 +223,15 @@ def _curve(total: np.ndarray, largest: np.ndarray, toxic: np.ndarray) -> tuple[f
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on ``labels(doc_id, toxic)``; a document with several labels is toxic if one says so.
 
-    Rows without an id or a label are left out. If a class is missing nothing is toxic: score 0.
+    Rows without an id or a label are left out. If a class is missing nothing is toxic: score 0. Of
+    the documents that share a label's id all count for the log-odds, and one for the curve. All
+    tokens of the sample that pass the thresholds make the model.
     """
     spark = docs.sparkSession
     own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select(F.xxhash64("doc_id").alias("h"), "text", F.col("toxic").cast("long"))
-    learn, fit = rows.where("h % 5 <> 0").drop("h"), rows.where("h % 5 = 0").drop("h")
+    learn, fit = rows.where("h % 5 <> 0").drop("h"), rows.where("h % 5 = 0")
 
     seen = learn.mapInArrow(_seen, "token long, near long, toxic long").distinct().groupBy("token")
     seen = seen.agg(F.sum("toxic").alias("y"), F.sum(1 - F.col("toxic")).alias("x"))
@@ -228,12 +243,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     gain = odds("y", n.y) - odds("x", n.x)
     z = gain / F.sqrt(1 / (F.col("y") + prior) + 1 / (F.col("x") + prior))
     kept = seen.where(F.col("y") >= MIN_SEEN).select("token", "x", gain.alias("odds"), z.alias("z")).where((F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_ODDS))
-    kept = sorted(kept.orderBy(F.desc("z"), "token").limit(MODEL_TOKENS).collect(), key=lambda r: r.token % 2**64)
+    kept = sorted(kept.collect(), key=lambda r: r.token % 2**64)
     weights = np.array([r.odds for r in kept])
     share = np.array([(r.x + 0.5) / (n.x + 1) for r in kept])
     model = Model(np.array([r.token % 2**64 for r in kept], np.uint64), weights, _rate(weights, share))
 
-    found = fit.mapInArrow(_segmented(spark.sparkContext.broadcast(model)), "toxic long, n long, scores array<double>").collect()
+    found = fit.mapInArrow(_segmented(spark.sparkContext.broadcast(model)), "h long, toxic long, n long, scores array<double>")
+    # one row a label, however many documents share its id
+    found = [r.one for r in found.groupBy("h").agg(F.min(F.struct("toxic", "n", "scores")).alias("one")).collect()]
     clean = [r for r in found if not r.toxic]
     chance = [s for r in clean for s in r.scores]
     if not clean or len(clean) == len(found):
@@ -266,8 +283,7 @@ def held_out(doc_id):
 def not_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The documents that score below ``threshold``, with all their columns.
 
-    An id of several rows goes if one of them does; rows without an id stay.
+    Each row is judged by its own text, also rows without an id and those that share one.
     """
     model = train(docs, labels.where(~held_out(F.col("doc_id"))))
-    gone = toxicity(docs, model).where(F.col("score") >= threshold).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.mapInArrow(_below(docs.sparkSession.sparkContext.broadcast(model), threshold), docs.schema)

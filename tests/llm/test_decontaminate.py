@@ -73,7 +73,15 @@ def test_a_hit_over_two_windows_is_merged_and_clean_documents_stay(spark):
     assert (first.n_hit, first["items"], list(memoryview(first.spans).cast("q"))) == (20, ["7"], [1, 21])
     kept = clean_of_benchmark(d, b)
     assert kept.columns == ["doc_id", "text", "items", "n_words"]
-    assert sorted(r.doc_id for r in kept.collect()) == [2, 3]
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(1, "other row"), (2, "w0 w1 w2"), (3, "")]
+
+
+def test_rows_without_an_id_and_repeated_rows_are_judged_by_their_text(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(None, item, "a", "b"), (None, "clean", "a", "b"), (4, item, "a", "b"), (4, item, "a", "b"), (5, item * 3000, "a", "b")], DOCS)
+    kept = clean_of_benchmark(docs, spark.createDataFrame([(7, item, 1)], ITEMS))
+    assert [tuple(r) for r in kept.collect()] == [(None, "clean", "a", "b")]
+    assert clean_of_benchmark(docs.limit(0), spark.createDataFrame([], ITEMS)).collect() == []
 
 
 def test_empty_tables(spark):

@@ -72,6 +72,10 @@ def test_passages_and_the_filter(spark):
     kept = not_toxic(docs, labels)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {i for i in range(600) if i % 4}
+    vile = docs.where("doc_id = 0").first().text
+    odd = spark.createDataFrame([(None, vile, "a"), (None, "calm", "b"), (1, vile, "c"), (900, None, "d"), (901, "", "e")], docs.schema)
+    rest = not_toxic(docs.union(odd), labels).where("score <> 'x'")
+    assert sorted(r.score for r in rest.collect()) == ["b", "d", "e"]
 
 
 def test_nulls_and_empty_tables(spark):
