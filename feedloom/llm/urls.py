@@ -5,20 +5,20 @@ bounded sample of labelled URLs (those that a rule judges, unless labels are giv
 to ``CASE`` expressions, so the verdict is one projection over the scan, without a shuffle.
 
 Suffix statistics are the smoothed share of blocked URLs for each last label of the host, over the
-sample; the suffixes that the sample holds most often are kept.
+sample; they are joined as a broadcast table, which the sample bounds.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The trees are fitted on at most this many labelled URLs, those of smallest hash.
 SAMPLE_ROWS = 20_000
-SUFFIXES = 200
 TREES, DEPTH, BINS, RATE, RIDGE = 30, 3, 32, 0.3, 1.0
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -102,11 +102,10 @@ class Trees:
             total = total + tree(t)
         return total
 
-    def rate(self, suffix: Column) -> Column:
-        if not self.suffix:
-            return F.lit(self.base)
-        known = F.create_map(*[F.lit(x) for pair in self.suffix.items() for x in pair])
-        return F.coalesce(F.try_element_at(known, suffix), F.lit(self.base))
+    def rates(self, spark: SparkSession) -> DataFrame:
+        """``suffix, rate`` of the sample's suffixes, no more than ``SAMPLE_ROWS``."""
+        known = json.dumps([{"suffix": s, "rate": r} for s, r in sorted(self.suffix.items())])
+        return spark.range(1).select(F.inline(F.from_json(F.lit(known), "array<struct<suffix: string, rate: double>>")))
 
 
 def boosted(x: np.ndarray, y: np.ndarray, names: list[str]) -> tuple[float, list]:
@@ -160,8 +159,7 @@ def train(labelled: DataFrame) -> Trees:
     seen: dict[str, list[float]] = {}
     for r in rows:
         seen.setdefault(r.suffix, []).append(r.blocked)
-    kept = sorted(seen, key=lambda s: (-len(seen[s]), s))[:SUFFIXES]
-    rate = {s: (sum(seen[s]) + 10 * base) / (len(seen[s]) + 10) for s in kept}
+    rate = {s: (sum(own) + 10 * base) / (len(own) + 10) for s, own in seen.items()}
     names = [*columns, "suffix_rate"]
     x = np.array([[*(r[n] for n in columns), rate.get(r.suffix, base)] for r in rows])
     start, trees = boosted(x, y, names)
@@ -181,7 +179,8 @@ def judged(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = Non
     if labelled is None:
         labelled = rows.where("ruled is not null").select("url", (F.col("ruled") == "block").alias("blocked"))
     model = train(labelled)
-    lexical = features(F.col("url")) | {"suffix_rate": model.rate(suffix_of(F.col("host")))}
+    rows = rows.withColumn("suffix", suffix_of(F.col("host"))).join(F.broadcast(model.rates(pages.sparkSession)), "suffix", "left")
+    lexical = features(F.col("url")) | {"suffix_rate": F.coalesce("rate", F.lit(model.base))}
     rows = rows.withColumns({f"x_{n}": c for n, c in lexical.items()})
     own = F.when(model.log_odds({n: F.col(f"x_{n}") for n in lexical}) > 0, "block").otherwise("allow")
     return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"))
