@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.llm.runtime import dropped, written
+
 # Fixed values of the pattern scan.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 6
@@ -158,9 +160,10 @@ def _found(shared):
 
 def train(docs: DataFrame) -> Model:
     """Learn from a bounded sample of the distinct runs in ``docs``."""
-    runs = docs.select("text").mapInArrow(_sampled, "random boolean, run string").distinct()
+    runs = written(docs.select("text").mapInArrow(_sampled, "random boolean, run string").distinct(), "runs")
     order = [F.xxhash64("run"), "run"]
     sample = [[r.run for r in runs.where(F.col("random") == label).orderBy(*order).limit(SAMPLE_RUNS).collect()] for label in (True, False)]
+    dropped(runs)
     return fit(*sample)
 
 
