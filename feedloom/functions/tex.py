@@ -29,7 +29,15 @@ SYMBOLS = {
     "S": "§", "P": "¶", "copyright": "©", "pounds": "£", "euro": "€", "ss": "ß", "SS": "SS", "ae": "æ", "AE": "Æ",
     "oe": "œ", "OE": "Œ", "o": "ø", "O": "Ø", "l": "ł", "L": "Ł", "i": "ı", "j": "ȷ", "aa": "å", "AA": "Å",
     "quad": " ", "qquad": "  ", "textbackslash": "\\", "LaTeX": "LaTeX", "TeX": "TeX", "item": "- ",
+    "varepsilon": "ε", "vartheta": "θ", "omicron": "ο", "varpi": "π", "varrho": "ρ", "varsigma": "ς", "varphi": "φ",
+    "vdots": "⋮", "ddots": "⋱", "varnothing": "∅", "gets": "←", "uparrow": "↑", "downarrow": "↓", "mid": "∣",
+    "triangle": "△", "triangleq": "≜", "imath": "ı", "jmath": "ȷ",
+    "textless": "<", "textgreater": ">", "textbar": "|", "textdegree": "°",
 }
+#: Symbols that look otherwise within a formula.
+FORMULA_SYMBOLS = {"varpi": "ϖ", "varrho": "ϱ", "varphi": "ϕ"}
+#: Names of functions stand as they are.
+FUNCTION_NAMES = "sin cos tan log ln exp max min arg argmin argmax sup inf lim det tr rank".split()
 GREEK = (
     "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi chi psi omega "
     "Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Psi Omega"
@@ -41,6 +49,7 @@ PLAIN = {"text", "textrm", "textsf", "textsc", "mbox", "underline", "mathrm", "o
 DROPPED = {"label", "cite", "citep", "citet", "ref", "eqref", "autoref", "cref", "vspace", "hspace", "includegraphics", "bibliography", "bibliographystyle", "usepackage", "documentclass", "thanks", "pagestyle", "thispagestyle", "setlength", "newcommand", "renewcommand", "def", "input", "centering", "maketitle"}
 EQUATIONS = {"equation", "equation*", "align", "align*", "gather", "gather*", "multline", "multline*", "eqnarray", "eqnarray*", "displaymath"}
 
+SYMBOLS |= {_name: _name for _name in FUNCTION_NAMES}
 for _name in GREEK:
     _kind = "CAPITAL" if _name[0].isupper() else "SMALL"
     SYMBOLS[_name] = unicodedata.lookup(f"GREEK {_kind} LETTER {'LAMDA' if _name.lower() == 'lambda' else _name.upper()}")
@@ -211,7 +220,7 @@ def inline(s: str) -> str:
                 out.append(_accented(name, text))
             elif name in SYMBOLS:
                 out.append(SYMBOLS[name])
-                i += s[i : i + 1] == " " and name != "item"
+                i += s[i : i + 1] == " " and name != "item" and name not in FUNCTION_NAMES
             else:
                 i += s[i : i + 1] == " "
         else:
@@ -362,7 +371,7 @@ def _formula(s: str) -> str | None:
                 group, i = _group(s, i)
                 out.append(unicodedata.normalize("NFC", group + "̃"))
             elif name in SYMBOLS:
-                out.append(SYMBOLS[name])
+                out.append(FORMULA_SYMBOLS.get(name, SYMBOLS[name]))
             else:
                 return None
         elif c in "{}":

@@ -128,6 +128,8 @@ world \'e \"{u} \c{c} \infty \in \leq 50\%
         (r"$\subseteq\simeq\lambda$", "⊆≃λ"),
         (r"$\sqrt{ab}$ and $5", "√(ab) and $5"),
         (r"$中$", r"$中$"),
+        (r"$\varphi \gets \log n$", "ϕ ← log n"),
+        (r"$\argmax_i x \triangleq \vdots$", "argmaxᵢ x ≜ ⋮"),
     ],
 )
 def test_latex_to_unicode(given, want):
@@ -184,3 +186,7 @@ def test_entities_are_decoded_once(spark):
 def test_elements_are_lines_and_quarters_of_table_cells(spark):
     text = "# a\n\ntext\nmore\n| a | b | c | d |\n```\n| x | y | z | w |\n\n```\n|"
     assert one(spark, fit.count_elements(F.col("s")), s=text) == 3 + 2 + 3 + 1
+
+
+def test_text_symbols():
+    assert tex.tex_to_markdown(r"\begin{document}a \textless{} b, \varphi{} and \log x\end{document}").replace("{}", "").split() == "a < b, φ and log x".split()
