@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import nonempty, trimmed
+from feedloom.functions.text import clean_text, nonempty, trimmed
 
 # The forms of ids and of the hosts that serve them.
 NEW_ID = r"\d{4}\.\d{4,5}(?:v\d+)?"
@@ -35,7 +35,15 @@ def id_of_abs_url(url: Column) -> Column:
 
 
 def pdf_url(url: Column) -> Column:
-    return F.when(F.contains(url, F.lit("/abs/")), F.replace(url, F.lit("/abs/"), F.lit("/pdf/"))).otherwise(url)
+    """The document of an abstract page's link, with its extension; other links as they are."""
+    page = "https://arxiv.org/abs/"
+    own = F.substring(url, F.lit(len(page) + 1), F.length(url))
+    return F.when(F.startswith(url, F.lit(page)), F.concat(F.lit("https://arxiv.org/pdf/"), own, F.lit(".pdf"))).otherwise(url)
+
+
+def shown_pdf_url(url: Column) -> Column:
+    """As :func:`pdf_url` for the page of articles: either scheme, no extension."""
+    return F.regexp_replace(url, r"^https?://arxiv\.org/abs/", "https://arxiv.org/pdf/")
 
 
 def github_url(s: Column) -> Column:
@@ -56,24 +64,28 @@ def is_url(s: Column) -> Column:
 
 
 def is_file_path(s: Column) -> Column:
-    return s.rlike(r"^(?:/|~/|\./|\.\./)") | s.rlike(r"(?i)\.(?:txt|md|tex|pdf)$")
+    return s.rlike(r"^(?:/|\./|\.\./|~)")
 
 
 def is_variable_name(s: Column) -> Column:
-    return s.rlike(r"^[A-Z_][A-Z0-9_]*$")
+    """Two or more capitals and underscores."""
+    return s.rlike(r"^[A-Z_]{2,}\z")
 
 
 def feed_description(s: Column) -> Column:
-    """``struct<abstract, announce>`` of a feed item's description."""
+    """``struct<abstract, announce>`` of a feed item's description: a line about the item, then the abstract."""
+    s = clean_text(s)
+    first = F.substring_index(s, "\n", 1)
+    rest = trimmed(F.substring(s, F.length(first) + 2, F.length(s)))
     return F.struct(
-        trimmed(F.when(F.contains(s, F.lit("Abstract:")), F.substring_index(s, "Abstract:", -1)).otherwise(s)).alias("abstract"),
-        F.regexp_extract(s, r"Announce Type:\s*(\S+)", 1).alias("announce"),
+        trimmed(F.regexp_replace(rest, "^Abstract:", "")).alias("abstract"),
+        F.regexp_extract(first, r"Announce Type:\s*(\S+)", 1).alias("announce"),
     )
 
 
 def author_of_description(s: Column) -> Column:
-    line = F.split(s, "\n")[0]
-    return F.when(F.startswith(line, F.lit("Authors:")), trimmed(F.substring_index(line, "Authors:", -1))).otherwise("")
+    line = trimmed(F.substring_index(s, "\n", 1))
+    return F.when(F.startswith(line, F.lit("Authors:")), trimmed(F.regexp_replace(line, "^Authors:", ""))).otherwise("")
 
 
 def split_references(s: Column) -> Column:

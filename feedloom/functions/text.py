@@ -10,10 +10,15 @@ ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'"
 #: Characters that file names can't hold.
 UNSAFE = '/\\:*?"<>|'
 #: Marks of Markdown.
-MARKDOWN = ["# ", "## ", "### ", "**", "```", "- ", "* ", "> ", "](", "|"]
-TEX = ["\\documentclass", "\\begin{document}", "\\section", "\\title"]
-TOKEN_ERRORS = ["99991663", "99991664", "99991668", "token invalid", "invalid access token"]
-NETWORK_ERRORS = ["timeout", "connection reset", "connection refused", "EOF", "no such host", "TLS handshake"]
+MARKDOWN = ["```", "**", "~~", "`", "\n- ", "\n* ", "\n1. ", "\n# ", "---", "> "]
+#: Marks of TeX files, of main files, of errors of tokens and of the network.
+TEX = ["\\documentclass", "\\begin{document}", "\\section"]
+MAIN_TEX = ["\\documentclass", "\\documentstyle"]
+TOKEN_ERRORS = ["99991663", "invalid access token"]
+NETWORK_ERRORS = ["connection reset", "broken pipe", "i/o timeout", "connection refused"]
+#: What a URL can't hold (CJK marks, full-width forms and ideographs, too), and what it can't end in.
+URL_STOP = "\\s<>\"'()\u3000-\u303f\uff00-\uffef\u4e00-\u9fff"
+URL_END = ".,;:!?)"
 
 
 def trimmed(s: Column) -> Column:
@@ -30,10 +35,10 @@ def truncated(s: Column, n: int, mark: str = "...") -> Column:
     return F.when(F.char_length(s) > n, F.concat(F.substring(s, 1, n), F.lit(mark))).otherwise(s)
 
 
-def truncated_bytes(s: Column, n: int) -> Column:
-    """At most ``n`` bytes, ending at a code point (the cut never splits one)."""
+def truncated_bytes(s: Column, n: int, mark: str = "...") -> Column:
+    """At most ``n`` bytes, then ``mark`` if some were cut; the cut never splits a code point."""
     cut = F.make_valid_utf8(F.substring(F.encode(s, "UTF-8"), 1, n).cast("string"))
-    return F.when(F.octet_length(s) > n, F.regexp_replace(cut, "�+$", "")).otherwise(s)
+    return F.when(F.octet_length(s) > n, F.concat(F.regexp_replace(cut, "\ufffd+$", ""), F.lit(mark))).otherwise(s)
 
 
 def estimated_tokens(s: Column) -> Column:
@@ -65,20 +70,25 @@ def thousands(n: Column) -> Column:
 
 
 def short_authors(authors: Column) -> Column:
-    """Of more than five authors the first three and the last two."""
+    """Of more than five authors the first three and the last two; fewer stay as they are written."""
     names = F.transform(F.split(authors, ","), trimmed)
-    short = F.concat(F.array_join(F.slice(names, 1, 3), ", "), F.lit(", et. al., "), F.array_join(F.slice(names, -2, 2), ", "))
-    return F.when(F.size(names) > 5, short).otherwise(F.array_join(names, ", "))
+    short = F.concat(F.array_join(F.concat(F.slice(names, 1, 3), F.slice(names, -2, 2)), ", "), F.lit(", et. al."))
+    return F.when(F.size(names) > 5, short).otherwise(F.coalesce(authors, F.lit("")))
 
 
 def without_mentions(s: Column) -> Column:
-    return trimmed(F.regexp_replace(s, r"@_user_\d+", ""))
+    return trimmed(F.replace(F.regexp_replace(s, "@_user_[0-9]*", ""), F.lit("@_all"), F.lit("")))
 
 
 def masked(key: Column, shown: int = 4) -> Column:
-    """A key of which only the first and last characters show."""
-    dots = F.lit("****")
-    return F.when(F.length(key) <= 2 * shown, dots).otherwise(F.concat(F.substring(key, 1, shown), dots, F.substring(key, -shown, shown)))
+    """A key of which only the first and last characters show, and none of a short one."""
+    dots = F.lit("\u2022" * 4)
+    some = F.concat(F.substring(key, 1, shown), dots, F.substring(key, -shown, shown))
+    return F.when(key == "", "").when(F.length(key) <= 2 * shown, dots).otherwise(some)
+
+
+def key_prefix(key: Column, shown: int = 5) -> Column:
+    return F.when(F.length(key) < shown, "***").otherwise(F.substring(key, 1, shown))
 
 
 def paper_ref(session_id: Column, id_: Column) -> Column:
@@ -87,7 +97,8 @@ def paper_ref(session_id: Column, id_: Column) -> Column:
 
 
 def short_ref(ref: Column) -> Column:
-    return F.substring(ref, 1, 8)
+    """The first eight characters of a session id; other references are whole."""
+    return F.when(ref.rlike(r"^(?i:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})\z"), F.substring(ref, 1, 8)).otherwise(ref)
 
 
 def session_id(seed: Column) -> Column:
@@ -106,7 +117,7 @@ def looks_like_tex(s: Column) -> Column:
 
 
 def looks_like_main_tex(s: Column) -> Column:
-    return F.contains(s, F.lit("\\documentclass")) & F.contains(s, F.lit("\\begin{document}"))
+    return contains_any(s, MAIN_TEX)
 
 
 def has_markdown(s: Column) -> Column:
@@ -114,19 +125,45 @@ def has_markdown(s: Column) -> Column:
 
 
 def is_token_error(message: Column) -> Column:
-    return contains_any(message, TOKEN_ERRORS)
+    """In whatever case; no message is no error."""
+    return F.coalesce(contains_any(F.lower(message), TOKEN_ERRORS), F.lit(False))
 
 
 def is_network_error(message: Column) -> Column:
-    return contains_any(message, NETWORK_ERRORS)
+    return F.coalesce(contains_any(message, NETWORK_ERRORS), F.lit(False))
 
 
 def split_urls(s: Column) -> Column:
-    """URLs in a text, up to the first stop character; marks at their end don't belong to them."""
-    found = F.regexp_extract_all(s, F.lit(r"https?://[^\s<>\"'　-〿＀-￯一-鿿]+"), F.lit(0))
-    return F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?)\]]+$", ""))
+    """URLs in a text, up to the first stop character, and bare repository links after white space; marks at their end don't belong to them."""
+    name = "[A-Za-z0-9][A-Za-z0-9._-]*"
+    found = F.regexp_extract_all(s, F.lit(rf"(?i)\bhttps?://[^{URL_STOP}]+|(?:^|\s)github\.com/{name}/{name}"), F.lit(0))
+    return F.transform(found, lambda u: F.regexp_replace(trimmed(u), f"[{URL_END}]+$", ""))
+
+
+def with_scheme(url: Column) -> Column:
+    return F.when(url.rlike("(?i)^https?://"), url).otherwise(F.concat(F.lit("https://"), url))
+
+
+#: Displayed formulas first: what stands between two dollars or in brackets, then in one dollar or parentheses.
+_FORMULA = r"\$\$[\s\S]+?\$\$|\$[^$\n]+?\$|\\\[[\s\S]+?\\\]|\\\([\s\S]+?\\\)"
 
 
 def split_latex(s: Column) -> Column:
-    """The formulas ``$$..$$`` and ``$..$`` of a text, in order."""
-    return F.regexp_extract_all(s, F.lit(r"\$\$[^$]++\$\$|\$[^$\n]++\$"), F.lit(0))
+    """The formulas of a text, in order, with their marks."""
+    return F.regexp_extract_all(s, F.lit(_FORMULA), F.lit(0))
+
+
+def latex_tokens(s: Column) -> Column:
+    """``array<struct<math, display, content>>``: the pieces of a text, formulas without their marks."""
+    found = split_latex(s)
+
+    def formula(i: Column) -> Column:
+        own = F.get(found, i)
+        wide = F.startswith(own, F.lit("$$")) | F.startswith(own, F.lit("\\"))
+        inner = F.when(wide, F.substring(own, F.lit(3), F.length(own) - 4)).otherwise(F.substring(own, F.lit(2), F.length(own) - 2))
+        display = F.startswith(own, F.lit("$$")) | F.startswith(own, F.lit("\\["))
+        return F.struct(F.lit(True).alias("math"), display.alias("display"), inner.alias("content"))
+
+    plain = lambda p: F.struct(F.lit(False).alias("math"), F.lit(False).alias("display"), p.alias("content"))
+    every = F.flatten(F.transform(F.split(s, _FORMULA, -1), lambda p, i: F.array(plain(p), formula(i))))
+    return F.filter(every, lambda t: t["content"].isNotNull() & (t["math"] | (t["content"] != "")))

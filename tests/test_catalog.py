@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from feedloom.plans import catalog, relational  # noqa: F401
+from feedloom.plans import catalog, relational, scalars  # noqa: F401
 from feedloom.plans.fixtures import TABLES
 
 AT = "/root/testdata/sf0.001"

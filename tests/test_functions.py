@@ -70,15 +70,16 @@ def test_text_functions(spark):
     s = lambda f, v, *a: one(spark, f(F.col("s"), *a), s=v)
     assert s(text.clean_text, " <p>a &amp;lt; b&nbsp;</p>\n") == "a &lt; b"
     assert s(text.truncated, "日本語テキスト", 3) == "日本語..."
-    assert s(text.truncated_bytes, "日本", 4) == "日"
+    assert s(text.truncated_bytes, "日本", 4) == "日..."
     assert s(text.escaped_yaml, 'a"b\\') == 'a\\"b\\\\'
-    assert s(text.short_authors, "A, B, C, D, E, F") == "A, B, C, et. al., E, F"
+    assert s(text.short_authors, "A, B, C, D, E, F") == "A, B, C, E, F, et. al."
     assert s(text.short_authors, "A, B") == "A, B"
     assert s(text.without_mentions, "@_user_1 hi") == "hi"
-    assert s(text.masked, "abcdefghijkl") == "abcd****ijkl"
-    assert s(text.masked, "abc") == "****"
+    assert s(text.masked, "abcdefghijkl") == "abcd••••ijkl"
+    assert s(text.masked, "abc") == "••••"
+    assert s(text.masked, "") == ""
     assert s(text.split_urls, "see https://a.b/c, and http://x.y。z") == ["https://a.b/c", "http://x.y"]
-    assert s(text.split_latex, "a $x$ b $$y z$$") == ["$x$", "$$y z$$"]
+    assert s(text.split_latex, "a $x$ b $$y z$$ \\[w\\]") == ["$x$", "$$y z$$", "\\[w\\]"]
     assert s(text.has_markdown, "**b**") is True
     assert s(text.is_network_error, "read: connection reset") is True
     assert one(spark, text.paper_ref(F.col("a"), F.col("b")), a="", b=7) == "7"
