@@ -622,8 +622,8 @@ _GRID = "SELECT * FROM (VALUES (0), (3), (1), (2), (-1)) o(old), (VALUES (0), (3
 
 @query("x_status_merge", f"SELECT old, new, {_merge_sql('old', 'new')} AS merged, CASE WHEN {_RANK.format('new')} > {_RANK.format('old')} THEN new ELSE old END AS bulk FROM ({_GRID})")
 def merge_table(spark, sf_dir):
-    old, new = (spark.createDataFrame([(v,) for v in (0, 3, 1, 2, -1)], f"{n} int") for n in ("old", "new"))
-    return old.join(new, F.lit(True)).select("old", "new", merged_status(F.col("old"), F.col("new")).alias("merged"), merged_status_bulk(F.col("old"), F.col("new")).alias("bulk"))
+    grid = spark.createDataFrame([(o, n) for o in (0, 3, 1, 2, -1) for n in (0, 3, 1, 2, -1)], "old int, new int")
+    return grid.select("old", "new", merged_status(F.col("old"), F.col("new")).alias("merged"), merged_status_bulk(F.col("old"), F.col("new")).alias("bulk"))
 
 
 @query("m13_status_fold", f"SELECT user_id, CAST(list_reduce(list_prepend(0, list({_STATUS} ORDER BY ts, event_id)), lambda a, b: {_merge_sql('a', 'b')}) AS INT) AS status FROM events GROUP BY 1")
