@@ -50,6 +50,11 @@ def longer(length: int) -> int:
     return length + 1 if length < 4 else 2 * length
 
 
+def shorter(length: int) -> int:
+    """The length before."""
+    return length - 1 if length <= 4 else length // 2
+
+
 @cache
 def _codec() -> pa.Codec:
     return pa.Codec("zstd", compression_level=1)
@@ -164,6 +169,12 @@ class _Stream:
         return mix(context * _NEXT + self.hash[at])
 
 
+def _counted(stream: _Stream, place: np.ndarray, length: int, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is counted of contexts: the sorted keys of (context, symbol), and of contexts whose count isn't known; and the place of each there."""
+    context = stream.context(place, length)
+    return _distinct(np.concatenate([stream.next(context, place), mix(context[ask] + _ANY)]))
+
+
 def _state_of(block: int, state: dict[str, np.ndarray]) -> tuple[int, int, str, bytes]:
     return block, -1, "state", _packed(**state)
 
@@ -229,7 +240,7 @@ def _step(parts: int, k: int, length: int):
 
     Of a live place (a symbol whose longest suffix isn't known yet) the state has ``p``, its probability by
     retained contexts (left out while that is the root's), and of the context in test the count ``n`` of the
-    symbol, and the context's place among those asked; of those that were counted, places of the answers.
+    symbol. Which answer is a place's is worked out again from the symbols, as it would be half of the state.
     """
 
     def run(key, table):
@@ -248,18 +259,18 @@ def _step(parts: int, k: int, length: int):
 
         grow = np.ones(len(at), bool)
         if k > 1:  # the test of the contexts one step shorter
-            of = state.pop("of")
+            of = _distinct(stream.context(at, shorter(length)))[1]
             smooth = (state.pop("n") + WEIGHT * p) / (state.pop("support")[of] + WEIGHT)
             told = got["test"][of]
             p = np.where(told & 1, smooth, p)
             grow = told & 2 > 0
         if k > 0:  # the counts of the contexts of this length
             counted = np.unpackbits(state.pop("counted"), count=len(at)).astype(bool)
-            own, total = state.pop("next"), np.zeros(len(at), np.int64)
-            n = got["count"][own].astype(np.int64) if len(own) else np.zeros(0, np.int64)
-            support = state.pop("known_support").astype(np.int64)
+            total, support = np.zeros(len(at), np.int64), state.pop("known_support").astype(np.int64)
             ask = support == 0
-            support[ask] = got["count"][state.pop("any")] if ask.any() else state.pop("any")
+            of = _counted(stream, at[counted], length, ask)[1]
+            answer = got["count"][of].astype(np.int64) if len(of) else np.zeros(0, np.int64)
+            n, support[ask] = answer[: len(support)], answer[len(support) :]
             full = np.full(len(stream.place), -1, np.int64)
             full[at[counted]] = n
             count, total[counted] = np.zeros(len(at), np.int64), support
@@ -279,7 +290,7 @@ def _step(parts: int, k: int, length: int):
             rows += [(block, *x) for x in _asked(parts, "test", own, **tests)]
             of_support = np.zeros(len(own), np.int64)
             of_support[of] = support
-            state |= {"n": _small(n), "of": of, "support": _small(of_support)}
+            state |= {"n": _small(n), "support": _small(of_support)}
             if k > 1:
                 state["p"] = p.astype(np.float32)
                 state.pop("count", None)
@@ -302,14 +313,12 @@ def _step(parts: int, k: int, length: int):
                 at, p = at[counted], p[counted]
                 counted = np.ones(len(at), bool)
             place = at[counted]
-            context = stream.context(place, size)
             learn = stream.learn[stream.text[place]]
             ask = support == 0
-            keys = np.concatenate([stream.next(context, place), mix(context[ask] + _ANY)])
-            keys, of = _distinct(keys)
+            keys, of = _counted(stream, place, size, ask)
             n = np.bincount(of[np.concatenate([learn, learn[ask]])], minlength=len(keys))
             rows += [(block, *x) for x in _asked(parts, "count", keys, n=_small(n))]
-            state |= {"counted": np.packbits(counted), "next": of[: len(place)], "any": of[len(place) :], "known_support": _small(support)}
+            state |= {"counted": np.packbits(counted), "known_support": _small(support)}
         live = np.zeros(len(stream.place), bool)
         live[at] = True
         if len(at):
