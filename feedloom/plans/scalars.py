@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedloom.functions import calendar, ids, text
+from feedloom.functions import calendar, ids, tex, text
 from feedloom.operators import joins, logs, select
 from feedloom.plans.catalog import query
 from feedloom.plans.fixtures import chat_papers, table, with_papers
@@ -225,5 +225,38 @@ _AGO = "date_diff('day', CAST(ts AS DATE), (SELECT CAST(max(ts) AS DATE) - 2 FRO
 @query("c_relative_days", f"SELECT event_id, CASE WHEN {_AGO} <= 0 THEN 'today' WHEN {_AGO} = 1 THEN 'yesterday' WHEN {_AGO} < 7 THEN CAST({_AGO} AS STRING) || ' days ago' ELSE strftime(ts, '%Y-%m-%d') END AS shown FROM events")
 def relative_days(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    last = events.agg(F.date_sub(F.max(F.to_date("ts")), 2).alias("last"))  # one row
-    return events.join(F.broadcast(last)).select("event_id", calendar.relative_day(F.to_date("ts"), F.col("last")).alias("shown"))
+    last = events.agg(F.date_sub(F.max(F.to_date("ts")), 2)).first()[0]
+    return events.select("event_id", calendar.relative_day(F.to_date("ts"), F.lit(last)).alias("shown"))
+
+
+# ---------------------------------------------------------------- TeX
+
+_B = "chr(92)"
+_FORMULAS = f"{_PAGE} || ' let $' || {_B} || 'alpha^{{12}}$ and $x_{{1}} ' || {_B} || 'leq 7$ or $' || {_B} || 'unknown{{' || {_PAGE} || '}}$, $$' || {_B} || 'sum 7$$ $5'"
+
+
+@query("l8_unicode_formulas", f"SELECT page_id, {_PAGE} || ' let α¹² and x₁ ≤ 7 or $' || {_B} || 'unknown{{' || {_PAGE} || '}}$, ∑ 7 $5' AS text FROM pages")
+def l8(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tex.latex_to_unicode_udf(F.expr(_FORMULAS)).alias("text"))
+
+
+_TEX = " || chr(10) || ".join(
+    [
+        f"{_B} || 'documentclass{{a}}'",
+        f"{_B} || 'begin{{document}}'",
+        f"'% left out ' || {_PAGE}",
+        f"{_B} || 'section{{Part ' || {_PAGE} || '}}'",
+        f"'Some ' || {_B} || 'textbf{{bold ' || {_PAGE} || '}} and ' || {_B} || 'emph{{it}} $x_7$.'",
+        f"{_B} || 'begin{{itemize}}'",
+        f"{_B} || 'item one ' || {_PAGE}",
+        f"{_B} || 'item two'",
+        f"{_B} || 'end{{itemize}}'",
+        f"{_B} || 'end{{document}}'",
+        "'rest'",
+    ]
+)
+
+
+@query("l4_tex_markdown", f"SELECT page_id, '## Part ' || {_PAGE} || chr(10) || chr(10) || 'Some **bold ' || {_PAGE} || '** and *it* $x_7$.' || chr(10) || chr(10) || '- one ' || {_PAGE} || chr(10) || '- two' AS markdown FROM pages")
+def l4(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tex.tex_to_markdown_udf(F.expr(_TEX)).alias("markdown"))
