@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from feedloom.llm.ann import nearest
 from feedloom.llm.bpe import decode, encode
 from feedloom.llm.decontaminate import benchmark_hits, contaminated
+from feedloom.llm.fim import fill_in_middle, hash_groups, restored
 from feedloom.llm.jaccard import jaccard_components
+from feedloom.llm.linededup import ascii_lowered, deduplicated_lines
 from feedloom.llm.lm import lm_scores
+from feedloom.llm.merkle import folded, leaf_digest, manifest, proof_digest
 from feedloom.llm.pii import pseudonymised
 from feedloom.llm.secrets import secrets
 from feedloom.llm.secrets import train as train_secrets
@@ -108,6 +111,42 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = deduplicated_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"), least_docs=3, least_chars=20)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, kind, order = hash_groups(F.col("doc_id"))
+    cut = fill_in_middle(_read(spark, sf_dir, "documents").select("doc_id", "text"), a, b, plain=kind % 100 >= 90, spm=order % 100 < 20)
+    return cut.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    leaf = lambda text: leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, leaf(ascii_lowered(F.col("text"))))
+    leaves = docs.select("doc_id", "source", leaf(F.col("text")).alias("leaf"), altered.alias("altered"))
+    proven = manifest(leaves, "source", ["doc_id"]).withColumn("folded_root", folded(F.coalesce("altered", "leaf"), F.col("proof")))
+    return proven.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        proof_digest(F.col("proof")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
@@ -126,6 +165,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filters": op8_url_filters,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_token_counts": op10_token_counts,
+        "op11_line_dedup": op11_line_dedup,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_merkle_manifest": op13_merkle_manifest,
         "pipeline": pipeline,
     }
 
@@ -160,6 +202,65 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 
+_OP11_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS line FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+f AS (SELECT k.*, coalesce(k.doc_id <> r.holder, false) AS gone FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM f GROUP BY doc_id
+"""
+
+_OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || doc_id) AS h FROM documents),
+g AS (SELECT *, len(w) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+  CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:n], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def _op13_sql(levels: int = 6) -> str:
+    """One step a level, so groups have up to ``16 ** levels`` nodes."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf = lambda text: "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    bit = "list_reduce([xor(c, b)] || range(8), lambda r, k: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)"
+    crc = f"xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: {bit}), 4294967295)"
+    parts = [
+        f"leaves AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS start FROM documents)",
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves)",
+        "d0 AS (SELECT source AS k, place, leaf AS digest FROM placed)",
+    ]
+    for t in "dg":
+        for i in range(levels):
+            parts.append(f"{t}{i}s AS (SELECT *, count(*) OVER (PARTITION BY k) AS n, list(digest) OVER (PARTITION BY k, place // 16 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ds FROM {t}{i})")
+            parts.append(f"{t}{i + 1} AS (SELECT k, place // 16 AS place, CASE WHEN any_value(n) = 1 THEN any_value(digest) ELSE sha256(array_to_string(any_value(ds), '')) END AS digest FROM {t}{i}s GROUP BY ALL)")
+        if t == "d":
+            parts.append(f"sources AS (SELECT k AS source, digest, row_number() OVER (ORDER BY k NULLS FIRST) - 1 AS place FROM d{levels})")
+            parts.append("g0 AS (SELECT 0 AS k, place, digest FROM sources)")
+    parts.append("xd0 AS (SELECT doc_id, source, leaf, source AS k, place, start AS d, '' AS proof FROM placed)")
+    for t in "dg":
+        for i in range(levels):
+            left, right = "coalesce(array_to_string(ds[1:x.place % 16], ''), '')", "coalesce(array_to_string(ds[x.place % 16 + 2:], ''), '')"
+            parts.append(f"x{t}{i + 1} AS (SELECT x.* EXCLUDE (place, d, proof), x.place // 16 AS place, CASE WHEN n = 1 THEN d ELSE sha256({left} || d || {right}) END AS d, CASE WHEN n = 1 THEN proof ELSE proof || {left} || {right} END AS proof FROM x{t}{i} x JOIN {t}{i}s s ON x.k IS NOT DISTINCT FROM s.k AND x.place = s.place)")
+        if t == "d":
+            parts.append(f"xg0 AS (SELECT x.* EXCLUDE (k, place), s.digest AS subroot, s.place, 0 AS k FROM xd{levels} x JOIN sources s ON x.source IS NOT DISTINCT FROM s.source)")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, r.digest AS root, sha256(proof) AS proof_sha256, d AS folded_root, d = r.digest AS verified FROM xg{levels} x, g{levels} r"
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; the tests hold the others against brute force."""
-    return {"op1_ngram_jaccard_join": _OP1_SQL, "op7_benchmark_decontamination": _OP7_SQL}
+    return {
+        "op1_ngram_jaccard_join": _OP1_SQL,
+        "op7_benchmark_decontamination": _OP7_SQL,
+        "op11_line_dedup": _OP11_SQL,
+        "op12_fill_in_middle": _OP12_SQL,
+        "op13_merkle_manifest": _op13_sql(),
+    }
