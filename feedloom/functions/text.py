@@ -133,6 +133,16 @@ def is_network_error(message: Column) -> Column:
     return F.coalesce(contains_any(message, NETWORK_ERRORS), F.lit(False))
 
 
+def token_error(message: str) -> bool:
+    """As :func:`is_token_error`, of an exception's text."""
+    return any(mark in message.lower() for mark in TOKEN_ERRORS)
+
+
+def network_error(message: str) -> bool:
+    """As :func:`is_network_error`, of an exception's text."""
+    return any(mark in message for mark in NETWORK_ERRORS)
+
+
 def split_urls(s: Column) -> Column:
     """URLs in a text, up to the first stop character, and bare repository links after white space; marks at their end don't belong to them."""
     name = "[A-Za-z0-9][A-Za-z0-9._-]*"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -35,21 +36,27 @@ def latest_responses(responses: DataFrame) -> DataFrame:
     return responses.groupBy("view").agg(F.max_by("body", "request").alias("body"))
 
 
+def resolved(tools: dict[str, Tool], name: str | None, arguments: str | None) -> str:
+    """What a call of a tool gives; a missing or failing tool is told in words, so the model can go on."""
+    if name not in tools:
+        return f'Tool "{name or ""}" is not available in this session.'
+    try:
+        return tools[name](arguments)
+    except Exception as error:  # the round goes on
+        return f'Tool "{name}" execution failed: {error}'
+
+
 def dispatched(calls: DataFrame, tools: dict[str, Tool]) -> DataFrame:
     """``reply, id, content`` for the first call of each reply; a missing or failing tool is text."""
     first = calls.groupBy("reply").agg(F.min_by(F.struct("id", "name", "arguments"), "index").alias("c")).select("reply", "c.*")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for name, arguments in zip(frame["name"], frame["arguments"], strict=True):
-                try:
-                    out.append(tools[name](arguments) if name in tools else f"unknown tool: {name}")
-                except Exception as error:  # the model is told, the run goes on
-                    out.append(f"tool failed: {error}")
-            yield pd.DataFrame({"reply": frame["reply"], "id": frame["id"], "content": out})
-
-    return first.mapInPandas(run, f"reply {dict(calls.dtypes)['reply']}, id string, content string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("name").to_pylist(), batch.column("arguments").to_pylist(), strict=True)
+            out = pa.array([resolved(tools, name, arguments) for name, arguments in pairs], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("reply"), batch.column("id"), out], names=["reply", "id", "content"])
+
+    return first.mapInArrow(run, f"reply {dict(calls.dtypes)['reply']}, id string, content string")
 
 
 def answered(questions: DataFrame, answers: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once below ``spark.checkpoint.dir`` and read back, so that all readers see the same rows.
+def materialized(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written once below ``spark.checkpoint.dir`` (in folders by ``by``, if given) and read back, so that all
+    readers see the same rows.
 
     Without that setting a local session uses a temporary folder; a cluster session must set it.
     """
@@ -21,5 +22,5 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = os.path.join(tempfile.gettempdir(), "checkpoints")
     path = f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)

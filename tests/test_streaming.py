@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from feedloom.functions import text
 from feedloom.streaming import chat, jobs, status, windows
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
@@ -81,7 +82,7 @@ def test_events_replies_and_tools(spark):
         raise ValueError("no")
 
     got = {r.id: r.content for r in chat.dispatched(calls, {"up": str.upper, "bad": bad}).collect()}
-    assert got == {"1": "X", "3": "unknown tool: none", "4": "tool failed: no"}
+    assert got == {"1": "X", "3": 'Tool "none" is not available in this session.', "4": 'Tool "bad" execution failed: no'}
     latest = spark.createDataFrame([("v", 1, "old"), ("v", 2, "new")], "view string, request int, body string")
     assert chat.latest_responses(latest).first().body == "new"
     asked = spark.createDataFrame([("p", 0, 1, "q"), ("z", 0, 1, "q")], "paper string, last_round int, last_seq int, question string")
@@ -107,42 +108,52 @@ def test_schedule(spark):
     assert [r.slot for r in jobs.due_slots(ticks, ["08:00", "16:00"], done).collect()] == ["16:00"]
     flight = jobs.SingleFlight()
     assert flight.run(lambda: None)
+    assert flight.run(lambda: None)
     assert not [x for x in [flight.run(lambda: flight.run(lambda: None) and pytest.fail("ran twice"))] if not x]
 
 
-def test_drain_marks_only_what_was_sent(spark):
-    rows = spark.createDataFrame([(f"{i:03d}", "2024-01-01", i) for i in range(25)], "id string, recommend_date string, batch_order int")
-    seen = []
-
-    def sink(batch):
-        if len(seen) == 2:
-            raise OSError("down")
-        seen.append(batch)
-
-    assert jobs.drained(rows, sink, 10) == [f"{i:03d}" for i in range(20)]
-    assert jobs.drained(rows, lambda b: None, 10) == [f"{i:03d}" for i in range(25)]
-
-
 def test_retries():
     waits, calls = [], []
 
-    def failing(text, times):
+    def failing(error, times):
         calls.clear()
 
         def call():
             calls.append(1)
             if len(calls) <= times:
-                raise OSError(text)
+                raise error
             return "ok"
 
         return call
 
-    assert jobs.with_retries(failing("read timeout", 3), sleep=waits.append) == "ok"
+    assert jobs.with_retries(failing(OSError("i/o timeout"), 3), sleep=waits.append) == "ok"
     assert [round(w * 2) for w in waits] == [1, 2, 4]
+    assert all(0.5 * 2**i <= w <= 0.625 * 2**i for i, w in enumerate(waits))
+    assert jobs.with_retries(failing(TimeoutError("read timed out"), 1), sleep=waits.append) == "ok"
+    with pytest.raises(OSError, match="broken pipe"):
+        jobs.with_retries(failing(OSError("broken pipe"), 4), sleep=waits.append)
+    assert len(calls) == 4
     fresh = []
-    assert jobs.with_retries(failing("99991663", 1), refresh=lambda: fresh.append(1)) == "ok"
-    assert fresh == [1]
+    for text in ("code 99991663", "Invalid Access Token"):
+        assert jobs.with_retries(failing(OSError(text), 1), refresh=lambda: fresh.append(1)) == "ok"
+    assert fresh == [1, 1]
     with pytest.raises(OSError, match="99991663"):
-        jobs.with_retries(failing("99991663", 2))
+        jobs.with_retries(failing(OSError("99991663"), 2))
+
+    def no_refresh():
+        raise ValueError("no")
+
+    with pytest.raises(OSError, match="99991663"):
+        jobs.with_retries(failing(OSError("99991663"), 1), refresh=no_refresh)
+    assert len(calls) == 1
     with pytest.raises(OSError, match="other"):
-        jobs.with_retries(failing("other", 1))
+        jobs.with_retries(failing(OSError("other"), 1))
+    assert len(calls) == 1
+
+
+def test_errors_are_told_alike_in_columns_and_exceptions(spark):
+    texts = ["Invalid Access Token", "99991663 x", "connection reset by peer", "broken pipe", "i/o timeout", "connection refused", "Connection Reset", "no"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.is_token_error(F.col("t")).alias("a"), text.is_network_error(F.col("t")).alias("b")).collect()
+    assert [(r.a, r.b) for r in rows] == [(text.token_error(t), text.network_error(t)) for t in texts]
+    assert [r.a for r in rows].count(True) == 2
+    assert [r.b for r in rows].count(True) == 4
