@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.plans.catalog import query
 from feedloom.plans.fixtures import table
+from feedloom.sources import replies
 from feedloom.streaming.engine import folded_log
 
 
@@ -74,3 +75,36 @@ FROM m WINDOW w AS (PARTITION BY paper ORDER BY round, place)
 def m6_chat_log(spark, sf_dir):
     log = folded_log(chat_events(spark, sf_dir), CHAT_TOOLS, budget=700)
     return log.select("paper", "seq", "round", "role", "content", "token_count", "prompt_tokens", "completion_tokens", "cached_tokens", "skip_context", "call_name", "tool_call_id", "anchor")
+
+
+def reply_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns of ``conversations`` as the lines of streamed replies, ``reply, seq, line``.
+
+    A chunk for each line of text; where the length is even, a call in three deltas instead; then the usage, the
+    terminator (not where the length divides by seven) and a late chunk. Every third line is noise.
+    """
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").select(F.concat_ws("/", "conv_id", "turn").alias("reply"), "text", F.length("text").alias("size"))
+    data = lambda x: F.concat(F.lit("data: "), x)
+    delta = lambda **c: data(F.to_json(F.struct(F.array(F.struct(F.struct(*[v.alias(k) for k, v in c.items()]).alias("delta"))).alias("choices"))))
+    call = lambda **c: delta(tool_calls=F.array(F.struct(F.lit(0).alias("index"), *[v.alias(k) for k, v in c.items()])))
+    half = F.floor(F.col("size") / 2).cast("int")
+    part = lambda a, n: call(function=F.struct(F.substring("text", a, n).alias("arguments")))
+    calls = F.array(call(id=F.concat(F.lit("call-"), "reply"), type=F.lit("function"), function=F.struct(F.lit("look").alias("name"), F.lit("").alias("arguments"))), part(F.lit(1), half), part(half + 1, F.col("size")))
+    usage = data(F.to_json(F.struct(F.array().cast("array<string>").alias("choices"), F.struct(F.col("size").alias("prompt_tokens"), half.alias("completion_tokens"), (F.col("size") + half).alias("total_tokens"), F.struct(F.lit(2).alias("cached_tokens")).alias("prompt_tokens_details")).alias("usage"))))
+    chunks = F.transform(F.split("text", "(?<=\n)", -1), lambda x: delta(role=F.lit("assistant"), content=x))
+    late = F.array(F.when(F.col("size") % 7 != 0, F.lit("data: [DONE]")).otherwise(": no end"), F.when(F.col("size") % 7 != 0, delta(content=F.lit("late"))).otherwise(F.lit("data: {")))
+    noisy = F.flatten(F.transform(F.concat(F.when(F.col("size") % 2 == 0, calls).otherwise(chunks), F.array(usage), late), lambda x, i: F.when(i % 3 == 0, F.array(F.lit(": ping"), x)).otherwise(F.array(x))))
+    return turns.select("reply", F.posexplode(noisy).alias("seq", "line"))
+
+
+_TURNS = "SELECT conv_id || '/' || turn AS reply, text, length(text) AS size FROM conversations WHERE role = 'assistant'"
+
+
+@query("s13_streamed_replies", f"SELECT reply, CASE WHEN size % 2 = 0 THEN '' ELSE text END AS content, size % 7 <> 0 AS done, size AS prompt, size // 2 AS completion, size + size // 2 AS total, 2 AS cached FROM ({_TURNS})")
+def s13_streamed_replies(spark, sf_dir):
+    return replies.completed(replies.parsed_chunks(reply_lines(spark, sf_dir)))
+
+
+@query("s13_streamed_calls", f"SELECT reply, 0 AS \"index\", 'call-' || reply AS id, 'function' AS type, 'look' AS name, text AS arguments FROM ({_TURNS}) WHERE size % 2 = 0 AND size % 7 <> 0")
+def s13_streamed_calls(spark, sf_dir):
+    return replies.completed_calls(replies.parsed_chunks(reply_lines(spark, sf_dir)))

@@ -39,9 +39,8 @@ class RelayReader(DataSourceStreamReader):
 
     def __init__(self, options: dict[str, str], ask: Ask | None):
         self.url = options.get("url", "").rstrip("/")
-        self.most, self.part = int(options.get("lines_per_batch", 100_000)), int(options.get("lines_per_task", 10_000))
+        self.part = int(options.get("lines_per_task", 10_000))
         self.ask, self.begin = ask, int(options.get("begin", 0))
-        self.reached = self.begin
 
     def _asked(self, path: str) -> str:
         if self.ask:
@@ -53,11 +52,9 @@ class RelayReader(DataSourceStreamReader):
         return {"line": self.begin}
 
     def latestOffset(self) -> dict:
-        self.reached = min(int(self._asked("end")), self.reached + self.most)
-        return {"line": self.reached}
+        return {"line": int(self._asked("end"))}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        self.reached = max(self.reached, end["line"])  # after a restart
         return [Lines(a, min(a + self.part, end["line"])) for a in range(start["line"], end["line"], self.part)]
 
     def read(self, partition: Lines) -> Iterator[tuple]:
@@ -71,7 +68,7 @@ class RelayReader(DataSourceStreamReader):
 def register(spark: SparkSession, ask: Ask | None = None, name: str = "relay") -> None:
     """Make the stream format ``name`` known: rows ``seq, reply, line``; ``seq`` is the place in the relay's log.
 
-    Options: ``url`` of the relay; ``begin``, the first line; ``lines_per_batch`` and ``lines_per_task``.
+    Options: ``url`` of the relay; ``begin``, the first line; ``lines_per_task``. A batch is what the log has more.
     """
 
     class Relay(DataSource):
