@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.functions import fit
+from feedloom.operators import select
 from feedloom.plans.catalog import query
-from feedloom.plans.fixtures import table
+from feedloom.plans.fixtures import articles, table, with_articles
 from feedloom.sources import replies
+from feedloom.sources.lookup import looked_up
+from feedloom.streaming import memo
 from feedloom.streaming.engine import folded_log
 
 
@@ -108,3 +112,89 @@ def s13_streamed_replies(spark, sf_dir):
 @query("s13_streamed_calls", f"SELECT reply, 0 AS \"index\", 'call-' || reply AS id, 'function' AS type, 'look' AS name, text AS arguments FROM ({_TURNS}) WHERE size % 2 = 0 AND size % 7 <> 0")
 def s13_streamed_calls(spark, sf_dir):
     return replies.completed_calls(replies.parsed_chunks(reply_lines(spark, sf_dir)))
+
+
+def _hf_votes(id_: str) -> int:
+    if id_.endswith("3"):
+        raise OSError("not found")
+    return len(id_) % 7
+
+
+def _ax_votes(id_: str) -> int:
+    return int(id_) % 11 - 3
+
+
+#: Lookups of the queries: they give what a service would, and fail for some.
+VOTES = {"hf_upvotes": _hf_votes, "ax_net_votes": _ax_votes}
+
+
+@query("m9_looked_up_votes", "SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 10 <> 3 THEN length(CAST(doc_id AS VARCHAR)) % 7 END AS hf_upvotes, doc_id % 11 - 3 AS ax_net_votes FROM documents")
+def m9_looked_up_votes(spark, sf_dir):
+    return looked_up(articles(spark, sf_dir), VOTES, per_second=1e6, tasks=5)
+
+
+_ANEW_SQL = """
+WITH RECURSIVE e AS (SELECT user_id AS key, ts FROM events),
+f AS (SELECT key, min(ts) AS ts FROM e GROUP BY key
+  UNION ALL SELECT f.key, (SELECT min(e.ts) FROM e WHERE e.key = f.key AND e.ts >= f.ts + INTERVAL 24 HOURS) AS ts FROM f WHERE f.ts IS NOT NULL),
+n AS (SELECT e.*, row_number() OVER (PARTITION BY key, ts) AS k FROM e)
+SELECT n.key, n.ts, f.ts IS NOT NULL AND k = 1 AS fresh FROM n LEFT JOIN f ON f.key = n.key AND f.ts = n.ts
+"""
+
+
+@query("m10_asked_anew", _ANEW_SQL)
+def m10_asked_anew(spark, sf_dir):
+    """Users of ``events`` as keys that are asked for at the time of each event."""
+    asks = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    return memo.asked_anew(asks).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+_MARKED = """
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, list_transform(w, lambda l, i: CASE WHEN i % 9 IN (4, 5) THEN '| ' || substring(l, 1, 8) || ' | b | c | d | e |' WHEN i % 13 = 6 THEN '```' WHEN i % 17 = 3 THEN l || ' $x' WHEN i % 6 = 2 THEN ' ' ELSE l END) AS w FROM d)
+"""
+
+_FIT_SQL = (
+    _MARKED
+    + r"""
+, l AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, len(w) AS n, unnest(w) AS line FROM x),
+o AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS own FROM l),
+b AS (SELECT *, strlen(line) + 1 AS size, own LIKE '```%' AS fence, length(own) > 1 AND own LIKE '|%' AND own LIKE '%|' AS bar, regexp_matches(line, '^\s*\|.*\|\s*$') AS shown, length(own) - length(replace(own, '|', '')) AS bars, length(own) - length(replace(own, '$', '')) AS dollars FROM o),
+c AS (SELECT *, sum(fence::INT) OVER w % 2 = 1 AS code, (sum(fence::INT) OVER w - fence::INT) % 2 = 1 AS before, shown AND NOT coalesce(lag(shown) OVER w, false) AS begins FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT *, sum(size) OVER w AS stop, sum(CASE WHEN own = '' THEN 0 WHEN bar AND NOT before THEN (bars - 1) // 4 + 1 ELSE 1 END) OVER w AS elements, sum(begins::INT) OVER w AS tables, sum((NOT code AND dollars % 2 = 1)::INT) OVER w % 2 = 1 AS math FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT *, elements <= 30 AND tables <= 3 AS counted, elements <= 30 AND tables <= 3 AND stop <= 2000 AS fits FROM s),
+k AS (SELECT *, fits AND NOT code AND NOT bar AND NOT math AS safe, bool_and(fits) OVER (PARTITION BY doc_id ORDER BY i) AS so_far FROM f),
+g AS (SELECT doc_id, bool_and(CASE WHEN i = n THEN counted AND stop - 1 <= 2000 ELSE fits END) AS whole, max(stop) FILTER (safe AND own = '') AS blank, max(stop) FILTER (safe) AS safe,
+  max(stop) FILTER (fits) AS fit, count(*) FILTER (so_far) + 1 AS next FROM k GROUP BY doc_id),
+t AS (SELECT doc_id, array_to_string(w, chr(10)) AS text FROM x)
+SELECT doc_id, CASE WHEN whole THEN strlen(text) WHEN blank IS NOT NULL OR safe IS NOT NULL THEN coalesce(blank, safe)
+  WHEN (SELECT counted AND stop > 2000 FROM k WHERE k.doc_id = g.doc_id AND i = next) THEN 2000 ELSE coalesce(fit, 0) END AS cut_bytes, whole, sha256(text) AS text_sha256
+FROM t JOIN g USING (doc_id)
+"""
+)
+
+
+@query("fit_markdown", _FIT_SQL)
+def fit_markdown(spark, sf_dir):
+    """Where documents with tables, fences and formulas put into some of their lines are cut; a cut within a line
+    counts as the most bytes. Part and rest must give the text."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    row = lambda l: F.concat(F.lit("| "), F.substring(l, 1, 8), F.lit(" | b | c | d | e |"))
+    mark = lambda l, i: F.when(i % 9 == 4, row(l)).when(i % 9 == 5, row(l)).when(i % 13 == 6, "```").when(i % 17 == 3, F.concat(l, F.lit(" $x"))).when(i % 6 == 2, " ").otherwise(l)
+    marked = docs.select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), lambda l, i: mark(l, i + 1)), "\n").alias("text"))
+    cut = marked.withColumn("x", fit.fitted(F.col("text"), 2000, 30, 3))
+    size, none = F.octet_length("x.part"), F.col("x.part") == fit.TOO_LONG
+    within = ~F.endswith("x.part", F.lit("\n")) & (F.col("x.rest") != "") & ~none
+    return cut.select("doc_id", F.when(none, 0).when(within, 2000).otherwise(size).cast("long").alias("cut_bytes"), (F.col("x.rest") == "").alias("whole"), F.sha2(F.when(none, F.col("x.rest")).otherwise(F.concat("x.part", "x.rest")), 256).alias("text_sha256"))
+
+
+@query(
+    "f9_keyword_table",
+    with_articles("""SELECT id, title FROM articles a WHERE NOT EXISTS (
+  SELECT 1 FROM (SELECT DISTINCT lower(trim(array_to_string(string_split(text, ' ')[2:4], ' '))) AS k FROM benchmark) b
+  WHERE k <> '' AND (contains(lower(coalesce(title, '')), k) OR contains(lower(coalesce(abstract, '')), k)))"""),
+)
+def f9_keyword_table(spark, sf_dir):
+    """Articles in which no second to fourth word of a benchmark item occurs."""
+    words = table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("keyword"))
+    return select.without_keyword_table(articles(spark, sf_dir), words).select("id", "title")

@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from feedloom.functions.fit import split_bytes
@@ -15,6 +16,8 @@ from feedloom.operators.aggregates import ordered_text
 
 Tool = Callable[[str], str]
 CHUNK = "type string, content string"
+#: Processors with state of their own need this store.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def parsed_events(lines: DataFrame) -> DataFrame:
@@ -91,27 +94,59 @@ def chat_turns(events: DataFrame) -> DataFrame:
     return events.groupBy("paper").applyInPandasWithState(step, schema, "round int, question string", "append", GroupStateTimeout.NoTimeout)
 
 
-def patches(chunks: DataFrame, least: int = 200, most: int = 28_000) -> DataFrame:
-    """A stream of ``chunks(card, seq, text, last)`` to ``card, part, body`` patches.
+class CardPatches(StatefulProcessor):
+    """One card's parts. The state goes a while after the last chunk, or after the last word of a card without one."""
 
-    A patch goes out once ``least`` new bytes have come, or at the last chunk. A body that grows
-    over ``most`` bytes is split; its full parts are final and the rest goes on.
-    """
+    def __init__(self, least: int, most: int, timeout: int | None):
+        self.least, self.most, self.timeout = least, most, timeout
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        part, body, new = state.get if state.exists else (0, "", 0)
-        out = []
-        for _, c in pd.concat(list(frames)).sort_values("seq").iterrows():
-            body, new = body + c["text"], new + len(c["text"].encode())
-            if new >= least or c["last"]:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.card = handle.getValueState("card", "part int, body string, new int, closed boolean")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        part, body, new, closed = self.card.get() if self.card.exists() else (0, "", 0, False)
+        latest = None
+        for c in sorted(rows, key=lambda r: r["seq"]):
+            if closed:
+                break  # what comes after the last chunk has no card to go to
+            body, new, closed = body + c["text"], new + len(c["text"].encode()), c["last"]
+            if new >= self.least or closed:
                 new = 0
-                *full, body = split_bytes(body, most)
+                *full, body = split_bytes(body, self.most)
                 for text in full:
-                    out.append((key[0], part, text))
+                    yield Row(card=key[0], part=part, body=text)
                     part += 1
-                out.append((key[0], part, body))
-        state.update((part, body, new))
-        yield pd.DataFrame(out, columns=["card", "part", "body"])
+                yield Row(card=key[0], part=part, body=body)
+            if self.timeout:
+                latest = max(latest or c["ts"], c["ts"])
+        self.card.update((part, body, new, closed))
+        if latest:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(latest.timestamp() * 1000) + self.timeout)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        part, body, new, closed = self.card.get()
+        self.card.clear()
+        if new and not closed:
+            *full, body = split_bytes(body, self.most)
+            for i, text in enumerate([*full, body]):
+                yield Row(card=key[0], part=part + i, body=text)
+
+    def close(self) -> None:
+        pass
+
+
+def patches(chunks: DataFrame, least: int = 200, most: int = 28_000, timeout: int | None = None) -> DataFrame:
+    """A stream of ``chunks(card, seq, text, last)`` to ``card, part, body`` patches.
+
+    A patch goes out once ``least`` new bytes have come, or at the last chunk. A body that grows
+    over ``most`` bytes is split; its full parts are final and the rest goes on.
 
+    With ``timeout`` in milliseconds chunks need a time ``ts`` under a watermark. Once the watermark is that far past a
+    card's latest chunk, what has not gone out goes and the card is forgotten; without it, cards stay. The
+    session needs the state store named by ``STORE``.
+    """
     schema = f"card {dict(chunks.dtypes)['card']}, part int, body string"
-    return chunks.groupBy("card").applyInPandasWithState(step, schema, "part int, body string, new int", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("card").transformWithState(CardPatches(least, most, timeout), schema, "append", "eventTime" if timeout else "none")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from feedloom.operators.aggregates import ordered_text
-from feedloom.streaming.chat import dispatched, resolved
+from feedloom.streaming.chat import STORE, dispatched, resolved  # noqa: F401 - callers set the store
 
 Tool = Callable[[str], str]
 
@@ -37,8 +37,6 @@ LOG = """paper string, kind string, seq int, round int, role string, content str
     call_type string, call_name string, arguments string, tool_call_id string, reply string, anchor int"""
 _COLUMNS = [c.split()[0] for c in LOG.split(",")]
 _STATE = "round int, seq int, anchor int, pass int, next int, skip boolean, prompt long"
-#: The engine's state needs this store.
-STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 class ChatEngine(StatefulProcessor):
@@ -73,6 +71,8 @@ class ChatEngine(StatefulProcessor):
         state = self._get()
         if state["pass"]:
             yield from self._closed(key[0], state, partial=True)
+        if self._get()["pass"]:  # a question that waited
+            self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.timeout)
 
     def close(self) -> None:
         pass

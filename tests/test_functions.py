@@ -191,3 +191,58 @@ def test_elements_are_lines_and_quarters_of_table_cells(spark):
 
 def test_text_symbols():
     assert tex.tex_to_markdown(r"\begin{document}a \textless{} b, \varphi{} and \log x\end{document}").replace("{}", "").split() == "a < b, φ and log x".split()
+
+
+def _brute_fit(s, most, elements, tables):
+    """The longest prefix that fits, brought back to the last place where a card may end."""
+
+    def fits(x):
+        n = t = 0
+        code = before = False
+        for line in x.split("\n"):
+            own = line.strip(" \t\n\x0b\x0c\r")
+            bar = len(own) > 1 and own[0] == "|" and own[-1] == "|"
+            n += 0 if not own else (own.count("|") - 1) // 4 + 1 if bar and not code else 1
+            code ^= own.startswith("```")
+            t += bar and not before
+            before = bar
+        return len(x.encode()) <= most and n <= elements and t <= tables
+
+    if fits(s):
+        return s
+    lo = max(i for i in range(len(s) + 1) if fits(s[:i]) and all(fits(s[:j]) for j in range(i)))
+    code = table = math = False
+    at = best = last = 0
+    for line in s[:lo].split("\n")[:-1]:
+        at += len(line) + 1
+        own = line.strip(" \t\n\x0b\x0c\r")
+        code ^= own.startswith("```")
+        table = len(own) > 1 and own[0] == "|" and own[-1] == "|"
+        if not code and own.count("$") % 2:
+            math = not math
+        if not (code or table or math):
+            last = at
+            best = at if not own else best
+    return s[: best or last] or None
+
+
+def test_fitted_parts_end_where_cards_may(spark):
+    import random
+
+    r = random.Random(5)
+    kinds = ["", "  ", "text é", "| a | b |", "```", "x $y", "$z", "漢字" * 9, "w" * 40]
+    texts = ["\n".join(r.choice(kinds) for _ in range(r.randrange(1, 14))) for _ in range(150)] + ["", "é" * 70, "|" * 400 + "|", "a\nb"]
+    limits = (100, 6, 2)
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select("s", fit.fitted(F.col("s"), *limits).alias("x")).collect()
+    for row in rows:
+        part, rest = row.x
+        want = _brute_fit(row.s, *limits)
+        if part == fit.TOO_LONG:
+            assert rest == row.s
+            continue
+        assert part + rest == row.s
+        assert len(part.encode()) <= limits[0]
+        if want is not None:
+            assert part == want
+    assert sum(1 for row in rows if row.x.rest) > 60
+    assert spark.range(1).select(fit.fitted(F.lit(None).cast("string")).alias("x")).first().x is None

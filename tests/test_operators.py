@@ -197,3 +197,31 @@ def test_main_file_is_a_common_name_then_the_longest(spark):
 
 def test_template_variables_without_a_dot():
     assert render.rendered("# {{Title}}{{if Tag}} [{{Tag}}]{{end}}", {"Title": "T"}) == "# T"
+
+
+def test_keyword_table_equals_the_list_at_any_length_and_size(spark):
+    rows = [("1", "Deep Learning", "on graphs"), ("2", None, "ABC"), ("3", "x", None), ("4", None, None), ("5", "graph", "s on"), ("1", "other", "text"), (None, "graphs", ""), ("1", "Deep Learning", "on graphs")]
+    own = spark.createDataFrame(rows, "id string, title string, abstract string")
+    for words in (["graphs"], ["x"], ["bc", " "], ["ab", "ing o"], ["graphs on", "GRAPH"], [], ["zzz"], ["deep learning on"]):
+        table = spark.createDataFrame([(w,) for w in words], "keyword string")
+        got = sorted(map(str, select.without_keyword_table(own, table).collect()))
+        assert got == sorted(map(str, select.without_keywords(own, words).collect()))
+    assert select.without_keyword_table(own.limit(0), table).collect() == []
+
+
+def test_keyword_table_of_a_hundred_thousand(spark):
+    from feedloom.plans.fixtures import articles
+
+    at = "/root/testdata/sf0.001"
+    own = articles(spark, at)
+    words = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select(F.explode(F.split("text", r"[\\n.,]+")).alias("keyword")).where("length(trim(keyword)) > 25").distinct().limit(100_000)
+    assert words.count() > 80_000
+    gone = select.without_keyword_table(own, words)
+    kept = {r.id for r in gone.select("id").collect()}
+    texts = {r.id: [(x or "").lower() for x in (r.title, r.abstract)] for r in own.collect()}
+    lines = [r.keyword.strip().lower() for r in words.collect()]
+    some = set(lines[:2000])
+    hit = {i for i, t in texts.items() if any(w in x for x in t for w in some)}
+    assert kept.isdisjoint(hit)
+    part = select.without_keyword_table(own, spark.createDataFrame([(w,) for w in some], "keyword string"))
+    assert {r.id for r in part.select("id").collect()} == set(texts) - hit

@@ -61,6 +61,7 @@ def test_chat_turns_over_batches(spark, tmp_path):
 
 
 def test_patches_flush_by_size_and_split(spark, tmp_path):
+    spark.conf.set(*chat.STORE)
     rows = [{"card": "c", "seq": i, "text": "x" * 90 + "\n", "last": i == 9} for i in range(10)]
     source = stream(spark, tmp_path, [rows[:4], rows[4:]], "card string, seq int, text string, last boolean")
     got = drained(chat.patches(source, least=200, most=500), "patches", "append", tmp_path).collect()
@@ -70,6 +71,7 @@ def test_patches_flush_by_size_and_split(spark, tmp_path):
     assert "".join(final[p] for p in sorted(final)) == "".join(r["text"] for r in rows)
     assert all(len(b) <= 500 for b in final.values())
     assert len(got) < 10
+    spark.conf.unset(chat.STORE[0])
 
 
 def test_events_replies_and_tools(spark):
