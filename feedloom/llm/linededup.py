@@ -128,11 +128,12 @@ def deduplicated_lines(
         one_each = lines.where((F.col("batch") == i) & F.col("id").isNotNull()).select("id", *_KEY).distinct()
         runs.add(one_each.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("holder")))
 
-    repeated = runs.merged().where(F.col("n") >= least_docs).select(*_KEY, "holder")
+    # written first, so that both sides of the join are plain exchanges, whose hot keys Spark splits
+    repeated = written(runs.merged().where(F.col("n") >= least_docs).select(*_KEY, "holder"), "repeated")
+    runs.drop()
     out = lines.join(repeated, _KEY).where(~F.col("id").eqNullSafe(F.col("holder")))
     places = written(out.groupBy("id", "t").agg(F.sort_array(F.collect_set("pos")).alias("places")), "places")
-    runs.drop()
-    dropped(lines)
+    dropped(lines, repeated)
 
     rows = docs.select(F.struct("*").alias("row"), F.col(id_).alias("own_id"), F.xxhash64(text).alias("own_t"), F.split(F.coalesce(text, F.lit("")), "\n", -1).alias("lines"))
     met = rows.join(places, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_t") == F.col("t")), "left")
