@@ -36,14 +36,18 @@ BLOCKS = (
 
 
 def math_to_latex(html: Column) -> Column:
-    """``<math>`` elements become the TeX of their annotation, in ``$$`` if displayed."""
-    note = r'(?:(?!</math>).)*?<annotation[^>]*encoding="application/x-tex"[^>]*>((?:(?!</annotation>).)*+)</annotation>(?:(?!</math>).)*+</math>'
-    block = F.regexp_replace(html, r'(?is)<math[^>]*display="block"[^>]*>' + note, r"\$\$$1\$\$")
+    """``<math>`` elements become the trimmed TeX of their annotation: in ``$``, or if displayed in ``$$`` on lines of
+    their own. Those with an empty annotation go."""
+    before = r'(?:(?!</math>).)*?<annotation[^>]*encoding="application/x-tex"[^>]*>\s*'
+    after = r"\s*</annotation>(?:(?!</math>).)*+</math>"
+    note = before + r"((?:(?!\s*</annotation>).)++)" + after
+    some = F.regexp_replace(html, r"(?is)<math[^>]*>" + before + after, "")
+    block = F.regexp_replace(some, r'(?is)<math[^>]*display="?block[^>]*>' + note, "\n\\$\\$\n$1\n\\$\\$\n")
     return F.regexp_replace(block, r"(?is)<math[^>]*>" + note, r"\$$1\$")
 
 
 def html_title(html: Column) -> Column:
-    """The text of the first title element, else of the first h1; empty if there is neither."""
+    """The text of the document's heading, else of the title element; empty if there is neither."""
     named = F.regexp_extract(html, r"(?is)<h1[^>]*ltx_title_document[^>]*>(.*?)</h1>", 1)
     title = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
     text = F.coalesce(nonempty(named), nonempty(title), F.lit(""))

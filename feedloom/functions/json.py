@@ -29,9 +29,9 @@ def parsed_scores(s: Column) -> Column:
     return F.filter(clean, lambda x, i: ~F.array_contains(later(i), x["id"]))
 
 
-def exploded_scores(replies: DataFrame, reply: str = "reply") -> DataFrame:
-    """``id, score`` of all replies; a reply that can't be read gives no row."""
-    return replies.select(F.explode(parsed_scores(F.col(reply))).alias("x")).select("x.id", "x.score")
+def exploded_scores(replies: DataFrame, reply: str = "reply", *keep: str) -> DataFrame:
+    """``id, score`` of all replies, with the columns to ``keep``; a reply that can't be read gives no row."""
+    return replies.select(F.explode(parsed_scores(F.col(reply))).alias("x"), *keep).select("x.id", "x.score", *keep)
 
 
 def json_object(s: Column) -> Column:

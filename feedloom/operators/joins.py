@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import nonempty
+from feedloom.operators.store import last_of
 
 
 def not_stored(new: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
@@ -24,8 +25,9 @@ def in_order(spark: SparkSession, table: DataFrame, ids: list[str]) -> DataFrame
     return asked.join(table, "id").orderBy("pos")
 
 
-def with_abstracts(papers: DataFrame, abstracts: DataFrame) -> DataFrame:
-    side = abstracts.groupBy("arxiv_id").agg(F.max("abstract").alias("_abstract"))  # one row for a repeated key
+def with_abstracts(papers: DataFrame, abstracts: DataFrame, order: list[Column]) -> DataFrame:
+    """The last abstract in ``order`` of each paper's arXiv id, empty without one."""
+    side = last_of(abstracts.where("abstract is not null"), "arxiv_id", ["abstract"], order).withColumnRenamed("abstract", "_abstract")
     return papers.join(side, "arxiv_id", "left").withColumn("abstract", F.coalesce("_abstract", F.lit(""))).drop("_abstract")
 
 
@@ -38,11 +40,12 @@ def tool_results(messages: DataFrame) -> DataFrame:
     return calls.join(results, ["paper", "call_id"], "left")
 
 
-def first_answer(keys: DataFrame, key: str, sources: list[tuple[str, DataFrame]], value: str) -> DataFrame:
-    """``key, value, source`` of the first source that has a value for the key."""
+def first_answer(keys: DataFrame, key: str, sources: list[tuple[str, DataFrame]], value: str, order: list[Column]) -> DataFrame:
+    """``key, value, source`` of the first source that has a value for the key; in it, the last value in ``order``."""
     out = keys.select(key)
     for i, (_, table) in enumerate(sources):
-        out = out.join(table.groupBy(key).agg(F.max(value).alias(f"_{i}")), key, "left")  # one row for a repeated key
+        side = last_of(table.where(F.col(value).isNotNull()), key, [value], order).withColumnRenamed(value, f"_{i}")
+        out = out.join(side, key, "left")
     found = [F.when(F.col(f"_{i}").isNotNull(), F.lit(name)) for i, (name, _) in enumerate(sources)]
     return out.select(key, F.coalesce(*[F.col(f"_{i}") for i in range(len(sources))]).alias(value), F.coalesce(*found).alias("source"))
 

@@ -14,10 +14,10 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def last_of(rows: DataFrame, key: str, columns: list[str], order: list[Column] | None = None) -> DataFrame:
-    """``key`` and ``columns``, one row for each key: the last in ``order``, by default that of the greatest values."""
+def last_of(rows: DataFrame, key: str, columns: list[str], order: list[Column]) -> DataFrame:
+    """``key`` and ``columns``, one row for each key: the last in ``order``, of equals that of the greatest values."""
     whole = F.struct(*[F.col(c) for c in columns])
-    by = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order or [])], *[F.col(c) for c in columns])
+    by = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *[F.col(c) for c in columns])
     return rows.groupBy(key).agg(F.max_by(whole, by).alias("_last")).select(key, *[F.col(f"_last.{c}").alias(c) for c in columns])
 
 
@@ -44,13 +44,13 @@ def upsert_columns(table: DataFrame, new: DataFrame, key: str, columns: list[str
     return out.select(*keep)
 
 
-def update_scores(table: DataFrame, scores: DataFrame, order: list[Column] | None = None) -> DataFrame:
+def update_scores(table: DataFrame, scores: DataFrame, order: list[Column]) -> DataFrame:
     """``scores(id, score)``; ids that the table lacks are ignored, the last in ``order`` of several wins (:func:`last_of`)."""
     side = last_of(scores, "id", ["score"], order).withColumnRenamed("score", "_score")
     return table.join(side, "id", "left").withColumn("score", F.coalesce("_score", "score")).drop("_score")
 
 
-def update_matched(table: DataFrame, new: DataFrame, columns: list[str], empty_is_null: bool = False, order: list[Column] | None = None) -> DataFrame:
+def update_matched(table: DataFrame, new: DataFrame, columns: list[str], order: list[Column], empty_is_null: bool = False) -> DataFrame:
     """Overwrite ``columns`` of matched ids, with nulls too; the last in ``order`` of several wins (:func:`last_of`)."""
     side = last_of(new, "id", columns, order).select("id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in columns])
     out = table.join(side, "id", "left")
@@ -60,10 +60,10 @@ def update_matched(table: DataFrame, new: DataFrame, columns: list[str], empty_i
     return out.select(*table.columns)
 
 
-def update_votes(table: DataFrame, votes: DataFrame, at: Column) -> DataFrame:
+def update_votes(table: DataFrame, votes: DataFrame, at: Column, order: list[Column]) -> DataFrame:
     """Both vote columns of matched ids, a missing vote as null, with the time."""
-    stamped = votes.select("id", "hf_upvotes", "ax_net_votes", at.alias("votes_updated_at"))
-    return update_matched(table, stamped, ["hf_upvotes", "ax_net_votes", "votes_updated_at"])
+    stamped = votes.withColumn("votes_updated_at", at)
+    return update_matched(table, stamped, ["hf_upvotes", "ax_net_votes", "votes_updated_at"], order)
 
 
 def mark_pushed(table: DataFrame, ids: list[str], at: Column, most: int = 900) -> DataFrame:
@@ -93,17 +93,18 @@ def deleted(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys.select(key), key, "left_anti")
 
 
-def rated(papers: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(next version, rejected requests) of ``requests(id, title, rating, pin)``.
+def rated(papers: DataFrame, requests: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """(next version, rejected requests) of ``requests(id, title, rating, pin)``, which are done in ``order``.
 
-    A null field asks for nothing. A blank title or a rating outside 1..10 rejects the request; a
-    pin request turns the pin over. Of several good requests for an id the one of the greatest values counts.
+    A null field asks for nothing. A blank title or a rating outside 1..10 rejects the request. Of the good
+    requests for an id the last title and the last rating count, and each pin turns the pin over.
     """
     bad = (F.trim("title") == "") | ~F.col("rating").between(1, 10)
     judged = requests.withColumn("_bad", F.coalesce(bad, F.lit(False)))
-    side = last_of(judged.where("not _bad"), "id", ["title", "rating", "pin"])
-    side = side.select("id", F.trim("title").alias("_title"), F.col("rating").alias("_rating"), F.col("pin").alias("_pin"))
+    by = [c.alias(f"o{i}") for i, c in enumerate(order)]
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*by, F.col(c)))).alias(f"_{c}")
+    side = judged.where("not _bad").groupBy("id").agg(last("title"), last("rating"), (F.count_if("pin") % 2 == 1).alias("_turn"))
     out = papers.join(side, "id", "left")
-    out = out.withColumn("title", F.coalesce("_title", "title")).withColumn("rating", F.coalesce("_rating", "rating"))
-    out = out.withColumn("pinned", F.when(F.coalesce("_pin", F.lit(False)), ~F.col("pinned")).otherwise(F.col("pinned")))
+    out = out.withColumn("title", F.coalesce(F.trim("_title"), "title")).withColumn("rating", F.coalesce("_rating", "rating"))
+    out = out.withColumn("pinned", F.col("pinned") != F.coalesce("_turn", F.lit(False)))
     return out.select(*papers.columns), judged.where("_bad").drop("_bad")

@@ -78,22 +78,32 @@ def k3(spark, sf_dir):
     return store.upsert_columns(own, new, "arxiv_id", ["abstract"], [F.col("abstract")])
 
 
-@query("k4_update_scores", with_articles("SELECT a.id, coalesce(CAST(o.s AS DOUBLE), a.score) AS score FROM articles a LEFT JOIN (SELECT CAST(page_id AS VARCHAR) AS id, length(url) / 100.0 AS s FROM pages) o USING (id)"))
+def _twice(first: DataFrame, again: DataFrame) -> DataFrame:
+    """Two rounds of updates in one table; ``at`` tells which came first."""
+    return again.withColumn("at", F.lit(2)).unionByName(first.withColumn("at", F.lit(1)))
+
+
+@query("k4_update_scores", with_articles("SELECT a.id, coalesce(CAST(o.s AS DOUBLE), a.score) AS score FROM articles a LEFT JOIN (SELECT CAST(page_id AS VARCHAR) AS id, CASE WHEN length(url) % 2 = 0 THEN 0.125 ELSE length(url) / 100.0 END AS s FROM pages) o USING (id)"))
 def k4(spark, sf_dir):
-    scores = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), (F.length("url") / 100.0).alias("score"))
-    return store.update_scores(articles(spark, sf_dir), scores).select("id", "score")
+    pages_ = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), "url", (F.length("url") / 100.0).alias("score"))
+    scores = _twice(pages_, pages_.where("length(url) % 2 = 0").withColumn("score", F.lit(0.125)))
+    return store.update_scores(articles(spark, sf_dir), scores, [F.col("at")]).select("id", "score")
 
 
-@query("k5_update_translations", with_articles("SELECT a.id, CASE WHEN l.doc_id IS NOT NULL THEN nullif(repeat('x', l.quality), '') ELSE a.translated_title END AS translated_title FROM articles a LEFT JOIN labels l ON a.id = CAST(l.doc_id AS VARCHAR)"))
+@query("k5_update_translations", with_articles("SELECT a.id, CASE WHEN l.toxic = 1 THEN NULL WHEN l.doc_id IS NOT NULL THEN nullif(repeat('x', l.quality), '') ELSE a.translated_title END AS translated_title FROM articles a LEFT JOIN labels l ON a.id = CAST(l.doc_id AS VARCHAR)"))
 def k5(spark, sf_dir):
-    new = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), F.expr("repeat('x', quality)").alias("translated_title"))
-    return store.update_matched(articles(spark, sf_dir), new, ["translated_title"], empty_is_null=True).select("id", "translated_title")
+    new = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), "toxic", F.expr("repeat('x', quality)").alias("translated_title"))
+    new = _twice(new, new.where("toxic = 1").withColumn("translated_title", F.lit("")))
+    return store.update_matched(articles(spark, sf_dir), new, ["translated_title"], [F.col("at")], empty_is_null=True).select("id", "translated_title")
 
 
-@query("k6_update_votes", with_articles("SELECT a.id, CASE WHEN l.doc_id IS NOT NULL THEN nullif(l.toxic, 0) ELSE a.hf_upvotes END AS hf_upvotes, CASE WHEN l.doc_id IS NOT NULL THEN NULL ELSE a.ax_net_votes END AS ax_net_votes, CASE WHEN l.doc_id IS NOT NULL THEN TIMESTAMP '2024-01-31 12:00:00' ELSE a.votes_updated_at END AS votes_updated_at FROM articles a LEFT JOIN labels l ON a.id = CAST(l.doc_id AS VARCHAR)"))
+@query("k6_update_votes", with_articles("SELECT a.id, CASE WHEN l.quality = 1 THEN NULL WHEN l.doc_id IS NOT NULL THEN nullif(l.toxic, 0) ELSE a.hf_upvotes END AS hf_upvotes, CASE WHEN l.quality = 1 THEN l.toxic - 4 WHEN l.doc_id IS NOT NULL THEN NULL ELSE a.ax_net_votes END AS ax_net_votes, CASE WHEN l.doc_id IS NOT NULL THEN TIMESTAMP '2024-01-31 12:00:00' ELSE a.votes_updated_at END AS votes_updated_at FROM articles a LEFT JOIN labels l ON a.id = CAST(l.doc_id AS VARCHAR)"))
 def k6(spark, sf_dir):
-    votes = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), F.nullif("toxic", F.lit(0)).alias("hf_upvotes"), F.lit(None).cast("int").alias("ax_net_votes"))
-    return store.update_votes(articles(spark, sf_dir), votes, _as_of()).select("id", "hf_upvotes", "ax_net_votes", "votes_updated_at")
+    labels = table(spark, sf_dir, "labels").withColumn("id", F.col("doc_id").cast("string"))
+    none = F.lit(None).cast("int")
+    first = labels.select("id", F.nullif("toxic", F.lit(0)).cast("int").alias("hf_upvotes"), none.alias("ax_net_votes"))
+    again = labels.where("quality = 1").select("id", none.alias("hf_upvotes"), (F.col("toxic") - 4).cast("int").alias("ax_net_votes"))
+    return store.update_votes(articles(spark, sf_dir), _twice(first, again), _as_of(), [F.col("at")]).select("id", "hf_upvotes", "ax_net_votes", "votes_updated_at")
 
 
 @query("k7_mark_pushed", with_articles("SELECT id, CASE WHEN status = 2 THEN TIMESTAMP '2024-01-31 12:00:00' ELSE pushed_at END AS pushed_at FROM articles"))
@@ -118,11 +128,18 @@ def k11(spark, sf_dir):
     return store.deleted(chat_papers(spark, sf_dir), keys, "arxiv_id").select("id")
 
 
-@query("k17_rate_papers", with_papers("SELECT id, CASE WHEN length(title) // 3 BETWEEN 1 AND 10 THEN length(title) // 3 ELSE rating END AS rating, CASE WHEN length(title) // 3 BETWEEN 1 AND 10 THEN true ELSE false END AS pinned FROM papers"))
+_K17_SQL = """SELECT id, CASE WHEN n % 3 = 0 THEN 'New' ELSE title END AS title, CASE WHEN n % 2 = 0 THEN 5 WHEN good THEN n // 3 ELSE rating END AS rating, (good::INT + (n % 2 = 0)::INT) % 2 = 1 AS pinned
+FROM (SELECT *, length(title) AS n, length(title) // 3 BETWEEN 1 AND 10 AS good FROM papers)"""
+
+
+@query("k17_rate_papers", with_papers(_K17_SQL))
 def k17(spark, sf_dir):
-    own = chat_papers(spark, sf_dir).withColumn("pinned", F.lit(False))
-    asked = own.select("id", F.lit(None).cast("string").alias("title"), F.expr("cast(length(title) div 3 as int)").alias("rating"), F.lit(True).alias("pin"))
-    return store.rated(own, asked)[0].select("id", "rating", "pinned")
+    """Three requests for a paper, not in the order in which they came: a rating and a pin, both again, a title."""
+    own = chat_papers(spark, sf_dir).withColumn("pinned", F.lit(False)).withColumn("n", F.length("title"))
+    ask = lambda at, title, rating, pin: own.select("id", "n", F.lit(at).alias("at"), title.cast("string").alias("title"), rating.cast("int").alias("rating"), F.lit(pin).alias("pin"))
+    none = F.lit(None)
+    asked = ask(3, F.lit(" New "), none, None).where("n % 3 = 0").unionByName(ask(2, none, F.lit(5), True).where("n % 2 = 0")).unionByName(ask(1, none, F.floor(F.col("n") / 3), True))
+    return store.rated(own, asked, [F.col("at")])[0].select("id", "title", "rating", "pinned")
 
 
 # ---------------------------------------------------------------- filters, orders, pages
@@ -199,9 +216,16 @@ def f15(spark, sf_dir):
     return articles(spark, sf_dir).select("id", "title", "abstract")
 
 
-@query("f16_responses")
+_F16_SQL = """SELECT id, title, abstract, score, status, strftime(recommend_date, '%Y-%m-%d') AS recommend_date,
+  (SELECT count(v) FROM unnest([id, title, link, abstract, author, category, comment, status::VARCHAR, score::VARCHAR, hf_upvotes::VARCHAR, ax_net_votes::VARCHAR, votes_updated_at::VARCHAR, pushed_at::VARCHAR, recommend_date::VARCHAR, batch_order::VARCHAR, recommendation_type, translated_title, translated_abstract]) x(v)) AS fields FROM articles"""
+
+
+@query("f16_responses", with_articles(_F16_SQL))
 def f16(spark, sf_dir):
-    return select.responses(articles(spark, sf_dir).drop("created_at"))
+    """The responses, read again."""
+    body = select.responses(articles(spark, sf_dir).drop("created_at"))
+    back = body.select(F.from_json("body", "id string, title string, abstract string, score double, status int, recommend_date string").alias("x"), F.size(F.json_object_keys("body")).cast("long").alias("fields"))
+    return back.select("x.*", "fields")
 
 
 @query("f17_shown_title", with_articles("SELECT id, coalesce(nullif(translated_title, ''), title) AS title, coalesce(nullif(translated_abstract, ''), abstract) AS abstract FROM articles"))
@@ -209,10 +233,13 @@ def f17(spark, sf_dir):
     return select.shown_title(articles(spark, sf_dir)).select("id", "title", "abstract")
 
 
-@query("f12_visible_messages", "SELECT conv_id AS paper, count(*) FILTER (role <> 'system') AS n FROM conversations GROUP BY 1")
+@query("f12_visible_messages", "SELECT conv_id AS paper, count(*) FILTER (role <> 'system' AND NOT (role = 'assistant' AND length(text) % 2 = 0)) AS n FROM conversations GROUP BY 1")
 def f12(spark, sf_dir):
-    none = F.array().cast("array<struct<id: string>>")
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("paper"), F.struct(F.when(F.col("role") == "system", "tool").otherwise(F.col("role")).alias("role"), F.col("text").alias("content"), none.alias("tool_calls")).alias("m"))
+    """System turns as tool rows; assistant turns of an even length as blank calls of a tool, every third as a call with words."""
+    turns, size = table(spark, sf_dir, "conversations"), F.length("text")
+    blank = (F.col("role") == "assistant") & (size % 2 == 0)
+    calls = F.when(blank | (size % 3 == 0), F.array(F.struct(F.lit("c").alias("id")))).otherwise(F.array().cast("array<struct<id: string>>"))
+    rows = turns.select(F.col("conv_id").alias("paper"), F.struct(F.when(F.col("role") == "system", "tool").otherwise(F.col("role")).alias("role"), F.when(blank, " ").otherwise(F.col("text")).alias("content"), calls.alias("tool_calls")).alias("m"))
     return rows.groupBy("paper").agg(F.size(select.visible_messages(F.collect_list("m"))).cast("long").alias("n"))
 
 
@@ -290,18 +317,20 @@ def j3(spark, sf_dir):
     return joins.in_order(spark, articles(spark, sf_dir), ["7", "3", "none", "7"]).select("pos", "id", "title")
 
 
-@query("j4_with_abstracts", with_both("SELECT p.id, coalesce(a.abstract, '') AS abstract FROM papers p LEFT JOIN articles a ON p.arxiv_id = a.id"))
+@query("j4_with_abstracts", with_both("SELECT p.id, CASE WHEN a.category = 'de' THEN 'later' ELSE coalesce(a.abstract, '') END AS abstract FROM papers p LEFT JOIN articles a ON p.arxiv_id = a.id"))
 def j4(spark, sf_dir):
-    side = articles(spark, sf_dir).select(F.col("id").alias("arxiv_id"), "abstract")
-    return joins.with_abstracts(chat_papers(spark, sf_dir), side).select("id", "abstract")
+    side = articles(spark, sf_dir).select(F.col("id").alias("arxiv_id"), "abstract", "category")
+    side = _twice(side, side.where("category = 'de'").withColumn("abstract", F.lit("later")))
+    return joins.with_abstracts(chat_papers(spark, sf_dir), side, [F.col("at")]).select("id", "abstract")
 
 
-@query("j8_first_answer", "SELECT d.doc_id, coalesce(l.quality, p.n, c.n) AS v, CASE WHEN l.quality IS NOT NULL THEN 'labels' WHEN p.n IS NOT NULL THEN 'pages' WHEN c.n IS NOT NULL THEN 'chat' END AS source FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN (SELECT page_id AS doc_id, CAST(length(url) AS INT) AS n FROM pages) p USING (doc_id) LEFT JOIN (SELECT conv_id AS doc_id, CAST(count(*) AS INT) AS n FROM conversations GROUP BY 1) c USING (doc_id)")
+@query("j8_first_answer", "SELECT d.doc_id, coalesce(l.quality, p.n, c.n) AS v, CASE WHEN l.quality IS NOT NULL THEN 'labels' WHEN p.n IS NOT NULL THEN 'pages' WHEN c.n IS NOT NULL THEN 'chat' END AS source FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN (SELECT page_id AS doc_id, CAST(CASE WHEN length(url) % 2 = 0 THEN 1 ELSE length(url) END AS INT) AS n FROM pages) p USING (doc_id) LEFT JOIN (SELECT conv_id AS doc_id, CAST(count(*) AS INT) AS n FROM conversations GROUP BY 1) c USING (doc_id)")
 def j8(spark, sf_dir):
     chat = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count(F.lit(1)).cast("int").alias("v"))
     page = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.length("url").alias("v"))
     label = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("v"))
-    return joins.first_answer(table(spark, sf_dir, "documents"), "doc_id", [("labels", label), ("pages", page), ("chat", chat)], "v")
+    sources = [("labels", _twice(label, label)), ("pages", _twice(page, page.where("v % 2 = 0").withColumn("v", F.lit(1)))), ("chat", _twice(chat, chat))]
+    return joins.first_answer(table(spark, sf_dir, "documents"), "doc_id", sources, "v", [F.col("at")])
 
 
 @query("j9_first_by_file", with_papers("SELECT substring(updated_at, 1, 10) AS arxiv_id, arg_min(id, 'f' || title || id) AS ref FROM papers GROUP BY 1"))
@@ -313,14 +342,15 @@ def j9(spark, sf_dir):
 @query(
     "j10_resolved_refs",
     """WITH p AS (SELECT md5(CAST(page_id AS VARCHAR)) AS session_id, page_id AS id FROM pages),
-    a AS (SELECT DISTINCT substring(session_id, 1, 5) AS asked FROM p UNION SELECT session_id FROM p UNION SELECT CAST(id AS VARCHAR) FROM p),
+    a AS (SELECT DISTINCT substring(session_id, 1, 5) AS asked FROM p UNION SELECT session_id FROM p UNION SELECT CAST(id AS VARCHAR) FROM p UNION SELECT 'old-' || id FROM p UNION SELECT 'none-' || id FROM p),
     m AS (SELECT asked, min(CASE WHEN session_id = asked THEN session_id END) AS e, count(*) FILTER (starts_with(session_id, asked) AND length(asked) >= 4) AS n,
-      min(CASE WHEN starts_with(session_id, asked) AND length(asked) >= 4 THEN session_id END) AS f, min(CASE WHEN CAST(id AS VARCHAR) = asked THEN session_id END) AS g FROM a, p GROUP BY 1)
-    SELECT asked, coalesce(e, CASE WHEN n = 1 THEN f WHEN n = 0 THEN g END) AS ref, CASE WHEN e IS NOT NULL THEN 'exact' WHEN n = 1 THEN 'prefix' WHEN n > 1 THEN 'ambiguous' WHEN g IS NOT NULL THEN 'number' ELSE 'missing' END AS how FROM m""",
+      min(CASE WHEN starts_with(session_id, asked) AND length(asked) >= 4 THEN session_id END) AS f, min(CASE WHEN CAST(id AS VARCHAR) = asked THEN session_id END) AS g, min(CASE WHEN 'old-' || id = asked THEN session_id END) AS o FROM a, p GROUP BY 1)
+    SELECT asked, coalesce(e, CASE WHEN n = 1 THEN f WHEN n = 0 THEN coalesce(o, g) END) AS ref, CASE WHEN e IS NOT NULL THEN 'exact' WHEN n = 1 THEN 'prefix' WHEN n > 1 THEN 'ambiguous' WHEN o IS NOT NULL THEN 'file' WHEN g IS NOT NULL THEN 'number' ELSE 'missing' END AS how FROM m""",
 )
 def j10(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select(F.md5(F.col("page_id").cast("string")).alias("session_id"), F.col("page_id").alias("id"), F.lit("none").alias("file"))
-    asked = p.select(F.substring("session_id", 1, 5).alias("asked")).union(p.select("session_id")).union(p.select(F.col("id").cast("string"))).distinct()
+    p = table(spark, sf_dir, "pages").select(F.md5(F.col("page_id").cast("string")).alias("session_id"), F.col("page_id").alias("id"), F.concat(F.lit("old-"), "page_id", F.lit(".json")).alias("file"))
+    names = [F.substring("session_id", 1, 5), F.col("session_id"), F.col("id").cast("string"), F.concat(F.lit("old-"), "id"), F.concat(F.lit("none-"), "id")]
+    asked = p.select(F.explode(F.array(*names)).alias("asked")).distinct()
     return joins.resolved_refs(asked, p)
 
 
@@ -383,7 +413,14 @@ def a11(spark, sf_dir):
     return aggregates.assembled_calls(own).select("reply", "index", "name", "arguments")
 
 
-@query("a12_text_counts")
+_A12_SQL = r"""WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
+b AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS own, regexp_matches(line, '^\s*\|.*\|\s*$') AS shown FROM l),
+c AS (SELECT *, (sum((own LIKE '```%')::INT) OVER w - (own LIKE '```%')::INT) % 2 = 1 AS code, shown AND NOT coalesce(lag(shown) OVER w, false) AS begins FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+d AS (SELECT doc_id, sum(begins::INT)::INT AS tables, sum(CASE WHEN own = '' THEN 0 WHEN length(own) > 1 AND own LIKE '|%' AND own LIKE '%|' AND NOT code THEN (length(own) - length(replace(own, '|', '')) - 1) // 4 + 1 ELSE 1 END)::INT AS elements FROM c GROUP BY 1)
+SELECT doc_id, tables, elements, strlen(text) <= 28000 AND elements <= 180 AND tables <= 5 AS fits FROM d JOIN documents USING (doc_id)"""
+
+
+@query("a12_text_counts", _A12_SQL)
 def a12(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", fit.count_tables(F.col("text")).alias("tables"), fit.count_elements(F.col("text")).alias("elements"), fit.card_fits(F.col("text")).alias("fits"))
 
@@ -466,9 +503,9 @@ def w8(spark, sf_dir):
     return context.round_outline(messages(spark, sf_dir))
 
 
-@query("w10_batches", with_articles("SELECT id, row_number() OVER (ORDER BY created_at, id) - 1 AS pos, (row_number() OVER (ORDER BY created_at, id) - 1) // 10 AS batch FROM articles"))
+@query("w10_batches", with_articles("SELECT id, row_number() OVER (ORDER BY created_at, id) - 1 AS pos, (row_number() OVER (ORDER BY created_at, id) - 1) // 10 AS batch, title, sha256(abstract) AS abstract_sha256, score, recommend_date FROM articles"))
 def w10(spark, sf_dir):
-    return recommend.in_batches(articles(spark, sf_dir), 10, F.col("created_at"), F.col("id")).select("id", "pos", "batch")
+    return recommend.in_batches(articles(spark, sf_dir), 10, F.col("created_at"), F.col("id")).select("id", "pos", "batch", "title", F.sha2("abstract", 256).alias("abstract_sha256"), "score", "recommend_date")
 
 
 @query("w11_page_of", with_articles("SELECT coalesce(max((r - 1) // 8 + 1), 1) AS page FROM (SELECT id, row_number() OVER (PARTITION BY recommend_date ORDER BY batch_order, id) AS r FROM articles WHERE recommend_date IS NOT NULL) WHERE id = '25'"))
@@ -503,7 +540,7 @@ def w13(spark, sf_dir):
 )
 def u1(spark, sf_dir):
     own = articles(spark, sf_dir)
-    papers = joins.with_abstracts(chat_papers(spark, sf_dir), own.select(F.col("id").alias("arxiv_id"), "abstract"))
+    papers = joins.with_abstracts(chat_papers(spark, sf_dir), own.select(F.col("id").alias("arxiv_id"), "abstract"), [])
     return recommend.feedback(own, papers, "2024-01-18")
 
 
@@ -569,13 +606,11 @@ def x14(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", text.thousands(F.col("o_orderkey") * 1000).alias("shown"))
 
 
-@query("x17_references", "SELECT doc_id, strlen(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS body, CAST(15 AS INT) AS refs FROM documents")
+@query("x17_references", r"SELECT doc_id, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS body_sha256, '## References' || chr(10) || '[' || doc_id || ']' AS refs FROM documents")
 def x17(spark, sf_dir):
-    split = ids.split_references(F.concat("text", F.lit("\n## References\n[1]\n")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length(split["body"]).cast("long").alias("body"), (F.octet_length(split["refs"]) - 2).alias("refs"))
-
-
-SQL["x17_references"] = "SELECT doc_id, CAST(strlen(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS BIGINT) AS body, CAST(15 AS INT) AS refs FROM documents"
+    """Documents with a heading and one reference put at their end."""
+    split = ids.split_references(F.concat("text", F.lit("\n## References\n["), F.col("doc_id").cast("string"), F.lit("]\n")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(split["body"], 256).alias("body_sha256"), split["refs"].alias("refs"))
 
 
 @query("s7_usable_pages", "SELECT page_id FROM pages WHERE strlen(html) >= 1000")
@@ -583,9 +618,15 @@ def s7(spark, sf_dir):
     return pages.usable_pages(table(spark, sf_dir, "pages")).select("page_id")
 
 
-@query("s11_page_titles", "SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) = '' AS empty FROM pages")
+_S11_SQL = r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '^\[[^\]]*\]\s*', '') AS title
+FROM (SELECT page_id, regexp_extract(substring(replace(html, '<title>', '<title>[2401.1] <b>A</b>  '), 1, 8192), '(?is)<title[^>]*>(.*?)</title>', 1) AS t FROM pages)"""
+
+
+@query("s11_page_titles", _S11_SQL)
 def s11(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", (pages.page_title(F.col("html")) == "").alias("empty"))
+    """Titles of pages, with an id, a tag and spaces put before them."""
+    html_ = F.replace("html", F.lit("<title>"), F.lit("<title>[2401.1] <b>A</b>  "))
+    return table(spark, sf_dir, "pages").select("page_id", pages.page_title(html_).alias("title"))
 
 
 _TAGS = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?is)<br\\s*/?>', chr(10), 'g'), '(?is)</?(?:" + html.BLOCKS + ")[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g')"
@@ -617,13 +658,15 @@ def _merge_sql(a: str, b: str) -> str:
     return _MERGE.format(a=a, b=b, ra=_RANK.format(a), rb=_RANK.format(b))
 
 
-_GRID = "SELECT * FROM (VALUES (0), (3), (1), (2), (-1)) o(old), (VALUES (0), (3), (1), (2), (-1)) n(new)"
+_STEPS = f"SELECT event_id, {_STATUS} AS new, lag({_STATUS}, 1, 0) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM events"
 
 
-@query("x_status_merge", f"SELECT old, new, {_merge_sql('old', 'new')} AS merged, CASE WHEN {_RANK.format('new')} > {_RANK.format('old')} THEN new ELSE old END AS bulk FROM ({_GRID})")
+@query("x_status_merge", f"SELECT event_id, {_merge_sql('old', 'new')} AS merged, CASE WHEN {_RANK.format('new')} > {_RANK.format('old')} THEN new ELSE old END AS bulk FROM ({_STEPS})")
 def merge_table(spark, sf_dir):
-    grid = spark.createDataFrame([(o, n) for o in (0, 3, 1, 2, -1) for n in (0, 3, 1, 2, -1)], "old int, new int")
-    return grid.select("old", "new", merged_status(F.col("old"), F.col("new")).alias("merged"), merged_status_bulk(F.col("old"), F.col("new")).alias("bulk"))
+    """Each event of a user merged into the event before it."""
+    events = table(spark, sf_dir, "events").withColumn("new", status.event_status(F.col("event_type")))
+    steps = events.withColumn("old", F.lag("new", 1, 0).over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    return steps.select("event_id", merged_status(F.col("old"), F.col("new")).alias("merged"), merged_status_bulk(F.col("old"), F.col("new")).alias("bulk"))
 
 
 @query("m13_status_fold", f"SELECT user_id, CAST(list_reduce(list_prepend(0, list({_STATUS} ORDER BY ts, event_id)), lambda a, b: {_merge_sql('a', 'b')}) AS INT) AS status FROM events GROUP BY 1")
@@ -632,10 +675,14 @@ def m13(spark, sf_dir):
     return status.folded(events, "user_id", ["ts", "event_id"])
 
 
-@query("c_fetch_slots", "SELECT h, lpad(CAST((h + 23) % 24 AS VARCHAR), 2, '0') || ':30' AS a, lpad(CAST((h + 7) % 24 AS VARCHAR), 2, '0') || ':30' AS b, lpad(CAST((h + 15) % 24 AS VARCHAR), 2, '0') || ':30' AS c FROM (SELECT CAST(range AS INT) AS h FROM range(24))")
+_SLOT = "lpad(CAST((hour(ts) + {}) % 24 AS VARCHAR), 2, '0') || strftime(ts, ':%M') AS {}"
+
+
+@query("c_fetch_slots", f"SELECT event_id, {_SLOT.format(23, 'a')}, {_SLOT.format(7, 'b')}, {_SLOT.format(15, 'c')} FROM events")
 def slots(spark, sf_dir):
-    at = calendar.fetch_slots(F.concat(F.lpad(F.col("h").cast("string"), 2, "0"), F.lit(":30")))
-    return spark.range(24).select(F.col("id").cast("int").alias("h")).select("h", *[at[i].alias(n) for i, n in enumerate("abc")])
+    """The slots of a daily run at the time of each event."""
+    at = calendar.fetch_slots(F.date_format("ts", "HH:mm"))
+    return table(spark, sf_dir, "events").select("event_id", *[at[i].alias(n) for i, n in enumerate("abc")])
 
 
 @query("j8_holidays", "SELECT CAST(o_orderdate AS DATE) AS day, coalesce(bool_or(o_orderpriority LIKE '1%' AND o_orderstatus = 'F') FILTER (o_orderstatus <> 'O'), dayofweek(CAST(o_orderdate AS DATE)) IN (0, 6)) AS is_holiday FROM orders GROUP BY 1")

@@ -51,7 +51,7 @@ def scored(articles: DataFrame, preferences: str, model: Model, size: int) -> Da
     prompts = scoring_prompts(unscored(articles), preferences, size)
     # one checkpoint: the replies are used once for each row of the table, and a call costs money
     replies = replied(prompts, model).checkpoint()
-    return update_scores(articles, exploded_scores(replies).groupBy("id").agg(F.max("score").alias("score")))
+    return update_scores(articles, exploded_scores(replies, "reply", "batch"), [F.col("batch")])
 
 
 def run(articles: DataFrame, papers: DataFrame, feeds: list[DataFrame], preferences: str, model: Model, date: Column, at: Column, since: str, seed: str, given: Parameters) -> Run:

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions import fit
-from feedloom.operators import select
+from feedloom.operators import logs, select
 from feedloom.plans.catalog import query
 from feedloom.plans.fixtures import articles, table, with_articles
 from feedloom.sources import replies
 from feedloom.sources.lookup import looked_up
 from feedloom.streaming import memo
 from feedloom.streaming.engine import folded_log
+from feedloom.tables import new_path
 
 
 
@@ -198,3 +199,13 @@ def f9_keyword_table(spark, sf_dir):
     """Articles in which no second to fourth word of a benchmark item occurs."""
     words = table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("keyword"))
     return select.without_keyword_table(articles(spark, sf_dir), words).select("id", "title")
+
+
+@query("k15_kept_lines", "SELECT event_id, CAST(ts AS DATE) AS day FROM events WHERE CAST(ts AS DATE) >= (SELECT max(CAST(ts AS DATE)) - 7 FROM events)")
+def k15_kept_lines(spark, sf_dir):
+    """``events`` as a log by day, of which only the last eight days are left."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("line"))
+    path, today = new_path(spark, "log"), events.agg(F.date_format(F.max("ts"), "yyyy-MM-dd")).first()[0]
+    logs.write_daily(events, path)
+    logs.without_old_days(spark, path, today, 7)
+    return logs.kept_lines(spark.read.parquet(path), F.lit(today).cast("date"), 7).select("event_id", "day")

@@ -12,10 +12,13 @@ from feedloom.operators.store import first_wins
 from feedloom.schema import PAPER
 
 
-def read_papers(spark: SparkSession, path: str) -> DataFrame:
-    """All readable documents of a folder with ``file``; unreadable ones are dropped, not raised."""
+def read_papers(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """All readable documents of a folder with ``file``; unreadable ones are dropped, not raised.
+
+    A file is one document; with ``lines``, as :func:`write_papers` has them, each line is.
+    """
     schema = StructType([*PAPER.fields, StructField("_corrupt_record", StringType())])
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path, pathGlobFilter="*.json")
+    rows = spark.read.schema(schema).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path, pathGlobFilter="*.json")
     rows = rows.withColumn("file", F.col("_metadata.file_name"))
     return upgraded(rows.where("_corrupt_record is null").drop("_corrupt_record"))
 
@@ -50,11 +53,12 @@ def messages_of(papers: DataFrame) -> DataFrame:
 
 
 def as_chat_papers(papers: DataFrame) -> DataFrame:
-    """Rows for the relational store; papers without an arXiv id are left out."""
+    """Rows for the relational store; papers without an arXiv id are left out. A paper without a title is named by its
+    reference."""
     minute = lambda c: F.substring(F.regexp_replace(c, "T", " "), 1, 16)
     rows = first_wins(papers.where("arxiv_id <> '' and ref <> ''"), ["ref"], [F.col("file")])
     return rows.select(
-        F.col("ref").alias("id"), "arxiv_id", "title", F.coalesce("rating", F.lit(0)).alias("rating"), "source_url", "github_url", minute("created_at").alias("created_at"), minute("updated_at").alias("updated_at")
+        F.col("ref").alias("id"), "arxiv_id", F.coalesce(nonempty(F.col("title")), F.concat(F.lit("Paper "), "ref")).alias("title"), F.coalesce("rating", F.lit(0)).alias("rating"), "source_url", "github_url", minute("created_at").alias("created_at"), minute("updated_at").alias("updated_at")
     )
 
 

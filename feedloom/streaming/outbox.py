@@ -36,12 +36,12 @@ class Staged(WriterCommitMessage):
 class _Writer:
     def __init__(self, options: dict[str, str], send: Send | None):
         self.path, self.raw, self.send = options["path"], options.get("raw"), send
-        at, root = _at(self.path)
+        at, root = files_at(self.path)
         for folder in ("staged", "commits"):
             at.create_dir(f"{root}/{folder}", recursive=True)
 
     def write(self, iterator: Iterator[Row]) -> Staged:
-        at, root = _at(self.path)
+        at, root = files_at(self.path)
         name, n = f"{uuid.uuid4().hex}.json", 0
         with at.open_output_stream(f"{root}/staged/{name}") as out:
             for row in iterator:
@@ -53,7 +53,7 @@ class _Writer:
         return Staged(name, n)
 
     def committed(self, messages: list[Staged | None], commit: str) -> None:
-        at, root = _at(self.path)
+        at, root = files_at(self.path)
         final = f"{root}/commits/{commit}.json"
         if at.get_file_info(final).type == fs.FileType.File:
             self.aborted(messages)
@@ -65,7 +65,7 @@ class _Writer:
         at.move(hidden, final)
 
     def aborted(self, messages: list[Staged | None]) -> None:
-        at, root = _at(self.path)
+        at, root = files_at(self.path)
         for m in messages:
             if m:
                 at.delete_file(f"{root}/staged/{m.file}")
@@ -95,7 +95,8 @@ class OutboxStreamWriter(_Writer, DataSourceStreamWriter):
         self.aborted(messages)
 
 
-def _at(path: str) -> tuple[fs.FileSystem, str]:
+def files_at(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 

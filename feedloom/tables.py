@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def materialized(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
@@ -16,11 +16,16 @@ def materialized(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     Without that setting a local session uses a temporary folder; a cluster session must set it.
     """
     spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path, partitionBy=by)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = os.path.join(tempfile.gettempdir(), "checkpoints")
-    path = f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, partitionBy=by)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -95,7 +95,7 @@ def test_html_to_markdown(spark):
     assert got.startswith("# T & U\n\n")
     assert "## Head" in got
     assert "a é &lt; $x^2$" in got
-    assert "$$y$$" in got
+    assert "\n$$\ny\n$$\n" in got
     assert "**Cap**\n\n| A | B |\n| --- | ---: |\n| 1 \\| 2 |  |" in got
     assert got.endswith("end")
     assert "var x" not in got
@@ -246,3 +246,10 @@ def test_fitted_parts_end_where_cards_may(spark):
             assert part == want
     assert sum(1 for row in rows if row.x.rest) > 60
     assert spark.range(1).select(fit.fitted(F.lit(None).cast("string")).alias("x")).first().x is None
+
+
+def test_formulas_of_math_elements(spark):
+    math = lambda tex, more="": f'a<math{more}><mi>x</mi><annotation encoding="application/x-tex">{tex}</annotation></math>b'
+    texts = [math(" x^2 "), math("y", ' display="block"'), math(" \n z ", " display=block"), math("  "), math("", ' display="block"'), math("block", ' alttext="d"'), "a<math><mi>x</mi></math>b", math("u") + math("v")]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select(html.math_to_latex(F.col("s")).alias("x")).collect()
+    assert [r.x for r in rows] == ["a$x^2$b", "a\n$$\ny\n$$\nb", "a\n$$\nz\n$$\nb", "ab", "ab", "a$block$b", "a<math><mi>x</mi></math>b", "a$u$ba$v$b"]

@@ -66,7 +66,7 @@ def test_upserts(spark):
 def test_ratings(spark):
     papers = spark.createDataFrame([("1", "A", 0, False), ("2", "B", 3, True)], "id string, title string, rating int, pinned boolean")
     asked = spark.createDataFrame([("1", None, 11, None), ("2", " C ", 10, True)], "id string, title string, rating int, pin boolean")
-    after, rejected = store.rated(papers, asked)
+    after, rejected = store.rated(papers, asked, [])
     assert sorted(tuple(r) for r in after.collect()) == [("1", "A", 0, False), ("2", "C", 10, False)]
     assert [r.id for r in rejected.collect()] == ["1"]
 
@@ -171,13 +171,29 @@ def test_logs(spark, tmp_path):
 def test_repeated_keys_of_a_side_do_not_repeat_rows(spark):
     table = spark.createDataFrame([("1", 0.0, None, None), ("2", 0.5, None, None)], "id string, score double, hf_upvotes int, ax_net_votes int")
     scores = spark.createDataFrame([("1", 0.3, 1), ("1", 0.2, 2), ("9", 1.0, 1)], "id string, score double, at int")
-    assert sorted((r.id, r.score) for r in store.update_scores(table, scores).collect()) == [("1", 0.3), ("2", 0.5)]
+    assert sorted((r.id, r.score) for r in store.update_scores(table, scores, []).collect()) == [("1", 0.3), ("2", 0.5)]
     assert sorted((r.id, r.score) for r in store.update_scores(table, scores, [F.col("at")]).collect()) == [("1", 0.2), ("2", 0.5)]
-    votes = spark.createDataFrame([("1", 3, 4), ("1", 3, 5)], "id string, hf_upvotes int, ax_net_votes int")
-    assert store.update_matched(table, votes, ["hf_upvotes", "ax_net_votes"]).where("id = '1'").collect()[0][2:] == (3, 5)
-    papers = spark.createDataFrame([("1", "T", None, False)], "id string, title string, rating int, pinned boolean")
-    asked = spark.createDataFrame([("1", None, 7, None), ("1", None, 9, None)], "id string, title string, rating int, pin boolean")
-    assert [r.rating for r in store.rated(papers, asked)[0].collect()] == [9]
+    votes = spark.createDataFrame([("1", 3, 4, 2), ("1", 3, 5, 1)], "id string, hf_upvotes int, ax_net_votes int, at int")
+    assert store.update_matched(table, votes, ["hf_upvotes", "ax_net_votes"], [F.col("at")]).where("id = '1'").collect()[0][2:] == (3, 4)
+
+
+def test_requests_are_done_in_their_order(spark):
+    papers = spark.createDataFrame([("1", "T", 1, False), ("2", "U", 2, True), ("3", "V", 3, True)], "id string, title string, rating int, pinned boolean")
+    asked = [(4, "1", None, None, True), (1, "1", "Z", 9, None), (2, "1", "A", None, True), (3, "1", " ", 8, True), (5, "1", None, 7, None), (6, "2", None, 0, True), (7, "2", None, None, True), (8, "9", None, 5, True)]
+    requests = spark.createDataFrame(asked, "at int, id string, title string, rating int, pin boolean")
+    after, rejected = store.rated(papers, requests, [F.col("at")])
+    assert sorted(tuple(r) for r in after.collect()) == [("1", "A", 7, False), ("2", "U", 2, False), ("3", "V", 3, True)]
+    assert sorted(r["at"] for r in rejected.collect()) == [3, 6]
+
+
+def test_the_last_value_of_a_source_counts(spark):
+    papers = spark.createDataFrame([("p", "1"), ("q", "2")], "id string, arxiv_id string")
+    side = spark.createDataFrame([("1", "b", 1), ("1", "a", 2), ("1", None, 3)], "arxiv_id string, abstract string, at int")
+    assert sorted(tuple(r) for r in joins.with_abstracts(papers, side, [F.col("at")]).select("id", "abstract").collect()) == [("p", "a"), ("q", "")]
+    one = spark.createDataFrame([("1", 9, 1), ("1", 3, 2)], "arxiv_id string, v int, at int")
+    two = spark.createDataFrame([("1", 5, 1), ("2", 4, 1)], "arxiv_id string, v int, at int")
+    got = joins.first_answer(papers, "arxiv_id", [("one", one), ("two", two)], "v", [F.col("at")]).collect()
+    assert sorted(tuple(r) for r in got) == [("1", 3, "one"), ("2", 4, "two")]
 
 
 def test_batches_of_wide_rows_keep_all_rows(spark):
@@ -225,3 +241,18 @@ def test_keyword_table_of_a_hundred_thousand(spark):
     assert kept.isdisjoint(hit)
     part = select.without_keyword_table(own, spark.createDataFrame([(w,) for w in some], "keyword string"))
     assert {r.id for r in part.select("id").collect()} == set(texts) - hit
+
+
+def test_old_days_go_and_others_are_not_read(spark, tmp_path):
+    path = str(tmp_path / "log")
+    days = [f"2024-01-{d:02d}" for d in range(20, 29)]
+    lines = spark.createDataFrame([(f"{d} 10:00:00", d) for d in days] + [(None, "no day")], "ts string, line string").withColumn("ts", F.col("ts").cast("timestamp"))
+    logs.write_daily(lines, path)
+    assert logs.without_old_days(spark, path, "2024-01-28", 5) == days[:3]
+    left = spark.read.parquet(path)
+    assert {r.line for r in left.collect()} == {*days[3:], "no day"}
+    kept = logs.kept_lines(left, F.lit("2024-01-28").cast("date"), 2)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    assert {r.line for r in kept.collect()} == set(days[-3:])
+    assert logs.without_old_days(spark, path, "2024-01-28", 5) == []
