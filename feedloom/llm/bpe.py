@@ -251,8 +251,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """``encoded`` with ``decoded``: the bytes that the packed ``ids`` stand for (null: null).
 
-    An id that the vocabulary lacks is an error.
+    An id that the vocabulary lacks is an error. A column that is named ``decoded`` already is replaced.
     """
-    spark = encoded.sparkSession
+    spark, encoded = encoded.sparkSession, encoded.drop("decoded")
     schema = StructType([*encoded.schema.fields, StructField("decoded", BinaryType())])
     return encoded.mapInArrow(_decoded(_Shared(spark, read_ranks(ranks_path))), schema)

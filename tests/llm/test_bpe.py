@@ -5,8 +5,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
-from feedloom.llm import queries
+from feedloom.llm import bpe, queries
 from feedloom.llm.bpe import Ranks, decode, encode, read_ranks
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -69,3 +70,14 @@ def test_long_rows_merge_as_one_pair_at_a_time(seed):
 def test_empty_table(spark):
     ids = encode(spark.createDataFrame([], "doc_id long, text string"), PATH, PATTERN)
     assert decode(ids, PATH).collect() == []
+
+
+def test_decoding_replaces_a_column_and_refuses_unknown_ids(spark):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    ids = bpe.encode(rows, ranks, public_tokenizers.PATTERN).withColumn("decoded", F.lit("old"))
+    got = bpe.decode(ids, ranks)
+    assert got.columns == ["doc_id", "ids", "decoded"]
+    assert sorted((r.doc_id, bytes(r.decoded)) for r in got.collect()) == [(1, b"a b"), (2, b"")]
+    with pytest.raises(Exception, match="KeyError"):
+        bpe.decode(spark.createDataFrame([(bytearray(b"\xff\xff\xff\x7f"),)], "ids binary"), ranks).collect()

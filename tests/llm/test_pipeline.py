@@ -66,3 +66,46 @@ def test_pseudonyms_and_token_ids(stages):
 def test_run_equals_the_stages(spark, stages):
     got = queries.queries()["pipeline"](spark, AT).collect()
     assert {(r.doc_id, bytes(r.ids)) for r in got} == {(r.doc_id, bytes(r.ids)) for r in stages[-1]}
+
+
+#: A table with more columns, of names that the operators use themselves.
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score string, component_id string, ids string, items string, n_words string, decoded string, row string"
+
+
+def odd(spark, rows):
+    """``rows(doc_id, text)`` beside the documents of the test table."""
+    more = ["s", "c", "i", "t", "w", "d", "r"]
+    own = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, *more) for r in spark.read.parquet(f"{AT}/documents.parquet").collect()]
+    return spark.createDataFrame(own + [(i, t, None, None, None, *more) for i, t in rows], ODD)
+
+
+LONG = " ".join(f"word{i}" for i in range(120_000))
+EDGES = [(900_001, None), (900_002, ""), (900_003, LONG), (900_004, "one row that comes twice in this table"), (900_004, "one row that comes twice in this table"), (None, "a row that has no id but some words"), (900_005, "  ")]
+
+
+@pytest.mark.parametrize("name", ["toxicity", "near_duplicates", "decontamination", "personal_data", "tokens"])
+def test_stages_take_nulls_long_texts_repeated_rows_and_clashing_columns(spark, name):
+    docs = odd(spark, EDGES)
+    made = dict(corpus_pipeline.STAGES)[name](spark, docs, AT)
+    if name != "tokens":
+        assert made.columns == docs.columns
+    rows = [r for r in made.collect() if r.doc_id is None or r.doc_id > 900_000]
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(i) for i, _ in EDGES)  # all are clean and unlike
+    if name == "tokens":
+        size = {r.doc_id: len(r.ids) for r in rows}
+        assert size[900_001] == size[900_002] == 0
+        assert size[900_003] > 4 * 120_000
+    else:
+        assert sorted((str(r.doc_id), r.text or "", r.score, r.ids) for r in rows) == sorted((str(i), t or "", "s", "i") for i, t in EDGES)
+
+
+@pytest.mark.parametrize("name", ["toxicity", "near_duplicates", "decontamination", "personal_data", "tokens"])
+def test_stages_take_an_empty_table(spark, name):
+    made = dict(corpus_pipeline.STAGES)[name](spark, spark.createDataFrame([], ODD), AT)
+    assert made.collect() == []
+
+
+def test_near_copies_of_long_and_repeated_texts_leave_one(spark):
+    rows = [(910_000, LONG), (910_001, LONG.replace("word77 ", "other ")), (910_002, "five words are in here now"), (910_002, "five words are in here now"), (910_003, "five words are in here now")]
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, odd(spark, rows), AT).where("doc_id >= 910000").collect()
+    assert sorted(r.doc_id for r in kept) == [910_000, 910_002, 910_002]
