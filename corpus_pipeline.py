@@ -1,7 +1,11 @@
 """The corpus pipeline: from raw documents to token ids, one Parquet table after the other.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that the stage before has kept.
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``docs``, whatever their names.
+
+In every stage null and empty texts are clean, unlike any other document and without tokens; texts of any length
+are taken whole; rows that repeat are judged alike and stay or go together, as do rows without an id by their
+text; an empty table gives an empty one.
 """
 
 from __future__ import annotations
