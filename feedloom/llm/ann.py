@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from feedloom.llm.runtime import dropped, written
 
@@ -217,7 +218,7 @@ def _beamed(exact: bool):
                 ids, scores = ids[top], scores[top]
             for name, value in zip(out, (left.column("part")[row].as_py(), left.column("query")[row].as_py(), vec, ids, scores, opened), strict=True):
                 out[name].append(value)
-        lists = {"vec": pa.float32(), "ids": pa.int64(), "scores": pa.float64(), "opened": pa.int64()}
+        lists = {"vec": pa.float64() if exact else pa.float32(), "ids": pa.int64(), "scores": pa.float64(), "opened": pa.int64()}
         return pa.table(
             {
                 n: _lists(np.concatenate(v) if v else np.zeros(0), np.array([len(x) for x in v], np.int64), lists[n]) if n in lists else pa.array(v, pa.int32() if n == "part" else pa.int64())
@@ -229,19 +230,20 @@ def _beamed(exact: bool):
 
 
 def valid_vectors(rows: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``vec_id, vec`` of the rows that take part, an id once.
+    """``vec_id, exact, vec`` of the rows that take part, an id once: the vector as doubles, and as floats for the search.
 
     Out are null ids, vectors that are null, empty, zero or hold a null or a non-finite number, and
-    those whose length isn't the most frequent one (of equals, the smallest). Of several vectors
-    with one id the smallest takes part.
+    those whose length isn't the most frequent one (of equals, the smallest), as there is no inner product with
+    them. Of several vectors with one id the smallest takes part.
     """
-    own = rows.select(F.col(id_column).alias("vec_id"), F.col(vector).cast("array<float>").alias("vec"))
+    own = rows.select(F.col(id_column).alias("vec_id"), F.col(vector).cast("array<double>").alias("vec"))
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     own = own.where("vec_id is not null and vec is not null and size(vec) > 0")
     own = own.where(~F.exists("vec", odd)).where(F.exists("vec", lambda x: x != 0))
     own = own.groupBy("vec_id").agg(F.min("vec").alias("vec"))
     size = own.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return own.where(F.size("vec") == (size.n if size else 0))
+    own = own.where(F.size("vec") == (size.n if size else 0))
+    return own.select("vec_id", F.col("vec").alias("exact"), F.col("vec").cast("array<float>").alias("vec"))
 
 
 def neighbour_graph(nodes: DataFrame) -> DataFrame:
@@ -274,7 +276,10 @@ def neighbour_graph(nodes: DataFrame) -> DataFrame:
 
 
 def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
-    """``query, ids, scores`` for the nodes in ``queries(query, vec)``: the beam after ``HOPS`` hops."""
+    """``query, ids, scores`` for the nodes in ``queries(query, vec)``: the beam after ``HOPS`` hops.
+
+    ``nodes(node, vec, exact)``: the search compares floats, the last beam is scored with the doubles.
+    """
     parts = -(-queries.count() // BLOCK_QUERIES) or 1
     beam = queries.join(graph.withColumnRenamed("node", "query"), "query", "left").select(
         F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int").alias("part"),
@@ -289,7 +294,8 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> Dat
     for hop in range(HOPS + 1):
         last = hop == HOPS
         if last:  # all scores anew, in double precision
-            candidates = beam.select("part", "query", "vec", F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("scores"), "opened", F.col("ids").alias("new"))
+            whole = nodes.select(F.col("node").alias("query"), F.col("exact").alias("vec"))
+            candidates = beam.drop("vec").join(whole, "query").select("part", "query", "vec", F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("scores"), "opened", F.col("ids").alias("new"))
         else:
             nexts = F.slice(F.filter("ids", lambda x: ~F.array_contains("opened", x)), 1, OPENED)
             opening = written(beam.withColumn("next", nexts), "opening")
@@ -300,9 +306,10 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> Dat
             )
         candidates = written(candidates, "candidates")
         needed = candidates.select(F.col("part").alias("goal"), F.explode(F.array_except("new", "ids")).alias("node")).distinct()
-        sent = needed.join(nodes, "node").select("goal", "node", "vec")
-        after = written(candidates.groupBy("part").cogroup(sent.groupBy("goal")).applyInArrow(_beamed(last), schema), "beam")
-        dropped(candidates)
+        sent = needed.join(nodes, "node").select("goal", "node", F.col("exact" if last else "vec").alias("vec"))
+        out = StructType([StructField(f.name, ArrayType(DoubleType())) if last and f.name == "vec" else f for f in schema])
+        after = written(candidates.groupBy("part").cogroup(sent.groupBy("goal")).applyInArrow(_beamed(last), out), "beam")
+        dropped(candidates, *([] if last else [opening]))
         dropped(beam)
         beam = after
     return beam.select("query", "ids", "scores")
@@ -315,14 +322,16 @@ def nearest(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
     product in double precision; ties go to the smaller id; a row is no neighbour of itself. For
     what takes part see :func:`valid_vectors`. An empty table gives an empty result.
     """
-    own = written(valid_vectors(rows).withColumn("node", F.xxhash64("vec")), "vectors")
+    own = written(valid_vectors(rows).withColumn("node", F.xxhash64("exact")), "vectors")
     first = own.groupBy("node").agg(F.min("vec_id").alias("vec_id"))
-    nodes = written(own.join(first, ["node", "vec_id"]).select("node", "vec"), "nodes")
+    nodes = written(own.join(first, ["node", "vec_id"]).select("node", "vec", "exact"), "nodes")
     order = Window.partitionBy("node").orderBy("vec_id")
     members = own.select("node", "vec_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("node", "vec_id")
     asked = own.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("node").alias("query"))
     queries = nodes.join(asked.select(F.col("query").alias("node")).distinct(), "node", "left_semi").withColumnRenamed("node", "query")
-    beam = greedy_search(queries, nodes, neighbour_graph(nodes))
+    graph = neighbour_graph(nodes.select("node", "vec"))
+    beam = greedy_search(queries.select("query", "vec"), nodes, graph)
+    dropped(nodes, graph)
     found = beam.select("query", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query", F.col("x.ids").alias("node"), F.col("x.scores").alias("score"))
     rank = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     best = found.join(members, "node").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k + 1).select("query", "vec_id", "score")

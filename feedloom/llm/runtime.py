@@ -16,7 +16,7 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none, as in tests on one machine, a local folder is set.
+    Only where the session names none, as in tests on one machine, it is a local folder.
     """
     for conf in (spark.conf, spark.sparkContext.getConf()):
         path = conf.get("spark.checkpoint.dir", None)
@@ -24,9 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
             return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = os.path.join(tempfile.gettempdir(), "checkpoints")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:

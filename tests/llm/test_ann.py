@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.llm import ann, queries
+from feedloom.llm import ann, queries, runtime
 from feedloom.llm.ann import nearest, neighbour_graph
 
 SCHEMA = "vec_id long, embedding array<float>, vec string, node string"
@@ -69,6 +69,27 @@ def test_equal_vectors_ties_and_odd_rows(spark):
     assert got == want
 
 
+def test_scores_of_doubles_are_exact_and_near_equal_vectors_differ(spark):
+    r = np.random.default_rng(2)
+    vectors = r.standard_normal((300, 16))
+    vectors[200:] = vectors[100:200] + 1e-12  # as floats these are the same
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    got = found(nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5))
+    for q, own in got.items():
+        score = vectors @ vectors[q]
+        assert all(s == pytest.approx(score[i], rel=1e-15, abs=1e-15) for i, s in own)
+        order = [int(j) for j in np.lexsort((np.arange(300), -score)) if j != q][:5]
+        assert [i for i, _ in own] == order
+
+
+def test_nothing_is_left_but_what_the_plan_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runtime, "shared_dir", lambda _: str(tmp_path))
+    rows = [(i, [float(i % 7), 1.0, float(i)]) for i in range(100)]
+    out = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0)
+    assert sorted({x.name.split("-")[0] for x in tmp_path.iterdir()}) == ["beam", "vectors"]
+    assert out.count() == 100
+
+
 def test_few_rows_and_empty_table(spark):
     one = spark.createDataFrame([(20, [1.0], "", ""), (21, [2.0], "", "")], SCHEMA)
     assert found(nearest(one, F.col("vec_id") % 20 == 0)) == {20: [(21, 2.0)]}
