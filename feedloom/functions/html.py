@@ -178,10 +178,11 @@ def tables_to_markdown(html: pd.Series) -> pd.Series:
 
 
 def html_to_markdown(html: Column, tables: bool = True) -> Column:
-    """The text of a page as Markdown, its title first. ``tables=False`` stays native."""
+    """The text of a page as Markdown, its title first. ``tables=False`` stays native; else pages with a table, and
+    only these, pass a parser."""
     title = html_title(html)
     body = math_to_latex(html)
     if tables:
-        body = tables_to_markdown(body)
+        body = F.coalesce(tables_to_markdown(F.when(F.contains(F.lower(html), F.lit("<table")), body)), body)
     body = tidy(decoded(without_tags(headings(article_body(body)))))
     return F.when(html == "", "").otherwise(trimmed(F.when(title != "", F.concat(F.lit("# "), title, F.lit("\n\n"), body)).otherwise(body)))
