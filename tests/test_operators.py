@@ -256,3 +256,38 @@ def test_old_days_go_and_others_are_not_read(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(day" in plan
     assert {r.line for r in kept.collect()} == set(days[-3:])
     assert logs.without_old_days(spark, path, "2024-01-28", 5) == []
+
+
+def test_keyword_table_moves_no_row(spark):
+    own = spark.createDataFrame([("1", "Deep Learning", "on graphs"), ("2", None, "ABC")], "id string, title string, abstract string")
+    words = spark.createDataFrame([("deep learning",), ("abc",), ("none of these",)], "keyword string")
+    left = select.without_keyword_table(own, words)
+    assert left.collect() == []
+    assert "Exchange" not in left._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keyword_table_in_parts_equals_the_list(spark, monkeypatch):
+    rows = [(str(i), f"title {i} of many", f"an abstract that says {i * 7} things") for i in range(60)]
+    own = spark.createDataFrame(rows, "id string, title string, abstract string")
+    words = [f"title {i} of" for i in range(0, 60, 7)] + ["says 21 things", "says 28", "x"]
+    monkeypatch.setattr(select, "_KEYWORD_BYTES", 30)
+    got = select.without_keyword_table(own, spark.createDataFrame([(w,) for w in words], "keyword string"))
+    assert sorted(got.collect()) == sorted(select.without_keywords(own, words).collect()) != []
+
+
+@pytest.mark.parametrize("step", [7, 1 << 19])
+def test_keywords_occur_as_python_says(monkeypatch, step):
+    import pyarrow as pa
+
+    from feedloom.functions import keywords
+
+    monkeypatch.setattr(keywords, "_STEP", step)
+    rng = random.Random(step)
+    for letters in ("ab", "aé ", "abcdefgh漢"):
+        make = lambda n, letters=letters: "".join(rng.choice(letters) for _ in range(n))
+        texts = [make(rng.choice([0, 1, 5, 9, 30, 200])) for _ in range(200)] + [None, "", "\0\0\0"]
+        words = [make(rng.randint(1, 40)) for _ in range(30) if letters != "ab"] + [make(n) for n in (7, 8, 9, 12, 16, 17, 25)] + ["a" * 8 + "\0"]
+        for some in (words, words[-6:], [w for w in words if len(w) > 9], words[:1], []):
+            column = pa.array([None, *texts], pa.string())[1:]
+            got = keywords.Keywords(some).occur(column)
+            assert got.tolist() == [any(w in (t or "") for w in some) for t in texts]
