@@ -1,9 +1,10 @@
-"""Store operations. Each takes a table and gives its next version; nothing is changed in place."""
+"""Store operations. Each takes a table and gives its next version; only :func:`cleared` changes one in place."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from feedloom.functions.text import nonempty
 
@@ -85,8 +86,10 @@ def clear_recommendations(table: DataFrame, date: Column) -> DataFrame:
     return table
 
 
-def cleared(table: DataFrame) -> DataFrame:
-    return table.limit(0)
+def cleared(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table stored at ``path`` after all its rows are deleted; their files go."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def deleted(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -13,6 +13,7 @@ from feedloom.operators import aggregates, context, joins, recommend, select, st
 from feedloom.plans.fixtures import articles, chat_papers, messages, table, with_articles, with_both, with_messages, with_papers
 from feedloom.sources import pages
 from feedloom.streaming import status, windows
+from feedloom.tables import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,7 +120,10 @@ def k8(spark, sf_dir):
 
 @query("k9_clear_all", with_articles("SELECT id FROM articles WHERE false"))
 def k9(spark, sf_dir):
-    return store.cleared(articles(spark, sf_dir)).select("id")
+    """What a reader finds of stored articles when the store has been cleared."""
+    own, path = articles(spark, sf_dir), new_path(spark, "articles")
+    own.write.parquet(path)
+    return store.cleared(spark, path, own.schema).select("id")
 
 
 @query("k11_delete_papers", with_papers("SELECT id FROM papers WHERE arxiv_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)"))

@@ -291,3 +291,20 @@ def test_keywords_occur_as_python_says(monkeypatch, step):
             column = pa.array([None, *texts], pa.string())[1:]
             got = keywords.Keywords(some).occur(column)
             assert got.tolist() == [any(w in (t or "") for w in some) for t in texts]
+
+
+def test_clearing_deletes_every_stored_article(spark, monkeypatch):
+    from feedloom.plans import catalog
+    from feedloom.plans.fixtures import articles
+
+    at, seen, clear = "/root/testdata/sf0.001", [], store.cleared
+
+    def watched(spark, path, schema):
+        seen.append((path, spark.read.parquet(path).count()))
+        return clear(spark, path, schema)
+
+    monkeypatch.setattr(store, "cleared", watched)
+    assert catalog.QUERIES["k9_clear_all"](spark, at).collect() == []
+    ((path, stored),) = seen
+    assert stored == articles(spark, at).count() > 0
+    assert spark.read.parquet(path).count() == 0 and spark.read.parquet(path).columns == articles(spark, at).columns
