@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import json
 import math
-import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,13 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.runtime import deleted, shared_dir, shuffle_partitions, written
+from feedloom.llm.runtime import bytes_in, deleted, deleted_table, dropped, shuffle_partitions, written
 from feedloom.llm.wordhash import SPACED, Words, mix, text_chunks
 
 #: Pseudo-counts given to the suffix; nats to be retained, or to grow; occurrences that a context needs.
 WEIGHT, GAIN, SUPPORT = 16.0, 6.0, 8
 #: Bytes of text in a block, about (it bounds what a task holds), and of input for each part of the keys.
-BLOCK_BYTES, PART_BYTES = 6 << 20, 16 << 20
+BLOCK_BYTES, PART_BYTES = 4 << 20, 16 << 20
+#: Bytes of packs for each part and bucket when they get fewer.
+PACK_BYTES = 4 << 20
 _UNIT = float(1 << 20)
 _END = np.uint64(0x5851F42D4C957F2D)
 _ODD = 0x9E3779B97F4A7C15
@@ -64,7 +65,10 @@ def _packed(**arrays: np.ndarray) -> bytes:
     """Arrays by name, compressed byte by byte of their numbers."""
     head, body = [], []
     for name, x in arrays.items():
-        planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+        size = x.dtype.itemsize
+        own, planes = np.ascontiguousarray(x).view(np.uint8), np.empty((size, len(x)), np.uint8)
+        for i in range(size):
+            planes[i] = own[i::size]
         body.append(_codec().compress(planes, asbytes=True) if len(x) else b"")
         head.append((name, x.dtype.str, len(x), len(body[-1])))
     first = json.dumps(head).encode()
@@ -76,9 +80,12 @@ def _unpacked(pack: pa.Scalar) -> dict[str, np.ndarray]:
     at = 4 + int.from_bytes(raw[:4], "little")
     out = {}
     for name, kind, n, size in json.loads(bytes(raw[4:at])):
-        kind = np.dtype(kind)
-        planes = _codec().decompress(raw[at : at + size], n * kind.itemsize, asbytes=True) if n else b""
-        out[name] = np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T.copy().view(kind).reshape(n)
+        out[name] = np.empty(n, kind)
+        if n:
+            width, own = out[name].itemsize, out[name].view(np.uint8)
+            planes = np.frombuffer(_codec().decompress(raw[at : at + size], n * width), np.uint8)
+            for i in range(width):
+                own[i::width] = planes[i * n : i * n + n]
         at += size
     return out
 
@@ -89,11 +96,17 @@ def _small(x: np.ndarray) -> np.ndarray:
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys in order, and the place of each of ``keys`` there."""
-    code, known = pd.factorize(keys)
-    order = np.argsort(known)
-    back = np.empty(len(order), np.uint32)
-    back[order] = np.arange(len(order), dtype=np.uint32)
-    return known[order], back[code]
+    low = np.uint64((1 << max(1, len(keys) - 1).bit_length()) - 1)
+    order = np.sort(keys & ~low | np.arange(len(keys), dtype=np.uint64)) & low  # high bits of the key, then its place
+    known = keys[order]
+    if (known[1:] < known[:-1]).any():  # keys that differ in their low bits only
+        order = np.argsort(keys)
+        known = keys[order]
+    first = np.ones(len(known), bool)
+    np.not_equal(known[1:], known[:-1], out=first[1:])
+    place = np.empty(len(known), np.uint32)
+    place[order] = np.cumsum(first, dtype=np.uint32) - np.uint32(1)
+    return known[first], place
 
 
 def _asked(parts: int, kind: str, keys: np.ndarray, empty: bool = False, **values: np.ndarray) -> Iterator[tuple[int, str, bytes]]:
@@ -116,7 +129,8 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got["key"] = np.cumsum(got.pop("step"), dtype=np.uint64)
             asked.setdefault((part.as_py(), kind.as_py()), []).append((block.as_py(), got))
     for (part, kind), rows in asked.items():
-        place, known = pd.factorize(np.concatenate([r["key"] for _, r in rows]))
+        known, place = _distinct(np.concatenate([r.pop("key") for _, r in rows]))
+        size = [len(next(iter(r.values()))) for _, r in rows]
         total = lambda c: np.bincount(place, np.concatenate([r[c] for _, r in rows]), len(known))  # noqa: E731, B023
         if kind == "test":
             kept = total("gain") >= GAIN * _UNIT
@@ -126,7 +140,7 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         else:
             answer = _small(total("n").astype(np.int64))
             head = {"head": np.array([answer.sum(dtype=np.int64), (answer > 0).sum()], np.int64)}
-        each = np.split(answer[place], np.cumsum([len(r["key"]) for _, r in rows])[:-1])
+        each = np.split(answer[place], np.cumsum(size)[:-1])
         yield _rows_of([(block, part, kind, _packed(answer=x, **head)) for (block, _), x in zip(rows, each, strict=True)])
 
 
@@ -222,17 +236,14 @@ def _begun(parts: int):
     return run
 
 
-def _answers(table: pa.Table) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], np.ndarray]:
-    """The state of a block, the answers by kind in the order of the keys asked, and the totals of all parts."""
-    state, got, head = {}, {}, np.zeros(2, np.int64)
-    for part, kind, pack in sorted(zip(table.column("part").to_pylist(), table.column("kind").to_pylist(), table.column("pack"), strict=True), key=lambda x: x[0]):
+def _answers(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """A block's answers by kind in the order of the keys asked, and the totals of all parts."""
+    got, head = {}, np.zeros(2, np.int64)
+    for _, kind, pack in sorted(zip(table.column("part").to_pylist(), table.column("kind").to_pylist(), table.column("pack"), strict=True), key=lambda x: x[0]):
         own = _unpacked(pack)
-        if part < 0:
-            state = own
-        else:
-            got.setdefault(kind, []).append(own["answer"])
-            head += own.get("head", 0)
-    return state, {k: np.concatenate(x) for k, x in got.items()}, head
+        got.setdefault(kind, []).append(own["answer"])
+        head += own.get("head", 0)
+    return {k: np.concatenate(x) for k, x in got.items()}, head
 
 
 def _step(parts: int, k: int, length: int):
@@ -243,13 +254,13 @@ def _step(parts: int, k: int, length: int):
     symbol. Which answer is a place's is worked out again from the symbols, as it would be half of the state.
     """
 
-    def run(key, table):
-        block = key[0].as_py()
-        state, got, head = _answers(table)
+    def run(key, own, table):
+        block, state = key[0].as_py(), _unpacked(own.column("pack")[0])
+        if k > 0 and not len(state["live"]):
+            return own
+        got, head = _answers(table)
         if k == 0:
             _rooted(state, got["count"], head)
-        if not len(state["live"]):
-            return pa.Table.from_batches([_rows_of([_state_of(block, state)])])
         stream = _Stream(state)
         at = np.flatnonzero(np.unpackbits(state.pop("live"), count=len(stream.place)))
         p = state.pop("p").astype(float) if "p" in state else _root(state)[stream.place[at]]
@@ -393,11 +404,21 @@ def _told():
 _PACKS = "block long, part int, kind string, pack binary"
 
 
-def _states_and_asks(df: DataFrame) -> tuple[str, DataFrame, DataFrame]:
-    """Write a step's rows; the folders of states and of asks can be deleted separately."""
-    spark = df.sparkSession
-    back = written(df.withColumn("asks", F.col("part") >= 0), f"step-{uuid.uuid4().hex[:6]}", by="asks")
-    return back._table_path, back.where("not asks").drop("asks"), back.where("asks").drop("asks")
+class _Step:
+    """What a step has written: states, in buckets of blocks so that they aren't shuffled when answers come, and asks."""
+
+    def __init__(self, rows: DataFrame, buckets: int):
+        self.spark = rows.sparkSession
+        self.table = written(rows.withColumn("asks", F.col("part") >= 0), "step", by="asks", buckets=(buckets, "block"))
+        self.path = self.table._table_path
+        self.states, self.asks = (self.table.where(x).drop("asks") for x in ("not asks", "asks"))
+        self.asked, self.held = (bytes_in(self.spark, f"{self.path}/asks={x}") for x in ("true", "false"))
+
+    def answered(self, parts: int) -> DataFrame:
+        """The answers, written; the asks go."""
+        out = written(self.asks.repartitionById(parts, F.col("part")).mapInArrow(_totals, _PACKS), "answers")
+        deleted(self.spark, f"{self.path}/asks=true")
+        return out
 
 
 def lm_scores(docs: DataFrame, held_out) -> DataFrame:
@@ -417,15 +438,20 @@ def lm_scores(docs: DataFrame, held_out) -> DataFrame:
     size = size if size < 1 << 60 else 0  # unknown
     parts = max(shuffle_partitions(spark), size // PART_BYTES)
     rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, size // BLOCK_BYTES + 1))
-    path, states, asks = _states_and_asks(rows.mapInArrow(_begun(parts), _PACKS))
+    most, least = parts, min(parts, spark.sparkContext.defaultParallelism)
+    step = _Step(rows.mapInArrow(_begun(parts), _PACKS), parts)
     k, length = 0, 0
-    while not asks.isEmpty():
-        answers = written(asks.repartition(parts, "part").mapInArrow(_totals, _PACKS), "answers")
-        deleted(spark, f"{path}/asks=true")
-        then = states.unionByName(answers).groupBy("block").applyInArrow(_step(parts, k, length), _PACKS)
-        before, (path, states, asks) = path, _states_and_asks(then)
-        deleted(spark, before)
-        deleted(spark, answers._table_path)
+    while step.asked:
+        answers = step.answered(parts)
+        if k > 1:  # from here on less is asked and held from step to step
+            parts = min(parts, max(least, step.asked // PACK_BYTES))
+        then = step.states.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_step(parts, k, length), _PACKS)
+        before, step = step, _Step(then, min(most, max(least, step.held // PACK_BYTES)) if k > 1 else most)
+        deleted_table(before.table)
+        dropped(answers)
         k, length = k + 1, longer(length) if k else 1
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return states.select("pack").mapInArrow(_told(), schema)
+    spark.sql(f"DROP TABLE {step.table._table_name}")  # its files stay for the result
+    if not step.held:  # an empty table has no folder of states
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(_PACKS).parquet(f"{step.path}/asks=false").select("pack").mapInArrow(_told(), schema)

@@ -27,22 +27,27 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None, buckets: tuple[int, str] | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder, in folders by column ``by`` if given, and read it back.
 
     The lineage ends at the table, so a lost executor never makes earlier stages run again, and the
-    shuffle files of the write go as soon as it ends.
+    shuffle files of the write go as soon as it ends. ``buckets``: their number and the column that they go by; the
+    table then has a name in the catalog until :func:`deleted_table`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
+    known = f"feedloom_{path.rsplit('/', 1)[1].replace('-', '_')}"
     try:
-        df.write.parquet(path, partitionBy=by)
+        if buckets:
+            df.write.bucketBy(*buckets).option("path", path).saveAsTable(known, format="parquet", partitionBy=by)
+        else:
+            df.write.parquet(path, partitionBy=by)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._table_path = path
+    back = spark.table(known) if buckets else spark.read.schema(df.schema).parquet(path)
+    back._table_path, back._table_name = path, known if buckets else None
     return back
 
 
@@ -51,6 +56,18 @@ def deleted(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def deleted_table(df: DataFrame) -> None:
+    """Delete a table that :func:`written` made in buckets."""
+    df.sparkSession.sql(f"DROP TABLE {df._table_name}")
+    deleted(df.sparkSession, df._table_path)
+
+
+def bytes_in(spark: SparkSession, path: str) -> int:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getContentSummary(at).getLength() if files.exists(at) else 0
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables made by :func:`written` that no later plan reads."""
     for df in tables:

@@ -108,3 +108,35 @@ def test_result_does_not_depend_on_blocks(spark):
     once = {r.doc_id: r.score for r in lm_scores(docs.coalesce(1), F.col("doc_id") % 7 == 0).collect()}
     dealt = {r.doc_id: r.score for r in lm_scores(docs.repartition(7), F.col("doc_id") % 7 == 0).collect()}
     assert once == pytest.approx(dealt, abs=1e-9)
+
+
+def test_states_are_not_shuffled_and_asks_get_fewer_parts(spark, monkeypatch):
+    from feedloom.llm import lm
+
+    plans, answered, write = [], [], lm.written
+
+    def watched(df, name, by=None, buckets=None):
+        if buckets:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        else:
+            answered.append(df.rdd.getNumPartitions())
+        return write(df, name, by, buckets)
+
+    monkeypatch.setattr(lm, "written", watched)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    monkeypatch.setattr(lm, "PART_BYTES", 1 << 14)
+    assert lm_scores(docs, F.col("doc_id") % 7 == 0).count() == docs.count()
+    assert len(plans) > 4 and all(p.count("Exchange") == 1 for p in plans[1:])  # that of the answers
+    assert answered[0] > 4 and answered[-1] == 4
+
+
+def test_distinct_of_keys_that_share_their_high_bits():
+    import numpy as np
+
+    from feedloom.llm.lm import _distinct
+
+    keys = np.array([3, 1 << 40, 2, 3, 1, 1 << 40, 2, 0], np.uint64)
+    known, place = _distinct(keys)
+    assert known.tolist() == [0, 1, 2, 3, 1 << 40] and known[place].tolist() == keys.tolist()
+    none = _distinct(keys[:0])
+    assert len(none[0]) == len(none[1]) == 0
