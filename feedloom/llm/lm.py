@@ -297,7 +297,9 @@ def _step(parts: int, k: int, length: int):
             summed = lambda x: np.bincount(of_learn, np.rint(x * _UNIT), len(own)).astype(np.int64)
             others = (n_ - 1 + WEIGHT * p_) / (support_ - 1 + WEIGHT)
             smooth = (n_ + WEIGHT * p_) / (support_ + WEIGHT)
-            tests = {"gain": summed(np.log(others / p_)), "own": summed(-np.log(smooth)), "under": summed(-np.log(p_))}
+            most = np.int64(GAIN * _UNIT)  # no term is negative, so a sum that is left reaches GAIN with or without what is over it
+            left = lambda q: np.minimum(summed(-np.log(q)), most)
+            tests = {"gain": summed(np.log(others / p_)), "own": left(smooth), "under": left(p_)}
             rows += [(block, *x) for x in _asked(parts, "test", own, **tests)]
             of_support = np.zeros(len(own), np.int64)
             of_support[of] = support
