@@ -44,6 +44,8 @@ _END = np.uint64(0x5851F42D4C957F2D)
 _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
 _NEXT, _ANY = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+#: Asks of a step are answered in up to so many rounds, so that what is shuffled lies on disk twice in part only.
+ROUNDS = 4
 
 
 def longer(length: int) -> int:
@@ -109,24 +111,35 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return known[first], place
 
 
-def _asked(parts: int, kind: str, keys: np.ndarray, empty: bool = False, **values: np.ndarray) -> Iterator[tuple[int, str, bytes]]:
-    """A pack for each part (also for those without keys, if ``empty``) of sorted ``keys`` and their values; the part goes by a key's high bits."""
+def _spread(x: np.ndarray, bits: int) -> np.ndarray:
+    """A bijection of numbers of ``bits`` bits that spreads them; the result is in the high bits."""
+    most, half = np.uint64((1 << bits) - 1), np.uint64((bits + 1) // 2)
+    for odd in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = x * np.uint64(odd) & most
+        x = x ^ (x >> half)
+    return x << np.uint64(64 - bits)
+
+
+def _asked(parts: int, kind: str, keys: np.ndarray, bits: int = 64, empty: bool = False, **values: np.ndarray) -> Iterator[tuple[int, str, bytes]]:
+    """A pack for each part (also for those without keys, if ``empty``) of sorted ``keys``, which have ``bits`` high bits, and their values; the part goes by a key's high bits."""
+    low = {"low": np.array([64 - bits], np.uint8)} if bits < 64 else {}
     part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
     bounds = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
     for p in range(parts):
         a, b = bounds[p], bounds[p + 1]
         if b > a or empty:
             own = keys[a:b]
-            yield p, kind, _packed(step=np.diff(own, prepend=np.uint64(0)), **{c: x[a:b] for c, x in values.items()})
+            yield p, kind, _packed(step=np.diff(own >> np.uint64(64 - bits), prepend=np.uint64(0)), **low, **{c: x[a:b] for c, x in values.items()})
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The answers of a part, in the order asked: ``count`` totals, or for ``test`` whether to retain (1) and to grow (2)."""
+    """The answers of a part, in the order asked: ``count`` totals, ``word`` totals and numbers of the words, or for ``test`` whether to retain (1) and to grow (2)."""
     asked: dict[tuple[int, str], list] = {}
     for batch in batches:
         for block, part, kind, pack in zip(*(batch.column(c) for c in ("block", "part", "kind", "pack")), strict=True):
             got = _unpacked(pack)
-            got["key"] = np.cumsum(got.pop("step"), dtype=np.uint64)
+            low = got.pop("low", np.zeros(1, np.uint8))[0]
+            got["key"] = np.cumsum(got.pop("step"), dtype=np.uint64) << np.uint64(low)
             asked.setdefault((part.as_py(), kind.as_py()), []).append((block.as_py(), got))
     for (part, kind), rows in asked.items():
         known, place = _distinct(np.concatenate([r.pop("key") for _, r in rows]))
@@ -140,8 +153,12 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         else:
             answer = _small(total("n").astype(np.int64))
             head = {"head": np.array([answer.sum(dtype=np.int64), (answer > 0).sum()], np.int64)}
-        each = np.split(answer[place], np.cumsum(size)[:-1])
-        yield _rows_of([(block, part, kind, _packed(answer=x, **head)) for (block, _), x in zip(rows, each, strict=True)])
+        ends = np.cumsum(size)[:-1]
+        each = [{"answer": x} | head for x in np.split(answer[place], ends)]
+        if kind == "word":  # a block's words are in order, so their places are, too
+            most = np.array([len(known)], np.int64)
+            each = [x | {"number": np.diff(at, prepend=np.uint32(0)), "most": most} for x, at in zip(each, np.split(place, ends), strict=True)]
+        yield _rows_of([(block, part, kind, _packed(**x)) for (block, _), x in zip(rows, each, strict=True)])
 
 
 def _rows_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -157,13 +174,14 @@ class _Stream:
 
     def __init__(self, state: dict[str, np.ndarray]):
         self.known, self.place, self.size = state["known"], state["place"], state["size"]
+        self.bits = max(1, int(state["words"][0] - 1).bit_length()) if "words" in state else 64
         whole = self.size + 2
         self.start = np.cumsum(whole) - whole
         self.before = (np.arange(len(self.place)) - np.repeat(self.start, whole)).astype(np.int32)
         self.text = np.repeat(np.arange(len(self.size), dtype=np.int32), whole)
         self.learn = state["learn"].astype(bool)
         n = len(self.place)
-        self.hash = self.known[self.place]
+        self.hash = mix(self.known.astype(np.uint64) + _NEXT)[self.place]
         self.sum = np.zeros(n + 1, np.uint64)
         np.multiply(self.hash, self._powers(_ODD, n), out=self.sum[1:])
         np.cumsum(self.sum, out=self.sum)
@@ -182,9 +200,27 @@ class _Stream:
     def next(self, context: np.ndarray, at: np.ndarray) -> np.ndarray:
         return mix(context * _NEXT + self.hash[at])
 
+    def _number(self, at: np.ndarray) -> np.ndarray:
+        return self.known[self.place[at]].astype(np.uint64)
+
+    def tested(self, at: np.ndarray, length: int) -> tuple[np.ndarray, int]:
+        """The keys of contexts in tests, and their bits: a single symbol is its number."""
+        if length > 1 or self.bits >= 64:
+            return self.context(at, length), 64
+        return _spread(self._number(at - 1), self.bits), self.bits
+
+    def pair_bits(self, length: int) -> int:
+        """Bits of a key of (context, symbol): two symbols are their numbers, if these fit."""
+        return 2 * self.bits if length == 1 and self.bits <= 32 else 64
+
+    def pair(self, at: np.ndarray) -> np.ndarray:
+        return _spread(self._number(at - 1) << np.uint64(self.bits) | self._number(at), 2 * self.bits)
+
 
 def _counted(stream: _Stream, place: np.ndarray, length: int, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What is counted of contexts: the sorted keys of (context, symbol), and of contexts whose count isn't known; and the place of each there."""
+    if length == 1 and stream.bits <= 32:  # the counts of all words are known
+        return _distinct(stream.pair(place))
     context = stream.context(place, length)
     return _distinct(np.concatenate([stream.next(context, place), mix(context[ask] + _ANY)]))
 
@@ -215,7 +251,7 @@ def _begun(parts: int):
             out.write_table(rows)
         state = {"ids": np.frombuffer(sink.getvalue(), np.uint8), "known": known, "place": place, "size": size, "learn": learn}
         by = np.argsort(known)
-        asks = _asked(parts, "count", known[by], empty=True, n=_small(n[by]))  # all tell their part of N and V
+        asks = _asked(parts, "word", known[by], empty=True, n=_small(n[by]))  # all tell their part of N and V
         return _rows_of([_state_of(block, state), *((block, *x) for x in asks)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,12 +272,15 @@ def _begun(parts: int):
     return run
 
 
-def _answers(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
+def _answers(table: pa.Table, parts: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """A block's answers by kind in the order of the keys asked, and the totals of all parts."""
     got, head = {}, np.zeros(2, np.int64)
-    for _, kind, pack in sorted(zip(table.column("part").to_pylist(), table.column("kind").to_pylist(), table.column("pack"), strict=True), key=lambda x: x[0]):
+    for part, kind, pack in sorted(zip(table.column("part").to_pylist(), table.column("kind").to_pylist(), table.column("pack"), strict=True), key=lambda x: x[0]):
         own = _unpacked(pack)
         got.setdefault(kind, []).append(own["answer"])
+        if kind == "word":
+            got.setdefault("number", []).append(np.cumsum(own["number"], dtype=np.uint64) * np.uint64(parts) + np.uint64(part))
+            got.setdefault("most", []).append(own["most"] * parts)
         head += own.get("head", 0)
     return {k: np.concatenate(x) for k, x in got.items()}, head
 
@@ -258,9 +297,9 @@ def _step(parts: int, k: int, length: int):
         block, state = key[0].as_py(), _unpacked(own.column("pack")[0])
         if k > 0 and not len(state["live"]):
             return own
-        got, head = _answers(table)
+        got, head = _answers(table, parts)
         if k == 0:
-            _rooted(state, got["count"], head)
+            _rooted(state, got, head)
         stream = _Stream(state)
         at = np.flatnonzero(np.unpackbits(state.pop("live"), count=len(stream.place)))
         p = state.pop("p").astype(float) if "p" in state else _root(state)[stream.place[at]]
@@ -270,7 +309,7 @@ def _step(parts: int, k: int, length: int):
 
         grow = np.ones(len(at), bool)
         if k > 1:  # the test of the contexts one step shorter
-            of = _distinct(stream.context(at, shorter(length)))[1]
+            of = _distinct(stream.tested(at, shorter(length))[0])[1]
             smooth = (state.pop("n") + WEIGHT * p) / (state.pop("support")[of] + WEIGHT)
             told = got["test"][of]
             p = np.where(told & 1, smooth, p)
@@ -291,7 +330,8 @@ def _step(parts: int, k: int, length: int):
             at, p, n, support = at[grow], p[grow], count[grow], total[grow]
         rows = []
         if k > 0 and len(at):
-            own, of = _distinct(stream.context(at, length))
+            context, bits = stream.tested(at, length)
+            own, of = _distinct(context)
             learn = stream.learn[stream.text[at]]
             of_learn, n_, p_, support_ = of[learn], n[learn], p[learn], support[learn]
             summed = lambda x: np.bincount(of_learn, np.rint(x * _UNIT), len(own)).astype(np.int64)
@@ -300,7 +340,7 @@ def _step(parts: int, k: int, length: int):
             most = np.int64(GAIN * _UNIT)  # no term is negative, so a sum that is left reaches GAIN with or without what is over it
             left = lambda q: np.minimum(summed(-np.log(q)), most)
             tests = {"gain": summed(np.log(others / p_)), "own": left(smooth), "under": left(p_)}
-            rows += [(block, *x) for x in _asked(parts, "test", own, **tests)]
+            rows += [(block, *x) for x in _asked(parts, "test", own, bits, **tests)]
             of_support = np.zeros(len(own), np.int64)
             of_support[of] = support
             state |= {"n": _small(n), "support": _small(of_support)}
@@ -330,7 +370,7 @@ def _step(parts: int, k: int, length: int):
             ask = support == 0
             keys, of = _counted(stream, place, size, ask)
             n = np.bincount(of[np.concatenate([learn, learn[ask]])], minlength=len(keys))
-            rows += [(block, *x) for x in _asked(parts, "count", keys, n=_small(n))]
+            rows += [(block, *x) for x in _asked(parts, "count", keys, stream.pair_bits(size), n=_small(n))]
             state |= {"counted": np.packbits(counted), "known_support": _small(support)}
         live = np.zeros(len(stream.place), bool)
         live[at] = True
@@ -345,11 +385,13 @@ def _step(parts: int, k: int, length: int):
     return run
 
 
-def _rooted(state: dict[str, np.ndarray], answer: np.ndarray, head: np.ndarray) -> None:
-    """The base columns of a block's texts, and the root's probability of each of its words."""
+def _rooted(state: dict[str, np.ndarray], got: dict[str, np.ndarray], head: np.ndarray) -> None:
+    """The base columns of a block's texts, and the root's probability of each of its words, which become numbers."""
     stream = _Stream(state)
-    count = np.zeros(len(stream.known), np.int64)
-    count[np.argsort(stream.known)] = answer
+    count, number = np.zeros(len(stream.known), np.int64), np.zeros(len(stream.known), np.uint64)
+    by = np.argsort(stream.known)
+    count[by], number[by] = got["word"], got["number"]
+    state["known"], state["words"] = _small(number), got["most"].max(keepdims=True)
     tokens, kinds = int(head[0]), int(head[1])
     log = np.log10(count + 0.1)
     told = stream.before > 0
@@ -409,17 +451,26 @@ _PACKS = "block long, part int, kind string, pack binary"
 class _Step:
     """What a step has written: states, in buckets of blocks so that they aren't shuffled when answers come, and asks."""
 
-    def __init__(self, rows: DataFrame, buckets: int):
-        self.spark = rows.sparkSession
-        self.table = written(rows.withColumn("asks", F.col("part") >= 0), "step", by="asks", buckets=(buckets, "block"))
+    def __init__(self, rows: DataFrame, buckets: int, parts: int):
+        self.spark, self.parts = rows.sparkSession, parts
+        self.rounds = max(1, min(ROUNDS, parts // self.spark.sparkContext.defaultParallelism))
+        asks = F.when(F.col("part") < 0, -1).otherwise(F.col("part") % self.rounds)  # their round
+        self.table = written(rows.withColumn("asks", asks), "step", by="asks", buckets=(buckets, "block"))
         self.path = self.table._table_path
-        self.states, self.asks = (self.table.where(x).drop("asks") for x in ("not asks", "asks"))
-        self.asked, self.held = (bytes_in(self.spark, f"{self.path}/asks={x}") for x in ("true", "false"))
-
-    def answered(self, parts: int) -> DataFrame:
-        """The answers, written; the asks go."""
-        out = written(self.asks.repartitionById(parts, F.col("part")).mapInArrow(_totals, _PACKS), "answers")
-        deleted(self.spark, f"{self.path}/asks=true")
+        self.states = self.table.where("asks = -1").drop("asks")
+        self.held, self.asked = bytes_in(self.spark, self._folder(-1)), sum(bytes_in(self.spark, self._folder(x)) for x in range(self.rounds))
+
+    def _folder(self, asks: int) -> str:
+        return f"{self.path}/asks={asks}"
+
+    def answered(self) -> list[DataFrame]:
+        """The answers, written round by round; the asks go."""
+        out = []
+        for x in range(self.rounds):
+            asks = self.table.where(F.col("asks") == x).drop("asks")
+            own = asks.repartitionById(-(-self.parts // self.rounds), F.floor(F.col("part") / self.rounds).cast("int"))
+            out.append(written(own.mapInArrow(_totals, _PACKS), "answers"))
+            deleted(self.spark, self._folder(x))
         return out
 
 
@@ -441,19 +492,20 @@ def lm_scores(docs: DataFrame, held_out) -> DataFrame:
     parts = max(shuffle_partitions(spark), size // PART_BYTES)
     rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, size // BLOCK_BYTES + 1))
     most, least = parts, min(parts, spark.sparkContext.defaultParallelism)
-    step = _Step(rows.mapInArrow(_begun(parts), _PACKS), parts)
+    step = _Step(rows.mapInArrow(_begun(parts), _PACKS), parts, parts)
     k, length = 0, 0
     while step.asked:
-        answers = step.answered(parts)
+        told = step.answered()
+        answers = spark.read.schema(_PACKS).parquet(*[x._table_path for x in told])
         if k > 1:  # from here on less is asked and held from step to step
             parts = min(parts, max(least, step.asked // PACK_BYTES))
         then = step.states.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_step(parts, k, length), _PACKS)
-        before, step = step, _Step(then, min(most, max(least, step.held // PACK_BYTES)) if k > 1 else most)
+        before, step = step, _Step(then, min(most, max(least, step.held // PACK_BYTES)) if k > 1 else most, parts)
         deleted_table(before.table)
-        dropped(answers)
+        dropped(*told)
         k, length = k + 1, longer(length) if k else 1
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     spark.sql(f"DROP TABLE {step.table._table_name}")  # its files stay for the result
     if not step.held:  # an empty table has no folder of states
         return spark.createDataFrame([], schema)
-    return spark.read.schema(_PACKS).parquet(f"{step.path}/asks=false").select("pack").mapInArrow(_told(), schema)
+    return spark.read.schema(_PACKS).parquet(f"{step.path}/asks=-1").select("pack").mapInArrow(_told(), schema)

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -6,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.llm import queries
+from feedloom.llm import lm, queries
 from feedloom.llm.lm import GAIN, SUPPORT, WEIGHT, lm_scores, longer
 
 
@@ -140,3 +141,30 @@ def test_distinct_of_keys_that_share_their_high_bits():
     assert known.tolist() == [0, 1, 2, 3, 1 << 40] and known[place].tolist() == keys.tolist()
     none = _distinct(keys[:0])
     assert len(none[0]) == len(none[1]) == 0
+
+
+def test_pairs_of_words_are_asked_by_numbers_and_in_rounds(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, " ".join(f"w{int(r.paretovariate(0.7)) % 3000}" for _ in range(300)), i % 10 == 0) for i in range(400)]
+    pairs = len({x for _, t, _ in rows for x in zip(t.split(), t.split()[1:], strict=False)})
+    asked, rounds, begun = [], [], lm._Step.__init__
+
+    def told(self, *args):
+        begun(self, *args)
+        asked.append(self.asked)
+        rounds.append(self.rounds)
+
+    monkeypatch.setattr(lm._Step, "__init__", told)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").coalesce(1)
+    scores = lambda: sorted(tuple(x) for x in lm_scores(docs, F.col("held_out")).collect())
+    want = scores()
+    assert asked[1] < 4 * pairs  # 64-bit hashes take 6 bytes or more
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        assert scores() == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert max(rounds) > 1
+    brute = suffix_scores(rows)[0]
+    assert all(abs(x[-1] - brute[x[0]]) < 1e-3 for x in want)
