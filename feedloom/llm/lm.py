@@ -11,7 +11,8 @@ symbol is scored by the longest retained suffix of what precedes it.
 
 Texts are packed into blocks, once and without a shuffle. At each length a block asks once for each of
 its distinct (context, next symbol), and for each of its contexts; the task that gets a key from all
-blocks answers with its total. A key is a 64-bit hash and spread by its own value, so neither a
+blocks answers with its total. At the short lengths, where nearly all places ask, the symbols are written once and not
+with each state, and asks are made from the states round by round and written nowhere but in the shuffle. A key is a 64-bit hash and spread by its own value, so neither a
 frequent word nor a frequent context, nor a text that is a third of all rows, is a hot group. Test
 sums are whole numbers (fixed point), so results don't depend on how rows are dealt.
 """
@@ -21,7 +22,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
@@ -44,8 +45,10 @@ _END = np.uint64(0x5851F42D4C957F2D)
 _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
 _NEXT, _ANY = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-#: Asks of a step are answered in up to so many rounds, so that what is shuffled lies on disk twice in part only.
-ROUNDS = 4
+#: Asks of a step are answered in up to so many rounds, so that what is shuffled lies on disk in part only.
+ROUNDS = 2
+#: From this step on states hold their symbols, of which few are left then, and asks are written with them.
+WHOLE = 5
 
 
 def longer(length: int) -> int:
@@ -120,10 +123,14 @@ def _spread(x: np.ndarray, bits: int) -> np.ndarray:
     return x << np.uint64(64 - bits)
 
 
+def _part(parts: int, keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+
+
 def _asked(parts: int, kind: str, keys: np.ndarray, bits: int = 64, empty: bool = False, **values: np.ndarray) -> Iterator[tuple[int, str, bytes]]:
     """A pack for each part (also for those without keys, if ``empty``) of sorted ``keys``, which have ``bits`` high bits, and their values; the part goes by a key's high bits."""
     low = {"low": np.array([64 - bits], np.uint8)} if bits < 64 else {}
-    part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    part = _part(parts, keys)
     bounds = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
     for p in range(parts):
         a, b = bounds[p], bounds[p + 1]
@@ -169,29 +176,56 @@ def _rows_of(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+@cache
+def _powers(x: int, bits: int) -> np.ndarray:
+    out = np.full(1 << bits, x, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, out=out)
+
+
 class _Stream:
     """The symbols of a block: for each text the boundary, its words, and the end; both marks are ``_END``."""
 
     def __init__(self, state: dict[str, np.ndarray]):
         self.known, self.place, self.size = state["known"], state["place"], state["size"]
-        self.bits = max(1, int(state["words"][0] - 1).bit_length()) if "words" in state else 64
+        self.bits = max(1, int(state["words"][0] - 1).bit_length())
         whole = self.size + 2
         self.start = np.cumsum(whole) - whole
-        self.before = (np.arange(len(self.place)) - np.repeat(self.start, whole)).astype(np.int32)
-        self.text = np.repeat(np.arange(len(self.size), dtype=np.int32), whole)
         self.learn = state["learn"].astype(bool)
+
+    @cached_property
+    def before(self) -> np.ndarray:
+        return (np.arange(len(self.place)) - np.repeat(self.start, self.size + 2)).astype(np.int32)
+
+    @cached_property
+    def text(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.size), dtype=np.int32), self.size + 2)
+
+    @cached_property
+    def learnt(self) -> np.ndarray:
+        return np.repeat(self.learn, self.size + 2)
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return mix(self.known.astype(np.uint64) + _NEXT)[self.place]
+
+    @cached_property
+    def sum(self) -> np.ndarray:
         n = len(self.place)
-        self.hash = mix(self.known.astype(np.uint64) + _NEXT)[self.place]
-        self.sum = np.zeros(n + 1, np.uint64)
-        np.multiply(self.hash, self._powers(_ODD, n), out=self.sum[1:])
-        np.cumsum(self.sum, out=self.sum)
-        self.back = self._powers(_BACK, n)
+        out = np.zeros(n + 1, np.uint64)
+        np.multiply(self.hash, self._powers(_ODD, n), out=out[1:])
+        return np.cumsum(out, out=out)
+
+    @cached_property
+    def back(self) -> np.ndarray:
+        return self._powers(_BACK, len(self.place))
 
     @staticmethod
     def _powers(x: int, n: int) -> np.ndarray:
-        out = np.full(n, x, np.uint64)
-        out[:1] = 1
-        return np.cumprod(out, out=out)
+        bits = max(16, n.bit_length())
+        if bits > 21:  # a very long text: not held for the next block
+            return _powers.__wrapped__(x, bits)[:n]
+        return _powers(x, bits)[:n]
 
     def context(self, at: np.ndarray, length: int) -> np.ndarray:
         """A hash of the ``length`` symbols before each place."""
@@ -204,10 +238,12 @@ class _Stream:
         return self.known[self.place[at]].astype(np.uint64)
 
     def tested(self, at: np.ndarray, length: int) -> tuple[np.ndarray, int]:
-        """The keys of contexts in tests, and their bits: a single symbol is its number."""
-        if length > 1 or self.bits >= 64:
-            return self.context(at, length), 64
-        return _spread(self._number(at - 1), self.bits), self.bits
+        """The keys of contexts in tests, and their bits: one or two symbols are their numbers, if these fit."""
+        if length == 1 and self.bits < 64:
+            return _spread(self._number(at - 1), self.bits), self.bits
+        if length == 2 and self.bits <= 32:
+            return self.pair(at - 1), 2 * self.bits
+        return self.context(at, length), 64
 
     def pair_bits(self, length: int) -> int:
         """Bits of a key of (context, symbol): two symbols are their numbers, if these fit."""
@@ -217,16 +253,30 @@ class _Stream:
         return _spread(self._number(at - 1) << np.uint64(self.bits) | self._number(at), 2 * self.bits)
 
 
-def _counted(stream: _Stream, place: np.ndarray, length: int, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What is counted of contexts: the sorted keys of (context, symbol), and of contexts whose count isn't known; and the place of each there."""
+def _counted(stream: _Stream, place: np.ndarray, length: int, ask: np.ndarray) -> np.ndarray:
+    """What is counted of contexts: the keys of (context, symbol), and then of contexts whose count isn't known."""
     if length == 1 and stream.bits <= 32:  # the counts of all words are known
-        return _distinct(stream.pair(place))
+        return stream.pair(place)
     context = stream.context(place, length)
-    return _distinct(np.concatenate([stream.next(context, place), mix(context[ask] + _ANY)]))
+    return np.concatenate([stream.next(context, place), mix(context[ask] + _ANY)])
+
+
+#: What a block's texts are written with, once.
+_TEXTS = ("ids", "place", "size", "learn", "rank")
+
 
+def _state_of(block: int, state: dict[str, np.ndarray], whole: bool) -> tuple[int, int, str, bytes]:
+    """The row of a state: ``state`` if it asks, else ``done``; only a whole one holds its symbols."""
+    own = {c: x for c, x in state.items() if (whole and c != "rank") or c not in _TEXTS}
+    own["known"] = np.diff(own["known"], prepend=own["known"].dtype.type(0))  # words as frequent in the block are in order
+    return block, -1, "state" if len(state["live"]) else "done", _packed(**own)
 
-def _state_of(block: int, state: dict[str, np.ndarray]) -> tuple[int, int, str, bytes]:
-    return block, -1, "state", _packed(**state)
+
+def _state_in(*packs: pa.Scalar) -> dict[str, np.ndarray]:
+    state = {c: x for pack in packs for c, x in _unpacked(pack).items()}
+    if "known" in state:
+        state["known"] = np.cumsum(state["known"], dtype=state["known"].dtype)
+    return state
 
 
 def _begun(parts: int):
@@ -237,7 +287,7 @@ def _begun(parts: int):
         hashes, size = (np.concatenate(x) for x in zip(*texts, strict=True))
         learn = ~rows.column("held_out").to_numpy()
         code, known = pd.factorize(np.append(hashes, _END))
-        order = np.argsort(-np.bincount(code), kind="stable")  # frequent words get small numbers, which pack well
+        order = np.lexsort((known, -np.bincount(code)))  # frequent words get small numbers, which pack well
         back = np.empty(len(order), np.uint32)
         back[order] = np.arange(len(order), dtype=np.uint32)
         code, known = back[code], known[order]
@@ -249,10 +299,12 @@ def _begun(parts: int):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rows.schema) as out:
             out.write_table(rows)
-        state = {"ids": np.frombuffer(sink.getvalue(), np.uint8), "known": known, "place": place, "size": size, "learn": learn}
         by = np.argsort(known)
+        rank = np.empty(len(by), np.uint32)
+        rank[by] = np.arange(len(by), dtype=np.uint32)
+        state = {"ids": np.frombuffer(sink.getvalue(), np.uint8), "place": place, "size": size, "learn": learn, "rank": np.diff(rank, prepend=np.uint32(0))}
         asks = _asked(parts, "word", known[by], empty=True, n=_small(n[by]))  # all tell their part of N and V
-        return _rows_of([_state_of(block, state), *((block, *x) for x in asks)])
+        return _rows_of([(block, -1, "texts", _packed(**state)), *((block, *x) for x in asks)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -274,124 +326,208 @@ def _begun(parts: int):
 
 def _answers(table: pa.Table, parts: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """A block's answers by kind in the order of the keys asked, and the totals of all parts."""
-    got, head = {}, np.zeros(2, np.int64)
+    got, head, number, most = {}, np.zeros(2, np.int64), [], 0
     for part, kind, pack in sorted(zip(table.column("part").to_pylist(), table.column("kind").to_pylist(), table.column("pack"), strict=True), key=lambda x: x[0]):
         own = _unpacked(pack)
         got.setdefault(kind, []).append(own["answer"])
         if kind == "word":
-            got.setdefault("number", []).append(np.cumsum(own["number"], dtype=np.uint64) * np.uint64(parts) + np.uint64(part))
-            got.setdefault("most", []).append(own["most"] * parts)
+            number.append((part, np.cumsum(own["number"], dtype=np.uint64)))
+            most = max(most, int(own["most"][0]))
         head += own.get("head", 0)
+    if number:  # they ascend with the keys
+        got["number"] = [x + np.uint64(part * most) for part, x in number]
+        got["most"] = [np.array([parts * most], np.int64)]
     return {k: np.concatenate(x) for k, x in got.items()}, head
 
 
-def _step(parts: int, k: int, length: int):
-    """Take in what a block asked in step ``k`` and ask on: ``length`` is that of the contexts counted now.
+def _live(state: dict[str, np.ndarray], stream: _Stream) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(state["live"], count=len(stream.place) if len(state["live"]) else 0))
+
+
+def _probability(state: dict[str, np.ndarray], stream: _Stream, at: np.ndarray, own=slice(None)) -> np.ndarray:
+    """The probability of places by retained contexts; ``own`` are their rows in the state."""
+    if "p" in state:
+        return state["p"][own].astype(float)
+    p = _root(state)[stream.place[at]]
+    if "told" not in state:
+        return p
+    told = np.unpackbits(state["told"], count=len(state["shorter_n"]))[own].astype(bool)
+    return np.where(told, _smooth(state["shorter_n"][own], p, state["count"][stream.place[at - 1]]), p).astype(np.float32).astype(float)
+
+
+def _smooth(n: np.ndarray, p: np.ndarray, support: np.ndarray) -> np.ndarray:
+    return (n + WEIGHT * p) / (support + WEIGHT)
+
+
+def _to_count(state: dict[str, np.ndarray], stream: _Stream, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which live places ask for counts at this length, and the counts of their contexts: 0 is not known."""
+    if length == 1:
+        return np.ones(len(at), bool), state["count"][stream.place[at - 1]].astype(np.int64)
+    counted = np.unpackbits(state["counted"], count=len(at)).astype(bool)
+    if length > 4:
+        return counted, np.zeros(counted.sum(), np.int64)
+    full = np.full(len(stream.place), -1, np.int64)
+    full[at] = state["n"]
+    support = full[at[counted] - 1]
+    support[support < 0] = state["known_support"]
+    return counted, support
+
+
+def _asks(parts: int, stream: _Stream, state: dict[str, np.ndarray], k: int, length: int, part: int = 0, span: int = 0) -> Iterator[tuple[int, str, bytes]]:
+    """What a block asks after step ``k``: tests of its contexts of ``length``, and counts at the next; keys of ``span`` parts from ``part`` on, or of all."""
+    end = part + span if span else parts
+
+    def mine(keys: np.ndarray) -> np.ndarray | slice:
+        if not span:
+            return slice(None)
+        of = _part(parts, keys)
+        return np.flatnonzero((of >= np.uint64(part)) & (of < np.uint64(end)))
+
+    at = _live(state, stream)
+    if not len(at):
+        return
+    if k > 0:
+        context, bits = stream.tested(at, length)
+        own = mine(context)
+        place = at[own]
+        keys, of = _distinct(context[own])
+        learn = stream.learnt[place]
+        at_, of_learn = place[learn], of[learn]
+        own = np.flatnonzero(learn) if isinstance(own, slice) else own[learn]
+        n, p = state["n"][own].astype(np.int64), _probability(state, stream, at_, own)
+        if k == 1:
+            support = state["count"][stream.place[at_ - 1]].astype(np.int64)
+        else:
+            support = state["support"][state["bounds"][part] if span else 0 :][of_learn].astype(np.int64)
+        summed = lambda x: np.bincount(of_learn, np.rint(x * _UNIT), len(keys)).astype(np.int64)
+        others = _smooth(n - 1, p, support - 1)
+        most = np.int64(GAIN * _UNIT)  # no term is negative, so a sum that is left reaches GAIN with or without what is over it
+        left = lambda q: np.minimum(summed(-np.log(q)), most)
+        yield from _asked(parts, "test", keys, bits, gain=summed(np.log(others / p)), own=left(_smooth(n, p, support)), under=left(p))
+    size = longer(length) if k > 0 else 1
+    counted, support = _to_count(state, stream, at, size)
+    place, ask = at[counted], support == 0
+    keys, learn = _counted(stream, place, size, ask), stream.learnt[place]
+    own = mine(keys)
+    learn = (learn if len(keys) == len(place) else np.concatenate([learn, learn[ask]]))[own]
+    keys, of = _distinct(keys[own])
+    yield from _asked(parts, "count", keys, stream.pair_bits(size), n=_small(np.bincount(of[learn], minlength=len(keys))))
+
+
+def _taken(state: dict[str, np.ndarray], stream: _Stream, got: dict[str, np.ndarray], k: int, length: int, parts: int) -> np.ndarray:
+    """Take in what a block asked after step ``k - 1``: ``length`` is that of the contexts counted now. The places that stay live.
 
     Of a live place (a symbol whose longest suffix isn't known yet) the state has ``p``, its probability by
-    retained contexts (left out while that is the root's), and of the context in test the count ``n`` of the
-    symbol. Which answer is a place's is worked out again from the symbols, as it would be half of the state.
+    retained contexts (left out while that is the root's, or follows from ``shorter_n`` of single words), and of the context in
+    test the count ``n`` of the symbol. Which answer is a place's, and the count of a context that is the ``n`` of the place before,
+    are worked out again from the symbols, as they would be half of the state.
     """
+    at = _live(state, stream)
+    p = _probability(state, stream, at)
 
-    def run(key, own, table):
-        block, state = key[0].as_py(), _unpacked(own.column("pack")[0])
-        if k > 0 and not len(state["live"]):
-            return own
-        got, head = _answers(table, parts)
-        if k == 0:
-            _rooted(state, got, head)
-        stream = _Stream(state)
-        at = np.flatnonzero(np.unpackbits(state.pop("live"), count=len(stream.place)))
-        p = state.pop("p").astype(float) if "p" in state else _root(state)[stream.place[at]]
-
-        def done(rows: np.ndarray) -> None:
-            state["score"] += np.bincount(stream.text[at[rows]], np.log10(p[rows]), len(stream.size))
+    def done(rows: np.ndarray) -> None:
+        state["score"] += np.bincount(stream.text[at[rows]], np.log10(p[rows]), len(stream.size))
 
+    full = None
+    if k > 0:
+        counted, support = _to_count(state, stream, at, length)
         grow = np.ones(len(at), bool)
         if k > 1:  # the test of the contexts one step shorter
             of = _distinct(stream.tested(at, shorter(length))[0])[1]
-            smooth = (state.pop("n") + WEIGHT * p) / (state.pop("support")[of] + WEIGHT)
+            held = state.pop("support")[of] if k > 2 else state["count"][stream.place[at - 1]]
             told = got["test"][of]
-            p = np.where(told & 1, smooth, p)
-            grow = told & 2 > 0
-        if k > 0:  # the counts of the contexts of this length
-            counted = np.unpackbits(state.pop("counted"), count=len(at)).astype(bool)
-            total, support = np.zeros(len(at), np.int64), state.pop("known_support").astype(np.int64)
-            ask = support == 0
-            of = _counted(stream, at[counted], length, ask)[1]
-            answer = got["count"][of].astype(np.int64) if len(of) else np.zeros(0, np.int64)
-            n, support[ask] = answer[: len(support)], answer[len(support) :]
-            full = np.full(len(stream.place), -1, np.int64)
-            full[at[counted]] = n
-            count, total[counted] = np.zeros(len(at), np.int64), support
-            count[counted] = n
-            grow &= counted & (total >= SUPPORT)
-            done(~grow)
-            at, p, n, support = at[grow], p[grow], count[grow], total[grow]
-        rows = []
-        if k > 0 and len(at):
-            context, bits = stream.tested(at, length)
-            own, of = _distinct(context)
-            learn = stream.learn[stream.text[at]]
-            of_learn, n_, p_, support_ = of[learn], n[learn], p[learn], support[learn]
-            summed = lambda x: np.bincount(of_learn, np.rint(x * _UNIT), len(own)).astype(np.int64)
-            others = (n_ - 1 + WEIGHT * p_) / (support_ - 1 + WEIGHT)
-            smooth = (n_ + WEIGHT * p_) / (support_ + WEIGHT)
-            most = np.int64(GAIN * _UNIT)  # no term is negative, so a sum that is left reaches GAIN with or without what is over it
-            left = lambda q: np.minimum(summed(-np.log(q)), most)
-            tests = {"gain": summed(np.log(others / p_)), "own": left(smooth), "under": left(p_)}
-            rows += [(block, *x) for x in _asked(parts, "test", own, bits, **tests)]
-            of_support = np.zeros(len(own), np.int64)
-            of_support[of] = support
-            state |= {"n": _small(n), "support": _small(of_support)}
-            if k > 1:
-                state["p"] = p.astype(np.float32)
-                state.pop("count", None)
-        size = longer(length) if k > 0 else 1
-        if len(at):  # contexts to be counted next
-            room = stream.before[at] >= size
-            if k == 0:
-                support = state["count"][stream.place[at - 1]].astype(np.int64)
-            elif size == length + 1:  # the count of the symbol before is this context's
-                support = full[at - 1]
-                if k < 3:
-                    support = np.maximum(support, 1)  # not counted: too rare
-            else:
-                support = np.full(len(at), -1)
-            counted = room & ((support < 0) | (support >= SUPPORT))
-            support = np.maximum(support[counted], 0)
-            if k == 0:
-                rest = ~counted
-                done(rest)
-                at, p = at[counted], p[counted]
-                counted = np.ones(len(at), bool)
-            place = at[counted]
-            learn = stream.learn[stream.text[place]]
-            ask = support == 0
-            keys, of = _counted(stream, place, size, ask)
-            n = np.bincount(of[np.concatenate([learn, learn[ask]])], minlength=len(keys))
-            rows += [(block, *x) for x in _asked(parts, "count", keys, stream.pair_bits(size), n=_small(n))]
-            state |= {"counted": np.packbits(counted), "known_support": _small(support)}
+            p, grow = np.where(told & 1, _smooth(state["n"], p, held), p), told & 2 > 0
+        total, ask = np.zeros(len(at), np.int64), support == 0
+        of = _distinct(_counted(stream, at[counted], length, ask))[1]  # the counts of the contexts of this length
+        answer = got["count"][of].astype(np.int64) if len(of) else np.zeros(0, np.int64)
+        n, support[ask] = answer[: len(support)], answer[len(support) :]
+        full = np.full(len(stream.place), -1, np.int64)
+        full[at[counted]] = n
+        total[counted] = support
+        grow &= counted & (total >= SUPPORT)
+        done(~grow)
+        at, p, support = at[grow], p[grow], total[grow]
+        if k == 2:
+            state |= {"shorter_n": state["n"][grow], "told": np.packbits(told[grow] & 1)}
+        elif k > 2:
+            state["p"] = p.astype(np.float32)
+            for c in ("count", "shorter_n", "told"):
+                state.pop(c, None)
+        state["n"] = _small(full[at])
+        if k > 1:
+            keys, of = _distinct(stream.tested(at, length)[0])
+            held = np.zeros(len(keys), np.int64)
+            held[of] = support
+            state |= {"support": _small(held), "bounds": np.searchsorted(_part(parts, keys), np.arange(parts, dtype=np.uint64))}
+    size = longer(length) if k > 0 else 1
+    room = stream.before[at] >= size
+    if k == 0:
+        support = state["count"][stream.place[at - 1]].astype(np.int64)
+    elif size == length + 1:  # the count of the symbol before is this context's
+        support = full[at - 1]
+        if k < 3:
+            support = np.maximum(support, 1)  # not counted: too rare
+    else:
+        support = np.full(len(at), -1)
+    counted = room & ((support < 0) | (support >= SUPPORT))  # contexts to be counted next
+    if k == 0:
+        done(~counted)
+        at = at[counted]
+    else:
         live = np.zeros(len(stream.place), bool)
         live[at] = True
-        if len(at):
-            _forgotten(state, stream, at)
-            state["live"] = np.packbits(live)
-        else:
-            state |= {"live": np.zeros(0, np.uint8), "place": np.zeros(0, np.uint32), "known": np.zeros(0, np.uint64)}
-            state.pop("count", None)
-        return pa.Table.from_batches([_rows_of([_state_of(block, state), *rows])])
+        rest = counted & ~live[at - 1] if size <= 4 else np.zeros(len(at), bool)
+        state |= {"counted": np.packbits(counted), "known_support": _small(np.maximum(support[rest], 0))}
+    live = np.zeros(len(stream.place) if len(at) else 0, bool)
+    live[at] = True
+    state["live"] = np.packbits(live)
+    return at
+
+
+def _step(parts: int, k: int, length: int):
+    """Step ``k`` of a block: what it asked is taken in, and from step ``WHOLE`` on it asks anew."""
+
+    def run(key, own, table):
+        block, whole = key[0].as_py(), k >= WHOLE
+        if k > WHOLE and own.column("kind")[0].as_py() == "done":
+            return own
+        state = _state_in(*(own.column(c)[0] for c in ("texts", "pack") if c in own.column_names))
+        asks = []
+        if k == 0 or len(state["live"]):
+            got, head = _answers(table, parts)
+            stream = _rooted(state, got, head) if k == 0 else _Stream(state)
+            at = _taken(state, stream, got, k, length, parts)
+            if whole and len(at):
+                asks = [(block, *x) for x in _asks(parts, stream, state, k, length)]
+                _forgotten(state, stream, at)
+        if not len(state["live"]):
+            for c in ("known", "place") if whole else ("known",):
+                state[c] = state[c][:0]
+            for c in ("count", "shorter_n", "told", "p", "n", "support", "bounds", "counted", "known_support"):
+                state.pop(c, None)
+        return pa.Table.from_batches([_rows_of([_state_of(block, state, whole), *asks])])
 
     return run
 
 
-def _rooted(state: dict[str, np.ndarray], got: dict[str, np.ndarray], head: np.ndarray) -> None:
+def _asking(parts: int, k: int, length: int, part: int, span: int):
+    """What blocks ask after step ``k`` of ``span`` parts from ``part`` on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, texts, pack in zip(*(batch.column(c) for c in ("block", "texts", "pack")), strict=True):
+                state = _state_in(texts, pack)
+                if rows := [(block.as_py(), *x) for x in _asks(parts, _Stream(state), state, k, length, part, span)]:
+                    yield _rows_of(rows)
+
+    return run
+
+
+def _rooted(state: dict[str, np.ndarray], got: dict[str, np.ndarray], head: np.ndarray) -> _Stream:
     """The base columns of a block's texts, and the root's probability of each of its words, which become numbers."""
+    rank = np.cumsum(state["rank"], dtype=np.uint32)
+    count, state["known"], state["words"] = got["word"][rank].astype(np.int64), _small(got["number"][rank]), got["most"]
     stream = _Stream(state)
-    count, number = np.zeros(len(stream.known), np.int64), np.zeros(len(stream.known), np.uint64)
-    by = np.argsort(stream.known)
-    count[by], number[by] = got["word"], got["number"]
-    state["known"], state["words"] = _small(number), got["most"].max(keepdims=True)
     tokens, kinds = int(head[0]), int(head[1])
     log = np.log10(count + 0.1)
     told = stream.before > 0
@@ -402,6 +538,7 @@ def _rooted(state: dict[str, np.ndarray], got: dict[str, np.ndarray], head: np.n
     state["tokens"] = np.array([tokens, kinds])
     state["score"] = np.zeros(len(n))
     state["count"], state["live"] = _small(count), np.packbits(told)
+    return stream
 
 
 def _root(state: dict[str, np.ndarray]) -> np.ndarray:
@@ -427,7 +564,7 @@ def _told():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pack in batch.column("pack"):
-                state = _unpacked(pack)
+                state = _state_in(pack)
                 ids = pa.ipc.open_stream(pa.py_buffer(state["ids"].tobytes())).read_all()
                 n = len(state["size"])
                 yield from pa.table(
@@ -449,26 +586,37 @@ _PACKS = "block long, part int, kind string, pack binary"
 
 
 class _Step:
-    """What a step has written: states, in buckets of blocks so that they aren't shuffled when answers come, and asks."""
+    """What a step has written: states, in buckets of blocks so that they aren't shuffled when answers come, and asks, if it is the first or a whole one."""
 
-    def __init__(self, rows: DataFrame, buckets: int, parts: int):
-        self.spark, self.parts = rows.sparkSession, parts
+    def __init__(self, rows: DataFrame, buckets: int, parts: int, k: int, length: int, texts: DataFrame | None = None):
+        self.spark, self.parts, self.k, self.length = rows.sparkSession, parts, k, length
         self.rounds = max(1, min(ROUNDS, parts // self.spark.sparkContext.defaultParallelism))
-        asks = F.when(F.col("part") < 0, -1).otherwise(F.col("part") % self.rounds)  # their round
+        self.span = -(-parts // self.rounds)  # parts in a round
+        asks = F.when(F.col("part") < 0, -1).otherwise(F.floor(F.col("part") / self.span).cast("int"))  # their round
         self.table = written(rows.withColumn("asks", asks), "step", by="asks", buckets=(buckets, "block"))
         self.path = self.table._table_path
         self.states = self.table.where("asks = -1").drop("asks")
         self.held, self.asked = bytes_in(self.spark, self._folder(-1)), sum(bytes_in(self.spark, self._folder(x)) for x in range(self.rounds))
+        self.apart = texts is not None
+        if self.apart:  # texts and states have the same buckets
+            self.states = texts.select("block", F.col("pack").alias("texts")).hint("merge").join(self.states.select("block", "kind", "pack"), "block")
+            self.asked = self.table.where("kind = 'state'").count()  # the blocks that ask
 
     def _folder(self, asks: int) -> str:
         return f"{self.path}/asks={asks}"
 
+    def asks(self, x: int) -> DataFrame:
+        """The asks of a round."""
+        if not self.apart:
+            return self.table.where(F.col("asks") == x).drop("asks")
+        made = _asking(self.parts, self.k, self.length, x * self.span, min(self.span, self.parts - x * self.span))
+        return self.states.where("kind = 'state'").select("block", "texts", "pack").mapInArrow(made, _PACKS)
+
     def answered(self) -> list[DataFrame]:
         """The answers, written round by round; the asks go."""
         out = []
-        for x in range(self.rounds):
-            asks = self.table.where(F.col("asks") == x).drop("asks")
-            own = asks.repartitionById(-(-self.parts // self.rounds), F.floor(F.col("part") / self.rounds).cast("int"))
+        for x in range(-(-self.parts // self.span) if self.asked else 0):
+            own = self.asks(x).repartitionById(self.span, (F.col("part") - x * self.span).cast("int"))
             out.append(written(own.mapInArrow(_totals, _PACKS), "answers"))
             deleted(self.spark, self._folder(x))
         return out
@@ -492,16 +640,22 @@ def lm_scores(docs: DataFrame, held_out) -> DataFrame:
     parts = max(shuffle_partitions(spark), size // PART_BYTES)
     rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, size // BLOCK_BYTES + 1))
     most, least = parts, min(parts, spark.sparkContext.defaultParallelism)
-    step = _Step(rows.mapInArrow(_begun(parts), _PACKS), parts, parts)
+    step = first = _Step(rows.mapInArrow(_begun(parts), _PACKS), parts, parts, -1, 0)
     k, length = 0, 0
-    while step.asked:
+    while step.asked or step.apart:
         told = step.answered()
-        answers = spark.read.schema(_PACKS).parquet(*[x._table_path for x in told])
-        if k > 1:  # from here on less is asked and held from step to step
+        answers = spark.read.schema(_PACKS).parquet(*[x._table_path for x in told]) if told else spark.createDataFrame([], _PACKS)
+        if not told:  # no block asks, but states are to be whole
+            k = max(k, WHOLE)
+        if k > WHOLE:  # from here on less is asked and held from step to step
             parts = min(parts, max(least, step.asked // PACK_BYTES))
         then = step.states.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_step(parts, k, length), _PACKS)
-        before, step = step, _Step(then, min(most, max(least, step.held // PACK_BYTES)) if k > 1 else most, parts)
-        deleted_table(before.table)
+        fewer = min(most, max(least, step.held // PACK_BYTES)) if k > WHOLE else most
+        before, step = step, _Step(then, fewer, parts, k, length, first.states if k < WHOLE else None)
+        if before is not first:
+            deleted_table(before.table)
+        if before.apart and not step.apart:
+            deleted_table(first.table)
         dropped(*told)
         k, length = k + 1, longer(length) if k else 1
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -168,3 +168,76 @@ def test_pairs_of_words_are_asked_by_numbers_and_in_rounds(spark, monkeypatch):
     assert max(rounds) > 1
     brute = suffix_scores(rows)[0]
     assert all(abs(x[-1] - brute[x[0]]) < 1e-3 for x in want)
+
+
+def test_texts_are_written_once_and_asks_of_short_contexts_nowhere(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(i, " ".join(f"w{int(r.paretovariate(0.7)) % 3000}" for _ in range(300)), i % 10 == 0) for i in range(400)]
+    pairs = len({x for _, t, _ in rows for x in zip(t.split(), t.split()[1:], strict=False)})
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").coalesce(1)
+    kinds, asked, write, asks = [], [], lm.written, lm._Step.asks
+
+    def watched(df, name, by=None, buckets=None):
+        out = write(df, name, by, buckets)
+        if buckets:
+            packs = out.select("kind", "pack").toArrow()
+            kinds.append({k: set(lm._unpacked(p)) for k, p in zip(packs["kind"].to_pylist(), packs["pack"], strict=True)})
+        return out
+
+    def counted(self, x):
+        out = asks(self, x)
+        asked.append((self.k, out.select(F.sum(F.length("pack"))).first()[0] or 0))
+        return out
+
+    monkeypatch.setattr(lm, "written", watched)
+    monkeypatch.setattr(lm._Step, "asks", counted)
+    got = {x.doc_id: x.score for x in lm_scores(docs, F.col("held_out")).collect()}
+    assert "place" in kinds[0]["texts"]
+    assert all(set(x) <= {"state", "done"} and "place" not in x["state"] for x in kinds[1:5])
+    assert "place" in kinds[-1]["done"]
+    assert 0 < sum(n for k, n in asked if k == 0) < 4 * pairs
+    want = suffix_scores(rows)[0]
+    assert all(abs(got[i] - want[i]) < 1e-3 for i in want)
+
+
+def test_asks_of_all_rounds_are_those_of_one(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from feedloom.llm.lm import _END, _asks, _rooted, _taken, _unpacked
+
+    r = np.random.default_rng(7)
+    size = np.full(40, 60)
+    words = np.sort(r.integers(0, 1 << 63, 8, dtype=np.uint64))
+    place = np.concatenate([np.concatenate([[0], 1 + r.integers(0, 8, 60), [0]]) for _ in size]).astype(np.uint32)
+    known = np.append(_END, words)
+    by = np.argsort(known)
+    rank = np.empty(9, np.uint32)
+    rank[by] = np.arange(9, dtype=np.uint32)
+    state = {"place": place, "size": size, "learn": np.arange(40) % 5 > 0, "rank": np.diff(rank, prepend=np.uint32(0))}
+    learnt = np.repeat(state["learn"], 62) & np.tile(np.arange(62) > 0, 40)
+    count = np.bincount(place[learnt], minlength=9)
+    got = {"word": count[by], "number": np.arange(9, dtype=np.uint64), "most": np.array([9])}
+    stream = _rooted(state, got, np.array([count.sum(), (count > 0).sum()]))
+    parts, length = 7, 0
+    for k in range(3):
+        _taken(state, stream, got, k, length, parts)
+        whole = list(_asks(parts, stream, state, k, length))
+        rounds = [x for part in (0, 4) for x in _asks(parts, stream, state, k, length, part, min(4, parts - part))]
+        assert whole and sorted(whole) == sorted(rounds)
+        got = {}
+        for _, kind, pack in sorted(whole, key=lambda x: x[0]):
+            own = _unpacked(pa.scalar(pack, pa.binary()))
+            got.setdefault(kind, []).append(own["n"] if kind == "count" else np.full(len(own["gain"]), 2, np.uint8))
+        got = {c: np.concatenate(x) for c, x in got.items()}
+        length = length + 1
+
+
+def test_two_words_in_test_are_a_key_of_their_numbers():
+    import numpy as np
+
+    from feedloom.llm.lm import _Stream
+
+    state = {"known": np.arange(9, dtype=np.uint32), "place": np.array([0, 1, 2, 1, 2, 0], np.uint32), "size": np.array([4]), "learn": np.array([1]), "words": np.array([9])}
+    keys, bits = _Stream(state).tested(np.array([3, 4, 5]), 2)
+    assert bits == 8 and keys[0] == keys[2] != keys[1]
