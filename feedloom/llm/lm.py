@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Container, Iterator
 from functools import cache, cached_property
 
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.runtime import bytes_in, deleted, deleted_table, dropped, shuffle_partitions, written
+from feedloom.llm.runtime import bytes_in, deleted, deleted_table, dropped, settled, shuffle_partitions, written
 from feedloom.llm.wordhash import SPACED, Words, mix, text_chunks
 
 #: Pseudo-counts given to the suffix; nats to be retained, or to grow; occurrences that a context needs.
@@ -40,13 +40,15 @@ WEIGHT, GAIN, SUPPORT = 16.0, 6.0, 8
 BLOCK_BYTES, PART_BYTES = 4 << 20, 16 << 20
 #: Bytes of packs for each part and bucket when they get fewer.
 PACK_BYTES = 4 << 20
+_PIECE = 1 << 15
 _UNIT = float(1 << 20)
 _END = np.uint64(0x5851F42D4C957F2D)
 _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
 _NEXT, _ANY = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-#: Asks of a step are answered in up to so many rounds, so that what is shuffled lies on disk in part only.
-ROUNDS = 2
+#: Asks of a step are answered in up to so many rounds, so that what is shuffled lies on disk in part only. They are
+#: answered at once where states have come down to this part of the most that they had, as their asks have, too.
+ROUNDS, FEW = 2, 2 / 3
 #: From this step on states hold their symbols, of which few are left then, and asks are written with them.
 WHOLE = 5
 
@@ -67,30 +69,34 @@ def _codec() -> pa.Codec:
 
 
 def _packed(**arrays: np.ndarray) -> bytes:
-    """Arrays by name, compressed byte by byte of their numbers."""
+    """Arrays by name, compressed byte by byte of their numbers; high bytes that are 0 everywhere are left out."""
     head, body = [], []
     for name, x in arrays.items():
-        size = x.dtype.itemsize
-        own, planes = np.ascontiguousarray(x).view(np.uint8), np.empty((size, len(x)), np.uint8)
-        for i in range(size):
+        size = used = x.dtype.itemsize
+        if len(x) and size > 1 and x.dtype.kind in "iu" and x.min() >= 0:
+            used = max(1, -(-int(x.max()).bit_length() // 8))
+        own, planes = np.ascontiguousarray(x).view(np.uint8), np.empty((used, len(x)), np.uint8)
+        for i in range(used):
             planes[i] = own[i::size]
         body.append(_codec().compress(planes, asbytes=True) if len(x) else b"")
-        head.append((name, x.dtype.str, len(x), len(body[-1])))
+        head.append((name, x.dtype.str, len(x), used, len(body[-1])))
     first = json.dumps(head).encode()
     return len(first).to_bytes(4, "little") + first + b"".join(body)
 
 
-def _unpacked(pack: pa.Scalar) -> dict[str, np.ndarray]:
+def _unpacked(pack: pa.Scalar, but: Container[str] = ()) -> dict[str, np.ndarray]:
+    """The arrays of a pack, ``but`` some."""
     raw = memoryview(pack.as_buffer())
     at = 4 + int.from_bytes(raw[:4], "little")
     out = {}
-    for name, kind, n, size in json.loads(bytes(raw[4:at])):
-        out[name] = np.empty(n, kind)
-        if n:
-            width, own = out[name].itemsize, out[name].view(np.uint8)
-            planes = np.frombuffer(_codec().decompress(raw[at : at + size], n * width), np.uint8)
-            for i in range(width):
-                own[i::width] = planes[i * n : i * n + n]
+    for name, kind, n, used, size in json.loads(bytes(raw[4:at])):
+        if name not in but:
+            width = np.dtype(kind).itemsize
+            out[name] = np.empty(n, kind) if used == width else np.zeros(n, kind)
+            if n:
+                own, planes = out[name].view(np.uint8), np.frombuffer(_codec().decompress(raw[at : at + size], n * used), np.uint8)
+                for i in range(used):
+                    own[i::width] = planes[i * n : i * n + n]
         at += size
     return out
 
@@ -102,7 +108,7 @@ def _small(x: np.ndarray) -> np.ndarray:
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys in order, and the place of each of ``keys`` there."""
     low = np.uint64((1 << max(1, len(keys) - 1).bit_length()) - 1)
-    order = np.sort(keys & ~low | np.arange(len(keys), dtype=np.uint64)) & low  # high bits of the key, then its place
+    order = (np.sort(keys & ~low | np.arange(len(keys), dtype=np.uint64)) & low).view(np.int64)  # high bits of the key, then its place
     known = keys[order]
     if (known[1:] < known[:-1]).any():  # keys that differ in their low bits only
         order = np.argsort(keys)
@@ -111,7 +117,15 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     np.not_equal(known[1:], known[:-1], out=first[1:])
     place = np.empty(len(known), np.uint32)
     place[order] = np.cumsum(first, dtype=np.uint32) - np.uint32(1)
-    return known[first], place
+    return known.compress(first), place
+
+
+def _piecewise(keys_of: Callable, *of: np.ndarray) -> np.ndarray:
+    """The keys of places, made by pieces whose arrays stay in the processor's cache."""
+    out = np.empty(len(of[0]), np.uint64)
+    for i in range(0, len(out), _PIECE):
+        out[i : i + _PIECE] = keys_of(*(x[i : i + _PIECE] for x in of))
+    return out
 
 
 def _spread(x: np.ndarray, bits: int) -> np.ndarray:
@@ -123,15 +137,16 @@ def _spread(x: np.ndarray, bits: int) -> np.ndarray:
     return x << np.uint64(64 - bits)
 
 
-def _part(parts: int, keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+@cache
+def _edges(parts: int) -> np.ndarray:
+    """The least key of each part."""
+    return np.array([-(-(p << 32) // parts) << 32 for p in range(parts)], np.uint64)
 
 
 def _asked(parts: int, kind: str, keys: np.ndarray, bits: int = 64, empty: bool = False, **values: np.ndarray) -> Iterator[tuple[int, str, bytes]]:
     """A pack for each part (also for those without keys, if ``empty``) of sorted ``keys``, which have ``bits`` high bits, and their values; the part goes by a key's high bits."""
     low = {"low": np.array([64 - bits], np.uint8)} if bits < 64 else {}
-    part = _part(parts, keys)
-    bounds = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+    bounds = [*np.searchsorted(keys, _edges(parts)), len(keys)]
     for p in range(parts):
         a, b = bounds[p], bounds[p + 1]
         if b > a or empty:
@@ -141,6 +156,7 @@ def _asked(parts: int, kind: str, keys: np.ndarray, bits: int = 64, empty: bool
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The answers of a part, in the order asked: ``count`` totals, ``word`` totals and numbers of the words, or for ``test`` whether to retain (1) and to grow (2)."""
+    settled()
     asked: dict[tuple[int, str], list] = {}
     for batch in batches:
         for block, part, kind, pack in zip(*(batch.column(c) for c in ("block", "part", "kind", "pack")), strict=True):
@@ -189,21 +205,21 @@ class _Stream:
     def __init__(self, state: dict[str, np.ndarray]):
         self.known, self.place, self.size = state["known"], state["place"], state["size"]
         self.bits = max(1, int(state["words"][0] - 1).bit_length())
-        whole = self.size + 2
-        self.start = np.cumsum(whole) - whole
+        self.kept = state["kept"] if "kept" in state else self.size + 2  # symbols of each text that are held
+        self.start = np.cumsum(self.kept) - self.kept
         self.learn = state["learn"].astype(bool)
 
     @cached_property
     def before(self) -> np.ndarray:
-        return (np.arange(len(self.place)) - np.repeat(self.start, self.size + 2)).astype(np.int32)
+        return (np.arange(len(self.place)) - np.repeat(self.start, self.kept)).astype(np.int32)
 
     @cached_property
     def text(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.size), dtype=np.int32), self.size + 2)
+        return np.repeat(np.arange(len(self.size), dtype=np.int32), self.kept)
 
     @cached_property
     def learnt(self) -> np.ndarray:
-        return np.repeat(self.learn, self.size + 2)
+        return np.repeat(self.learn, self.kept)
 
     @cached_property
     def hash(self) -> np.ndarray:
@@ -229,28 +245,44 @@ class _Stream:
 
     def context(self, at: np.ndarray, length: int) -> np.ndarray:
         """A hash of the ``length`` symbols before each place."""
-        return mix((self.sum[at] - self.sum[at - length]) * self.back[at] + np.uint64(length))
+        return _piecewise(lambda at: mix((self.sum[at] - self.sum[at - length]) * self.back[at] + np.uint64(length)), at)
 
     def next(self, context: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return mix(context * _NEXT + self.hash[at])
+        return _piecewise(lambda context, at: mix(context * _NEXT + self.hash[at]), context, at)
 
-    def _number(self, at: np.ndarray) -> np.ndarray:
-        return self.known[self.place[at]].astype(np.uint64)
+    @cached_property
+    def number(self) -> np.ndarray:
+        return self.known[self.place]
 
     def tested(self, at: np.ndarray, length: int) -> tuple[np.ndarray, int]:
         """The keys of contexts in tests, and their bits: one or two symbols are their numbers, if these fit."""
         if length == 1 and self.bits < 64:
-            return _spread(self._number(at - 1), self.bits), self.bits
+            return self.single[self.place[at - 1]], self.bits
         if length == 2 and self.bits <= 32:
             return self.pair(at - 1), 2 * self.bits
         return self.context(at, length), 64
 
+    @cached_property
+    def single(self) -> np.ndarray:
+        return _spread(self.known.astype(np.uint64), self.bits)
+
+    def tests(self, at: np.ndarray, length: int, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys of contexts in tests, in order, and the place of each there; ``keys``: those of the contexts."""
+        if length == 1 and self.bits < 64:  # words are sorted, not their occurrences
+            word = self.place[at - 1]
+            used = np.flatnonzero(np.bincount(word, minlength=len(self.known)))
+            used = used[np.argsort(self.single[used])]
+            rank = np.zeros(len(self.known), np.uint32)
+            rank[used] = np.arange(len(used), dtype=np.uint32)
+            return self.single[used], rank[word]
+        return _distinct(self.tested(at, length)[0] if keys is None else keys)
+
     def pair_bits(self, length: int) -> int:
         """Bits of a key of (context, symbol): two symbols are their numbers, if these fit."""
         return 2 * self.bits if length == 1 and self.bits <= 32 else 64
 
     def pair(self, at: np.ndarray) -> np.ndarray:
-        return _spread(self._number(at - 1) << np.uint64(self.bits) | self._number(at), 2 * self.bits)
+        return _piecewise(lambda at: _spread(self.number[at - 1].astype(np.uint64) << np.uint64(self.bits) | self.number[at], 2 * self.bits), at)
 
 
 def _counted(stream: _Stream, place: np.ndarray, length: int, ask: np.ndarray) -> np.ndarray:
@@ -263,6 +295,8 @@ def _counted(stream: _Stream, place: np.ndarray, length: int, ask: np.ndarray) -
 
 #: What a block's texts are written with, once.
 _TEXTS = ("ids", "place", "size", "learn", "rank")
+#: What asks are made without.
+_TOLD = ("ids", "rank", "base", "n_known", "score")
 
 
 def _state_of(block: int, state: dict[str, np.ndarray], whole: bool) -> tuple[int, int, str, bytes]:
@@ -272,8 +306,8 @@ def _state_of(block: int, state: dict[str, np.ndarray], whole: bool) -> tuple[in
     return block, -1, "state" if len(state["live"]) else "done", _packed(**own)
 
 
-def _state_in(*packs: pa.Scalar) -> dict[str, np.ndarray]:
-    state = {c: x for pack in packs for c, x in _unpacked(pack).items()}
+def _state_in(*packs: pa.Scalar, but: Container[str] = ()) -> dict[str, np.ndarray]:
+    state = {c: x for pack in packs for c, x in _unpacked(pack, but).items()}
     if "known" in state:
         state["known"] = np.cumsum(state["known"], dtype=state["known"].dtype)
     return state
@@ -288,8 +322,8 @@ def _begun(parts: int):
         learn = ~rows.column("held_out").to_numpy()
         code, known = pd.factorize(np.append(hashes, _END))
         order = np.lexsort((known, -np.bincount(code)))  # frequent words get small numbers, which pack well
-        back = np.empty(len(order), np.uint32)
-        back[order] = np.arange(len(order), dtype=np.uint32)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
         code, known = back[code], known[order]
         start = np.cumsum(size + 2) - size - 2
         place = np.full(int((size + 2).sum()), code[-1], np.uint32)
@@ -307,6 +341,7 @@ def _begun(parts: int):
         return _rows_of([(block, -1, "texts", _packed(**state)), *((block, *x) for x in asks)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settled()
         block = TaskContext.get().partitionId() << 32
         ids, texts, held = [], [], 0
         for batch in batches:
@@ -340,8 +375,12 @@ def _answers(table: pa.Table, parts: int) -> tuple[dict[str, np.ndarray], np.nda
     return {k: np.concatenate(x) for k, x in got.items()}, head
 
 
+def _bits(packed: np.ndarray, n: int) -> np.ndarray:
+    return np.unpackbits(packed, count=n).view(bool)
+
+
 def _live(state: dict[str, np.ndarray], stream: _Stream) -> np.ndarray:
-    return np.flatnonzero(np.unpackbits(state["live"], count=len(stream.place) if len(state["live"]) else 0))
+    return np.flatnonzero(_bits(state["live"], len(stream.place) if len(state["live"]) else 0))
 
 
 def _probability(state: dict[str, np.ndarray], stream: _Stream, at: np.ndarray, own=slice(None)) -> np.ndarray:
@@ -351,7 +390,7 @@ def _probability(state: dict[str, np.ndarray], stream: _Stream, at: np.ndarray,
     p = _root(state)[stream.place[at]]
     if "told" not in state:
         return p
-    told = np.unpackbits(state["told"], count=len(state["shorter_n"]))[own].astype(bool)
+    told = _bits(state["told"], len(state["shorter_n"]))[own]
     return np.where(told, _smooth(state["shorter_n"][own], p, state["count"][stream.place[at - 1]]), p).astype(np.float32).astype(float)
 
 
@@ -363,12 +402,12 @@ def _to_count(state: dict[str, np.ndarray], stream: _Stream, at: np.ndarray, len
     """Which live places ask for counts at this length, and the counts of their contexts: 0 is not known."""
     if length == 1:
         return np.ones(len(at), bool), state["count"][stream.place[at - 1]].astype(np.int64)
-    counted = np.unpackbits(state["counted"], count=len(at)).astype(bool)
+    counted = _bits(state["counted"], len(at))
     if length > 4:
         return counted, np.zeros(counted.sum(), np.int64)
     full = np.full(len(stream.place), -1, np.int64)
     full[at] = state["n"]
-    support = full[at[counted] - 1]
+    support = full[at.compress(counted) - 1]
     support[support < 0] = state["known_support"]
     return counted, support
 
@@ -380,8 +419,9 @@ def _asks(parts: int, stream: _Stream, state: dict[str, np.ndarray], k: int, len
     def mine(keys: np.ndarray) -> np.ndarray | slice:
         if not span:
             return slice(None)
-        of = _part(parts, keys)
-        return np.flatnonzero((of >= np.uint64(part)) & (of < np.uint64(end)))
+        edges = _edges(parts)
+        own = keys >= edges[part]
+        return np.flatnonzero(own & (keys < edges[end]) if end < parts else own)
 
     at = _live(state, stream)
     if not len(at):
@@ -390,10 +430,10 @@ def _asks(parts: int, stream: _Stream, state: dict[str, np.ndarray], k: int, len
         context, bits = stream.tested(at, length)
         own = mine(context)
         place = at[own]
-        keys, of = _distinct(context[own])
-        learn = stream.learnt[place]
+        keys, of = stream.tests(place, length, context[own])
+        learn = np.flatnonzero(stream.learnt[place])
         at_, of_learn = place[learn], of[learn]
-        own = np.flatnonzero(learn) if isinstance(own, slice) else own[learn]
+        own = learn if isinstance(own, slice) else own[learn]
         n, p = state["n"][own].astype(np.int64), _probability(state, stream, at_, own)
         if k == 1:
             support = state["count"][stream.place[at_ - 1]].astype(np.int64)
@@ -405,13 +445,16 @@ def _asks(parts: int, stream: _Stream, state: dict[str, np.ndarray], k: int, len
         left = lambda q: np.minimum(summed(-np.log(q)), most)
         yield from _asked(parts, "test", keys, bits, gain=summed(np.log(others / p)), own=left(_smooth(n, p, support)), under=left(p))
     size = longer(length) if k > 0 else 1
-    counted, support = _to_count(state, stream, at, size)
-    place, ask = at[counted], support == 0
+    if size == 1 and stream.bits <= 32:  # all, and no count of a context
+        place, ask = at, at[:0]
+    else:
+        counted, support = _to_count(state, stream, at, size)
+        place, ask = at.compress(counted), np.flatnonzero(support == 0)
     keys, learn = _counted(stream, place, size, ask), stream.learnt[place]
     own = mine(keys)
     learn = (learn if len(keys) == len(place) else np.concatenate([learn, learn[ask]]))[own]
     keys, of = _distinct(keys[own])
-    yield from _asked(parts, "count", keys, stream.pair_bits(size), n=_small(np.bincount(of[learn], minlength=len(keys))))
+    yield from _asked(parts, "count", keys, stream.pair_bits(size), n=_small(np.bincount(of.compress(learn), minlength=len(keys))))
 
 
 def _taken(state: dict[str, np.ndarray], stream: _Stream, got: dict[str, np.ndarray], k: int, length: int, parts: int) -> np.ndarray:
@@ -426,6 +469,7 @@ def _taken(state: dict[str, np.ndarray], stream: _Stream, got: dict[str, np.ndar
     p = _probability(state, stream, at)
 
     def done(rows: np.ndarray) -> None:
+        rows = np.flatnonzero(rows)
         state["score"] += np.bincount(stream.text[at[rows]], np.log10(p[rows]), len(stream.size))
 
     full = None
@@ -433,32 +477,33 @@ def _taken(state: dict[str, np.ndarray], stream: _Stream, got: dict[str, np.ndar
         counted, support = _to_count(state, stream, at, length)
         grow = np.ones(len(at), bool)
         if k > 1:  # the test of the contexts one step shorter
-            of = _distinct(stream.tested(at, shorter(length))[0])[1]
+            of = stream.tests(at, shorter(length))[1]
             held = state.pop("support")[of] if k > 2 else state["count"][stream.place[at - 1]]
             told = got["test"][of]
             p, grow = np.where(told & 1, _smooth(state["n"], p, held), p), told & 2 > 0
-        total, ask = np.zeros(len(at), np.int64), support == 0
-        of = _distinct(_counted(stream, at[counted], length, ask))[1]  # the counts of the contexts of this length
+        total, ask, place = np.zeros(len(at), np.int64), np.flatnonzero(support == 0), at.compress(counted)
+        of = _distinct(_counted(stream, place, length, ask))[1]  # the counts of the contexts of this length
         answer = got["count"][of].astype(np.int64) if len(of) else np.zeros(0, np.int64)
         n, support[ask] = answer[: len(support)], answer[len(support) :]
         full = np.full(len(stream.place), -1, np.int64)
-        full[at[counted]] = n
+        full[place] = n
         total[counted] = support
         grow &= counted & (total >= SUPPORT)
         done(~grow)
-        at, p, support = at[grow], p[grow], total[grow]
+        rows = np.flatnonzero(grow)
+        at, p, support = at[rows], p[rows], total[rows]
         if k == 2:
-            state |= {"shorter_n": state["n"][grow], "told": np.packbits(told[grow] & 1)}
+            state |= {"shorter_n": state["n"][rows], "told": np.packbits(told[rows] & 1)}
         elif k > 2:
             state["p"] = p.astype(np.float32)
             for c in ("count", "shorter_n", "told"):
                 state.pop(c, None)
         state["n"] = _small(full[at])
         if k > 1:
-            keys, of = _distinct(stream.tested(at, length)[0])
+            keys, of = stream.tests(at, length)
             held = np.zeros(len(keys), np.int64)
             held[of] = support
-            state |= {"support": _small(held), "bounds": np.searchsorted(_part(parts, keys), np.arange(parts, dtype=np.uint64))}
+            state |= {"support": _small(held), "bounds": np.searchsorted(keys, _edges(parts))}
     size = longer(length) if k > 0 else 1
     room = stream.before[at] >= size
     if k == 0:
@@ -472,12 +517,12 @@ def _taken(state: dict[str, np.ndarray], stream: _Stream, got: dict[str, np.ndar
     counted = room & ((support < 0) | (support >= SUPPORT))  # contexts to be counted next
     if k == 0:
         done(~counted)
-        at = at[counted]
+        at = at.compress(counted)
     else:
         live = np.zeros(len(stream.place), bool)
         live[at] = True
         rest = counted & ~live[at - 1] if size <= 4 else np.zeros(len(at), bool)
-        state |= {"counted": np.packbits(counted), "known_support": _small(np.maximum(support[rest], 0))}
+        state |= {"counted": np.packbits(counted), "known_support": _small(np.maximum(support.compress(rest), 0))}
     live = np.zeros(len(stream.place) if len(at) else 0, bool)
     live[at] = True
     state["live"] = np.packbits(live)
@@ -488,10 +533,11 @@ def _step(parts: int, k: int, length: int):
     """Step ``k`` of a block: what it asked is taken in, and from step ``WHOLE`` on it asks anew."""
 
     def run(key, own, table):
+        settled()
         block, whole = key[0].as_py(), k >= WHOLE
         if k > WHOLE and own.column("kind")[0].as_py() == "done":
             return own
-        state = _state_in(*(own.column(c)[0] for c in ("texts", "pack") if c in own.column_names))
+        state = _state_in(*(own.column(c)[0] for c in ("texts", "pack") if c in own.column_names), but=("rank",) if k else ())
         asks = []
         if k == 0 or len(state["live"]):
             got, head = _answers(table, parts)
@@ -503,7 +549,7 @@ def _step(parts: int, k: int, length: int):
         if not len(state["live"]):
             for c in ("known", "place") if whole else ("known",):
                 state[c] = state[c][:0]
-            for c in ("count", "shorter_n", "told", "p", "n", "support", "bounds", "counted", "known_support"):
+            for c in ("kept", "count", "shorter_n", "told", "p", "n", "support", "bounds", "counted", "known_support"):
                 state.pop(c, None)
         return pa.Table.from_batches([_rows_of([_state_of(block, state, whole), *asks])])
 
@@ -514,9 +560,10 @@ def _asking(parts: int, k: int, length: int, part: int, span: int):
     """What blocks ask after step ``k`` of ``span`` parts from ``part`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settled()
         for batch in batches:
             for block, texts, pack in zip(*(batch.column(c) for c in ("block", "texts", "pack")), strict=True):
-                state = _state_in(texts, pack)
+                state = _state_in(texts, pack, but=_TOLD)
                 if rows := [(block.as_py(), *x) for x in _asks(parts, _Stream(state), state, k, length, part, span)]:
                     yield _rows_of(rows)
 
@@ -547,12 +594,14 @@ def _root(state: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def _forgotten(state: dict[str, np.ndarray], stream: _Stream, at: np.ndarray) -> None:
-    """Clear the symbols after the last live place of a text, and the words that are left nowhere."""
-    last = np.full(len(stream.size), -1)
-    np.maximum.at(last, stream.text[at], at)
-    need = np.arange(len(stream.place)) <= last[stream.text]
-    held = np.bincount(stream.place[need], minlength=len(stream.known)) > 0
-    state["place"] = np.where(need, (np.cumsum(held) - 1)[stream.place], 0).astype(np.uint32)
+    """Keep of each text the symbols up to its last live place, if it has one, and the words that are left somewhere."""
+    kept = np.zeros(len(stream.size), np.int64)
+    kept[stream.text[at]] = stream.before[at] + 1  # places ascend, so the last is what stays
+    need = stream.place.compress(stream.before < np.repeat(kept, stream.kept))
+    held = np.bincount(need, minlength=len(stream.known)) > 0
+    live = np.zeros(len(need), bool)
+    live[at + (np.cumsum(kept) - kept - stream.start)[stream.text[at]]] = True
+    state |= {"place": (np.cumsum(held) - 1)[need].astype(np.uint32), "kept": kept, "live": np.packbits(live)}
     for name in ("known", "count"):
         if name in state:
             state[name] = state[name][held]
@@ -562,6 +611,7 @@ def _told():
     """The rows of the blocks when no place is live any more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settled()
         for batch in batches:
             for pack in batch.column("pack"):
                 state = _state_in(pack)
@@ -588,7 +638,7 @@ _PACKS = "block long, part int, kind string, pack binary"
 class _Step:
     """What a step has written: states, in buckets of blocks so that they aren't shuffled when answers come, and asks, if it is the first or a whole one."""
 
-    def __init__(self, rows: DataFrame, buckets: int, parts: int, k: int, length: int, texts: DataFrame | None = None):
+    def __init__(self, rows: DataFrame, buckets: int, parts: int, k: int, length: int, texts: DataFrame | None = None, most: int = 0):
         self.spark, self.parts, self.k, self.length = rows.sparkSession, parts, k, length
         self.rounds = max(1, min(ROUNDS, parts // self.spark.sparkContext.defaultParallelism))
         self.span = -(-parts // self.rounds)  # parts in a round
@@ -598,6 +648,9 @@ class _Step:
         self.states = self.table.where("asks = -1").drop("asks")
         self.held, self.asked = bytes_in(self.spark, self._folder(-1)), sum(bytes_in(self.spark, self._folder(x)) for x in range(self.rounds))
         self.apart = texts is not None
+        self.most = max(most, self.held if self.apart else 0)  # bytes of states
+        if self.apart and self.held <= FEW * self.most:
+            self.rounds, self.span = 1, parts
         if self.apart:  # texts and states have the same buckets
             self.states = texts.select("block", F.col("pack").alias("texts")).hint("merge").join(self.states.select("block", "kind", "pack"), "block")
             self.asked = self.table.where("kind = 'state'").count()  # the blocks that ask
@@ -651,7 +704,7 @@ def lm_scores(docs: DataFrame, held_out) -> DataFrame:
             parts = min(parts, max(least, step.asked // PACK_BYTES))
         then = step.states.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_step(parts, k, length), _PACKS)
         fewer = min(most, max(least, step.held // PACK_BYTES)) if k > WHOLE else most
-        before, step = step, _Step(then, fewer, parts, k, length, first.states if k < WHOLE else None)
+        before, step = step, _Step(then, fewer, parts, k, length, first.states if k < WHOLE else None, step.most)
         if before is not first:
             deleted_table(before.table)
         if before.apart and not step.apart:

@@ -241,3 +241,77 @@ def test_two_words_in_test_are_a_key_of_their_numbers():
     state = {"known": np.arange(9, dtype=np.uint32), "place": np.array([0, 1, 2, 1, 2, 0], np.uint32), "size": np.array([4]), "learn": np.array([1]), "words": np.array([9])}
     keys, bits = _Stream(state).tested(np.array([3, 4, 5]), 2)
     assert bits == 8 and keys[0] == keys[2] != keys[1]
+
+
+def test_later_states_hold_what_live_places_need(spark, monkeypatch):
+    # a text that rows repeat with rare changes has contexts of many words, the others have not
+    r = random.Random(11)
+    rows = []
+    for i in range(120):
+        own = [f"w{j * j % 37}" for j in range(120)]
+        if i % 3 == 0:
+            own[i % 100 + 10] = f"x{i % 5}"
+        rows.append((i, " ".join(own[i % 7 :]), False))
+    rows += [(1000 + i, " ".join(f"n{r.randrange(40)}" for _ in range(200)), False) for i in range(200)]
+    held, write = [], lm.written
+
+    def watched(df, name, by=None, buckets=None):
+        out = write(df, name, by, buckets)
+        if buckets:
+            packs = [lm._unpacked(p) for p in out.where("kind = 'state'").select("pack").toArrow()["pack"]]
+            held.extend(len(p["place"]) for p in packs if "place" in p)
+        return out
+
+    monkeypatch.setattr(lm, "written", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").coalesce(1)
+    got = {x.doc_id: x.score for x in lm_scores(docs, F.col("held_out")).collect()}
+    assert held and max(held) <= 120 * 122  # all symbols are some 200 * 202 more
+    want = suffix_scores(rows)[0]
+    assert all(abs(got[i] - want[i]) < 1e-3 for i in want)
+
+
+def test_tasks_leave_imports_out_of_garbage_collection(spark):
+    def run(batches):
+        import gc
+
+        import pyarrow as pa
+
+        list(lm._totals(iter(())))
+        yield from (pa.RecordBatch.from_arrays([pa.array([gc.get_freeze_count()])], names=["n"]) for _ in batches)
+
+    assert spark.range(0, 1, 1, 1).mapInArrow(run, "n long").first().n > 1000
+
+
+def test_words_in_test_are_sorted_once_each():
+    import numpy as np
+
+    from feedloom.llm.lm import _distinct, _edges, _Stream
+
+    r = np.random.default_rng(2)
+    known = np.sort(r.choice(5000, 300, replace=False)).astype(np.uint32)
+    place = np.append(r.integers(0, 300, 4001), 0).astype(np.uint32)
+    stream = _Stream({"known": known, "place": place, "size": np.array([4000]), "learn": np.array([1]), "words": np.array([5000])})
+    at = np.sort(r.choice(np.arange(1, 4002), 900, replace=False))
+    keys, of = stream.tests(at, 1)
+    want, place_of = _distinct(stream.tested(at, 1)[0])
+    assert keys.tolist() == want.tolist() and of.tolist() == place_of.tolist()
+    for parts in (1, 7, 51):
+        part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        assert (np.searchsorted(_edges(parts), keys, "right") - 1).tolist() == part.tolist()
+
+
+def test_packs_leave_out_high_bytes_that_are_zero():
+    import numpy as np
+    import pyarrow as pa
+
+    from feedloom.llm.lm import _packed, _unpacked
+
+    arrays = {
+        "a": np.array([1, 255], np.uint64), "b": np.array([1 << 40, 3], np.int64), "c": np.array([-1, 2], np.int64), "d": np.array([0.5, -2.0]),
+        "e": np.zeros(3, np.uint32), "f": np.zeros(0, np.int64), "g": np.array([(1 << 64) - 1, 0], np.uint64), "h": np.array([True, False]),
+    }
+    pack = pa.scalar(_packed(**arrays), pa.binary())
+    got = _unpacked(pack)
+    assert all(got[c].dtype == x.dtype and got[c].tolist() == x.tolist() for c, x in arrays.items())
+    assert set(_unpacked(pack, but=("a", "d"))) == set(arrays) - {"a", "d"}
+    assert b'["a", "<u8", 2, 1,' in pack.as_py()
